@@ -132,3 +132,18 @@ PSI_BINS, PSI_EPS = 10, 1e-6
 PSI_THRESHOLD, PSI_SEVERE = 0.15, 0.25
 KS_ALPHA = 0.05
 MODEL_NAMES = ["Logistic Regression", "Random Forest", "XGBoost"]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: report message formats ({:.0f} / {:.1f} style numbers)
+# ---------------------------------------------------------------------------
+
+MSG_MISSING_CRITICAL = "Критические пропуски: {pct0}%"
+MSG_MISSING_SIGNIFICANT = "Значительные пропуски: {pct1}%"
+MSG_CONSTANT = "Все значения одинаковы — колонка бесполезна"
+MSG_OUTLIERS_MANY = "Много выбросов: {pct0}% значений за пределами IQR"
+MSG_OUTLIERS_MODERATE = "Умеренные выбросы: {pct1}%"
+MSG_DUPLICATES = "Найдено {n} дубликатов строк ({pct1}%)"
+MSG_QUALITY_CRITICAL = "Критическое качество данных — требуется глубокая очистка"
+MSG_QUALITY_MEDIUM = "Среднее качество данных — рекомендуется очистка перед ML"
+MSG_HIGH_MISSING_COLUMNS = "Колонки с >30% пропусков: {names}"
+FILL_UNKNOWN = "UNKNOWN"

@@ -21,11 +21,10 @@ it, and a small window over those candidates finds the exact order statistics.
 * The candidates per bracket are about ``3n/accuracy`` rows at most, which a
   window sorts cheaply.
 
-The interpolation is ``lo + (hi - lo) * frac`` with ``frac = (n-1)p -
-floor((n-1)p)``, and exactly ``lo`` when ``lo == hi``. Engines that fuse the
-multiply-add (the DuckDB oracle does) can land one ulp away on interpolated
-edges; such an edge lies strictly between two adjacent order statistics, so no
-value compares differently with it. Reported edges are rounded.
+The interpolation is ``lo*(1-frac) + hi*frac`` with ``frac = (n-1)p -
+floor((n-1)p)``, and exactly ``lo`` when ``lo == hi``. The multiply-add is
+fused (emulated exactly with error-free transformations), which is how the
+compiled SQL oracle evaluates the same formula, so edges agree bit for bit.
 """
 
 from __future__ import annotations
@@ -123,13 +122,40 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         F.first("rn").alias("rn"), F.first("k").alias("k"))
     frac = F.col("rn") - F.col("k")
     edge = F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(
-        F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac)
+        lerp(F.col("v_lo"), F.col("v_hi"), frac))
     res = picked.groupBy(*keys, "n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", edge.alias("e")))),
                     lambda s: s["e"]).alias(out))
     return _finish(df, res, by, keys, out)
 
 
+def _two_prod(a: Column, b: Column) -> tuple[Column, Column]:
+    """``a*b = p + e`` exactly (Veltkamp split, Dekker product)."""
+    split = F.lit(134217729.0)  # 2**27 + 1
+    p = a * b
+    ta, tb = split * a, split * b
+    ah, bh = ta - (ta - a), tb - (tb - b)
+    al, bl = a - ah, b - bh
+    e = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    return p, e
+
+
+def fma(a: Column, b: Column, c: Column) -> Column:
+    """``round(a*b + c)`` with a single rounding, from plain double arithmetic."""
+    p, e = _two_prod(a, b)
+    s = p + c
+    bb = s - p
+    t = (p - (s - bb)) + (c - bb)
+    return s + (t + e)
+
+
+def lerp(lo: Column, hi: Column, frac: Column) -> Column:
+    """``lo*(1-frac) + hi*frac`` with the multiply-add fused, as the SQL
+    oracle's compiled ``quantile_cont`` evaluates it, so interpolated
+    quantiles agree to the last bit."""
+    return fma(lo, F.lit(1.0) - frac, hi * frac)
+
+
 def _finish(df: DataFrame, res: DataFrame, by: list[str], keys: list[str], out: str) -> DataFrame:
     if not by:
         # a global quantile always yields exactly one row, even on empty input

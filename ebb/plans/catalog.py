@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import rfm
+from ..operators import profile, repair, rfm
 from ..session import cut_lineage
+from ..sources.tables import read_table
 from ..sources.marts import CLIENT_MART_SQL, EVENTS_MART_SQL, client_mart, events_mart
 from . import sqltext as S
 
@@ -74,6 +76,45 @@ for _which in ("client", "events"):
     register(f"{_p}rfm_headline", S.rfm_headline_sql(_which))(_headline)
 
 
+# --- profile / repair ----------------------------------------------------------
+
+def _profile_view(rep):
+    return rep.columns.select("ordinal", "column", "dtype", "missing_count", "missing_pct",
+                              "unique_pct", "n_distinct", "outlier_count", "outlier_pct",
+                              F.array_join("issues", "; ").alias("issues"), "score")
+
+
+def _table_view(rep):
+    return rep.table.withColumn("global_issues", F.array_join("global_issues", "; "))
+
+
+@register("profile_columns", S.profile_columns_sql(CLIENT_MART_SQL, S.MART_SCHEMA))
+def q_profile_columns(spark, sf_dir):
+    return _profile_view(profile.profile_dataframe(_mart(spark, sf_dir, "client")))
+
+
+@register("profile_table", S.profile_table_sql(CLIENT_MART_SQL, S.MART_SCHEMA))
+def q_profile_table(spark, sf_dir):
+    return _table_view(profile.profile_dataframe(_mart(spark, sf_dir, "client")))
+
+
+@register("profile_lineitem_columns",
+          S.profile_columns_sql("SELECT * FROM lineitem", S.LINEITEM_SCHEMA))
+def q_profile_lineitem(spark, sf_dir):
+    return _profile_view(profile.profile_dataframe(read_table(spark, sf_dir, "lineitem")))
+
+
+@register("profile_lineitem_table",
+          S.profile_table_sql("SELECT * FROM lineitem", S.LINEITEM_SCHEMA))
+def q_profile_lineitem_table(spark, sf_dir):
+    return _table_view(profile.profile_dataframe(read_table(spark, sf_dir, "lineitem")))
+
+
+@register("repair_mart", S.repair_sql(CLIENT_MART_SQL, S.MART_SCHEMA))
+def q_repair_mart(spark, sf_dir):
+    return repair.auto_fix_dataframe(_mart(spark, sf_dir, "client"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -101,3 +101,138 @@ SELECT count(*) AS total_clients,
        round_even(count(*) FILTER (WHERE rfm_segment = 'At Risk') / count(*) * 100, 1) AS at_risk_pct,
        avg(CAST(churned AS DOUBLE)) AS churn_rate
 FROM rfm"""
+
+
+# --- profile / repair --------------------------------------------------------
+
+MART_SCHEMA = [("client_id", "bigint", True), ("activity_date", "date", False),
+               ("days_since_last_order", "bigint", True), ("total_orders", "bigint", True),
+               ("total_revenue", "double", True), ("avg_order_value", "double", True),
+               ("return_rate", "double", True), ("product_categories_used", "bigint", True),
+               ("discount_usage_pct", "double", True), ("tenure_months", "bigint", True),
+               ("account_balance", "double", True), ("mktsegment", "string", False),
+               ("region", "string", False), ("churned", "int", True)]
+LINEITEM_SCHEMA = [("l_orderkey", "bigint", True), ("l_partkey", "bigint", True),
+                   ("l_suppkey", "bigint", True), ("l_linenumber", "int", True),
+                   ("l_quantity", "double", True), ("l_extendedprice", "double", True),
+                   ("l_discount", "double", True), ("l_tax", "double", True),
+                   ("l_returnflag", "string", False), ("l_linestatus", "string", False),
+                   ("l_shipdate", "timestamp_ntz", False)]
+
+
+def _msg(template: str, **parts: str) -> str:
+    out, rest = [], template
+    while "{" in rest:
+        a, b = rest.index("{"), rest.index("}")
+        out.append("'" + rest[:a].replace("'", "''") + "'")
+        key = rest[a + 1:b]
+        if key == "pct0":
+            out.append(f"printf('%.0f', {parts[key]})")
+        elif key == "pct1":
+            out.append(f"printf('%.1f', {parts[key]})")
+        else:
+            out.append(f"CAST({parts[key]} AS VARCHAR)")
+        rest = rest[b + 1:]
+    out.append("'" + rest.replace("'", "''") + "'")
+    return " || ".join(out)
+
+
+def profile_ctes(src: str, schema) -> str:
+    """CTEs ``src``, ``fences``, ``colstats``, ``colrep`` for a table SQL."""
+    from ..functions import fixed as X
+    num = [c for c, _, isnum in schema if isnum]
+    qs = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.75]) AS q_{c}" for c in num)
+    blocks = []
+    for i, (c, dt, isnum) in enumerate(schema):
+        if isnum:
+            out = (f"count(*) FILTER (WHERE q_{c}[2] - q_{c}[1] <> 0 AND "
+                   f"(CAST({c} AS DOUBLE) < q_{c}[1] - 1.5 * (q_{c}[2] - q_{c}[1]) OR "
+                   f"CAST({c} AS DOUBLE) > q_{c}[2] + 1.5 * (q_{c}[2] - q_{c}[1])))")
+        else:
+            out = "0"
+        blocks.append(
+            f"SELECT {i} AS ordinal, '{c}' AS \"column\", '{dt}' AS dtype, {str(isnum).upper()} AS numeric,"
+            f" count(*) AS n, count(*) FILTER (WHERE {c} IS NULL) AS missing_count,"
+            f" count({c}) AS nonnull, count(DISTINCT {c}) AS n_distinct,"
+            f" CAST({out} AS BIGINT) AS outlier_count FROM src, fences")
+    mp, op = "missing_pct", "outlier_pct"
+    issues = (f"list_filter([CASE WHEN {mp} > {X.MISSING_CRITICAL_PCT} THEN {_msg(X.MSG_MISSING_CRITICAL, pct0=mp)}"
+              f" WHEN {mp} > {X.MISSING_SIGNIFICANT_PCT} THEN {_msg(X.MSG_MISSING_SIGNIFICANT, pct1=mp)} END,"
+              f" CASE WHEN n_distinct = 1 AND {mp} < 100 THEN {_msg(X.MSG_CONSTANT)} END,"
+              f" CASE WHEN {op} > {X.OUTLIERS_MANY_PCT} THEN {_msg(X.MSG_OUTLIERS_MANY, pct0=op)}"
+              f" WHEN {op} > {X.OUTLIERS_MODERATE_PCT} THEN {_msg(X.MSG_OUTLIERS_MODERATE, pct1=op)} END],"
+              f" lambda x: x IS NOT NULL)")
+    return f"""WITH src AS ({src}),
+fences AS (SELECT {qs} FROM src),
+colstats AS ({' UNION ALL '.join(blocks)}),
+pcts AS (
+  SELECT ordinal, "column", dtype, numeric, missing_count, n_distinct, outlier_count, n,
+         CASE WHEN n > 0 THEN missing_count / n * 100 ELSE 0.0 END AS missing_pct,
+         CASE WHEN nonnull > 0 THEN n_distinct / nonnull * 100 ELSE 0.0 END AS unique_pct,
+         CASE WHEN n > 0 THEN outlier_count / n * 100 ELSE 0.0 END AS outlier_pct
+  FROM colstats),
+withissues AS (SELECT pcts.*, {issues} AS issues FROM pcts),
+colrep AS (
+  SELECT withissues.*, CAST(greatest(0, trunc(100.0 - least(missing_pct * 2, 40.0)
+           - least(outlier_pct * 2, 20.0) - CASE WHEN len(issues) >= 3 THEN 10 ELSE 0 END)) AS INTEGER) AS score
+  FROM withissues)"""
+
+
+def profile_columns_sql(src: str, schema) -> str:
+    return profile_ctes(src, schema) + """
+SELECT ordinal, "column", dtype, missing_count, missing_pct, unique_pct, n_distinct,
+       outlier_count, outlier_pct, array_to_string(issues, '; ') AS issues, score
+FROM colrep"""
+
+
+def profile_table_sql(src: str, schema) -> str:
+    from ..functions import fixed as X
+    cols = ", ".join(c for c, _, _ in schema)
+    return profile_ctes(src, schema) + f""",
+dup AS (SELECT coalesce(sum(c), 0) AS n, coalesce(sum(c - 1), 0) AS duplicate_rows
+        FROM (SELECT count(*) AS c FROM src GROUP BY {cols})),
+pc AS (SELECT count(*) AS total_columns, coalesce(avg(score), 0.0) AS avg_score,
+              coalesce(string_agg("column", ', ' ORDER BY ordinal) FILTER (WHERE missing_pct > {X.HIGH_MISSING_COLUMN_PCT}), '') AS high_missing
+       FROM colrep),
+t AS (SELECT n AS total_rows, total_columns,
+             CASE WHEN total_columns > 0 THEN CAST(trunc(avg_score) AS INTEGER) ELSE 0 END AS overall_score,
+             duplicate_rows, CASE WHEN n > 0 THEN duplicate_rows / n * 100 ELSE 0.0 END AS duplicate_pct,
+             high_missing
+      FROM dup, pc)
+SELECT total_rows, total_columns, overall_score, duplicate_rows, duplicate_pct,
+       array_to_string(list_filter([
+         CASE WHEN duplicate_rows > 0 THEN {_msg(X.MSG_DUPLICATES, n='duplicate_rows', pct1='duplicate_pct')} END,
+         CASE WHEN overall_score < {X.SCORE_CRITICAL} THEN {_msg(X.MSG_QUALITY_CRITICAL)}
+              WHEN overall_score < {X.SCORE_MEDIUM} THEN {_msg(X.MSG_QUALITY_MEDIUM)} END,
+         CASE WHEN high_missing <> '' THEN {_msg(X.MSG_HIGH_MISSING_COLUMNS, names='high_missing')} END],
+         lambda x: x IS NOT NULL), '; ') AS global_issues
+FROM t"""
+
+
+def repair_sql(src: str, schema) -> str:
+    """Repaired rows (no duplicates in the sources used, so no dedupe step)."""
+    from ..functions import fixed as X
+    num = [c for c, _, isnum in schema if isnum]
+    qs = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), [{X.WINSOR_LOW}, 0.5, {X.WINSOR_HIGH}]) AS w_{c}"
+                   for c in num)
+    modes = ", ".join(
+        f"(SELECT CAST({c} AS VARCHAR) FROM src WHERE {c} IS NOT NULL GROUP BY {c} "
+        f"ORDER BY count(*) DESC, {c} ASC LIMIT 1) AS mode_{c}"
+        for c, _, isnum in schema if not isnum)
+    sel = []
+    for i, (c, dt, isnum) in enumerate(schema):
+        miss = f"(SELECT missing_pct FROM colrep WHERE ordinal = {i})"
+        outp = f"(SELECT outlier_pct FROM colrep WHERE ordinal = {i})"
+        if isnum:
+            filled = f"CASE WHEN {miss} > 0 THEN coalesce(CAST({c} AS DOUBLE), w_{c}[2]) ELSE {c} END"
+            sel.append(f"CASE WHEN {outp} > {X.OUTLIERS_MODERATE_PCT} THEN "
+                       f"CASE WHEN ({filled}) < w_{c}[1] THEN w_{c}[1] WHEN ({filled}) > w_{c}[3] THEN w_{c}[3] "
+                       f"ELSE ({filled}) END ELSE {filled} END AS {c}")
+        else:
+            sqlt = {"date": "DATE", "string": "VARCHAR", "boolean": "BOOLEAN"}.get(dt, "VARCHAR")
+            sel.append(f"CASE WHEN {miss} > 0 THEN coalesce({c}, CAST(coalesce(mode_{c}, '{X.FILL_UNKNOWN}') AS {sqlt})) "
+                       f"ELSE {c} END AS {c}")
+    return profile_ctes(src, schema) + f""",
+w AS (SELECT {qs} FROM src),
+md AS (SELECT {modes})
+SELECT {', '.join(sel)} FROM src, w, md"""
