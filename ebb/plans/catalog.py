@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profile, repair, rfm
+from ..operators import features, profile, repair, rfm
 from ..session import cut_lineage
 from ..sources.tables import read_table
 from ..sources.marts import CLIENT_MART_SQL, EVENTS_MART_SQL, client_mart, events_mart
@@ -115,6 +115,14 @@ def q_repair_mart(spark, sf_dir):
     return repair.auto_fix_dataframe(_mart(spark, sf_dir, "client"))
 
 
+# --- features ------------------------------------------------------------------
+
+@register("features_matrix", S.features_sql())
+def q_features(spark, sf_dir):
+    X, names, _ = features.engineer_features(_mart(spark, sf_dir, "client"))
+    return X.select("client_id", "churned", *[F.round(F.col(f"`{n}`"), 9).alias(n) for n in names])
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

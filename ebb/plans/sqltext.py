@@ -236,3 +236,48 @@ def repair_sql(src: str, schema) -> str:
 w AS (SELECT {qs} FROM src),
 md AS (SELECT {modes})
 SELECT {', '.join(sel)} FROM src, w, md"""
+
+
+# --- features ------------------------------------------------------------------
+
+MART_NUMERIC = ["days_since_last_order", "total_orders", "total_revenue", "avg_order_value",
+                "return_rate", "product_categories_used", "discount_usage_pct", "tenure_months",
+                "account_balance"]
+MART_RATIOS = [("total_revenue", "days_since_last_order"), ("total_revenue", "total_orders"),
+               ("total_revenue", "avg_order_value")]
+# TPC-H's fixed domains of the two categorical mart columns
+MART_ONEHOT = {"mktsegment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+               "region": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}
+
+
+def _q(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def features_sql(digits: int = 9) -> str:
+    """Standardised feature matrix of the client mart."""
+    rnames = [f"ratio_{n}_per_{d}" for n, d in MART_RATIOS]
+    base = [f"CAST({c} AS DOUBLE) AS {c}" for c in MART_NUMERIC]
+    base += [f"CAST({n} AS DOUBLE) / CASE WHEN {d} <> 0 THEN CAST({d} AS DOUBLE) END AS raw_{i}"
+             for i, (n, d) in enumerate(MART_RATIOS)]
+    oh = [(c, cat) for c, cats in MART_ONEHOT.items() for cat in cats[1:]]
+    base += [f"CASE WHEN coalesce({c}, 'MISSING') = '{cat}' THEN 1.0 ELSE 0.0 END AS {_q(f'{c}_{cat}')}"
+             for c, cat in oh]
+    qs = ", ".join(f"quantile_cont(raw_{i}, 0.99) AS q_{i}" for i in range(len(MART_RATIOS)))
+    filled = [f"coalesce({c}, 0.0) AS {c}" for c in MART_NUMERIC]
+    for i, name in enumerate(rnames):
+        r = f"coalesce(raw_{i}, 0.0)"
+        filled.append(f"CASE WHEN {r} < 0 THEN 0.0 WHEN {r} > q_{i} THEN q_{i} ELSE {r} END AS {name}")
+    filled += [_q(f"{c}_{cat}") for c, cat in oh]
+    feats = MART_NUMERIC + rnames + [f"{c}_{cat}" for c, cat in oh]
+    stats = ", ".join(f"avg({_q(f)}) AS {_q('m_' + f)}, stddev_pop({_q(f)}) AS {_q('s_' + f)}"
+                      for f in feats)
+    out = ", ".join(
+        f"round(({_q(f)} - {_q('m_' + f)}) / CASE WHEN {_q('s_' + f)} = 0 THEN 1.0 ELSE {_q('s_' + f)} END, {digits}) AS {_q(f)}"
+        for f in feats)
+    return with_mart("client", f"""
+base AS (SELECT client_id, churned, {', '.join(base)} FROM mart),
+q AS (SELECT {qs} FROM base),
+filled AS (SELECT client_id, churned, {', '.join(filled)} FROM base, q),
+st AS (SELECT {stats} FROM filled)
+SELECT client_id, churned, {out} FROM filled, st""")
