@@ -147,3 +147,14 @@ MSG_QUALITY_CRITICAL = "Критическое качество данных —
 MSG_QUALITY_MEDIUM = "Среднее качество данных — рекомендуется очистка перед ML"
 MSG_HIGH_MISSING_COLUMNS = "Колонки с >30% пропусков: {names}"
 FILL_UNKNOWN = "UNKNOWN"
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: drift alert texts
+# ---------------------------------------------------------------------------
+
+MSG_DRIFT_NONE = "✅ Дрифт данных не обнаружен. Модель стабильна."
+MSG_DRIFT_SEVERE = "🔴 Критический дрифт в признаках: **{names}**. Рекомендуется переобучить модель."
+MSG_DRIFT_MODERATE = ("🟡 Умеренный дрифт в признаках: **{names}**. "
+                      "Рекомендуется мониторинг и проверка качества прогнозов.")
+# ours: a line for drift found by the KS test alone (the reference prints none)
+MSG_DRIFT_KS_ONLY = "🟠 Статистический дрифт (KS-тест) в признаках: **{names}**."

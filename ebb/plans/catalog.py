@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, profile, repair, rfm
+from ..operators import drift, features, profile, repair, rfm
 from ..session import cut_lineage
 from ..sources.tables import read_table
 from ..sources.marts import CLIENT_MART_SQL, EVENTS_MART_SQL, client_mart, events_mart
@@ -123,6 +123,32 @@ def q_features(spark, sf_dir):
     return X.select("client_id", "churned", *[F.round(F.col(f"`{n}`"), 9).alias(n) for n in names])
 
 
+# --- drift -----------------------------------------------------------------------
+
+def _client_drift(spark, sf_dir):
+    mart = _mart(spark, sf_dir, "client")
+    x = mart.select("client_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in S.DRIFT_CLIENT_COLS])
+    ref, cur = drift.split_halves(x, "client_id")
+    return drift.detect_drift(ref, cur, S.DRIFT_CLIENT_COLS)
+
+
+def _events_drift(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "value", "props")
+    x = ev.select("event_id", F.col("value").cast("double").alias("value"),
+                  F.get_json_object("props", "$.k").cast("double").alias("prop_k"),
+                  F.hour("ts").cast("double").alias("hour_of_day"))
+    ref, cur = drift.split_halves(x, "event_id")
+    return drift.detect_drift(ref, cur, list(S.DRIFT_EVENT_COLS))
+
+
+register("drift_clients", S.drift_sql("client"))(_client_drift)
+register("drift_events", S.drift_sql("events"))(_events_drift)
+register("drift_alerts_clients", S.drift_alerts_sql("client"))(
+    lambda spark, sf_dir: drift.drift_alerts(_client_drift(spark, sf_dir)))
+register("drift_alerts_events", S.drift_alerts_sql("events"))(
+    lambda spark, sf_dir: drift.drift_alerts(_events_drift(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

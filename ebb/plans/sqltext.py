@@ -281,3 +281,115 @@ q AS (SELECT {qs} FROM base),
 filled AS (SELECT client_id, churned, {', '.join(filled)} FROM base, q),
 st AS (SELECT {stats} FROM filled)
 SELECT client_id, churned, {out} FROM filled, st""")
+
+
+# --- drift -------------------------------------------------------------------
+
+DRIFT_CLIENT_COLS = MART_NUMERIC
+DRIFT_EVENT_COLS = {"value": "value",
+                    "prop_k": "CAST(json_extract_string(props, '$.k') AS DOUBLE)",
+                    "hour_of_day": "CAST(hour(ts) AS DOUBLE)"}
+
+
+def drift_long_client() -> str:
+    """CTE ``long`` for the client mart split at the median client id."""
+    parts = []
+    for c in DRIFT_CLIENT_COLS:
+        parts.append(f"SELECT '{c}' AS feature, CASE WHEN client_id <= med THEN 0 ELSE 1 END AS side, "
+                     f"CAST(coalesce({c}, 0) AS DOUBLE) AS value FROM mart, m")
+    return with_mart("client", f"""
+m AS (SELECT quantile_cont(client_id, 0.5) AS med FROM mart),
+long0 AS ({' UNION ALL '.join(parts)}),
+long AS (SELECT * FROM long0 WHERE value IS NOT NULL AND NOT isnan(value))""")
+
+
+def drift_long_events() -> str:
+    parts = []
+    for name, expr in DRIFT_EVENT_COLS.items():
+        parts.append(f"SELECT '{name}' AS feature, CASE WHEN event_id <= med THEN 0 ELSE 1 END AS side, "
+                     f"CAST({expr} AS DOUBLE) AS value FROM events, m")
+    return f"""WITH m AS (SELECT quantile_cont(event_id, 0.5) AS med FROM events),
+long0 AS ({' UNION ALL '.join(parts)}),
+long AS (SELECT * FROM long0 WHERE value IS NOT NULL AND NOT isnan(value))"""
+
+
+def drift_body(names: list[str]) -> str:
+    from ..functions import fixed as X
+    probs = "[" + ", ".join(str(i / X.PSI_BINS) for i in range(X.PSI_BINS + 1)) + "]"
+    ords = " UNION ALL ".join(f"SELECT '{n}' AS feature, {i} AS ordinal" for i, n in enumerate(names))
+    return f""",
+names AS ({ords}),
+edges AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, {probs}))) AS e FROM long GROUP BY feature),
+sizes AS (SELECT feature, count(*) FILTER (WHERE side = 0) AS n0, count(*) FILTER (WHERE side = 1) AS n1
+          FROM long GROUP BY feature),
+binned AS (SELECT l.feature, l.side, least(len(list_filter(e, lambda x: x <= l.value)) - 1, len(e) - 2) AS bin
+           FROM long l JOIN edges USING (feature)),
+counts AS (SELECT feature, side, bin, count(*) AS c FROM binned GROUP BY feature, side, bin),
+grid AS (SELECT feature, unnest(range(0, len(e) - 1)) AS bin FROM edges WHERE len(e) >= 2),
+t AS (
+  SELECT g.feature, g.bin,
+         least(1.0, greatest({X.PSI_EPS}, coalesce(c0.c, 0) / s.n0)) AS ep,
+         least(1.0, greatest({X.PSI_EPS}, coalesce(c1.c, 0) / s.n1)) AS ap
+  FROM grid g JOIN sizes s USING (feature)
+  LEFT JOIN counts c0 ON c0.feature = g.feature AND c0.bin = g.bin AND c0.side = 0
+  LEFT JOIN counts c1 ON c1.feature = g.feature AND c1.bin = g.bin AND c1.side = 1),
+psi0 AS (SELECT feature, list_reduce(list((ap - ep) * ln(ap / ep) ORDER BY bin), lambda a, b: a + b) AS psi
+         FROM t GROUP BY feature),
+psi AS (SELECT s.feature, CASE WHEN n0 = 0 OR n1 = 0 THEN 0.0 ELSE coalesce(psi0.psi, 0.0) END AS psi
+        FROM sizes s LEFT JOIN psi0 USING (feature)),
+vc AS (SELECT feature, value, count(*) FILTER (WHERE side = 0) AS c0, count(*) FILTER (WHERE side = 1) AS c1
+       FROM long GROUP BY feature, value),
+cum AS (SELECT feature, sum(c0) OVER (PARTITION BY feature ORDER BY value) AS cc0,
+               sum(c1) OVER (PARTITION BY feature ORDER BY value) AS cc1 FROM vc),
+ksd AS (SELECT feature, max(abs(cc0 / n0 - cc1 / n1)) AS d FROM cum JOIN sizes USING (feature) GROUP BY feature),
+ks AS (
+  SELECT feature, CASE WHEN n0 = 0 OR n1 = 0 THEN 0.0 ELSE d END AS ks,
+         CASE WHEN n0 = 0 OR n1 = 0 THEN 1.0 ELSE
+           (SELECT CASE WHEN lam < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0,
+              list_reduce([2.0 * (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * lam * lam)
+                           FOR k IN range(1, 101)], lambda a, b: a + b))) END
+            FROM (SELECT (en + 0.12 + 0.11 / en) * d AS lam
+                  FROM (SELECT sqrt(CAST(n0 AS DOUBLE) * CAST(n1 AS DOUBLE) / (CAST(n0 AS DOUBLE) + CAST(n1 AS DOUBLE))) AS en)))
+         END AS p
+  FROM sizes JOIN ksd USING (feature)),
+drift AS (
+  SELECT n.feature, n.ordinal, coalesce(psi.psi, 0.0) AS psi, coalesce(ks.ks, 0.0) AS ks, coalesce(ks.p, 1.0) AS p
+  FROM names n LEFT JOIN psi USING (feature) LEFT JOIN ks USING (feature)),
+result AS (
+  SELECT feature, round_even(psi, 4) AS psi, round_even(ks, 4) AS ks_statistic, round_even(p, 4) AS ks_p_value,
+         (psi > {X.PSI_THRESHOLD} OR p < {X.KS_ALPHA}) AS drift_detected,
+         CASE WHEN psi >= {X.PSI_SEVERE} THEN 'severe' WHEN psi >= {X.PSI_THRESHOLD} THEN 'moderate' ELSE 'none' END AS severity,
+         psi AS raw_psi, ordinal
+  FROM drift)"""
+
+
+def drift_sql(which: str) -> str:
+    if which == "client":
+        return drift_long_client() + drift_body(DRIFT_CLIENT_COLS) + """
+SELECT feature, psi, ks_statistic, ks_p_value, drift_detected, severity FROM result"""
+    return drift_long_events() + drift_body(list(DRIFT_EVENT_COLS)) + """
+SELECT feature, psi, ks_statistic, ks_p_value, drift_detected, severity FROM result"""
+
+
+def drift_alerts_sql(which: str) -> str:
+    from ..functions import fixed as X
+    head = (drift_long_client() + drift_body(DRIFT_CLIENT_COLS) if which == "client"
+            else drift_long_events() + drift_body(list(DRIFT_EVENT_COLS)))
+
+    def names(cond):
+        return (f"coalesce(string_agg(feature, ', ' ORDER BY psi DESC, feature) "
+                f"FILTER (WHERE {cond}), '')")
+
+    def line(t, col):
+        a, b = t.split("{names}")
+        return f"'{a}' || {col} || '{b}'"
+    return head + f""",
+a AS (SELECT count(*) AS n, {names("severity = 'severe'")} AS severe,
+             {names("severity = 'moderate'")} AS moderate, {names("severity = 'none'")} AS ks_only
+      FROM result WHERE drift_detected),
+lines AS (SELECT CASE WHEN n = 0 THEN ['{X.MSG_DRIFT_NONE}'] ELSE list_filter([
+            CASE WHEN severe <> '' THEN {line(X.MSG_DRIFT_SEVERE, 'severe')} END,
+            CASE WHEN moderate <> '' THEN {line(X.MSG_DRIFT_MODERATE, 'moderate')} END,
+            CASE WHEN ks_only <> '' THEN {line(X.MSG_DRIFT_KS_ONLY, 'ks_only')} END],
+            lambda x: x IS NOT NULL) END AS l FROM a)
+SELECT CAST(i - 1 AS INTEGER) AS ord, l[i] AS alert FROM lines, range(1, len(l) + 1) r(i)"""
