@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drift, features, profile, repair, rfm
+from ..operators import actions, drift, features, metrics, profile, repair, rfm
+from ..operators.scoring import RULE_SCORER
 from ..session import cut_lineage
 from ..sources.tables import read_table
 from ..sources.marts import CLIENT_MART_SQL, EVENTS_MART_SQL, client_mart, events_mart
@@ -149,6 +150,42 @@ register("drift_alerts_events", S.drift_alerts_sql("events"))(
     lambda spark, sf_dir: drift.drift_alerts(_events_drift(spark, sf_dir)))
 
 
+# --- recommendations and dashboard on the fixed scorer ----------------------------
+
+def _recs(spark, sf_dir, sort=True):
+    scored = RULE_SCORER.transform(rfm.compute_rfm(_mart(spark, sf_dir, "client")))
+    return actions.generate_recommendations(scored, sort=sort)
+
+
+def _rounded(df, cols, digits=6):
+    """Float sums depend on summation order; compare them at 6 decimals."""
+    return df.withColumns({c: F.bround(c, digits) for c in cols})
+
+
+register("recommendations", S.recommendations_sql())(_recs)
+register("kpi", S.kpi_sql())(lambda spark, sf_dir: _rounded(
+    actions.kpi_row(_recs(spark, sf_dir, False)), ["money_at_risk", "churn_rate", "avg_ltv"]))
+register("segment_probability", S.segment_probability_sql())(lambda spark, sf_dir: _rounded(
+    actions.probability_by_segment(_recs(spark, sf_dir, False)), ["churn_prob"]))
+register("top_at_risk", S.top_at_risk_sql())(
+    lambda spark, sf_dir: actions.top_at_risk(_recs(spark, sf_dir, False)))
+register("segment_cards", S.segment_cards_sql())(lambda spark, sf_dir: _rounded(
+    actions.segment_cards(_recs(spark, sf_dir, False)), ["money", "avg_prob"]))
+
+
+def _scored_labels(spark, sf_dir):
+    m = _mart(spark, sf_dir, "client")
+    return m.select(F.col("churned").alias("label"), RULE_SCORER.probability().alias("score"))
+
+
+register("roc_rule", S.roc_sql())(lambda spark, sf_dir: metrics.roc_points(_scored_labels(spark, sf_dir)))
+register("auc_rule", S.auc_sql())(lambda spark, sf_dir: metrics.auc(_scored_labels(spark, sf_dir)))
+register("metrics_rule", S.class_metrics_sql())(lambda spark, sf_dir: metrics.classification_metrics(
+    _scored_labels(spark, sf_dir).withColumn("prediction", (F.col("score") > 0.5).cast("int"))))
+register("optimal_threshold_rule", S.optimal_threshold_sql())(
+    lambda spark, sf_dir: metrics.optimal_threshold(_scored_labels(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -393,3 +393,135 @@ lines AS (SELECT CASE WHEN n = 0 THEN ['{X.MSG_DRIFT_NONE}'] ELSE list_filter([
             CASE WHEN ks_only <> '' THEN {line(X.MSG_DRIFT_KS_ONLY, 'ks_only')} END],
             lambda x: x IS NOT NULL) END AS l FROM a)
 SELECT CAST(i - 1 AS INTEGER) AS ord, l[i] AS alert FROM lines, range(1, len(l) + 1) r(i)"""
+
+
+# --- recommendations / dashboard / metrics on the fixed scorer ----------------------
+
+def _dbl(x) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def _sqlstr(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _rule_sql(seg: str, idx: int) -> str:
+    from ..functions import fixed as X
+    val = (lambda v: _dbl(v)) if idx == 6 else _sqlstr
+    parts = " ".join(f"WHEN {seg} = {_sqlstr(n)} THEN {val(r[idx])}" for n, r in X.SEGMENT_ACTIONS.items())
+    return f"CASE {parts} ELSE {val(X.SEGMENT_ACTIONS['Lost'][idx])} END"
+
+
+def recs_ctes(threshold: float = 0.7) -> str:
+    from ..functions import fixed as X
+    from ..operators.scoring import rule_score_sql
+    esc = ", ".join(_sqlstr(s) for s in X.ESCALATED_SEGMENTS)
+    lift = _rule_sql("rfm_segment", 6)
+    return rfm_ctes("client") + f""",
+withprob AS (SELECT rfm.*, {rule_score_sql()} AS churn_prob FROM rfm),
+b AS (SELECT client_id, rfm_segment, churn_prob,
+             CASE WHEN churn_prob >= {_dbl(threshold)} THEN 'high'
+                  WHEN churn_prob >= {_dbl(X.MEDIUM_RISK_FLOOR)} THEN 'medium' ELSE 'low' END AS churn_risk_level,
+             coalesce(CAST(total_revenue AS DOUBLE), 0.0) AS ltv
+      FROM withprob),
+recs AS (
+  SELECT client_id, rfm_segment, churn_prob, churn_risk_level, ltv,
+         CASE WHEN rfm_segment IN ({esc}) AND churn_risk_level = 'high' THEN {_sqlstr(X.URGENT_PREFIX)} || {_rule_sql('rfm_segment', 1)}
+              WHEN rfm_segment IN ({esc}) AND churn_risk_level = 'medium' THEN {_sqlstr(X.WARNING_PREFIX)} || {_rule_sql('rfm_segment', 1)}
+              ELSE {_rule_sql('rfm_segment', 1)} END AS action,
+         CASE WHEN rfm_segment IN ({esc}) AND churn_risk_level = 'high' THEN {_sqlstr(X.URGENT_CHANNEL)}
+              ELSE {_rule_sql('rfm_segment', 2)} END AS channel,
+         {_rule_sql('rfm_segment', 3)} AS tone,
+         {_rule_sql('rfm_segment', 5)} AS offer,
+         CASE WHEN rfm_segment IN ({esc}) AND churn_risk_level = 'high' THEN 'critical'
+              WHEN rfm_segment IN ({esc}) AND churn_risk_level = 'medium' THEN 'high'
+              ELSE {_rule_sql('rfm_segment', 4)} END AS urgency,
+         round_even(ltv * (1.0 - CASE WHEN churn_risk_level = 'high' THEN {lift} * {_dbl(X.HIGH_RISK_LIFT_FACTOR)}
+                                      WHEN churn_risk_level = 'low' THEN {lift} * {_dbl(X.LOW_RISK_LIFT_FACTOR)}
+                                      ELSE {lift} END) * churn_prob, 2) AS roi_estimate
+  FROM b)"""
+
+
+def recommendations_sql() -> str:
+    return recs_ctes() + "\nSELECT * FROM recs"
+
+
+def kpi_sql() -> str:
+    return recs_ctes() + """
+SELECT round_even(coalesce(CAST(sum(CAST(ltv AS DECIMAL(38,2))) FILTER (WHERE churn_risk_level = 'high') AS DOUBLE), 0.0), 6) AS money_at_risk,
+       round_even(avg(churn_prob), 6) AS churn_rate,
+       round_even(CAST(sum(CAST(ltv AS DECIMAL(38,2))) AS DOUBLE) / count(*), 6) AS avg_ltv, count(*) AS total_clients
+FROM recs"""
+
+
+def segment_probability_sql() -> str:
+    return recs_ctes() + "\nSELECT rfm_segment, round_even(avg(churn_prob), 6) AS churn_prob FROM recs GROUP BY rfm_segment"
+
+
+def top_at_risk_sql(n: int = 10) -> str:
+    return recs_ctes() + f"""
+SELECT client_id, rfm_segment, churn_prob, ltv, action FROM recs
+ORDER BY urgency ASC, ltv * churn_prob DESC, client_id ASC LIMIT {n}"""
+
+
+def segment_cards_sql() -> str:
+    segs = ["At Risk", "Hibernating", "Loyal", "Champions"]
+    rank = " ".join(f"WHEN rfm_segment = {_sqlstr(s)} THEN {i}" for i, s in enumerate(segs))
+    return recs_ctes() + f""",
+o AS (SELECT recs.*, row_number() OVER (PARTITION BY rfm_segment
+                                         ORDER BY urgency ASC, ltv * churn_prob DESC, client_id ASC) AS rn
+      FROM recs WHERE rfm_segment IN ({', '.join(_sqlstr(s) for s in segs)}))
+SELECT rfm_segment, count(*) AS n_clients, round_even(CAST(sum(CAST(ltv AS DECIMAL(38,2))) AS DOUBLE), 6) AS money, round_even(avg(churn_prob), 6) AS avg_prob,
+       max(action) FILTER (WHERE rn = 1) AS action, max(channel) FILTER (WHERE rn = 1) AS channel,
+       max(roi_estimate) FILTER (WHERE rn = 1) AS roi_estimate,
+       CASE {rank} ELSE {len(segs)} END AS card_order
+FROM o GROUP BY rfm_segment"""
+
+
+def scored_mart_cte() -> str:
+    from ..operators.scoring import rule_score_sql
+    return with_mart("client", f"""
+s AS (SELECT CAST(churned AS INTEGER) AS label, {rule_score_sql()} AS score FROM mart),
+c AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+      FROM s GROUP BY score),
+tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM c)""")
+
+
+def roc_sql() -> str:
+    return scored_mart_cte() + """,
+pts AS (SELECT score AS threshold, CAST(sum(neg) OVER (ORDER BY score DESC) AS BIGINT) AS fps,
+               CAST(sum(pos) OVER (ORDER BY score DESC) AS BIGINT) AS tps FROM c
+        UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0)
+SELECT threshold, fps, tps, fps / N AS fpr, tps / P AS tpr FROM pts, tot"""
+
+
+def auc_sql() -> str:
+    return scored_mart_cte() + """,
+r AS (SELECT pos, neg, coalesce(sum(pos + neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM c)
+SELECT (CAST(sum(CAST(pos AS HUGEINT) * (2 * below + pos + neg + 1)) AS DOUBLE) / 2.0
+        - CAST(max(P) AS DOUBLE) * (max(P) + 1) / 2.0) / (CAST(max(P) AS DOUBLE) * max(N)) AS auc
+FROM r, tot"""
+
+
+def class_metrics_sql() -> str:
+    from ..operators.scoring import rule_score_sql
+    return with_mart("client", f"""
+s AS (SELECT CAST(churned AS INTEGER) AS label, CASE WHEN {rule_score_sql()} > 0.5 THEN 1 ELSE 0 END AS pred FROM mart),
+g AS (SELECT count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE label <> 1 AND pred = 1) AS fp,
+             count(*) FILTER (WHERE label = 1 AND pred <> 1) AS fn, count(*) FILTER (WHERE label <> 1 AND pred <> 1) AS tn FROM s)
+SELECT tp, fp, fn, tn,
+       round_even(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision,
+       round_even(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 4) AS recall,
+       round_even(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS f1,
+       round_even(CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0.0 END, 4) AS accuracy
+FROM g""")
+
+
+def optimal_threshold_sql(cost_fp: float = 1.0, cost_fn: float = 3.0) -> str:
+    return scored_mart_cte() + f""",
+pts AS (SELECT score AS threshold, sum(neg) OVER (ORDER BY score DESC) AS fps,
+               sum(pos) OVER (ORDER BY score DESC) AS tps FROM c
+        UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0),
+k AS (SELECT threshold, fps * {_dbl(cost_fp)} + (P - tps) * {_dbl(cost_fn)} AS cost FROM pts, tot)
+SELECT threshold, cost FROM k ORDER BY cost ASC, threshold DESC LIMIT 1"""
