@@ -69,3 +69,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
+
+
+def fixed_decimals(x: Column, digits: int) -> Column:
+    """``x`` with ``digits`` decimals, rounded half-even on the exact binary
+    value (as Python's ``f"{x:.2f}"`` and C's ``printf``); Java's ``%.2f``
+    rounds the shortest decimal string half-up instead."""
+    return F.regexp_replace(F.format_number(x, digits), ",", "")

@@ -158,3 +158,13 @@ MSG_DRIFT_MODERATE = ("🟡 Умеренный дрифт в признаках:
                       "Рекомендуется мониторинг и проверка качества прогнозов.")
 # ours: a line for drift found by the KS test alone (the reference prints none)
 MSG_DRIFT_KS_ONLY = "🟠 Статистический дрифт (KS-тест) в признаках: **{names}**."
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: explanation texts
+# ---------------------------------------------------------------------------
+
+DIRECTION_RISK = "повышает риск"
+DIRECTION_PROTECTIVE = "снижает риск"
+MSG_TOP_RISK = "Основной фактор риска: **{feature}** ({value3}). Вероятность оттока: **{pct1}**."
+MSG_NO_RISK = "Значимых факторов риска не выявлено. Вероятность оттока: **{pct1}**."
+FALLBACK_BASE_VALUE = 0.5

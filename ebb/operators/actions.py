@@ -155,7 +155,9 @@ def factor_advice(factors: DataFrame, top_n: int = 3, key: str = "client_id") ->
     for i, (k, _) in reversed(list(enumerate(X.FACTOR_ADVICE))):
         pos = F.when(F.instr(name, k) > 0, F.lit(i)).otherwise(pos)
     texts = F.array(*[F.lit(t) for _, t in X.FACTOR_ADVICE])
-    hit = factors.select(key, "rank", F.element_at(texts, pos + 1).alias("advice")).where(
+    # guard: element_at of a literal array at a null index yields its last element
+    hit = factors.select(key, "rank", F.when(pos.isNotNull(), F.element_at(texts, pos + 1))
+                         .alias("advice")).where(
         F.col("advice").isNotNull())
     # first occurrence of each advice, in factor order, then the first top_n
     firsts = hit.groupBy(key, "advice").agg(F.min("rank").alias("rank"))

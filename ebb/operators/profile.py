@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions import fixed as X
-from ..functions.exprs import is_numeric_type
+from ..functions.exprs import fixed_decimals, is_numeric_type
 from ..functions.quantiles import DEFAULT_ACCURACY, quantiles
 
 
@@ -41,9 +41,9 @@ def fmt(template: str, **parts: Column) -> Column:
         key = rest[a + 1:b]
         c = parts[key]
         if key == "pct0":
-            c = F.format_string("%.0f", c)
+            c = fixed_decimals(c, 0)
         elif key == "pct1":
-            c = F.format_string("%.1f", c)
+            c = fixed_decimals(c, 1)
         pieces.append(c.cast("string"))
         rest = rest[b + 1:]
     pieces.append(F.lit(rest))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import actions, drift, features, metrics, profile, repair, rfm
+from ..operators import actions, drift, explain, features, metrics, profile, repair, rfm
 from ..operators.scoring import RULE_SCORER
 from ..session import cut_lineage
 from ..sources.tables import read_table
@@ -186,6 +186,39 @@ register("optimal_threshold_rule", S.optimal_threshold_sql())(
     lambda spark, sf_dir: metrics.optimal_threshold(_scored_labels(spark, sf_dir)))
 
 
+# --- explanations of the fixed linear scorer ------------------------------------
+
+def _rule_contribs(spark, sf_dir):
+    m = _mart(spark, sf_dir, "client")
+    return explain.linear_contributions(m, RULE_SCORER.coefficients, RULE_SCORER.intercept)
+
+
+register("explain_linear_rule", S.explain_linear_sql())(lambda spark, sf_dir: (
+    lambda c: c.select("client_id", "ordinal", "feature", F.round("contribution", 9).alias("contribution"))
+)(_rule_contribs(spark, sf_dir)[0]))
+register("global_importance_rule", S.global_importance_sql())(
+    lambda spark, sf_dir: explain.global_importance(_rule_contribs(spark, sf_dir)[0]))
+register("importance_share_rule", S.importance_share_sql())(
+    lambda spark, sf_dir: explain.importance_share(explain.global_importance(_rule_contribs(spark, sf_dir)[0])))
+register("client_factors_rule", S.client_factors_sql())(
+    lambda spark, sf_dir: explain.client_factors(_rule_contribs(spark, sf_dir)[0]))
+
+
+def _explained(spark, sf_dir):
+    c, base = _rule_contribs(spark, sf_dir)
+    e = explain.explain_clients(c, base)
+    return e.select("client_id", F.array_join("top_risk_factors", ", ").alias("top_risk_factors"),
+                    F.array_join("top_protective_factors", ", ").alias("top_protective_factors"),
+                    F.round("total_effect", 9).alias("total_effect"),
+                    F.bround("predicted_probability", 6).alias("predicted_probability"), "summary")
+
+
+register("explain_clients_rule", S.explain_clients_sql())(_explained)
+register("factor_advice_rule", S.factor_advice_sql())(lambda spark, sf_dir: actions.factor_advice(
+    explain.top_risk_factor_names(_rule_contribs(spark, sf_dir)[0])).select(
+    "client_id", F.array_join("advice", " | ").alias("advice")))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

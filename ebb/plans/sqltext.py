@@ -525,3 +525,92 @@ pts AS (SELECT score AS threshold, sum(neg) OVER (ORDER BY score DESC) AS fps,
         UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0),
 k AS (SELECT threshold, fps * {_dbl(cost_fp)} + (P - tps) * {_dbl(cost_fn)} AS cost FROM pts, tot)
 SELECT threshold, cost FROM k ORDER BY cost ASC, threshold DESC LIMIT 1"""
+
+
+# --- explanations of the fixed linear scorer ----------------------------------------
+
+def linear_contrib_ctes() -> str:
+    from ..operators.scoring import RULE_SCORER
+    feats = list(RULE_SCORER.coefficients)
+    means = ", ".join(f"avg(coalesce(CAST({f} AS DOUBLE), 0.0)) AS m_{f}" for f in feats)
+    parts = " UNION ALL ".join(
+        f"SELECT client_id, {i} AS ordinal, '{f}' AS feature, "
+        f"{_dbl(RULE_SCORER.coefficients[f])} * (coalesce(CAST({f} AS DOUBLE), 0.0) - m_{f}) AS contribution "
+        f"FROM mart, mm" for i, f in enumerate(feats))
+    base = " + ".join([_dbl(RULE_SCORER.intercept)] + [f"{_dbl(RULE_SCORER.coefficients[f])} * m_{f}" for f in feats])
+    return with_mart("client", f"""
+mm AS (SELECT {means} FROM mart),
+contrib AS ({parts}),
+basev AS (SELECT {base} AS base FROM mm)""")
+
+
+def explain_linear_sql() -> str:
+    return linear_contrib_ctes() + "\nSELECT client_id, ordinal, feature, round(contribution, 9) AS contribution FROM contrib"
+
+
+def global_importance_sql(top: int = 15) -> str:
+    return linear_contrib_ctes() + f""",
+g AS (SELECT feature, ordinal, round_even(avg(abs(contribution)), 6) AS importance FROM contrib GROUP BY feature, ordinal)
+SELECT feature, importance FROM g ORDER BY importance DESC, ordinal LIMIT {top}"""
+
+
+def importance_share_sql(top: int = 15) -> str:
+    return linear_contrib_ctes() + f""",
+g AS (SELECT feature, ordinal, round_even(avg(abs(contribution)), 6) AS importance FROM contrib GROUP BY feature, ordinal),
+t AS (SELECT feature, importance FROM g ORDER BY importance DESC, ordinal LIMIT {top})
+SELECT feature, round_even(importance, 4) AS importance,
+       round_even(importance / CASE WHEN sum(importance) OVER () = 0 THEN 1.0 ELSE sum(importance) OVER () END * 100, 1) AS pct
+FROM t"""
+
+
+def client_factors_ctes(top: int = 5) -> str:
+    from ..functions import fixed as X
+    return linear_contrib_ctes() + f""",
+ranked AS (SELECT client_id, feature, contribution,
+                  row_number() OVER (PARTITION BY client_id ORDER BY abs(contribution) DESC, ordinal) AS rank
+           FROM contrib),
+factors AS (SELECT client_id, rank, feature, round_even(abs(contribution), 4) AS contribution,
+                   CASE WHEN contribution > 0 THEN {_sqlstr(X.DIRECTION_RISK)} ELSE {_sqlstr(X.DIRECTION_PROTECTIVE)} END AS direction
+            FROM ranked WHERE rank <= {top})"""
+
+
+def client_factors_sql() -> str:
+    return client_factors_ctes() + "\nSELECT client_id, CAST(rank AS INTEGER) AS rank, feature, contribution, direction FROM factors"
+
+
+def explain_clients_sql() -> str:
+    from ..functions import fixed as X
+    a, rest = X.MSG_TOP_RISK.split("{feature}")
+    b, rest = rest.split("{value3}")
+    c, d = rest.split("{pct1}")
+    e, g = X.MSG_NO_RISK.split("{pct1}")
+    risk = _sqlstr(X.DIRECTION_RISK)
+    return client_factors_ctes() + f""",
+tot AS (SELECT client_id, sum(contribution) AS total_effect FROM contrib GROUP BY client_id),
+per AS (SELECT client_id,
+               list(feature ORDER BY rank) FILTER (WHERE direction = {risk}) AS risk,
+               list(contribution ORDER BY rank) FILTER (WHERE direction = {risk}) AS risk_v,
+               list(feature ORDER BY rank) FILTER (WHERE direction <> {risk}) AS prot
+        FROM factors GROUP BY client_id),
+j AS (SELECT tot.client_id, total_effect, coalesce(risk, []) AS risk, risk_v, coalesce(prot, []) AS prot,
+             1.0 / (1.0 + exp(-(base + total_effect))) AS p
+      FROM tot LEFT JOIN per USING (client_id), basev)
+SELECT client_id, array_to_string(risk, ', ') AS top_risk_factors, array_to_string(prot, ', ') AS top_protective_factors,
+       round(total_effect, 9) AS total_effect, round_even(p, 6) AS predicted_probability,
+       CASE WHEN len(risk) > 0 THEN {_sqlstr(a)} || risk[1] || {_sqlstr(b)} || printf('%.3f', risk_v[1]) || {_sqlstr(c)}
+                 || printf('%.1f', p * 100) || '%' || {_sqlstr(d)}
+            ELSE {_sqlstr(e)} || printf('%.1f', p * 100) || '%' || {_sqlstr(g)} END AS summary
+FROM j"""
+
+
+def factor_advice_sql(top_n: int = 3) -> str:
+    from ..functions import fixed as X
+    keys = " ".join(f"WHEN instr(lower(replace(feature, ' ', '_')), {_sqlstr(k)}) > 0 THEN {i}"
+                    for i, (k, _) in enumerate(X.FACTOR_ADVICE))
+    texts = "[" + ", ".join(_sqlstr(t) for _, t in X.FACTOR_ADVICE) + "]"
+    risk = _sqlstr(X.DIRECTION_RISK)
+    return client_factors_ctes() + f""",
+hit AS (SELECT client_id, rank, {texts}[CASE {keys} END + 1] AS advice FROM factors WHERE direction = {risk}),
+firsts AS (SELECT client_id, advice, min(rank) AS rank FROM hit WHERE advice IS NOT NULL GROUP BY client_id, advice),
+ordered AS (SELECT client_id, list(advice ORDER BY rank) AS l FROM firsts GROUP BY client_id)
+SELECT client_id, array_to_string(l[1:{top_n}], ' | ') AS advice FROM ordered"""
