@@ -168,3 +168,40 @@ DIRECTION_PROTECTIVE = "снижает риск"
 MSG_TOP_RISK = "Основной фактор риска: **{feature}** ({value3}). Вероятность оттока: **{pct1}**."
 MSG_NO_RISK = "Значимых факторов риска не выявлено. Вероятность оттока: **{pct1}**."
 FALLBACK_BASE_VALUE = 0.5
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: executive summary template ({n:,} {pct1%} {money:,.0f} {auc2})
+# ---------------------------------------------------------------------------
+
+EXECUTIVE_SUMMARY = """## 📊 Executive Summary: Анализ оттока клиентов
+
+### Текущая ситуация
+- **Всего клиентов:** {total_clients}
+- **Уровень оттока:** {churn_rate}
+- **Деньги под угрозой:** ${money_at_risk}
+- **Качество модели:** AUC-ROC = {auc}
+
+### Ключевые сегменты
+- 🔥 **At Risk:** {at_risk} клиентов — были ценными, но теряют активность. **Приоритет #1.**
+- 💤 **Hibernating:** {hibernating} клиентов — низкая активность, требуют реактивации.
+
+### Главный фактор оттока
+**{top_factor}** — основной драйвер оттока. Рекомендуется сфокусировать retention-усилия на этом направлении.
+
+### Рекомендуемые действия
+1. **Сегодня:** обзвонить топ-20 At Risk клиентов с наибольшим LTV
+2. **На этой неделе:** запустить реактивационную кампанию для Hibernating
+3. **В этом месяце:** внедрить предиктивный мониторинг на основе модели (AUC {auc})
+
+---
+*Отчёт сгенерирован автоматически. Для деталей обратитесь к дашборду.*
+"""
+
+# report lines
+REPORT_TOTAL = "Total Clients: {n}"
+REPORT_CHURN = "Churn Rate: {pct1}"
+REPORT_BEST = "Best Model: {name} (AUC-ROC: {auc3})"
+REPORT_SEGMENT = "  {seg}: {n} clients ({pct1})"
+REPORT_TOP = "  {i}. {cid} | {seg} | Churn: {pct1}"
+EXPORT_COLUMNS = ["client_id", "rfm_segment", "churn_prob", "churn_risk_level", "ltv", "action",
+                  "channel", "offer", "urgency", "roi_estimate"]

@@ -164,3 +164,38 @@ def factor_advice(factors: DataFrame, top_n: int = 3, key: str = "client_id") ->
     return firsts.groupBy(key).agg(F.slice(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "advice"))), lambda s: s["advice"]),
         1, top_n).alias("advice"))
+
+
+def _template(template: str, parts: dict[str, Column]) -> Column:
+    """Fill ``{name}`` slots of a fixed template with string columns."""
+    pieces, rest = [], template
+    while "{" in rest:
+        a, b = rest.index("{"), rest.index("}")
+        pieces += [F.lit(rest[:a]), parts[rest[a + 1:b]]]
+        rest = rest[b + 1:]
+    pieces.append(F.lit(rest))
+    return F.concat(*pieces)
+
+
+def executive_summary(stats: DataFrame, kpi: DataFrame, auc: DataFrame, top_factor: DataFrame) -> DataFrame:
+    """One row ``summary`` from the segment stats (R8), the KPI row (A9),
+    a one-row ``auc`` frame and a one-row ``feature`` frame (top factor)."""
+    from ..functions.exprs import fixed_decimals
+    seg = stats.agg(
+        F.coalesce(F.sum(F.when(F.col("rfm_segment") == "At Risk", F.col("client_count"))), F.lit(0)).alias("at_risk"),
+        F.coalesce(F.sum(F.when(F.col("rfm_segment") == "Hibernating", F.col("client_count"))), F.lit(0))
+        .alias("hibernating"))
+    k = F.lit(1)
+    top = top_factor.agg(F.first("feature").alias("top_factor"))
+    j = (kpi.withColumn("_k", k).join(seg.withColumn("_k", k), "_k")
+         .join(auc.select("auc").withColumn("_k", k), "_k").join(top.withColumn("_k", k), "_k"))
+    parts = {
+        "total_clients": F.format_number(F.col("total_clients"), 0),
+        "churn_rate": F.concat(fixed_decimals(F.col("churn_rate") * 100, 1), F.lit("%")),
+        "money_at_risk": F.format_number(F.col("money_at_risk"), 0),
+        "auc": fixed_decimals(F.col("auc"), 2),
+        "at_risk": F.col("at_risk").cast("string"),
+        "hibernating": F.col("hibernating").cast("string"),
+        "top_factor": F.coalesce(F.col("top_factor"), F.lit("N/A")),
+    }
+    return j.select(_template(X.EXECUTIVE_SUMMARY, parts).alias("summary"))

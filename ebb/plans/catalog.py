@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import actions, drift, explain, features, metrics, profile, repair, rfm
 from ..operators.scoring import RULE_SCORER
 from ..session import cut_lineage
+from ..sources import csv_io, sinks
 from ..sources.tables import read_table
 from ..sources.marts import CLIENT_MART_SQL, EVENTS_MART_SQL, client_mart, events_mart
 from . import sqltext as S
@@ -219,6 +220,67 @@ register("factor_advice_rule", S.factor_advice_sql())(lambda spark, sf_dir: acti
     "client_id", F.array_join("advice", " | ").alias("advice")))
 
 
+# --- executive summary and report on the fixed scorer -----------------------------
+
+def _summary_rule(spark, sf_dir):
+    mart = _mart(spark, sf_dir, "client")
+    scored = RULE_SCORER.transform(rfm.compute_rfm(mart))
+    recs = actions.generate_recommendations(scored, sort=False)
+    stats = rfm.segment_stats(scored)
+    auc = metrics.auc(mart.select(F.col("churned").alias("label"), RULE_SCORER.probability().alias("score")))
+    top = explain.global_importance(_rule_contribs(spark, sf_dir)[0])
+    return actions.executive_summary(stats, actions.kpi_row(recs), auc, top.limit(1))
+
+
+register("executive_summary_rule", S.executive_summary_sql())(_summary_rule)
+
+
+def _report_rule(spark, sf_dir):
+    scored = RULE_SCORER.transform(rfm.compute_rfm(_mart(spark, sf_dir, "client")))
+    recs = actions.generate_recommendations(scored, sort=False)
+    return sinks.report_lines(actions.kpi_row(recs), rfm.segment_stats(scored), recs)
+
+
+register("report_lines_rule", S.report_lines_sql())(_report_rule)
+
+
+# --- CSV round trips (S1, S2, S4, S5, S7) --------------------------------------------
+
+def _scratch(spark, name):
+    from ..session import ensure_checkpoint_dir
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ebb-{name}-{uuid.uuid4().hex}"
+
+
+def _csv_roundtrip(spark, sf_dir):
+    mart = _mart(spark, sf_dir, "client")
+    path = _scratch(spark, "csv")
+    (mart.withColumnsRenamed({"client_id": "Customer ID", "total_revenue": "Revenue"})
+     .write.option("header", True).option("sep", ";").csv(path))
+    dialect = csv_io.csv_dialects(spark, path).select("delimiter").distinct().collect()
+    if [r[0] for r in dialect] != [";"]:
+        raise AssertionError(f"dialect detection found {dialect}")
+    raw = spark.read.option("header", True).option("sep", ";").csv(path)
+    typed = raw.select(*[F.col(f"`{a}`").cast(f.dataType).alias(a)
+                         for a, f in zip(raw.columns, mart.schema.fields)])
+    return csv_io.normalize_columns(typed)
+
+
+register("csv_roundtrip_mart", CLIENT_MART_SQL)(_csv_roundtrip)
+
+
+def _export_roundtrip(spark, sf_dir):
+    scored = RULE_SCORER.transform(rfm.compute_rfm(_mart(spark, sf_dir, "client")))
+    recs = actions.generate_recommendations(scored)
+    path = sinks.export_predictions(recs, _scratch(spark, "export"))
+    back = spark.read.option("header", True).csv(path)
+    types = dict(recs.dtypes)
+    return back.select(*[F.col(c).cast(types[c]).alias(c) for c in back.columns])
+
+
+register("export_predictions", S.export_sql())(_export_roundtrip)
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

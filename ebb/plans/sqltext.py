@@ -614,3 +614,82 @@ hit AS (SELECT client_id, rank, {texts}[CASE {keys} END + 1] AS advice FROM fact
 firsts AS (SELECT client_id, advice, min(rank) AS rank FROM hit WHERE advice IS NOT NULL GROUP BY client_id, advice),
 ordered AS (SELECT client_id, list(advice ORDER BY rank) AS l FROM firsts GROUP BY client_id)
 SELECT client_id, array_to_string(l[1:{top_n}], ' | ') AS advice FROM ordered"""
+
+
+# --- summary, report, export ----------------------------------------------------------
+
+def executive_summary_sql() -> str:
+    from ..functions import fixed as X
+    fmt = {"total_clients": "format('{:,}', total_clients)",
+           "churn_rate": "format('{:.1f}', churn_rate * 100) || '%'",
+           "money_at_risk": "format('{:,.0f}', money_at_risk)",
+           "auc": "format('{:.2f}', auc)",
+           "at_risk": "CAST(at_risk AS VARCHAR)", "hibernating": "CAST(hibernating AS VARCHAR)",
+           "top_factor": "coalesce(top_factor, 'N/A')"}
+    pieces, rest = [], X.EXECUTIVE_SUMMARY
+    while "{" in rest:
+        a, b = rest.index("{"), rest.index("}")
+        pieces += [_sqlstr(rest[:a]), fmt[rest[a + 1:b]]]
+        rest = rest[b + 1:]
+    pieces.append(_sqlstr(rest))
+    return recs_ctes() + f""",
+k AS (SELECT coalesce(CAST(sum(CAST(ltv AS DECIMAL(38,2))) FILTER (WHERE churn_risk_level = 'high') AS DOUBLE), 0.0) AS money_at_risk,
+             avg(churn_prob) AS churn_rate, count(*) AS total_clients FROM recs),
+seg AS (SELECT count(*) FILTER (WHERE rfm_segment = 'At Risk') AS at_risk,
+               count(*) FILTER (WHERE rfm_segment = 'Hibernating') AS hibernating FROM rfm),
+sl AS (SELECT CAST(churned AS INTEGER) AS label, churn_prob AS score FROM withprob),
+c AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg FROM sl GROUP BY score),
+tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM c),
+r AS (SELECT pos, neg, coalesce(sum(pos + neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+a AS (SELECT (CAST(sum(CAST(pos AS HUGEINT) * (2 * below + pos + neg + 1)) AS DOUBLE) / 2.0
+              - CAST(max(P) AS DOUBLE) * (max(P) + 1) / 2.0) / (CAST(max(P) AS DOUBLE) * max(N)) AS auc FROM r, tot),
+mm AS (SELECT {', '.join(f"avg(coalesce(CAST({f} AS DOUBLE), 0.0)) AS m_{f}" for f in _rule_feats())} FROM mart),
+imp AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {i} AS ordinal, round_even(avg(abs({_dbl(w)} * (coalesce(CAST({f} AS DOUBLE), 0.0) - m_{f}))), 6) AS importance FROM mart, mm" for i, (f, w) in enumerate(_rule_coefs()))}),
+tf AS (SELECT feature AS top_factor FROM imp ORDER BY importance DESC, ordinal LIMIT 1)
+SELECT {' || '.join(pieces)} AS summary FROM k, seg, a LEFT JOIN tf ON TRUE"""
+
+
+def _rule_coefs():
+    from ..operators.scoring import RULE_SCORER
+    return list(RULE_SCORER.coefficients.items())
+
+
+def _rule_feats():
+    return [f for f, _ in _rule_coefs()]
+
+
+def report_lines_sql() -> str:
+    def fill(t, **parts):
+        pieces, rest = [], t
+        while "{" in rest:
+            a, b = rest.index("{"), rest.index("}")
+            pieces += [_sqlstr(rest[:a]), parts[rest[a + 1:b]]]
+            rest = rest[b + 1:]
+        pieces.append(_sqlstr(rest))
+        return " || ".join(pieces)
+    return _report_lines_sql(fill, lambda c: f"format('{{:.1f}}', {c} * 100) || '%'")
+
+
+def _report_lines_sql(fill, pct) -> str:
+    from ..functions import fixed as X
+    body = recs_ctes()
+    return body + f""",
+g AS (SELECT rfm_segment, count(client_id) AS client_count FROM rfm GROUP BY rfm_segment),
+stats AS (SELECT rfm_segment, client_count,
+                 round_even(client_count / sum(client_count) OVER () * 100, 1) AS client_pct,
+                 {sql_order_rank('rfm_segment')} AS segment_order FROM g),
+k AS (SELECT avg(churn_prob) AS churn_rate, count(*) AS total_clients FROM recs),
+top AS (SELECT client_id, rfm_segment, churn_prob,
+               row_number() OVER (ORDER BY urgency ASC, ltv * churn_prob DESC, client_id ASC) AS i FROM recs)
+SELECT 'totals' AS section, 0 AS ord, {fill(X.REPORT_TOTAL, n="format('{:,}', total_clients)")} AS line FROM k
+UNION ALL SELECT 'totals', 1, {fill(X.REPORT_CHURN, pct1=pct('churn_rate'))} FROM k
+UNION ALL SELECT 'segments', CAST(segment_order AS INTEGER),
+  {fill(X.REPORT_SEGMENT, seg='rfm_segment', n="format('{:,}', client_count)", pct1="format('{:.1f}', client_pct) || '%'")} FROM stats
+UNION ALL SELECT 'top_clients', CAST(i AS INTEGER),
+  {fill(X.REPORT_TOP, i='CAST(i AS VARCHAR)', cid='CAST(client_id AS VARCHAR)', seg='rfm_segment', pct1=pct('churn_prob'))}
+  FROM top WHERE i <= 10"""
+
+
+def export_sql() -> str:
+    from ..functions import fixed as X
+    return recs_ctes() + f"\nSELECT {', '.join(X.EXPORT_COLUMNS)} FROM recs"
