@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import actions, drift, explain, features, metrics, profile, repair, rfm
+from ..operators import actions, drift, explain, features, metrics, models, profile, repair, rfm
 from ..operators.scoring import RULE_SCORER
 from ..session import cut_lineage
 from ..sources import csv_io, sinks
@@ -281,6 +281,65 @@ def _export_roundtrip(spark, sf_dir):
 register("export_predictions", S.export_sql())(_export_roundtrip)
 
 
+# --- trained models (no SQL twin: rows-only checks plus invariants in tests) ----------
+
+_TRAINED: dict = {}
+TRAIN_CV_FOLDS = 3          # CV and calibration share folds (one fit serves both)
+
+
+def training(spark, sf_dir):
+    """Fit features and the three calibrated models once per session and folder."""
+    k = (id(spark), sf_dir)
+    if k not in _TRAINED:
+        mart = _mart(spark, sf_dir, "client")
+        fe = features.FeatureEngineer().fit(mart)
+        X = cut_lineage(fe.transform(mart))
+        rep = models.train_and_compare(X, fe.features, cv_folds=TRAIN_CV_FOLDS,
+                                       calibration_folds=TRAIN_CV_FOLDS)
+        _TRAINED[k] = (mart, fe, X, rep)
+    return _TRAINED[k]
+
+
+def _predictions(spark, sf_dir):
+    mart, fe, X, rep = training(spark, sf_dir)
+    return rep.models[rep.best_model_name].transform(X, keep=["client_id", "churned"])
+
+
+def _model_contribs(spark, sf_dir):
+    mart, fe, X, rep = training(spark, sf_dir)
+    name = rep.best_model_name
+    spec = rep.models[name].spec
+    fn = explain.model_score_fn(rep.base_models[name], spec.kind)
+    return explain.permutation_contributions(fn, X, fe.features)
+
+
+register("model_metrics")(lambda spark, sf_dir: training(spark, sf_dir)[3].metrics)
+register("model_roc")(lambda spark, sf_dir: training(spark, sf_dir)[3].roc)
+register("model_importances")(lambda spark, sf_dir: training(spark, sf_dir)[3].importances)
+register("model_best")(lambda spark, sf_dir: metrics.best_model(
+    training(spark, sf_dir)[3].metrics, models.FX.MODEL_NAMES))
+register("churn_predictions")(lambda spark, sf_dir: _predictions(spark, sf_dir).drop("churned"))
+register("optimal_threshold_model")(lambda spark, sf_dir: metrics.optimal_threshold(
+    _predictions(spark, sf_dir).select(F.col("churned").alias("label"), F.col("churn_prob").alias("score"))))
+register("recommendations_model")(lambda spark, sf_dir: actions.generate_recommendations(
+    rfm.compute_rfm(training(spark, sf_dir)[0]), _predictions(spark, sf_dir).drop("churned")))
+
+
+def _lr_contribs(spark, sf_dir):
+    mart, fe, X, rep = training(spark, sf_dir)
+    lr = rep.base_models["Logistic Regression"]
+    coefs = dict(zip(fe.features, [float(v) for v in lr.coefficients]))
+    return explain.linear_contributions(X, coefs, float(lr.intercept))
+
+
+register("explain_model_linear")(lambda spark, sf_dir: _lr_contribs(spark, sf_dir)[0])
+register("explain_model_permutation")(lambda spark, sf_dir: _model_contribs(spark, sf_dir)[0])
+register("global_importance_model")(lambda spark, sf_dir: explain.importance_share(
+    explain.global_importance(_model_contribs(spark, sf_dir)[0])))
+register("explain_clients_model")(lambda spark, sf_dir: (lambda cb: explain.explain_clients(
+    cb[0], cb[1], space="probability"))(_model_contribs(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
