@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,12 +56,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: the lineage ends at that table.
 
-    Used by iterative jobs (cross-validation folds, calibration) so that a lost
-    executor recomputes from the checkpoint, not from the source scan.
-    ``localCheckpoint`` is never used: its blocks die with the executor.
+    Used where a frame feeds several jobs (statistics passes, CV folds,
+    calibration): they read the written table instead of recomputing the
+    joins, and a lost executor re-reads files instead of re-running the plan.
+    (``Dataset.checkpoint`` would compute the plan twice, once to count and
+    once to save; ``localCheckpoint`` keeps blocks on executors and dies with
+    them, so neither is used.)
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/ebb-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
