@@ -340,6 +340,23 @@ register("explain_clients_model")(lambda spark, sf_dir: (lambda cb: explain.expl
     cb[0], cb[1], space="probability"))(_model_contribs(spark, sf_dir)))
 
 
+# --- streaming ---------------------------------------------------------------------
+
+from ..streaming import events as stream  # noqa: E402
+
+def stream_features() -> dict:
+    return {"value": F.col("value").cast("double"),
+            "prop_k": F.get_json_object("props", "$.k").cast("double"),
+            "hour_of_day": F.hour("ts").cast("double")}
+
+
+register("stream_event_windows", S.stream_window_sql())(
+    lambda spark, sf_dir: stream.run_window_stats(spark, sf_dir))
+register("stream_drift_events", S.stream_drift_sql())(lambda spark, sf_dir: stream.run_drift_monitor(
+    spark, sf_dir, stream.reference_first_half(spark, sf_dir, stream_features()), stream_features()
+).drop("batch_id"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

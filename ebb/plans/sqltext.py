@@ -693,3 +693,24 @@ UNION ALL SELECT 'top_clients', CAST(i AS INTEGER),
 def export_sql() -> str:
     from ..functions import fixed as X
     return recs_ctes() + f"\nSELECT {', '.join(X.EXPORT_COLUMNS)} FROM recs"
+
+
+# --- streaming ------------------------------------------------------------------
+
+def stream_window_sql() -> str:
+    return """SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+       event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value
+FROM events GROUP BY ALL"""
+
+
+def stream_drift_sql() -> str:
+    parts = []
+    for name, expr in DRIFT_EVENT_COLS.items():
+        parts.append(f"SELECT '{name}' AS feature, 0 AS side, CAST({expr} AS DOUBLE) AS value FROM events, m "
+                     f"WHERE event_id <= med")
+        parts.append(f"SELECT '{name}' AS feature, 1 AS side, CAST({expr} AS DOUBLE) AS value FROM events")
+    head = f"""WITH m AS (SELECT quantile_cont(event_id, 0.5) AS med FROM events),
+long0 AS ({' UNION ALL '.join(parts)}),
+long AS (SELECT * FROM long0 WHERE value IS NOT NULL AND NOT isnan(value))"""
+    return head + drift_body(list(DRIFT_EVENT_COLS)) + """
+SELECT feature, psi, ks_statistic, ks_p_value, drift_detected, severity FROM result"""
