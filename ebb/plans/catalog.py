@@ -305,12 +305,19 @@ def _predictions(spark, sf_dir):
     return rep.models[rep.best_model_name].transform(X, keep=["client_id", "churned"])
 
 
+_CONTRIBS: dict = {}
+
+
 def _model_contribs(spark, sf_dir):
-    mart, fe, X, rep = training(spark, sf_dir)
-    name = rep.best_model_name
-    spec = rep.models[name].spec
-    fn = explain.model_score_fn(rep.base_models[name], spec.kind)
-    return explain.permutation_contributions(fn, X, fe.features)
+    """Permutation attributions of the best model, written once per session."""
+    k = (id(spark), sf_dir)
+    if k not in _CONTRIBS:
+        mart, fe, X, rep = training(spark, sf_dir)
+        name = rep.best_model_name
+        fn = explain.model_score_fn(rep.base_models[name], rep.models[name].spec.kind)
+        contrib, base = explain.permutation_contributions(fn, X, fe.features)
+        _CONTRIBS[k] = (cut_lineage(contrib, "attributions"), base)
+    return _CONTRIBS[k]
 
 
 register("model_metrics")(lambda spark, sf_dir: training(spark, sf_dir)[3].metrics)
