@@ -76,3 +76,20 @@ def fixed_decimals(x: Column, digits: int) -> Column:
     value (as Python's ``f"{x:.2f}"`` and C's ``printf``); Java's ``%.2f``
     rounds the shortest decimal string half-up instead."""
     return F.regexp_replace(F.format_number(x, digits), ",", "")
+
+
+def ntz_as_utc_instant(c: Column) -> Column:
+    """``TIMESTAMP_NTZ`` -> ``TIMESTAMP`` whose UTC wall time is the same,
+    whatever the session time zone (watermarks need zoned timestamps)."""
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+    micros = (days * 86400000000 + F.hour(c).cast("long") * 3600000000
+              + F.minute(c).cast("long") * 60000000
+              + (F.date_part(F.lit("SECOND"), c) * 1000000).cast("long"))
+    return F.timestamp_micros(micros)
+
+
+def utc_instant_as_ntz(c: Column) -> Column:
+    """Inverse of :func:`ntz_as_utc_instant`: the instant's UTC wall time."""
+    secs = (F.unix_micros(c).cast("decimal(20,0)") / 1000000).cast("decimal(18,6)")
+    return (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs))

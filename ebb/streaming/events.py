@@ -24,6 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import ntz_as_utc_instant, utc_instant_as_ntz
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
 
@@ -43,8 +44,9 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None
 
 
 def window_stats(events: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    # watermarks need a zoned timestamp; the session zone (UTC) keeps wall time
-    ev = events.withColumn("event_time", F.col("ts").cast("timestamp"))
+    # watermarks need a zoned timestamp: the wall time read as UTC, so windows
+    # fall on wall-clock boundaries whatever the session time zone
+    ev = events.withColumn("event_time", ntz_as_utc_instant(F.col("ts")))
     return (ev.withWatermark("event_time", watermark)
             .groupBy(F.window("event_time", window).alias("w"), "event_type")
             .agg(F.count(F.lit(1)).alias("n_events"),
@@ -65,8 +67,8 @@ def start_window_stats(spark: SparkSession, sf_dir: str, out_path: str | None =
     out_path = out_path or _scratch(spark, "window-stats")
     checkpoint = checkpoint or _scratch(spark, "window-stats-ckpt")
     stats = window_stats(event_stream(spark, sf_dir), window, watermark).select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        utc_instant_as_ntz(F.col("w.start")).alias("window_start"),
+        utc_instant_as_ntz(F.col("w.end")).alias("window_end"),
         "event_type", "n_events", "total_value")
     w = (stats.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(_upsert_batches(out_path)))
