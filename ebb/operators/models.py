@@ -46,6 +46,7 @@ from ..session import cut_lineage
 from . import metrics as M
 
 SEED = 42
+ROWS_PER_PARTITION = 500_000
 
 
 @dataclass
@@ -205,8 +206,16 @@ def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "chur
     data = va.transform(X).select(key, "features", F.col(label).cast("double").alias("label"))
     data = with_weights(data)
     data = data.withColumns({"cv_fold": fold_of(key, cv_folds), "cal_fold": fold_of(key, calibration_folds, SEED + 1)})
-    data = cut_lineage(data).persist(StorageLevel.MEMORY_AND_DISK)
+    data = cut_lineage(data, "training")
     n = data.count()
+    # one partition per ROWS_PER_PARTITION rows, at most the cluster's
+    # parallelism: iterative fits launch a job per boosting round and tree
+    # level, and on small data the task count, not the rows, sets the cost
+    target = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_PARTITION)))
+    if data.rdd.getNumPartitions() > target:
+        data = data.coalesce(target)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()
     churn_rate = data.agg(F.avg("label")).first()[0]
 
     def fit(spec, frame, tag):
