@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.exprs import is_numeric_type
 from ..functions.quantiles import DEFAULT_ACCURACY
 from .profile import HealthReport, _clean, iqr_quartiles, profile_dataframe
 
