@@ -20,6 +20,7 @@ draw; here every row is explained, deterministically (see README).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,6 +31,9 @@ from ..functions import fixed as FX
 from ..functions.exprs import fixed_decimals, sigmoid
 
 
+EVALS_PER_PARTITION = 2_000_000
+
+
 def _long(X: DataFrame, key: str, features: Sequence[str], value) -> DataFrame:
     return X.select(key, F.explode(F.array(*[
         F.struct(F.lit(i).alias("ordinal"), F.lit(f).alias("feature"), value(f, i).alias("contribution"))
@@ -67,6 +71,13 @@ def permutation_contributions(score_fn, X: DataFrame, features: Sequence[str], k
     idx = F.sequence(F.lit(0), F.lit(nf - 1))
     base_rows = X.select(key, x.alias("x"))
     perms = base_rows.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("p"))
+    # Spread the (row, permutation) pairs before they expand F+1-fold and are
+    # scored: an explicit partition count (not coalesced by AQE) sized by the
+    # number of model evaluations; the window below reuses this partitioning.
+    rows = X.count()
+    work = rows * permutations * (nf + 1)
+    parts = max(X.sparkSession.sparkContext.defaultParallelism, math.ceil(work / EVALS_PER_PARTITION))
+    perms = perms.repartition(parts, key, "p")
     # order[j] = feature entering at step j+1; pos[i] = step at which feature i enters
     order = F.transform(F.array_sort(F.transform(
         idx, lambda i: F.struct(F.xxhash64(F.col(key), F.col("p"), i, F.lit(seed)).alias("h"), i.alias("i")))),

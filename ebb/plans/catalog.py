@@ -31,15 +31,27 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_MARTS: dict = {}
+
+
+def _app(spark) -> str:
+    return spark.sparkContext.applicationId
+
+
 def _mart(spark, sf_dir, which):
-    """The mart, materialised once in the shared checkpoint folder.
+    """The mart, written once per application and folder to the shared
+    checkpoint folder.
 
     Operators run small statistics jobs before their lazy projection; reading
-    the checkpoint keeps those jobs from recomputing the source joins, and a
-    lost executor recomputes from the checkpoint rather than the scans.
+    the written table keeps those jobs (and every later query of the run) from
+    recomputing the source joins, and a lost executor re-reads files rather
+    than re-running the scans.
     """
-    m = client_mart(spark, sf_dir) if which == "client" else events_mart(spark, sf_dir)
-    return cut_lineage(m)
+    k = (_app(spark), sf_dir, which)
+    if k not in _MARTS:
+        m = client_mart(spark, sf_dir) if which == "client" else events_mart(spark, sf_dir)
+        _MARTS[k] = cut_lineage(m, f"{which}-mart")
+    return _MARTS[k]
 
 
 # --- sources -----------------------------------------------------------------
@@ -289,7 +301,7 @@ TRAIN_CV_FOLDS = 3          # CV and calibration share folds (one fit serves bot
 
 def training(spark, sf_dir):
     """Fit features and the three calibrated models once per session and folder."""
-    k = (id(spark), sf_dir)
+    k = (_app(spark), sf_dir)
     if k not in _TRAINED:
         mart = _mart(spark, sf_dir, "client")
         fe = features.FeatureEngineer().fit(mart)
@@ -310,7 +322,7 @@ _CONTRIBS: dict = {}
 
 def _model_contribs(spark, sf_dir):
     """Permutation attributions of the best model, written once per session."""
-    k = (id(spark), sf_dir)
+    k = (_app(spark), sf_dir)
     if k not in _CONTRIBS:
         mart, fe, X, rep = training(spark, sf_dir)
         name = rep.best_model_name

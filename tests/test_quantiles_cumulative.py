@@ -12,13 +12,16 @@ PROBS = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
 
 
 @pytest.mark.parametrize("accuracy", [20, 10000])
-@pytest.mark.parametrize("kind", ["doubles", "ties", "small"])
+@pytest.mark.parametrize("kind", ["doubles", "ties", "small", "hot"])
 def test_quantiles_match_quantile_cont(spark, accuracy, kind):
     rng = np.random.default_rng(7)
     if kind == "doubles":
         v = rng.lognormal(3, 1, 3000)
     elif kind == "ties":
         v = rng.integers(0, 5, 3000).astype(float)   # a hot value holds ~1/5 of rows
+    elif kind == "hot":
+        # one value holds a third of all rows
+        v = np.where(rng.random(3000) < 1 / 3, 42.0, rng.normal(40, 5, 3000))
     else:
         v = rng.normal(0, 1, 7)
     g = np.array(["a", "b", "c"])[rng.integers(0, 3, len(v))]
