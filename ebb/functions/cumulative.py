@@ -29,18 +29,20 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str
     """
     by = list(by)
     cols = list(df.columns)
-    if not by:
-        df, by = df.withColumn("_g", F.lit(0)), ["_g"]
     o = F.col(order)
     key = -o if descending else o
     probs = [i / buckets for i in range(1, buckets)]
-    edges = df.groupBy(*by).agg(
-        F.percentile_approx(key.cast("double"), F.array(*[F.lit(p) for p in probs]), 10000)
-        .alias("_edges"))
-    # the bucket table is bounded by (groups x buckets); groups are features,
-    # models or other short lists
-    b = df.join(F.broadcast(edges), by)
-    b = b.withColumn("_b", F.size(F.filter("_edges", lambda e: e < key.cast("double")))).drop("_edges")
+    approx = F.percentile_approx(key.cast("double"), F.array(*[F.lit(p) for p in probs]), 10000)
+    bucket = lambda edges: F.size(F.filter(edges, lambda e: e < key.cast("double")))
+    if by:
+        # one row of edges per group; groups are features, models or other
+        # short lists, so the table is bounded and broadcast
+        edges = df.groupBy(*by).agg(approx.alias("_edges"))
+        b = df.join(F.broadcast(edges), by).withColumn("_b", bucket(F.col("_edges"))).drop("_edges")
+    else:
+        # bind the scalar subquery to a column first: it may not sit inside a lambda
+        b = (df.withColumn("_edges", df.agg(approx).scalar())
+             .withColumn("_b", bucket(F.col("_edges"))).drop("_edges"))
     tot = b.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(wb), F.lit(0)).alias(f"_o_{s}")

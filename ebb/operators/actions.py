@@ -185,10 +185,12 @@ def executive_summary(stats: DataFrame, kpi: DataFrame, auc: DataFrame, top_fact
         F.coalesce(F.sum(F.when(F.col("rfm_segment") == "At Risk", F.col("client_count"))), F.lit(0)).alias("at_risk"),
         F.coalesce(F.sum(F.when(F.col("rfm_segment") == "Hibernating", F.col("client_count"))), F.lit(0))
         .alias("hibernating"))
-    k = F.lit(1)
     top = top_factor.agg(F.first("feature").alias("top_factor"))
-    j = (kpi.withColumn("_k", k).join(seg.withColumn("_k", k), "_k")
-         .join(auc.select("auc").withColumn("_k", k), "_k").join(top.withColumn("_k", k), "_k"))
+    # every input is one row: they meet as scalar subqueries, not joins
+    j = kpi.withColumns({"at_risk": seg.select("at_risk").scalar(),
+                         "hibernating": seg.select("hibernating").scalar(),
+                         "auc": auc.agg(F.first("auc")).scalar(),
+                         "top_factor": top.select("top_factor").scalar()})
     parts = {
         "total_clients": F.format_number(F.col("total_clients"), 0),
         "churn_rate": F.concat(fixed_decimals(F.col("churn_rate") * 100, 1), F.lit("%")),

@@ -42,8 +42,11 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
                      F.col("cum_pos").alias("tps"))
     start = tot.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("fps"),
                        F.lit(0).cast("long").alias("tps"))
-    allp = pts.unionByName(start).join(F.broadcast(tot), by) if by else \
-        pts.unionByName(start).withColumn("_k", F.lit(1)).join(tot.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    if by:
+        allp = pts.unionByName(start).join(F.broadcast(tot), by)
+    else:  # one-row totals as scalar subqueries rather than a join
+        allp = pts.unionByName(start).withColumns({"P": tot.select("P").scalar(),
+                                                   "N": tot.select("N").scalar()})
     return allp.select(*by, "threshold", "fps", "tps",
                        F.when(F.col("N") > 0, F.col("fps") / F.col("N")).otherwise(F.lit(float("nan"))).alias("fpr"),
                        F.when(F.col("P") > 0, F.col("tps") / F.col("P")).otherwise(F.lit(float("nan"))).alias("tpr"))
@@ -94,8 +97,7 @@ def optimal_threshold(df: DataFrame, label: str = "label", score: str = "score",
     by = _by(df, by)
     r = roc_points(df, label, score, by)
     tot = score_counts(df, label, score, by).groupBy(*by).agg(F.sum("pos").alias("P"))
-    r = r.join(F.broadcast(tot), by) if by else r.withColumn("_k", F.lit(1)).join(
-        tot.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    r = r.join(F.broadcast(tot), by) if by else r.withColumn("P", tot.select("P").scalar())
     cost = F.col("fps") * cost_fp + (F.col("P") - F.col("tps")) * cost_fn
     best = r.groupBy(*by).agg(F.min_by(F.struct(F.col("threshold"), cost.alias("cost")),
                                        F.struct(cost.alias("c"), (-F.col("threshold")).alias("t"))).alias("b"))

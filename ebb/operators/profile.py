@@ -162,8 +162,9 @@ def table_summary(df: DataFrame, report: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.when(F.col("missing_pct") > X.HIGH_MISSING_COLUMN_PCT,
                                                F.struct("ordinal", "column")))),
             lambda s: s["column"]), ", ").alias("high_missing"))
-    # both sides are exactly one row: equi-join on a constant key
-    t = dup.withColumn("_k", F.lit(1)).join(per_col.withColumn("_k", F.lit(1)), "_k")
+    # per_col is one row: its values enter as scalar subqueries (no join)
+    t = dup.withColumns({c: per_col.select(c).scalar()
+                         for c in ("total_columns", "avg_score", "high_missing")})
     dpct = F.when(F.col("n") > 0, F.col("duplicate_rows") / F.col("n") * 100).otherwise(F.lit(0.0))
     overall = F.when(F.col("total_columns") > 0, F.col("avg_score").cast("int")).otherwise(0)
     t = t.select(F.col("n").alias("total_rows"), "total_columns",
