@@ -4,12 +4,14 @@ Both samples are unpivoted to ``(feature, side, value)`` rows and every
 statistic is grouped by feature, so the number of jobs does not grow with the
 number of features:
 
+The raw rows are aggregated once, to counts per ``(feature, value)`` and side;
+PSI bins, KS running totals and the side sizes all start from that aggregate.
+
 * PSI (D1): decile edges of the union per feature (exact grouped quantiles,
   bounded: 11 numbers per feature reach the driver), histogram counts by a
-  bin-index expression and a ``(feature, side, bin)`` aggregation, empty bins
-  filled from ``sequence``; the sum runs in bin order for a deterministic
-  result.
-* KS (D2): counts per ``(feature, value)``, running totals in value order by
+  bin-index expression on the value counts, empty bins filled from
+  ``sequence``; the sum runs in bin order for a deterministic result.
+* KS (D2): running totals of the value counts in value order by
   :func:`prefix_sums` (range buckets, no single-task window), ``max |F1-F2|``;
   the p-value is the asymptotic Kolmogorov series as a column expression (the
   reference's SciPy uses exact small-sample p-values; see README).
@@ -54,8 +56,19 @@ def kolmogorov_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Co
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
+def value_counts(long: DataFrame) -> DataFrame:
+    """``(feature, value, c0, c1)``: the one aggregation of the raw rows that
+    PSI bins, KS running totals and the side sizes are all derived from."""
+    return long.groupBy("feature", "value").agg(
+        F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1"))
+
+
+def side_sizes(vc: DataFrame) -> DataFrame:
+    return vc.groupBy("feature").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
+
+
 def psi_by_feature(long: DataFrame, bins: int = X.PSI_BINS, eps: float = X.PSI_EPS,
-                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                   accuracy: int = DEFAULT_ACCURACY, vc: DataFrame | None = None) -> DataFrame:
     """D1 per feature: ``(feature, psi)``; 0 for <2 distinct edges or an empty side."""
     probs = [i / bins for i in range(bins + 1)]
     edges = quantiles(long, "value", probs, by=["feature"], accuracy=accuracy).collect()
@@ -63,40 +76,37 @@ def psi_by_feature(long: DataFrame, bins: int = X.PSI_BINS, eps: float = X.PSI_E
     e_df = spark.createDataFrame(
         [(r["feature"], sorted(set(r["edges"]))) for r in edges if r["edges"]],
         "feature string, edges array<double>")
+    vc = vc if vc is not None else value_counts(long)
+    sizes = side_sizes(vc)
     nb = F.size("edges") - 1
-    binned = (long.join(F.broadcast(e_df), "feature")
+    binned = (vc.join(F.broadcast(e_df), "feature")
               .withColumn("bin", F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1, nb - 1)))
-    counts = binned.groupBy("feature", "side", "bin").agg(F.count(F.lit(1)).alias("c"))
-    sizes = long.groupBy("feature").agg(F.count_if(F.col("side") == 0).alias("n0"),
-                                        F.count_if(F.col("side") == 1).alias("n1"))
+    counts = binned.groupBy("feature", "bin").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     grid = (e_df.where(F.size("edges") >= 2)
             .select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin")))
-    c0 = counts.where("side = 0").select("feature", "bin", F.col("c").alias("c0"))
-    c1 = counts.where("side = 1").select("feature", "bin", F.col("c").alias("c1"))
-    t = (grid.join(c0, ["feature", "bin"], "left").join(c1, ["feature", "bin"], "left")
-         .join(sizes, "feature"))
+    t = grid.join(counts, ["feature", "bin"], "left").join(F.broadcast(sizes), "feature")
     clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(eps), x))
-    e_pct = clip(F.coalesce(F.col("c0"), F.lit(0)) / F.col("n0"))
-    a_pct = clip(F.coalesce(F.col("c1"), F.lit(0)) / F.col("n1"))
+    # an empty side (n = 0) yields null here; the result is then 0 below
+    e_pct = clip(F.try_divide(F.coalesce(F.col("c0"), F.lit(0)), F.col("n0")))
+    a_pct = clip(F.try_divide(F.coalesce(F.col("c1"), F.lit(0)), F.col("n1")))
     t = t.withColumn("term", (a_pct - e_pct) * F.log(a_pct / e_pct))
-    psi = t.groupBy("feature", "n0", "n1").agg(
+    psi = t.groupBy("feature").agg(
         F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("bin", "term"))),
                                 lambda s: s["term"]), F.lit(0.0), lambda a, x: a + x).alias("psi"))
-    return sizes.join(psi.select("feature", "psi"), "feature", "left").select(
+    return sizes.join(psi, "feature", "left").select(
         "feature", F.when((F.col("n0") == 0) | (F.col("n1") == 0), F.lit(0.0))
         .otherwise(F.coalesce("psi", F.lit(0.0))).alias("psi"))
 
 
-def ks_by_feature(long: DataFrame, buckets: int = 64) -> DataFrame:
+def ks_by_feature(long: DataFrame, buckets: int = 64, vc: DataFrame | None = None) -> DataFrame:
     """D2 per feature: ``(feature, ks_statistic, ks_p_value, n0, n1)`` (unrounded)."""
-    counts = long.groupBy("feature", "value").agg(
-        F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1"))
-    sizes = long.groupBy("feature").agg(F.count_if(F.col("side") == 0).alias("n0"),
-                                        F.count_if(F.col("side") == 1).alias("n1"))
+    counts = vc if vc is not None else value_counts(long)
+    sizes = side_sizes(counts)
     cum = prefix_sums(counts, ["feature"], "value", ["c0", "c1"], buckets=buckets)
     d = (cum.join(F.broadcast(sizes), "feature")
          .groupBy("feature", "n0", "n1")
-         .agg(F.max(F.abs(F.col("cum_c0") / F.col("n0") - F.col("cum_c1") / F.col("n1"))).alias("d")))
+         .agg(F.max(F.abs(F.try_divide(F.col("cum_c0"), F.col("n0"))
+                          - F.try_divide(F.col("cum_c1"), F.col("n1")))).alias("d")))
     return sizes.join(d.select("feature", "d"), "feature", "left").select(
         "feature", "n0", "n1",
         F.when((F.col("n0") == 0) | (F.col("n1") == 0), F.lit(0.0)).otherwise(F.col("d")).alias("ks_statistic"),
@@ -120,8 +130,9 @@ def detect_drift(reference: DataFrame, current: DataFrame, feature_cols: list[st
     long = to_long(reference, current, feature_cols)
     names = reference.sparkSession.createDataFrame([(c, i) for i, c in enumerate(feature_cols)],
                                                    "feature string, ordinal int")
-    psi = psi_by_feature(long, accuracy=accuracy)
-    ks = ks_by_feature(long)
+    vc = value_counts(long)        # the one aggregation of the raw rows
+    psi = psi_by_feature(long, accuracy=accuracy, vc=vc)
+    ks = ks_by_feature(long, vc=vc)
     j = (F.broadcast(names).join(psi, "feature", "left").join(ks, "feature", "left")
          .select("feature", "ordinal", F.coalesce("psi", F.lit(0.0)).alias("psi"),
                  F.coalesce("ks_statistic", F.lit(0.0)).alias("ks"),
