@@ -124,6 +124,16 @@ def q_profile_lineitem_table(spark, sf_dir):
     return _table_view(profile.profile_dataframe(read_table(spark, sf_dir, "lineitem")))
 
 
+@register("profile_events_columns", S.profile_columns_sql("SELECT * FROM events", S.EVENTS_SCHEMA))
+def q_profile_events(spark, sf_dir):
+    return _profile_view(profile.profile_dataframe(read_table(spark, sf_dir, "events")))
+
+
+@register("profile_events_table", S.profile_table_sql("SELECT * FROM events", S.EVENTS_SCHEMA))
+def q_profile_events_table(spark, sf_dir):
+    return _table_view(profile.profile_dataframe(read_table(spark, sf_dir, "events")))
+
+
 @register("repair_mart", S.repair_sql(CLIENT_MART_SQL, S.MART_SCHEMA))
 def q_repair_mart(spark, sf_dir):
     return repair.auto_fix_dataframe(_mart(spark, sf_dir, "client"))

@@ -112,6 +112,9 @@ MART_SCHEMA = [("client_id", "bigint", True), ("activity_date", "date", False),
                ("discount_usage_pct", "double", True), ("tenure_months", "bigint", True),
                ("account_balance", "double", True), ("mktsegment", "string", False),
                ("region", "string", False), ("churned", "int", True)]
+EVENTS_SCHEMA = [("event_id", "bigint", True), ("ts", "timestamp_ntz", False),
+                 ("user_id", "bigint", True), ("event_type", "string", False),
+                 ("value", "double", True), ("props", "string", False)]
 LINEITEM_SCHEMA = [("l_orderkey", "bigint", True), ("l_partkey", "bigint", True),
                    ("l_suppkey", "bigint", True), ("l_linenumber", "int", True),
                    ("l_quantity", "double", True), ("l_extendedprice", "double", True),
