@@ -46,3 +46,13 @@ def test_mart_and_export(spark, tmp_path):
     back = spark.read.option("header", True).csv(path)
     assert back.columns == ["client_id", "rfm_segment", "churn_prob", "churn_risk_level", "ltv"]
     assert back.count() == 150
+
+
+def test_load_dataset_and_validation_report(spark):
+    m = csv_io.load_dataset(spark, "client_mart", "/root/testdata/sf0.001")
+    assert m is not None and "client_id" in m.columns
+    assert csv_io.load_dataset(spark, "no_such_dataset", "/root/testdata/sf0.001") is None
+    assert csv_io.load_dataset(spark, "region", "/root/testdata/sf0.001").count() == 5
+    rep = {(r["kind"], r["column"]) for r in csv_io.validation_report(m).collect()}
+    assert not any(k == "required" for k, _ in rep)            # the mart has the required columns
+    assert ("recommended", "monthly_fee") in rep
