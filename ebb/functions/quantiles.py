@@ -40,15 +40,18 @@ _G = "__grp"
 
 def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
               by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
-              method: str = "exact", out: str = "edges") -> DataFrame:
+              method: str = "exact", out: str = "edges",
+              broadcast_groups: bool = True) -> DataFrame:
     """Linear quantiles of ``value`` (nulls ignored) per group.
 
     Returns one row per group: the ``by`` columns, ``n`` (non-null count) and
     ``out`` = ``array<double>`` with one entry per probability, in the order of
     ``probs``. Groups with no non-null value get ``n = 0`` and a null array.
 
-    ``by`` must have a bounded number of groups (features, metrics, segments):
-    the per-group bracket rows are broadcast. ``method="approx"`` skips the
+    The per-group bracket rows are broadcast, which suits a bounded number of
+    groups (features, metrics, segments: every caller in this library). For
+    groups that grow with the data pass ``broadcast_groups=False``: the
+    planner and AQE then pick the join by size. ``method="approx"`` skips the
     refinement and returns ``percentile_approx`` elements.
     """
     probs = [float(p) for p in probs]
@@ -82,7 +85,9 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     # (class 1, keyed by its value) or above (class 2). Below rows keep a count
     # and their max, above rows their min: the neighbours of the bracket cover
     # the one-rank slack percentile_approx has on small groups.
-    brackets = F.broadcast(stats.select(*keys, "n", "lo", "hi"))
+    brackets = stats.select(*keys, "n", "lo", "hi")
+    if broadcast_groups or not by:  # no groups: exactly one row
+        brackets = F.broadcast(brackets)
     i = F.col("i")
     cls = (F.when(F.col("v") < F.col("lo")[i], 0)
             .when(F.col("v") > F.col("hi")[i], 2).otherwise(1))

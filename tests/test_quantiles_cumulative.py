@@ -54,3 +54,12 @@ def test_prefix_sums_match_cumsum(spark):
     pdf["want_d"] = pdf.groupby("g")["c"].cumsum()
     m = desc.merge(pdf, on=["g", "x", "c"])
     assert (m["cum_c"] == m["want_d"]).all()
+
+
+def test_quantiles_without_group_broadcast(spark):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": rng.integers(0, 50, 2000), "v": rng.normal(0, 1, 2000)})
+    a = {r["g"]: r["edges"] for r in quantiles(spark.createDataFrame(pdf), "v", [0.1, 0.5], by=["g"]).collect()}
+    b = {r["g"]: r["edges"] for r in quantiles(spark.createDataFrame(pdf), "v", [0.1, 0.5], by=["g"],
+                                                  broadcast_groups=False).collect()}
+    assert a == b and len(a) == 50
