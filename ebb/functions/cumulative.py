@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 
 
 def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
-                buckets: int = 64, descending: bool = False, out_prefix: str = "cum_") -> DataFrame:
+                buckets: int = 64, descending: bool = False, out_prefix: str = "cum_",
+                broadcast_groups: bool = True) -> DataFrame:
     """Add inclusive running sums ``cum_<s>`` of ``sums`` in ``order`` per ``by``.
 
     ``order`` must be unique within a group. ``descending`` runs from the
-    largest value down.
+    largest value down. The per-group edge rows are broadcast (groups here are
+    features or models); ``broadcast_groups=False`` leaves that join to the
+    planner for groups that grow with the data.
     """
     by = list(by)
     cols = list(df.columns)
@@ -38,7 +41,8 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str
         # one row of edges per group; groups are features, models or other
         # short lists, so the table is bounded and broadcast
         edges = df.groupBy(*by).agg(approx.alias("_edges"))
-        b = df.join(F.broadcast(edges), by).withColumn("_b", bucket(F.col("_edges"))).drop("_edges")
+        edges = F.broadcast(edges) if broadcast_groups else edges
+        b = df.join(edges, by).withColumn("_b", bucket(F.col("_edges"))).drop("_edges")
     else:
         # bind the scalar subquery to a column first: it may not sit inside a lambda
         b = (df.withColumn("_edges", df.agg(approx).scalar())

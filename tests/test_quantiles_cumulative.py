@@ -63,3 +63,12 @@ def test_quantiles_without_group_broadcast(spark):
     b = {r["g"]: r["edges"] for r in quantiles(spark.createDataFrame(pdf), "v", [0.1, 0.5], by=["g"],
                                                   broadcast_groups=False).collect()}
     assert a == b and len(a) == 50
+
+
+def test_prefix_sums_without_group_broadcast(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.integers(0, 40, 1000), "x": rng.permutation(1000).astype(float), "c": 1})
+    a = prefix_sums(spark.createDataFrame(pdf), ["g"], "x", ["c"]).toPandas().sort_values(["g", "x"])
+    b = prefix_sums(spark.createDataFrame(pdf), ["g"], "x", ["c"], broadcast_groups=False).toPandas() \
+        .sort_values(["g", "x"])
+    assert list(a["cum_c"]) == list(b["cum_c"])
