@@ -7,6 +7,10 @@ have any name.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +20,23 @@ from ..session import cut_lineage
 __all__ = ["cut_lineage", "col", "hot_join", "num_partitions", "table", "text_of", "words_of"]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the Python workers of this application the package, as with
+    ``--py-files``: Spark serves the archive to its executors."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='ebb-code-')}/ebb", "zip", root, "ebb")
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A source table; Python workers can import the package from then on."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from . import common
+from .bpe import round_trip
 from .exact_dedup import exact_dedup
+from .packing import pack
+from .token_files import read_tokens, write_tokens
 from .url_filter import url_filter
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark, sf_dir):
+    return read_tokens(spark, write_tokens(common.table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0))
+
+
 def op3_url_filter(spark, sf_dir):
     return url_filter(common.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_url_filter)}
+def op4_best_fit_packing(spark, sf_dir):
+    return pack(common.table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2, capacity=1024)
+
+
+def op8_bpe_round_trip(spark, sf_dir):
+    return round_trip(common.table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_url_filter, op4_best_fit_packing,
+                                   op8_bpe_round_trip)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 

@@ -1,8 +1,9 @@
 """URL filter: explicit allow and block rules, and for hosts without a rule a
 link-graph judgement. Trust flows by personalised PageRank from allowed hosts
 along links; distrust flows from blocked hosts against the links (a page that
-links to a blocked host is suspect). A host is blocked when its distrust
-exceeds ``threshold`` times its trust. DataFrame functions only.
+links to a blocked host is suspect). A host is a seed with the share of its
+pages that rules allow or block. Pages without a rule are blocked when their
+host's distrust exceeds ``threshold`` times its trust. DataFrame functions only.
 
 Host and path come from the url's text: host after the first ``://`` up to
 ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path from there up to ``?``,
@@ -33,6 +34,9 @@ from .common import col, cut_lineage, hot_join
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
+#: Scores below it are rounding.
+TINY = 1e-12
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -96,31 +100,29 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFra
         rules = spark.createDataFrame(list(rules), "r_verdict string, r_host string, r_path string")
     src = pages.select(col(id_col).alias("page_id"), host_of(col(url_col)).alias("host"),
                        path_of(col(url_col)).alias("path"))
-    sizes = cut_lineage(src.groupBy("host").agg(F.count("*").alias("size")), "op3-hosts")
-    fits = host_rules(sizes, rules)
-    # a host is a seed when one of its rules covers the whole host
-    whole = F.array_max(F.filter("fits", lambda r: r["r_path"] == "/"))["r_verdict"]
-    seeds = cut_lineage(fits.select("host", whole.alias("seed"), "fits"), "op3-seeds")
-    part = seeds.select("host", F.explode("fits").alias("r")).select("host", "r.r_verdict").distinct()
-    trusted = seeds.where("seed = 'allow'").select("host", F.lit(1.0).alias("weight"))
-    blocked = part.where("r_verdict = 'block'").select("host", F.lit(1.0).alias("weight"))
-    edges = cut_lineage(host_links(pages, url_col, html_col), "op3-edges")
-    trust = spread(edges, trusted, "src", "dst", rounds, damping)
-    distrust = spread(edges, blocked, "dst", "src", rounds, damping)
-    # what a seed says about itself is its rules' business: only mass that came over links judges
-    own = F.lit(1 - damping)
-    trust = trust.join(trusted, "host", "left").select(
-        "host", (F.col("score") - F.coalesce("weight", F.lit(0.0)) * own).alias("trust"))
-    distrust = distrust.join(blocked, "host", "left").select(
-        "host", (F.col("score") - F.coalesce("weight", F.lit(0.0)) * own).alias("distrust"))
-    judged = (sizes.join(seeds.select("host", "fits"), "host", "left")
-              .join(trust, "host", "left").join(distrust, "host", "left")
-              .select("host", "size", "fits", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust"))))
-    judged = cut_lineage(judged, "op3-judged")
-    total = judged.agg(F.sum("size")).first()[0] or 0
+    hosts = src.groupBy("host").agg(F.count("*").alias("size"))
+    fits = cut_lineage(hosts.join(host_rules(hosts, rules), "host", "left"), "op3-hosts")
+    total = fits.agg(F.sum("size")).first()[0] or 0
     best = F.array_max(F.filter("fits", lambda r: F.col("path").startswith(r["r_path"])))
-    by_graph = F.when(F.col("distrust") > F.lit(threshold) * F.col("trust") + F.lit(1e-12), "block").otherwise("allow")
-    return (hot_join(src, judged, "host", "size", total)
-            .select("page_id", "host", "path", "trust", "distrust", best.alias("best"))
-            .select("page_id", "host", "path", F.col("best.rule").alias("rule"),
-                    F.coalesce(F.col("best.r_verdict"), by_graph).alias("verdict"), "trust", "distrust"))
+    ruled = hot_join(src, fits, "host", "size", total).select("page_id", "host", "path", best.alias("best"))
+    ruled = cut_lineage(ruled.select("page_id", "host", "path", F.col("best.rule").alias("rule"),
+                                     F.col("best.r_verdict").alias("by_rule")), "op3-ruled")
+    # a host is a seed with the share of its pages that rules allow or block
+    share = ruled.groupBy("host").agg(*(F.avg(F.when(F.col("by_rule") == v, 1.0).otherwise(0.0)).alias(v)
+                                        for v in ("allow", "block")))
+    share = cut_lineage(share, "op3-seeds")
+    edges = cut_lineage(host_links(pages, url_col, html_col), "op3-edges")
+    flows = []
+    for verdict, a, b, name in (("allow", "src", "dst", "trust"), ("block", "dst", "src", "distrust")):
+        seeds = share.where(F.col(verdict) > 0).select("host", F.col(verdict).alias("weight"))
+        # a seed's own restart mass repeats its rules: only mass that came over links judges other pages
+        own = (1 - damping) * F.coalesce("weight", F.lit(0.0))
+        flows.append(spread(edges, seeds, a, b, rounds, damping).join(seeds, "host", "left")
+                     .select("host", (F.col("score") - own).alias(name)))
+    judged = fits.select("host", "size").join(flows[0], "host", "left").join(flows[1], "host", "left")
+    judged = cut_lineage(judged.select("host", "size", *(F.coalesce(c, F.lit(0.0)).alias(c)
+                                                         for c in ("trust", "distrust"))), "op3-judged")
+    by_graph = F.when(F.col("distrust") > F.lit(threshold) * F.col("trust") + TINY, "block").otherwise("allow")
+    return (hot_join(ruled, judged, "host", "size", total)
+            .select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_graph).alias("verdict"),
+                    "trust", "distrust"))
