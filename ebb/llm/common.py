@@ -147,3 +147,26 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
             span = span[:m] * powr + span[step:step + m]
             powr = powr * powr
             step *= 2
+
+
+def sorted_groups(batches, keys: list[str], most: int | None = None):
+    """Groups of equal ``keys`` from batches that arrive sorted by them, as
+    (key tuple, DataFrame). Only the group at hand is held in memory."""
+    import pandas as pd
+
+    held, key_of = [], None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k = pdf[keys].to_numpy()
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        bounds = [0, *cuts.tolist(), len(pdf)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            key = tuple(k[a])
+            if held and key != key_of:
+                yield key_of, pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            key_of = key
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield key_of, pd.concat(held) if len(held) > 1 else held[0]

@@ -6,6 +6,7 @@ import public_tokenizers
 
 from . import common
 from .bpe import round_trip
+from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .token_files import read_tokens, write_tokens
@@ -35,8 +36,12 @@ def op8_bpe_round_trip(spark, sf_dir):
     return round_trip(common.table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op9_embedding_dedup(spark, sf_dir):
+    return embedding_dedup(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_url_filter, op4_best_fit_packing,
-                                   op8_bpe_round_trip)}
+                                   op8_bpe_round_trip, op9_embedding_dedup)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
