@@ -10,6 +10,7 @@ from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .token_files import read_tokens, write_tokens
+from .toxicity import toxicity
 from .url_filter import url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +33,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(common.table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2, capacity=1024)
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_round_trip(spark, sf_dir):
     return round_trip(common.table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -41,7 +46,7 @@ def op9_embedding_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_url_filter, op4_best_fit_packing,
-                                   op8_bpe_round_trip, op9_embedding_dedup)}
+                                   op5_toxicity, op8_bpe_round_trip, op9_embedding_dedup)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
