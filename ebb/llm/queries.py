@@ -8,6 +8,7 @@ from . import common
 from .bpe import round_trip
 from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .ngram_join import ngram_join
 from .packing import pack
 from .token_files import read_tokens, write_tokens
 from .toxicity import toxicity
@@ -37,6 +38,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join(common.table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op8_bpe_round_trip(spark, sf_dir):
     return round_trip(common.table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -46,7 +51,7 @@ def op9_embedding_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_url_filter, op4_best_fit_packing,
-                                   op5_toxicity, op8_bpe_round_trip, op9_embedding_dedup)}
+                                   op5_toxicity, op6_ngram_jaccard_join, op8_bpe_round_trip, op9_embedding_dedup)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
