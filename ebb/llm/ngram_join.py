@@ -115,6 +115,31 @@ def forest_of_list(nodes: np.ndarray, n: np.ndarray, sketches: list[np.ndarray],
     return out
 
 
+def forest_of_short_list(nodes: list, n: list, sketches: list[bytes], num: int, den: int, seen: set):
+    """The same for a few documents, pair by pair; ``seen`` holds pairs that
+    another list has decided."""
+    out, root = [], list(range(len(nodes)))
+    bits = [(len(b) * 8, int.from_bytes(b, "little")) for b in sketches]
+    for j in range(1, len(nodes)):
+        low = least_overlap(n[j], num, den)
+        for i in range(j - 1, -1, -1):
+            if n[i] < low:
+                break
+            pair = (nodes[i], nodes[j], 0)
+            if root[i] == root[j] or pair in seen:
+                continue
+            seen.add(pair)
+            (small, x), (large, y) = bits[i], bits[j]
+            while large > small:
+                large //= 2
+                y = (y >> large) ^ (y & ((1 << large) - 1))
+            if (x ^ y).bit_count() * (den + num) <= (n[i] + n[j]) * (den - num):
+                out.append((nodes[i], nodes[j]))
+                old = root[j]
+                root = [root[i] if r == old else r for r in root]
+    return out
+
+
 def divide_skip(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int):
     """Spanning forest of the exact links among the sets of a block."""
     order = np.argsort([len(s) for s in sets], kind="stable")
@@ -258,16 +283,41 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     postings = cut_lineage(postings.select("s", "node"), "op6-postings")
 
     def forests(batches):
-        for _, g in sorted_groups(batches, ["s"]):
-            if len(g) > 1:
-                g = g.sort_values(["n", "node"], kind="stable")
-                edges = forest_of_list(g["node"].to_numpy(), g["n"].to_numpy(),
-                                       [np.frombuffer(b, dtype="<u8") for b in g["sketch"]], num, den)
-                if edges:
-                    yield pd.DataFrame(edges, columns=["a", "b"])
+        seen: set = set()  # lists and pairs that were met before: near copies share many lists
+        tail = None
+        for pdf in batches:
+            pdf = pdf if tail is None else pd.concat([tail, pdf])
+            if not len(pdf):
+                continue
+            s = pdf["s"].to_numpy()
+            end = int(np.searchsorted(s, s[-1]))  # the last list may go on in the next batch
+            tail = pdf.iloc[end:]
+            yield from linked(pdf.iloc[:end], seen)
+        if tail is not None:
+            yield from linked(tail, seen)
+
+    def linked(pdf, seen):
+        if len(pdf):
+            s, node, n, sketch = pdf["s"].to_numpy(), pdf["node"].tolist(), pdf["n"].tolist(), pdf["sketch"].tolist()
+            cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+            edges = []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j - i > 1:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    key = tuple(node[i:j])
+                    if key not in seen:
+                        seen.add(key)
+                        if j - i <= 32:
+                            edges += forest_of_short_list(node[i:j], n[i:j], sketch[i:j], num, den, seen)
+                        else:
+                            edges += forest_of_list(np.array(node[i:j]), np.array(n[i:j]),
+                                                    [np.frombuffer(b, dtype="<u8") for b in sketch[i:j]], num, den)
+            if edges:
+                yield pd.DataFrame(edges, columns=["a", "b"])
 
     maybe = (postings.join(heads.select("node", "n", "sketch"), "node").repartition(parts, "s")
-             .sortWithinPartitions("s").mapInPandas(forests, "a long, b long"))
+             .sortWithinPartitions("s", "n", "node").mapInPandas(forests, "a long, b long"))
     group = connected_components(maybe)
     group = cut_lineage(group.join(single.select("node", "least", "key", "n"), "node"), "op6-groups")
     volume = group.groupBy("component").agg(F.sum("n").alias("volume"))
@@ -291,7 +341,8 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
             yield pdf.assign(members=sets)[["node", "places", "members"]][np.array(own, dtype=bool)]
 
     schema = "node long, places array<struct<g:long,i:long,j:long>>, members binary"
-    met = (known.join(placed, "id").mapInPandas(gather, schema)
+    # a shuffle at every size: the documents that may link grow with the data
+    met = (known.join(placed.hint("merge"), "id").mapInPandas(gather, schema)
            .select("node", "members", F.explode("places").alias("p")).select("node", "members", "p.g", "p.i", "p.j")
            .repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j"))
 
