@@ -10,6 +10,7 @@ from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .ngram_join import ngram_join
 from .packing import pack
+from .substring_dedup import substring_dedup
 from .token_files import read_tokens, write_tokens
 from .toxicity import toxicity
 from .url_filter import url_filter
@@ -50,8 +51,13 @@ def op9_embedding_dedup(spark, sf_dir):
     return embedding_dedup(common.table(spark, sf_dir, "embeddings"))
 
 
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup(common.table(spark, sf_dir, "documents"), window=20)
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_url_filter, op4_best_fit_packing,
-                                   op5_toxicity, op6_ngram_jaccard_join, op8_bpe_round_trip, op9_embedding_dedup)}
+                                   op5_toxicity, op6_ngram_jaccard_join, op8_bpe_round_trip, op9_embedding_dedup,
+                                   op10_substring_dedup)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
