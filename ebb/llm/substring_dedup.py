@@ -15,8 +15,8 @@ in order of id and start and feeds them to the shard's suffix automaton word by
 word: the longest suffix known already is the matching statistic, and the state
 of the last ``window`` words knows where that window first ended. If that is
 another place, the window starts earlier elsewhere and its words go. The
-automaton holds distinct content only; copies of a passage pass through it as a
-stream. Before the shuffle, each task resolves segments that are copies of one
+automaton holds distinct content only; a copy of a segment that the shard has
+read repeats as a whole, and a shard with one content needs no automaton. Before the shuffle, each task resolves segments that are copies of one
 it has met itself: all their windows start earlier. So of a passage that a
 third of all documents share, a shard gets a few copies per task.
 
@@ -35,11 +35,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut_lineage, gram_hashes, hash_words, num_partitions, sorted_groups, text_of, words_of
+from .common import col, cut_lineage, gram_hashes, hash_words, num_partitions, text_of, words_of
 
 #: Words of an anchor.
 GRAM = 8
 LAST = (1 << 63) - 1
+#: Anchors that a task looks at together.
+TOGETHER = 1_000_000
 
 _MEMO: dict[bytes, int] = {}
 
@@ -106,6 +108,27 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, word, q)
         return new, self.link[new]
 
+    def add(self, words: list, doc, start: int, window: int):
+        """Adds a sequence; yields the ends of its windows that were known from another place."""
+        state = 0
+        for i, word in enumerate(words):
+            place = (doc, start + i)
+            state, known = self.read(state, word, place)
+            if i >= window - 1 and self.length[known] >= window and self.first_end(known, window) != place:
+                yield start + i + 1
+
+    def follow(self, words: list, doc, start: int, window: int):
+        """The same without adding the sequence: matching statistics only."""
+        state, size = 0, 0
+        for i, word in enumerate(words):
+            while state and word not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if word in self.next[state]:
+                state, size = self.next[state][word], size + 1
+            if size >= window and self.first_end(state, window) != (doc, start + i):
+                yield start + i + 1
+
     def first_end(self, state: int, size: int):
         """Where the last ``size`` words of a state's strings first ended."""
         while self.length[self.link[state]] >= size:
@@ -113,22 +136,28 @@ class SuffixAutomaton:
         return self.first[state]
 
 
-def shard_spans(segments, window: int):
+def shard_spans(segments: list[tuple], window: int):
     """(document, begin, end) of the words that windows of one shard remove;
-    ``segments`` are (document key, first word's position, words) in order."""
-    sam = SuffixAutomaton()
-    for doc, start, words in segments:
-        state, begin, end = 0, -1, -1
-        for i, word in enumerate(words):
-            place = (doc, start + i)
-            state, known = sam.read(state, word, place)
-            if sam.length[known] >= window and i >= window - 1 and sam.first_end(known, window) != place:
-                lo = start + i - window + 1
-                if lo > end:
-                    if end > begin:
-                        yield doc, begin, end
-                    begin = lo
-                end = start + i + 1
+    ``segments`` are (document key, first word's position, segment) in order.
+    A segment that was read before repeats as a whole."""
+    sam, known = SuffixAutomaton(), set()
+    distinct = len({s for _, _, s in segments})
+    for doc, start, segment in segments:
+        if segment in known:
+            yield doc, start, start + segment.count(b" ") + 1
+            continue
+        known.add(segment)
+        if distinct == 1:
+            continue  # nothing else to compare it with
+        begin, end = -1, -1
+        # the last new segment has no later one to serve: it only follows the automaton
+        ends = (sam.follow if len(known) == distinct else sam.add)(segment.split(b" "), doc, start, window)
+        for stop in ends:
+            if stop - window > end:
+                if end > begin:
+                    yield doc, begin, end
+                begin = stop - window
+            end = stop
         if end > begin:
             yield doc, begin, end
 
@@ -146,17 +175,43 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
                      F.xxhash64("text").alias("alt"), "text")
 
     def scan(batches):
+        """A row per document. Anchors whose hash recurs in the task itself are
+        known to repeat (sure); the others are left to the shuffle, together
+        with one row without a document for each sure hash."""
+        held, size = [], 0
         for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
+            for oid, alt, null_id, text in zip(pdf["oid"], pdf["alt"], pdf["null_id"], pdf["text"], strict=True):
                 words = words_of(text)
                 at, h = anchors(words, window)
-                rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), at, h))
-            out = pd.DataFrame(rows, columns=["n_words", "sha", "at", "h"])
-            yield pd.concat([pdf[["oid", "alt", "null_id"]].reset_index(drop=True), out], axis=1)
-
+                held.append((oid, alt, null_id, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), at, h))
+                size += len(at)
+            if size > TOGETHER:
+                yield from split(held)
+                held, size = [], 0
+        yield from split(held)
+
+    def split(held):
+        if not held:
+            return
+        every, n = np.unique(np.concatenate([r[6] for r in held]), return_counts=True)
+        twice = every[n > 1]
+        for i in range(0, len(held), 1000):
+            rows = []
+            for *doc, at, h in held[i:i + 1000]:
+                sure = np.zeros(len(h), dtype=bool)
+                if len(twice) and len(h):
+                    sure = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+                rows.append((*doc, at[sure], h[sure], at[~sure], h[~sure]))
+            yield pd.DataFrame(rows, columns=columns)
+        for i in range(0, len(twice), 10_000):
+            own = twice[i:i + 10_000]
+            none = np.empty(0, dtype=np.int64)
+            yield pd.DataFrame([(-1, 0, False, -1, "", none, none, np.full(len(own), -1), own)], columns=columns)
+
+    columns = ["oid", "alt", "null_id", "n_words", "sha", "sure_at", "sure_h", "at", "h"]
     scanned = cut_lineage(src.mapInPandas(
-        scan, "oid long, alt long, null_id boolean, n_words long, sha string, at array<long>, h array<long>"), "op10-scan")
+        scan, "oid long, alt long, null_id boolean, n_words long, sha string, "
+              "sure_at array<long>, sure_h array<long>, at array<long>, h array<long>"), "op10-scan")
 
     def repeated(batches):
         """Anchors whose hash occurs more than once."""
@@ -172,9 +227,13 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
             yield pdf[many]
             last, held = h[-1], None if many[-1] else pdf.iloc[-1:]
 
-    hits = scanned.select("oid", F.explode(F.arrays_zip("at", "h")).alias("z")).select("oid", "z.at", "z.h")
-    hits = hits.repartition(parts, "h").sortWithinPartitions("h").mapInPandas(repeated, "oid long, at long, h long")
-    spots = hits.groupBy("oid").agg(F.collect_list(F.struct("at", "h")).alias("spots"))
+    lone = scanned.select("oid", F.explode(F.arrays_zip("at", "h")).alias("z")).select("oid", "z.at", "z.h")
+    lone = (lone.repartition(parts, "h").sortWithinPartitions("h")
+            .mapInPandas(repeated, "oid long, at long, h long").where("at >= 0")
+            .groupBy("oid").agg(F.collect_list(F.struct("at", "h")).alias("spots")))
+    sure = scanned.where("size(sure_h) > 0").select("oid", F.transform(
+        F.arrays_zip("sure_at", "sure_h"), lambda z: F.struct(z["sure_at"].alias("at"), z["sure_h"].alias("h"))).alias("spots"))
+    spots = lone.unionByName(sure).groupBy("oid").agg(F.flatten(F.collect_list("spots")).alias("spots"))
     # a shuffle at every size: the documents with repeated anchors grow with the data
     texts = cut_lineage(src.select("oid", "alt", "text").join(spots.hint("merge"), "oid"), "op10-texts")
 
@@ -190,31 +249,51 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
                 doc = (oid, alt)
                 words = words_of(text)
                 own = dict(zip(*(v.tolist() for v in anchors(words, window)), strict=True))
-                for spot in sorted({(s["at"], s["h"]) for s in spots}):
-                    at, h = spot
+                lo = hi = -1  # words that copies remove, as one span as long as they touch
+                for at, h in sorted({(s["at"], s["h"]) for s in spots}):
                     if own.get(at) != h:
                         continue  # an anchor of another row with this id
-                    begin = max(0, at - (window - gram))
-                    segment = b" ".join(words[begin:at + window])
-                    size = min(len(words), at + window) - begin
+                    begin, stop = max(0, at - (window - gram)), min(len(words), at + window)
+                    segment = b" ".join(words[begin:stop])
                     key = (h, hashlib.md5(segment).digest())
-                    if key in met:
-                        out.append((h, oid, alt, begin, None, begin + size))
-                    else:
+                    if key not in met:
                         met.add(key)
-                        out.append((h, oid, alt, begin, segment, begin + size))
+                        out.append((h, oid, alt, begin, segment, stop))
+                        continue
+                    if begin > hi:
+                        if hi > lo:
+                            out.append((0, oid, alt, lo, None, hi))
+                        lo = begin
+                    hi = stop
+                if hi > lo:
+                    out.append((0, oid, alt, lo, None, hi))
             yield pd.DataFrame(out, columns=["h", "oid", "alt", "begin", "segment", "stop"])
 
     segments = cut_lineage(texts.repartition(parts, "oid").sortWithinPartitions("oid", "alt").mapInPandas(
         cut, "h long, oid long, alt long, begin long, segment binary, stop long"), "op10-segments")
 
     def search(batches):
-        for _, g in sorted_groups(batches, ["h"]):
-            found = list(shard_spans(
-                (((o, a), b, s.split(b" ")) for o, a, b, s in
-                 zip(g["oid"].tolist(), g["alt"].tolist(), g["begin"].tolist(), g["segment"], strict=True)), window))
-            if found:
-                yield pd.DataFrame([(*d, b, e) for d, b, e in found], columns=["oid", "alt", "begin", "stop"])
+        tail = None
+        for pdf in batches:
+            pdf = pdf if tail is None else pd.concat([tail, pdf])
+            if not len(pdf):
+                continue
+            h = pdf["h"].to_numpy()
+            end = int(np.searchsorted(h, h[-1]))  # the last shard may go on in the next batch
+            tail = pdf.iloc[end:]
+            yield shards(pdf.iloc[:end])
+        if tail is not None:
+            yield shards(tail)
+
+    def shards(pdf):
+        h = pdf["h"].to_numpy()
+        oid, alt, begin, segment = (pdf[c].tolist() for c in ("oid", "alt", "begin", "segment"))
+        found = []
+        cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j - i > 1:
+                found += shard_spans([((oid[r], alt[r]), begin[r], segment[r]) for r in range(i, j)], window)
+        return pd.DataFrame([(*d, b, e) for d, b, e in found], columns=["oid", "alt", "begin", "stop"])
 
     searched = (segments.where("segment is not null").select("h", "oid", "alt", "begin", "segment")
                 .repartition(parts, "h").sortWithinPartitions("h", "oid", "alt", "begin")
@@ -222,7 +301,7 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
     copies = segments.where("segment is null").select("oid", "alt", "begin", "stop")
     spans = (searched.unionByName(copies).groupBy("oid", "alt")
              .agg(F.collect_set(F.struct("begin", "stop")).alias("spans")))
-    documents = scanned.select("oid", "alt", "null_id", "n_words", "sha")
+    documents = scanned.where("n_words >= 0").select("oid", "alt", "null_id", "n_words", "sha")
     return documents, texts, cut_lineage(spans, "op10-spans")
 
 
