@@ -6,6 +6,7 @@ import public_tokenizers
 
 from . import common
 from .bpe import round_trip
+from .ctw import lm_score
 from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .ngram_join import ngram_join
@@ -43,6 +44,10 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     return ngram_join(common.table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op7_lm_scoring(spark, sf_dir):
+    return lm_score(common.table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_round_trip(spark, sf_dir):
     return round_trip(common.table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -56,7 +61,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_url_filter, op4_best_fit_packing,
-                                   op5_toxicity, op6_ngram_jaccard_join, op8_bpe_round_trip, op9_embedding_dedup,
+                                   op5_toxicity, op6_ngram_jaccard_join, op7_lm_scoring, op8_bpe_round_trip, op9_embedding_dedup,
                                    op10_substring_dedup)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
