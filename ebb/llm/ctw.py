@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import col, crc32_mod, cut_lineage, num_partitions, text_of, words_of
 
 #: Nodes of the model for each depth and decision, at most.
-MODEL = 1 << 20
+MODEL = 1 << 18
 #: Bytes that a task looks at together; words of a block's dictionary.
 TOGETHER, DICTIONARY = 8 << 20, 400_000
 _SLOTS = 21
@@ -228,8 +228,10 @@ def fit_tree(texts: DataFrame, depth: int) -> ContextTree:
 
         # all grams of a context in one partition: at most 256 rows each
         held = (grams.repartition(num_partitions(texts), F.shiftright("key", 8))
-                .mapInPandas(nodes, "key long, a long, b long").toPandas().sort_values("key"))
-        counts.append((held["key"].to_numpy().astype(np.uint64), held["a"].to_numpy(), held["b"].to_numpy()))
+                .mapInPandas(nodes, "key long, a long, b long").toArrow())
+        key = held["key"].to_numpy().view(np.uint64)
+        by = np.argsort(key)
+        counts.append((key[by], held["a"].to_numpy()[by], held["b"].to_numpy()[by]))
     return ContextTree(counts[::-1])
 
 
