@@ -31,6 +31,8 @@ def ship_package(spark: SparkSession) -> None:
         root = Path(__file__).resolve().parents[2]
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='ebb-code-')}/ebb", "zip", root, "ebb")
         sc.addPyFile(archive)
+        # texts may be long: small Arrow batches bound what a worker and its executor hold at once
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         _SHIPPED.add(sc.applicationId)
 
 
@@ -84,11 +86,17 @@ def hot_join(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int)
     return rows.join(hot, key).unionByName(rows.join(cold, key))
 
 
-def hash_words(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of words; ``memo`` is emptied when it holds too many."""
+#: Words whose hashes a Python worker remembers.
+MEMO = 250_000
+_HASHES: dict[bytes, int] = {}
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; the memory is emptied when it holds too many."""
     from xxhash import xxh64_intdigest
 
-    if len(memo) > 1_000_000:
+    memo = _HASHES
+    if len(memo) > MEMO:
         memo.clear()
     get = memo.get
     out = [get(w) for w in words]

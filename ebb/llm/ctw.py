@@ -40,8 +40,8 @@ from .common import col, crc32_mod, cut_lineage, num_partitions, text_of, words_
 #: Nodes of the model for each depth and decision, at most.
 MODEL = 1 << 18
 #: Bytes that a task looks at together; words of a block's dictionary.
-TOGETHER, DICTIONARY = 8 << 20, 400_000
-_SLOTS = 21
+TOGETHER, DICTIONARY = 2 << 20, 200_000
+_SLOTS = 20
 END = b"\n"
 
 
@@ -268,7 +268,7 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
 
         rows = ((r, len(r[2]) + 100) for pdf in batches
                 for r in zip(pdf["id"], pdf["null_id"], pdf["text"], pdf["held_out"], strict=True))
-        for group in together(rows, TOGETHER // 4):
+        for group in together(rows, TOGETHER // 2):
             block_id = task << 24 | block
             words = [words_of(r[2], lower=True) for r in group]
             scores = scorer.texts([normal(w) for w in words])

@@ -47,15 +47,12 @@ BUCKETS, SLICES = 1 << 18, 16
 #: Shingles that meet in a block at most.
 BLOCK = 2_000_000
 
-_MEMO: dict[bytes, int] = {}
-
-
 def shingle_set(text: str, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes."""
     words = words_of(text, lower=True)
     if not words:
         return np.empty(0, dtype=np.uint64)
-    h = hash_words(words, _MEMO)
+    h = hash_words(words)
     if len(h) < k:
         return mix(gram_hashes(h, len(h)) + np.uint64(len(h)))
     return np.unique(gram_hashes(h, k))

@@ -43,16 +43,13 @@ LAST = (1 << 63) - 1
 #: Anchors that a task looks at together.
 TOGETHER = 1_000_000
 
-_MEMO: dict[bytes, int] = {}
-
-
 def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of the anchors of all windows: the leftmost gram with the
     least hash in each."""
     gram = min(GRAM, window)
     if len(words) < window:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    g = gram_hashes(hash_words(words, _MEMO), gram)
+    g = gram_hashes(hash_words(words), gram)
     span = window - gram + 1
     at, value, reach = np.arange(len(g)), g, 1
     while reach < span:

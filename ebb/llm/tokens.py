@@ -20,7 +20,7 @@ from array import array
 #: the Latin letters and signs up to U+024F. Within that set Python's ``re`` with
 #: the classes below splits as the libraries' Unicode patterns do.
 NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]")
-_MEMO = 500_000
+_MEMO = 400_000
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 
