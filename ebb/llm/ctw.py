@@ -40,8 +40,8 @@ from .common import col, crc32_mod, cut_lineage, num_partitions, text_of, words_
 #: Nodes of the model for each depth and decision, at most.
 MODEL = 1 << 18
 #: Bytes that a task looks at together; words of a block's dictionary.
-TOGETHER, DICTIONARY = 2 << 20, 200_000
-_SLOTS = 20
+TOGETHER, DICTIONARY = 2 << 20, 400_000
+_SLOTS = 21
 END = b"\n"
 
 
