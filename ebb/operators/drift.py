@@ -177,9 +177,11 @@ def drift_alerts(drift: DataFrame, ks_line: bool = True) -> DataFrame:
 
 def split_halves(df: DataFrame, key: str, accuracy: int = DEFAULT_ACCURACY) -> tuple[DataFrame, DataFrame]:
     """Rows up to the exact median of ``key`` vs the rest (Spark has no row
-    order). A non-numeric key is split at the median of its ``xxhash64``."""
+    order). A non-numeric key is split at the median of its ``xxhash64``; rows
+    without a key are in the second half, so the halves hold all rows."""
     from ..functions.exprs import is_numeric_type
     k = F.col(key) if is_numeric_type(df.schema[key].dataType) else F.xxhash64(F.col(key))
     med = quantiles(df, k, [0.5], accuracy=accuracy).first()["edges"]
     cut = med[0] if med else None
-    return df.where(k <= F.lit(cut)), df.where(~(k <= F.lit(cut)))
+    first = F.coalesce(k <= F.lit(cut), F.lit(False))
+    return df.where(first), df.where(~first)

@@ -102,8 +102,14 @@ def permutation_contributions(score_fn, X: DataFrame, features: Sequence[str], k
     return contrib, float(base)
 
 
+def score_space(kind: str) -> str:
+    """The scale of :func:`model_score_fn`'s scores."""
+    return "margin" if kind == "lr" else "probability"
+
+
 def model_score_fn(model, kind: str):
-    """``score_fn`` for a fitted Spark ML classifier: P(churn), or the margin for LR."""
+    """``score_fn`` for a fitted Spark ML classifier: P(churn), or the margin for
+    LR; ``score_space(kind)`` names which, for :func:`explain_clients`."""
     def fn(df: DataFrame) -> DataFrame:
         m = model.copy()
         m.setPredictionCol("_pred").setProbabilityCol("_prob").setRawPredictionCol("_raw")

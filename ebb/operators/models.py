@@ -46,7 +46,9 @@ from ..session import cut_lineage
 from . import metrics as M
 
 SEED = 42
-ROWS_PER_PARTITION = 500_000
+#: Partitions of the training frame: a parameter of the model, to be raised with
+#: the number of clients, never derived from rows or cores.
+FIT_PARTITIONS = 4
 
 
 @dataclass
@@ -197,8 +199,10 @@ def importances(spec: ModelSpec, model, names: list[str], top: int = 15) -> list
 
 def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "churned",
                       key: str = "client_id", cv_folds: int = 5, calibration_folds: int = 3,
-                      specs: list[ModelSpec] | None = None, parallelism: int = 16) -> TrainingReport:
-    """CV AUC, full fit, calibrated in-sample metrics, ROC, importances."""
+                      specs: list[ModelSpec] | None = None, parallelism: int = 16,
+                      fit_partitions: int = FIT_PARTITIONS) -> TrainingReport:
+    """CV AUC, full fit, calibrated in-sample metrics, ROC, importances.
+    The result depends on ``fit_partitions`` but not on the cluster."""
     t_start = time.time()
     spark = X.sparkSession
     specs = specs or default_specs()
@@ -208,12 +212,9 @@ def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "chur
     data = data.withColumns({"cv_fold": fold_of(key, cv_folds), "cal_fold": fold_of(key, calibration_folds, SEED + 1)})
     data = cut_lineage(data, "training")
     n = data.count()
-    # one partition per ROWS_PER_PARTITION rows, at most the cluster's
-    # parallelism: iterative fits launch a job per boosting round and tree
-    # level, and on small data the task count, not the rows, sets the cost
-    target = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_PARTITION)))
-    if data.rdd.getNumPartitions() > target:
-        data = data.coalesce(target)
+    # bagging and row sampling are seeded per partition: the same rows in the
+    # same order in the same partitions give the same model on any cluster
+    data = data.repartition(fit_partitions, key).sortWithinPartitions(key)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     data.count()
     churn_rate = data.agg(F.avg("label")).first()[0]

@@ -306,7 +306,7 @@ register("export_predictions", S.export_sql())(_export_roundtrip)
 # --- trained models (no SQL twin: rows-only checks plus invariants in tests) ----------
 
 _TRAINED: dict = {}
-TRAIN_CV_FOLDS = 3          # CV and calibration share folds (one fit serves both)
+TRAIN_CV_FOLDS, CALIBRATION_FOLDS = 5, 3
 
 
 def training(spark, sf_dir):
@@ -317,7 +317,7 @@ def training(spark, sf_dir):
         fe = features.FeatureEngineer().fit(mart)
         X = cut_lineage(fe.transform(mart))
         rep = models.train_and_compare(X, fe.features, cv_folds=TRAIN_CV_FOLDS,
-                                       calibration_folds=TRAIN_CV_FOLDS)
+                                       calibration_folds=CALIBRATION_FOLDS)
         _TRAINED[k] = (mart, fe, X, rep)
     return _TRAINED[k]
 
@@ -338,7 +338,8 @@ def _model_contribs(spark, sf_dir):
         name = rep.best_model_name
         fn = explain.model_score_fn(rep.base_models[name], rep.models[name].spec.kind)
         contrib, base = explain.permutation_contributions(fn, X, fe.features)
-        _CONTRIBS[k] = (cut_lineage(contrib, "attributions"), base)
+        _CONTRIBS[k] = (cut_lineage(contrib, "attributions"), base,
+                        explain.score_space(rep.models[name].spec.kind))
     return _CONTRIBS[k]
 
 
@@ -366,7 +367,7 @@ register("explain_model_permutation")(lambda spark, sf_dir: _model_contribs(spar
 register("global_importance_model")(lambda spark, sf_dir: explain.importance_share(
     explain.global_importance(_model_contribs(spark, sf_dir)[0])))
 register("explain_clients_model")(lambda spark, sf_dir: (lambda cb: explain.explain_clients(
-    cb[0], cb[1], space="probability"))(_model_contribs(spark, sf_dir)))
+    cb[0], cb[1], space=cb[2]))(_model_contribs(spark, sf_dir)))
 
 
 # --- streaming ---------------------------------------------------------------------

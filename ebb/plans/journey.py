@@ -42,7 +42,7 @@ class RetentionAnalysis:
 
 
 def analyze_clients(df: DataFrame, key: str = "client_id", target: str = "churned",
-                    churn_threshold: float = 0.5, cv_folds: int = 3, permutations: int = 8,
+                    churn_threshold: float = 0.5, cv_folds: int = 5, calibration_folds: int = 3, permutations: int = 8,
                     specs: list[models.ModelSpec] | None = None) -> RetentionAnalysis:
     health = profile.profile_dataframe(df)
     clean = cut_lineage(repair.auto_fix_dataframe(df, health), "clean")
@@ -51,14 +51,15 @@ def analyze_clients(df: DataFrame, key: str = "client_id", target: str = "churne
     fm = features.FeatureEngineer(target).fit(clean)
     X = cut_lineage(fm.transform(clean), "features")
     rep = models.train_and_compare(X, fm.features, label=target, key=key, cv_folds=cv_folds,
-                                   calibration_folds=cv_folds, specs=specs)
+                                   calibration_folds=calibration_folds, specs=specs)
     best = rep.best_model_name
     probs = rep.models[best].transform(X, keep=[key])
     fn = explain.model_score_fn(rep.base_models[best], rep.models[best].spec.kind)
     contribs, base = explain.permutation_contributions(fn, X, fm.features, key=key,
                                                        permutations=permutations)
     contribs = cut_lineage(contribs, "attributions")
-    expl = explain.explain_clients(contribs, base, key=key, space="probability")
+    expl = explain.explain_clients(contribs, base, key=key,
+                                   space=explain.score_space(rep.models[best].spec.kind))
     advice = actions.factor_advice(explain.top_risk_factor_names(contribs, key), key=key)
     recs = actions.generate_recommendations(scored_rfm, probs, churn_threshold=churn_threshold)
     recs = recs.join(advice, key, "left").orderBy(

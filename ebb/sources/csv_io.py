@@ -77,22 +77,26 @@ def load_csv(spark: SparkSession, path: str, sep: str | None = None, schema: Str
              encoding: str = "utf-8", normalize: bool = True) -> DataFrame | None:
     """Header CSV -> normalised frame, or ``None`` when it has no rows.
 
-    Without ``sep`` the separator comes from :func:`csv_dialects` (the most
-    common choice over the files). Pass ``schema`` at scale: inference costs
-    a pass over the data.
+    Without ``sep`` each file is read with its own delimiter from
+    :func:`csv_dialects`: one read per delimiter, united by column name
+    (columns that only some files have are null elsewhere). Pass ``schema`` at
+    scale: inference costs a pass over the data.
     """
     if sep is None:
-        d = csv_dialects(spark, path, encoding=encoding).groupBy("delimiter").count() \
-            .orderBy(F.col("count").desc(), "delimiter").first()
-        sep = d["delimiter"] if d else ","
-    r = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    df = r.csv(path)
-    if df.isEmpty():
-        return None
-    if normalize:
-        df = normalize_columns(df)
-    return coerce_dates(df)
+        found = csv_dialects(spark, path, encoding=encoding).groupBy("delimiter") \
+            .agg(F.collect_list("file").alias("files")).orderBy("delimiter").collect()
+        groups = [(r["delimiter"], r["files"]) for r in found] if len(found) > 1 else \
+            [(found[0]["delimiter"] if found else ",", path)]
+    else:
+        groups = [(sep, path)]
+    df = None
+    for delimiter, files in groups:
+        r = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
+        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
+        own = r.csv(files)
+        own = normalize_columns(own) if normalize else own
+        df = own if df is None else df.unionByName(own, allowMissingColumns=True)
+    return None if df.isEmpty() else coerce_dates(df)
 
 
 def load_dataset(spark: SparkSession, name: str, sf_dir: str) -> DataFrame | None:
@@ -110,15 +114,14 @@ def load_dataset(spark: SparkSession, name: str, sf_dir: str) -> DataFrame | Non
 
 
 def validate_columns(columns: list[str]) -> tuple[bool, list[str], list[str]]:
-    """(valid, missing required, missing recommended), sorted."""
-    have = {c.lower().strip() for c in columns}
-    missing_req = sorted(c for c in FX.REQUIRED_COLUMNS if c not in have)
-    missing_rec = sorted(c for c in FX.RFM_RECOMMENDED if c not in have)
-    if not any(c in have for c in FX.VALUE_COLUMNS) and "total_revenue" not in missing_rec:
-        missing_rec.append("total_revenue (или аналогичная)")
-    if not any(c in have for c in FX.FREQUENCY_HINT_COLUMNS) and "transaction_count" not in missing_rec:
-        missing_rec.append("transaction_count (или аналогичная)")
-    return not missing_req, missing_req, missing_rec
+    """(valid, missing required, missing recommended), sorted. A
+    recommended column with a group of stand-ins is missing only if all of the
+    group is; it is then named once."""
+    names = {c.strip().lower() for c in columns}
+    stand_ins = {"total_revenue": FX.VALUE_COLUMNS, "transaction_count": FX.FREQUENCY_HINT_COLUMNS}
+    required = sorted(set(FX.REQUIRED_COLUMNS) - names)
+    recommended = sorted(c for c in set(FX.RFM_RECOMMENDED) - names if names.isdisjoint(stand_ins.get(c, ())))
+    return not required, required, recommended
 
 
 def validation_report(df: DataFrame) -> DataFrame:

@@ -22,9 +22,11 @@ def export_predictions(recs: DataFrame, path: str, fmt: str = "csv") -> str:
 
 def save_model(model, path: str) -> str:
     """Spark ML persistence (fitted models) or the calibrated ensemble."""
-    if hasattr(model, "write"):
-        w = model.write()
-        (w.overwrite().save(path) if hasattr(w, "overwrite") else model.write(path))
+    from pyspark.ml.util import MLWritable
+    if isinstance(model, MLWritable):
+        model.write().overwrite().save(path)
+    else:
+        model.write(path)
     return path
 
 

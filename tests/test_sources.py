@@ -56,3 +56,10 @@ def test_load_dataset_and_validation_report(spark):
     rep = {(r["kind"], r["column"]) for r in csv_io.validation_report(m).collect()}
     assert not any(k == "required" for k, _ in rep)            # the mart has the required columns
     assert ("recommended", "monthly_fee") in rep
+
+
+def test_mixed_delimiters(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("client_id,churned\n1,0\n2,1\n")
+    (tmp_path / "b.csv").write_text("client_id;churned\n3;0\n4;1\n")
+    rows = csv_io.load_csv(spark, str(tmp_path)).collect()
+    assert {(str(r["client_id"]), int(r["churned"])) for r in rows} == {("1", 0), ("2", 1), ("3", 0), ("4", 1)}
