@@ -9,17 +9,21 @@ interpolation the reference uses (pandas ``quantile`` / ``qcut``).
 pass counts rows below each bracket and keeps only the distinct values inside
 it, and a small window over those candidates finds the exact order statistics.
 
-* Pass 1: ``percentile_approx`` at ``p - d`` and ``p + d`` (``d = 2/accuracy``)
-  and ``count`` per group. ``percentile_approx`` guarantees a rank error of at
+* Pass 1: one sketch per group (``percentile_approx`` at ``p - d`` and ``p + d``
+  for all probabilities, ``d = 2/accuracy``) and ``count``. Its rank error is at
   most ``n/accuracy``, so the true order statistics at ``floor((n-1)p)`` and
   the next rank lie inside ``[lo, hi]``.
-* Pass 2: every row is compared with the (few) brackets of its group. Rows
-  below a bracket only add to a counter (and its max), rows above only to a
-  min; rows inside it are collapsed to ``(value, count)``, so one hot value that
-  holds a third of all rows stays one row. Partial aggregation runs before the
-  shuffle, so only a few rows per partition and bracket are shipped.
-* The candidates per bracket are about ``3n/accuracy`` rows at most, which a
-  window sorts cheaply.
+* Pass 2: every row is compared with the (few) brackets of its group and keeps
+  one array of sides (below, inside, above). Rows outside all brackets are
+  combined per array (a count, a max and a min); rows inside one are collapsed
+  to ``(value, count)``, so one hot value that holds a third of all rows stays
+  one row. Rows are not multiplied by the number of probabilities, and partial
+  aggregation runs before the shuffle.
+* The candidates, about ``4n/accuracy`` distinct values per bracket at most, are
+  written once; their ranks are running totals by :func:`prefix_sums`, so no
+  task sorts more than a fixed number of them, whatever ``n``.
+* Should a bracket miss its rank, the brackets are widened and the passes
+  repeated; at full width they hold every value.
 
 The interpolation is ``lo*(1-frac) + hi*frac`` with ``frac = (n-1)p -
 floor((n-1)p)``, and exactly ``lo`` when ``lo == hi``. The multiply-add is
@@ -31,9 +35,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .cumulative import ROWS_PER_BUCKET, prefix_sums
+
 DEFAULT_ACCURACY = 10000
 _G = "__grp"
 
@@ -41,18 +48,19 @@ _G = "__grp"
 def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
               by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
               method: str = "exact", out: str = "edges",
-              broadcast_groups: bool = True) -> DataFrame:
+              broadcast_groups: bool = False,
+              rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Linear quantiles of ``value`` (nulls ignored) per group.
 
     Returns one row per group: the ``by`` columns, ``n`` (non-null count) and
     ``out`` = ``array<double>`` with one entry per probability, in the order of
     ``probs``. Groups with no non-null value get ``n = 0`` and a null array.
 
-    The per-group bracket rows are broadcast, which suits a bounded number of
-    groups (features, metrics, segments: every caller in this library). For
-    groups that grow with the data pass ``broadcast_groups=False``: the
-    planner and AQE then pick the join by size. ``method="approx"`` skips the
-    refinement and returns ``percentile_approx`` elements.
+    ``broadcast_groups=True`` broadcasts the bracket row of each group: for a
+    bounded number of groups (features, metrics, columns), whose rows then
+    stay where they are. Otherwise the planner and AQE pick the join by size.
+    ``method="approx"`` skips the refinement and returns ``percentile_approx``
+    elements. The exact method runs jobs while it is built.
     """
     probs = [float(p) for p in probs]
     by = list(by)
@@ -60,67 +68,75 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     base = df.select(*[F.col(b) for b in by], v.cast("double").alias("v"))
     if not by:
         base = base.withColumn(_G, F.lit(0))
-        keys = [_G]
-    else:
-        keys = by
+    keys = by or [_G]
     base = base.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    m = len(probs)
-    d = 2.0 / accuracy
-
-    lo_p = [max(0.0, p - d) for p in probs]
-    hi_p = [min(1.0, p + d) for p in probs]
-    stats = base.groupBy(*keys).agg(
-        F.count("v").alias("n"),
-        F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("approx"),
-        F.percentile_approx("v", F.array(*[F.lit(p) for p in lo_p]), accuracy).alias("lo"),
-        F.percentile_approx("v", F.array(*[F.lit(p) for p in hi_p]), accuracy).alias("hi"),
-    )
     if method == "approx":
-        res = stats.select(*keys, "n", F.col("approx").alias(out))
-        return _finish(df, res, by, keys, out)
+        return _finish(df, _sketch(base, keys, probs, accuracy, out), by, keys, out)
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
 
-    # Pass 2, one aggregation. For bracket i a row is below (class 0), inside
-    # (class 1, keyed by its value) or above (class 2). Below rows keep a count
-    # and their max, above rows their min: the neighbours of the bracket cover
-    # the one-rank slack percentile_approx has on small groups.
-    brackets = stats.select(*keys, "n", "lo", "hi")
-    if broadcast_groups or not by:  # no groups: exactly one row
+    slack = 2.0 / accuracy
+    while True:
+        cand = cut_lineage(_candidates(base, keys, probs, slack, accuracy, broadcast_groups or not by),
+                           "quantile-candidates")
+        if slack >= 1 or _missed(cand, keys, probs).isEmpty():
+            break
+        slack *= 8
+    return _finish(df, _pick(cand, keys, probs, out, rows_per_bucket), by, keys, out)
+
+
+def _sketch(base: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int, out: str) -> DataFrame:
+    at = F.array(*[F.lit(p) for p in probs])
+    return base.groupBy(*keys).agg(F.count("v").alias("n"), F.percentile_approx("v", at, accuracy).alias(out))
+
+
+def _candidates(base: DataFrame, keys: list[str], probs: list[float], slack: float, accuracy: int,
+                broadcast: bool) -> DataFrame:
+    """Rows ``(keys, n, i, cls, x, c)`` per probability ``i``: the values inside
+    its bracket with their counts (cls 1), the largest value below it with the
+    count of all below (0) and the smallest above it (2). These neighbours
+    cover the one-rank slack of the sketch on small groups."""
+    m = len(probs)
+    ends = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+    brackets = _sketch(base, keys, ends, accuracy, "ends")
+    if broadcast:  # a bounded number of groups, or one row
         brackets = F.broadcast(brackets)
-    i = F.col("i")
-    cls = (F.when(F.col("v") < F.col("lo")[i], 0)
-            .when(F.col("v") > F.col("hi")[i], 2).otherwise(1))
-    tagged = (base.join(brackets, keys)
-              .select(*keys, "n", "v", "lo", "hi",
-                      F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"))
-              .withColumn("cls", cls)
-              .withColumn("cv", F.when(F.col("cls") == 1, F.col("v"))))
-    counted = (tagged.groupBy(*keys, "n", "i", "cls", "cv")
-               .agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("vmax"),
-                    F.min("v").alias("vmin")))
-    cand = counted.select(
-        *keys, "n", "i", "cls",
-        F.when(F.col("cls") == 0, F.col("vmax")).when(F.col("cls") == 1, F.col("cv"))
-         .otherwise(F.col("vmin")).alias("x"),
-        F.when(F.col("cls") == 2, F.lit(1)).otherwise(F.col("c")).alias("c"))
-
-    w = (Window.partitionBy(*keys, "i").orderBy("cls", "x")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    probs_arr = F.array(*[F.lit(p) for p in probs])
-    rn = (F.col("n") - 1).cast("double") * probs_arr[i]
-    ranked = (cand.withColumn("cum", F.sum("c").over(w))
-              .withColumn("rn", rn)
+    v, e = F.col("v"), F.col("ends")
+    side = F.array(*[F.when(v < e[i], 0).when(v > e[m + i], 2).otherwise(1) for i in range(m)])
+    tagged = base.join(brackets, keys).select(*keys, "n", "v", side.alias("side"))
+    counted = (tagged.groupBy(*keys, "n", "side", F.when(F.array_contains("side", 1), v).alias("at"))
+               .agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("vmax"), F.min("v").alias("vmin")))
+    each = counted.select(*keys, "n", "at", "c", "vmax", "vmin", F.posexplode("side").alias("i", "cls"))
+    summed = (each.groupBy(*keys, "n", "i", "cls", F.when(F.col("cls") == 1, F.col("at")).alias("at"))
+              .agg(F.sum("c").alias("c"), F.max("vmax").alias("vmax"), F.min("vmin").alias("vmin")))
+    x = F.when(F.col("cls") == 0, F.col("vmax")).when(F.col("cls") == 1, F.col("at")).otherwise(F.col("vmin"))
+    return summed.select(*keys, "n", "i", "cls", x.alias("x"),
+                         F.when(F.col("cls") == 2, F.lit(1)).otherwise(F.col("c")).alias("c"))
+
+
+def _rank(probs: list[float]) -> Column:
+    return (F.col("n") - 1).cast("double") * F.array(*[F.lit(p) for p in probs])[F.col("i")]
+
+
+def _missed(cand: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Brackets whose rank lies further out than their neighbours."""
+    held = cand.groupBy(*keys, "n", "i").agg(
+        F.sum(F.when(F.col("cls") == 0, F.col("c")).otherwise(0)).alias("below"),
+        F.sum("c").alias("known"))
+    rn = _rank(probs)
+    return held.where((F.floor(rn) < F.col("below") - 1) | (F.ceil(rn) >= F.col("known")))
+
+
+def _pick(cand: DataFrame, keys: list[str], probs: list[float], out: str, rows_per_bucket: int) -> DataFrame:
+    """The order statistics at the ranks, interpolated."""
+    ranked = (prefix_sums(cand, [*keys, "i"], "x", ["c"], rows_per_bucket)
+              .withColumnRenamed("cum_c", "cum").withColumn("rn", _rank(probs))
               .withColumn("k", F.floor("rn").cast("long"))
               .withColumn("k1", F.ceil("rn").cast("long")))
 
-    # value at 0-based rank r: the entry with cum - c <= r < cum; the below
-    # entry stands for its max only, i.e. for rank cum - 1
+    # value at 0-based rank r: the entry with cum - c <= r < cum
     def at(r):
-        inside = (F.col("cum") - F.col("c") <= r) & (r < F.col("cum"))
-        exact = (F.col("cls") != 0) | (r == F.col("cum") - 1)
-        return F.when(inside, F.when(exact, F.col("x")).otherwise(
-            F.raise_error(F.lit("quantile bracket missed; raise accuracy"))))
+        return F.when((F.col("cum") - F.col("c") <= r) & (r < F.col("cum")), F.col("x"))
 
     picked = ranked.groupBy(*keys, "n", "i").agg(
         F.max(at(F.col("k"))).alias("v_lo"), F.max(at(F.col("k1"))).alias("v_hi"),
@@ -128,10 +144,9 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     frac = F.col("rn") - F.col("k")
     edge = F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(
         lerp(F.col("v_lo"), F.col("v_hi"), frac))
-    res = picked.groupBy(*keys, "n").agg(
+    return picked.groupBy(*keys, "n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", edge.alias("e")))),
                     lambda s: s["e"]).alias(out))
-    return _finish(df, res, by, keys, out)
 
 
 def _two_prod(a: Column, b: Column) -> tuple[Column, Column]:

@@ -28,6 +28,7 @@ from ..functions import fixed as X
 from ..functions.cumulative import prefix_sums
 from ..functions.exprs import numeric_columns
 from ..functions.quantiles import DEFAULT_ACCURACY, quantiles
+from ..session import cut_lineage
 
 DRIFT_SCHEMA = StructType([
     StructField("feature", StringType()), StructField("psi", DoubleType()),
@@ -71,7 +72,7 @@ def psi_by_feature(long: DataFrame, bins: int = X.PSI_BINS, eps: float = X.PSI_E
                    accuracy: int = DEFAULT_ACCURACY, vc: DataFrame | None = None) -> DataFrame:
     """D1 per feature: ``(feature, psi)``; 0 for <2 distinct edges or an empty side."""
     probs = [i / bins for i in range(bins + 1)]
-    edges = quantiles(long, "value", probs, by=["feature"], accuracy=accuracy).collect()
+    edges = quantiles(long, "value", probs, by=["feature"], accuracy=accuracy, broadcast_groups=True).collect()
     spark = long.sparkSession
     e_df = spark.createDataFrame(
         [(r["feature"], sorted(set(r["edges"]))) for r in edges if r["edges"]],
@@ -98,11 +99,11 @@ def psi_by_feature(long: DataFrame, bins: int = X.PSI_BINS, eps: float = X.PSI_E
         .otherwise(F.coalesce("psi", F.lit(0.0))).alias("psi"))
 
 
-def ks_by_feature(long: DataFrame, buckets: int = 64, vc: DataFrame | None = None) -> DataFrame:
+def ks_by_feature(long: DataFrame, vc: DataFrame | None = None) -> DataFrame:
     """D2 per feature: ``(feature, ks_statistic, ks_p_value, n0, n1)`` (unrounded)."""
-    counts = vc if vc is not None else value_counts(long)
+    counts = vc if vc is not None else cut_lineage(value_counts(long), "value-counts")
     sizes = side_sizes(counts)
-    cum = prefix_sums(counts, ["feature"], "value", ["c0", "c1"], buckets=buckets)
+    cum = prefix_sums(counts, ["feature"], "value", ["c0", "c1"])
     d = (cum.join(F.broadcast(sizes), "feature")
          .groupBy("feature", "n0", "n1")
          .agg(F.max(F.abs(F.try_divide(F.col("cum_c0"), F.col("n0"))
@@ -130,7 +131,7 @@ def detect_drift(reference: DataFrame, current: DataFrame, feature_cols: list[st
     long = to_long(reference, current, feature_cols)
     names = reference.sparkSession.createDataFrame([(c, i) for i, c in enumerate(feature_cols)],
                                                    "feature string, ordinal int")
-    vc = value_counts(long)        # the one aggregation of the raw rows
+    vc = cut_lineage(value_counts(long), "value-counts")
     psi = psi_by_feature(long, accuracy=accuracy, vc=vc)
     ks = ks_by_feature(long, vc=vc)
     j = (F.broadcast(names).join(psi, "feature", "left").join(ks, "feature", "left")

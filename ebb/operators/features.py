@@ -189,7 +189,7 @@ class FeatureEngineer:
                                       F.when(F.col(den) != 0, F.col(den).cast("double"))).alias("v"))
                 for num, den, name in pairs])).alias("kv")).select("kv.column", "kv.v")
             for r in quantiles(long, "v", [X.RATIO_CLIP_Q], by=["column"],
-                               accuracy=self.accuracy).collect():
+                               accuracy=self.accuracy, broadcast_groups=True).collect():
                 q99[r["column"]] = r["edges"][0] if r["edges"] else None
         ratios = [(n, d, name, q99.get(name)) for n, d, name in pairs]
 

@@ -2,8 +2,8 @@
 
 Inputs are ``(label, score)`` rows, optionally with a ``model`` column so many
 models are evaluated in one pass. Rows are first collapsed to counts per
-distinct score (one partial-aggregated shuffle), then the ROC's cumulative
-counts come from :func:`prefix_sums` (range buckets instead of one global
+distinct score (one partial-aggregated shuffle) and written once; the ROC's
+cumulative counts come from :func:`prefix_sums` (ranges instead of one global
 window), so a curve over billions of scores never sits in one task.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cumulative import prefix_sums
+from ..session import cut_lineage
 
 
 def _by(df: DataFrame, by: Sequence[str] | None) -> list[str]:
@@ -25,18 +26,22 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score",
                  by: Sequence[str] | None = None) -> DataFrame:
     by = _by(df, by)
     y = F.col(label).cast("int") == 1
-    return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    return cut_lineage(df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")), "score-counts")
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score",
-               by: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:
+               by: Sequence[str] | None = None) -> DataFrame:
     """``(threshold, fps, tps, fpr, tpr)`` per distinct score, highest first,
     plus the starting point at threshold ``+inf``. Every distinct threshold is
     kept (collinear points are not dropped)."""
     by = _by(df, by)
-    c = score_counts(df, label, score, by)
-    cum = prefix_sums(c, by, "score", ["pos", "neg"], buckets=buckets, descending=True)
+    return _curve(score_counts(df, label, score, by), by).drop("P", "N")
+
+
+def _curve(c: DataFrame, by: list[str]) -> DataFrame:
+    """The ROC of score counts, with the class sizes P and N."""
+    cum = prefix_sums(c, by, "score", ["pos", "neg"], descending=True)
     tot = c.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     pts = cum.select(*by, F.col("score").alias("threshold"), F.col("cum_neg").alias("fps"),
                      F.col("cum_pos").alias("tps"))
@@ -47,13 +52,13 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
     else:  # one-row totals as scalar subqueries rather than a join
         allp = pts.unionByName(start).withColumns({"P": tot.select("P").scalar(),
                                                    "N": tot.select("N").scalar()})
-    return allp.select(*by, "threshold", "fps", "tps",
+    return allp.select(*by, "threshold", "fps", "tps", "P", "N",
                        F.when(F.col("N") > 0, F.col("fps") / F.col("N")).otherwise(F.lit(float("nan"))).alias("fpr"),
                        F.when(F.col("P") > 0, F.col("tps") / F.col("P")).otherwise(F.lit(float("nan"))).alias("tpr"))
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score",
-        by: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:
+        by: Sequence[str] | None = None) -> DataFrame:
     """Area under the ROC curve by the rank sum (ties count half).
 
     ``AUC = (sum over positives of average rank - P(P+1)/2) / (P*N)``, summed
@@ -61,7 +66,7 @@ def auc(df: DataFrame, label: str = "label", score: str = "score",
     """
     by = _by(df, by)
     c = score_counts(df, label, score, by).withColumn("cnt", F.col("pos") + F.col("neg"))
-    cum = prefix_sums(c, by, "score", ["cnt"], buckets=buckets)
+    cum = prefix_sums(c, by, "score", ["cnt"])
     below = F.col("cum_cnt") - F.col("cnt")
     term = (F.col("pos").cast("decimal(38,0)")
             * (F.lit(2) * below + F.col("cnt") + F.lit(1)).cast("decimal(38,0)"))
@@ -95,9 +100,7 @@ def optimal_threshold(df: DataFrame, label: str = "label", score: str = "score",
     (predicting positive at ``score >= threshold``); ties go to the highest
     threshold, which may be ``+inf``."""
     by = _by(df, by)
-    r = roc_points(df, label, score, by)
-    tot = score_counts(df, label, score, by).groupBy(*by).agg(F.sum("pos").alias("P"))
-    r = r.join(F.broadcast(tot), by) if by else r.withColumn("P", tot.select("P").scalar())
+    r = _curve(score_counts(df, label, score, by), by)
     cost = F.col("fps") * cost_fp + (F.col("P") - F.col("tps")) * cost_fn
     best = r.groupBy(*by).agg(F.min_by(F.struct(F.col("threshold"), cost.alias("cost")),
                                        F.struct(cost.alias("c"), (-F.col("threshold")).alias("t"))).alias("b"))

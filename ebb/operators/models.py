@@ -11,9 +11,13 @@ Three Spark ML estimators stand in for the reference's models:
   200 rounds, depth 6, step 0.05, 80 % row and feature sampling, and
   ``neg/pos`` weight on positives in place of ``scale_pos_weight``.
 
-Folds come from ``pmod(xxhash64(key, seed), k)``: deterministic whatever the
-partitioning, and without a window over whole label groups. Fold fits run
-concurrently from a thread pool, as ``CrossValidator(parallelism=...)`` does.
+Folds are stratified: clients of one label in the order of ``md5(key|seed)`` take
+the folds in turn. Their ranks are running totals over ranges
+(:func:`prefix_sums`), so no window holds a whole label, and the folds do not
+depend on the partitioning. Every fold fit weighs and regularises by the rows
+it is fitted on. Fold fits run concurrently from a thread pool, as
+``CrossValidator(parallelism=...)`` does; the metrics of all models and folds
+come from one grouped pass.
 Calibration is Platt's sigmoid (with his target smoothing) fitted by a
 one-feature weighted ``LogisticRegression`` on out-of-fold scores; the
 calibrated probability is the mean of the fold calibrators, as in a k-fold
@@ -42,6 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as FX
+from ..functions.cumulative import prefix_sums
 from ..session import cut_lineage
 from . import metrics as M
 
@@ -88,9 +93,11 @@ def default_specs(overrides: dict | None = None) -> list[ModelSpec]:
     return [ModelSpec(n, kinds[n], overrides.get(n, {})) for n in FX.MODEL_NAMES]
 
 
-def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """T4: balanced weights ``n / (2 n_class)`` and ``neg/pos`` on positives."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+def with_weights(df: DataFrame, label: str = "label", counts: dict | None = None) -> DataFrame:
+    """T4: balanced weights ``n / (2 n_class)`` and ``neg/pos`` on positives;
+    ``counts`` holds the rows per class where they are known."""
+    if counts is None:
+        counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     n = sum(counts.values())
     pos, neg = counts.get(1.0, counts.get(1, 0)), counts.get(0.0, counts.get(0, 0))
     if pos == 0 or neg == 0:
@@ -102,8 +109,14 @@ def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
     })
 
 
-def fold_of(key: str, k: int, seed: int = SEED) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int")
+def with_folds(df: DataFrame, key: str, label: str, k: int, seed: int = SEED,
+               out: str = "fold") -> DataFrame:
+    """A stratified fold 0..k-1 per row; ``df`` is read more than once."""
+    order = F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))).alias("h"),
+                     F.col(key).alias("k"))
+    ranked = prefix_sums(df.withColumns({"__order": order, "__one": F.lit(1)}), [label], "__order", ["__one"])
+    return ranked.withColumn(out, F.pmod(F.col("cum___one") - 1, F.lit(k)).cast("int")) \
+        .drop("__order", "__one", "cum___one")
 
 
 def platt(scores: DataFrame, score: str = "s", label: str = "label") -> tuple[float, float]:
@@ -208,74 +221,96 @@ def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "chur
     specs = specs or default_specs()
     va = VectorAssembler(inputCols=feature_names, outputCol="features")
     data = va.transform(X).select(key, "features", F.col(label).cast("double").alias("label"))
-    data = with_weights(data)
-    data = data.withColumns({"cv_fold": fold_of(key, cv_folds), "cal_fold": fold_of(key, calibration_folds, SEED + 1)})
+    data = with_folds(cut_lineage(data, "training"), key, "label", cv_folds, SEED, "cv_fold")
+    data = with_folds(data, key, "label", calibration_folds, SEED + 1, "cal_fold")
     data = cut_lineage(data, "training")
-    n = data.count()
+    # rows per label and fold: at most 2 x folds numbers per fold column
+    sizes = {f: {(r[0], r[1]): r[2] for r in data.groupBy(f, "label").count().collect()}
+             for f in ("cv_fold", "cal_fold")}
+    n = sum(sizes["cv_fold"].values())
     # bagging and row sampling are seeded per partition: the same rows in the
     # same order in the same partitions give the same model on any cluster
     data = data.repartition(fit_partitions, key).sortWithinPartitions(key)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     data.count()
-    churn_rate = data.agg(F.avg("label")).first()[0]
+    churn_rate = sum(c for (_, y), c in sizes["cv_fold"].items() if y == 1.0) / n if n else None
 
-    def fit(spec, frame, tag):
-        return spec.estimator(n, tag).fit(frame)
+    took = {s.name: 0.0 for s in specs}   # seconds of a model's fits
+
+    def fit(spec, tag, column="cv_fold", held=None):
+        began, counts = time.time(), {}
+        for (f, y), c in sizes[column].items():
+            if f != held:
+                counts[y] = counts.get(y, 0) + c
+        frame = data if held is None else data.where(F.col(column) != held)
+        model = spec.estimator(sum(counts.values()), tag).fit(with_weights(frame, counts=counts))
+        took[spec.name] += time.time() - began
+        return model
 
     jobs = {}
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         for spec in specs:
-            jobs[(spec.name, "full")] = pool.submit(fit, spec, data, "")
+            jobs[(spec.name, "full")] = pool.submit(fit, spec, "")
             for i in range(cv_folds):
-                jobs[(spec.name, "cv", i)] = pool.submit(fit, spec, data.where(F.col("cv_fold") != i), f"_f{i}")
+                jobs[(spec.name, "cv", i)] = pool.submit(fit, spec, f"_f{i}", "cv_fold", i)
             if calibration_folds != cv_folds:
                 for i in range(calibration_folds):
-                    jobs[(spec.name, "cal", i)] = pool.submit(
-                        fit, spec, data.where(F.col("cal_fold") != i), f"_f{i}")
+                    jobs[(spec.name, "cal", i)] = pool.submit(fit, spec, f"_f{i}", "cal_fold", i)
         fitted = {k: v.result() for k, v in jobs.items()}
 
-    rows, rocs, imps, models, base = [], [], [], {}, {}
+    def out_of_fold(tag, column, k):
+        """(model, fold, label, score) of all models over their held-out folds."""
+        held = None
+        for spec in specs:
+            for i in range(k):
+                s = fitted[(spec.name, tag, i)].transform(data.where(F.col(column) == i)).select(
+                    F.lit(spec.name).alias("model"), F.lit(i).alias("fold"), "label",
+                    spec.score_expr(f"_f{i}").alias("score"))
+                held = s if held is None else held.unionByName(s)
+        return cut_lineage(held, f"{tag}-scores")
+
+    tag, column = ("cv", "cv_fold") if calibration_folds == cv_folds else ("cal", "cal_fold")
+    cv_scores = out_of_fold("cv", "cv_fold", cv_folds)
+    cal_scores = cv_scores if tag == "cv" else out_of_fold(tag, column, calibration_folds)
+    # Out-of-fold AUC of every model and fold, in one pass
+    fold_auc = {(r["model"], r["fold"]): r["auc"] for r in M.auc(cv_scores, by=["model", "fold"]).collect()}
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        # Platt per calibration fold on out-of-fold scores
+        coefs = {(s.name, i): pool.submit(platt, cal_scores.where((F.col("model") == s.name) & (F.col("fold") == i)),
+                                          "score") for s in specs for i in range(calibration_folds)}
+        coefs = {k: v.result() for k, v in coefs.items()}
+
+    models, base, scored = {}, {}, None
     for spec in specs:
-        t0 = time.time()
-        # Out-of-fold AUC per CV fold
-        cv_aucs = []
-        for i in range(cv_folds):
-            held = fitted[(spec.name, "cv", i)].transform(data.where(F.col("cv_fold") == i))
-            s = held.select(F.col("label"), spec.score_expr(f"_f{i}").alias("score"))
-            cv_aucs.append(M.auc(s).first()["auc"])
+        members = [fitted[(spec.name, tag, i)] for i in range(calibration_folds)]
+        models[spec.name] = CalibratedModel(spec, members, [coefs[spec.name, i] for i in range(calibration_folds)],
+                                            feature_names)
+        base[spec.name] = fitted[(spec.name, "full")]
+        own = models[spec.name].transform(data, out="score", keep=["label"]).withColumn("model", F.lit(spec.name))
+        scored = own if scored is None else scored.unionByName(own)
+    # In-sample calibrated probabilities (as the reference reports)
+    scored = cut_lineage(scored, "in-sample-scores")
+    auc = {r["model"]: r["auc"] for r in M.auc(scored).collect()}
+    classes = {r["model"]: r for r in M.classification_metrics(
+        scored.withColumn("prediction", (F.col("score") > 0.5).cast("int"))).collect()}
+    roc = M.roc_points(scored)
+
+    rows, imps = [], []
+    for spec in specs:
+        cv_aucs = [fold_auc.get((spec.name, i)) for i in range(cv_folds)]
         if any(a is None for a in cv_aucs):
             raise ValueError(f"{spec.name}: a CV fold lacks one of the classes")
         cv_mean = sum(cv_aucs) / len(cv_aucs)
         cv_std = math.sqrt(sum((a - cv_mean) ** 2 for a in cv_aucs) / len(cv_aucs))
-        # Platt per calibration fold on out-of-fold scores
-        tag, fcol = ("cv", "cv_fold") if calibration_folds == cv_folds else ("cal", "cal_fold")
-        members, coefs = [], []
-        for i in range(calibration_folds):
-            m = fitted[(spec.name, tag, i)]
-            held = m.transform(data.where(F.col(fcol) == i))
-            coefs.append(platt(held.select("label", spec.score_expr(f"_f{i}").alias("s"))))
-            members.append(m)
-        cal = CalibratedModel(spec, members, coefs, feature_names)
-        models[spec.name] = cal
-        base[spec.name] = fitted[(spec.name, "full")]
-        # In-sample calibrated probabilities (as the reference reports)
-        scored = cal.transform(data, out="score", keep=["label"])
-        scored = cut_lineage(scored.withColumn("model", F.lit(spec.name)))
-        auc = M.auc(scored).first()["auc"]
-        cm = M.classification_metrics(
-            scored.withColumn("prediction", (F.col("score") > 0.5).cast("int"))).first()
-        rocs.append(M.roc_points(scored))
+        cm = classes[spec.name]
         for r, (f, v) in enumerate(importances(spec, base[spec.name], feature_names)):
             imps.append((spec.name, r + 1, f, v))
-        rows.append((spec.name, round(auc, 4), cm["precision"], cm["recall"], cm["f1"], cm["accuracy"],
-                     round(cv_mean, 4), round(cv_std, 4), round(time.time() - t0, 2)))
+        rows.append((spec.name, round(auc[spec.name], 4), cm["precision"], cm["recall"], cm["f1"], cm["accuracy"],
+                     round(cv_mean, 4), round(cv_std, 4), round(took[spec.name], 2)))
 
     metrics_df = spark.createDataFrame(rows, "model string, auc_roc double, precision double, recall double, "
                                              "f1 double, accuracy double, cv_auc_mean double, cv_auc_std double, "
                                              "train_time_sec double")
-    roc = rocs[0]
-    for r in rocs[1:]:
-        roc = roc.unionByName(r)
     imp_df = spark.createDataFrame(imps, "model string, rank int, feature string, importance double")
     best = max(rows, key=lambda r: (r[1], -FX.MODEL_NAMES.index(r[0]) if r[0] in FX.MODEL_NAMES else 0))
     data.unpersist()

@@ -5,14 +5,15 @@ Jobs, whatever the table width:
 1. one grouped exact-quantile job for the IQR quartiles of every numeric column
    (unpivoted ``(column, value)`` rows grouped by column; two numbers per
    column reach the driver);
-2. one wide aggregation for nulls, non-null counts, distinct counts and fence
-   counts of all columns, unpivoted to a row per column;
-3. one aggregation over all columns for duplicate rows.
-
-Issues and scores are column expressions on the per-column rows, so the report
-stays a lazy DataFrame. ``distinct="approx"`` swaps the exact distinct counts
-(which Spark evaluates by expanding every row once per column) for
-HyperLogLog sketches.
+2. one wide aggregation for nulls, non-null counts and fence counts of all
+   columns (one row), and one of ``(column, value)`` rows for their exact distinct
+   counts: the copies of a value meet before the shuffle, and no row is expanded
+   to the width of the table. ``distinct="approx"`` takes HyperLogLog sketches in
+   the wide aggregation instead;
+3. one aggregation over all columns for duplicate rows (lazy).
+
+The numbers of 1 and 2, a few per column, reach the driver once; report and
+table summary are expressions on these rows, so using them again reads no data.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def iqr_quartiles(df: DataFrame, cols: list[str], probs=(0.25, 0.75),
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), _clean(df, c).cast("double").alias("v"))
         for c in cols])).alias("kv")).select("kv.column", "kv.v")
-    rows = quantiles(long, "v", list(probs), by=["column"], accuracy=accuracy).collect()
+    rows = quantiles(long, "v", list(probs), by=["column"], accuracy=accuracy,
+                     broadcast_groups=True).collect()
     got = {r["column"]: r["edges"] for r in rows}
     return {c: got.get(c) for c in cols}
 
@@ -91,30 +93,44 @@ def profile_dataframe(df: DataFrame, distinct: str = "exact",
             iqr = e[1] - e[0]
             fences[c] = (e[0] - X.IQR_FACTOR * iqr, e[1] + X.IQR_FACTOR * iqr)
 
-    dist = F.count_distinct if distinct == "exact" else F.approx_count_distinct
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
         v = _clean(df, c)
-        aggs += [F.count_if(v.isNull()).alias(f"m{i}"), F.count(v).alias(f"nn{i}"),
-                 dist(v).alias(f"d{i}")]
+        aggs += [F.count_if(v.isNull()).alias(f"m{i}"), F.count(v).alias(f"nn{i}")]
+        if distinct == "approx":
+            aggs.append(F.approx_count_distinct(v).alias(f"d{i}"))
         if c in fences:
             lo, hi = fences[c]
             aggs.append(F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"o{i}"))
         else:
             aggs.append(F.lit(0).cast("long").alias(f"o{i}"))
-    wide = df.agg(*aggs)
-    long = wide.select("n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
-                 F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                 F.lit(c in numeric).alias("numeric"),
-                 F.col(f"m{i}").alias("missing_count"), F.col(f"nn{i}").alias("nonnull"),
-                 F.col(f"d{i}").cast("long").alias("n_distinct"),
-                 F.col(f"o{i}").alias("outlier_count"))
-        for i, c in enumerate(cols)])).alias("r")).select("n", "r.*")
+    wide = df.agg(*aggs).first()
+    n_distinct = {i: wide[f"d{i}"] for i in range(len(cols))} if distinct == "approx" else distinct_counts(df)
+    long = df.sparkSession.createDataFrame(
+        [(wide["n"], i, c, df.schema[c].dataType.simpleString(), c in numeric, wide[f"m{i}"], wide[f"nn{i}"],
+          n_distinct.get(i, 0), wide[f"o{i}"]) for i, c in enumerate(cols)],
+        "n long, ordinal int, column string, dtype string, numeric boolean, missing_count long, nonnull long, "
+        "n_distinct long, outlier_count long")
     report = column_scores(long)
     return HealthReport(report, table_summary(df, report), fences)
 
 
+def distinct_counts(df: DataFrame) -> dict[int, int]:
+    """Exact distinct non-null values per column position."""
+    def text(c):
+        kind = df.schema[c].dataType
+        v = _clean(df, c)
+        if isinstance(kind, (DoubleType, FloatType)):
+            v = v.cast("double") + F.lit(0.0)   # -0.0 is 0.0
+        return F.hex(v) if kind.simpleString() == "binary" else v.cast("string")
+
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(df.columns)])).alias("r")) \
+        .select("r.i", "r.v").where(F.col("v").isNotNull())
+    return {r["i"]: r["n"] for r in values.groupBy("i", "v").agg(F.lit(1).alias("one"))
+            .groupBy("i").agg(F.count("one").alias("n")).collect()}
+
+
 def column_scores(long: DataFrame) -> DataFrame:
     """P1-P6 as expressions on rows ``(n, column, missing_count, nonnull, ...)``."""
     n = F.col("n")

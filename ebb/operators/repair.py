@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.quantiles import DEFAULT_ACCURACY
+from ..session import cut_lineage
 from .profile import HealthReport, _clean, iqr_quartiles, profile_dataframe
 
 
@@ -38,27 +39,32 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     return {c: got.get(c) for c in cols}
 
 
+def drop_duplicate_rows(df: DataFrame, report: HealthReport) -> DataFrame:
+    """rows equal on all columns once; written, as several jobs read them."""
+    if report.table.select("duplicate_rows").first()[0] == 0:
+        return df
+    return cut_lineage(df.dropDuplicates(), "deduped")
+
+
 def fit_repair(df: DataFrame, report: HealthReport,
                accuracy: int = DEFAULT_ACCURACY) -> dict:
-    """Statistics for :func:`apply_repair` (a few values per column)."""
+    """Statistics for :func:`apply_repair` (a few values per column), from the
+    rows as they are repaired (:func:`drop_duplicate_rows`)."""
     rows = report.columns.collect()
-    dupes = report.table.select("duplicate_rows").first()[0]
-    base = df.dropDuplicates() if dupes > 0 else df
     numeric = {r["column"] for r in rows if r["numeric"]}
     fill_num = [r["column"] for r in rows if r["numeric"] and r["missing_pct"] > 0]
     clip = [r["column"] for r in rows if r["numeric"] and r["outlier_pct"] > X.OUTLIERS_MODERATE_PCT]
     fill_other = [r["column"] for r in rows if not r["numeric"] and r["missing_pct"] > 0]
     need_q = [c for c in df.columns if c in set(fill_num) | set(clip)]
-    q = iqr_quartiles(base, need_q, probs=(X.WINSOR_LOW, 0.5, X.WINSOR_HIGH), accuracy=accuracy)
-    modes = column_modes(base, fill_other)
-    return {"dedupe": dupes > 0, "numeric": numeric,
+    q = iqr_quartiles(df, need_q, probs=(X.WINSOR_LOW, 0.5, X.WINSOR_HIGH), accuracy=accuracy)
+    modes = column_modes(df, fill_other)
+    return {"numeric": numeric,
             "median": {c: (q[c][1] if q.get(c) else None) for c in fill_num},
             "clip": {c: (q[c][0], q[c][2]) for c in clip if q.get(c)},
             "mode": {c: modes.get(c) for c in fill_other}}
 
 
 def apply_repair(df: DataFrame, fit: dict) -> DataFrame:
-    base = df.dropDuplicates() if fit["dedupe"] else df
     out = []
     for c in df.columns:
         col = F.col(f"`{c}`")
@@ -82,11 +88,12 @@ def apply_repair(df: DataFrame, fit: dict) -> DataFrame:
             col = (F.when(col < F.lit(lo), F.lit(lo))
                     .when(col > F.lit(hi), F.lit(hi)).otherwise(col))
         out.append(col.alias(c))
-    return base.select(*out)
+    return df.select(*out)
 
 
 def auto_fix_dataframe(df: DataFrame, report: HealthReport | None = None,
                        accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """F1 (dedupe when duplicates exist) -> F2/F3 fills -> F4 clip."""
     report = report or profile_dataframe(df, accuracy=accuracy)
-    return apply_repair(df, fit_repair(df, report, accuracy))
+    base = drop_duplicate_rows(df, report)
+    return apply_repair(base, fit_repair(base, report, accuracy))

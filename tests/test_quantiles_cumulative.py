@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ebb.functions.cumulative import prefix_sums
+from ebb.functions.cumulative import place, prefix_sums
 from ebb.functions.quantiles import quantiles
 
 PROBS = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
@@ -44,7 +44,7 @@ def test_prefix_sums_match_cumsum(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 2000), "x": rng.permutation(2000).astype(float),
                         "c": rng.integers(1, 9, 2000)})
-    out = prefix_sums(spark.createDataFrame(pdf), ["g"], "x", ["c"], buckets=16).toPandas()
+    out = prefix_sums(spark.createDataFrame(pdf), ["g"], "x", ["c"], rows_per_bucket=100).toPandas()
     pdf = pdf.sort_values(["g", "x"])
     pdf["want"] = pdf.groupby("g")["c"].cumsum()
     m = out.merge(pdf, on=["g", "x", "c"])
@@ -61,14 +61,28 @@ def test_quantiles_without_group_broadcast(spark):
     pdf = pd.DataFrame({"g": rng.integers(0, 50, 2000), "v": rng.normal(0, 1, 2000)})
     a = {r["g"]: r["edges"] for r in quantiles(spark.createDataFrame(pdf), "v", [0.1, 0.5], by=["g"]).collect()}
     b = {r["g"]: r["edges"] for r in quantiles(spark.createDataFrame(pdf), "v", [0.1, 0.5], by=["g"],
-                                                  broadcast_groups=False).collect()}
+                                                  broadcast_groups=True).collect()}
     assert a == b and len(a) == 50
 
 
-def test_prefix_sums_without_group_broadcast(spark):
+def test_prefix_sums_of_many_groups(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": rng.integers(0, 40, 1000), "x": rng.permutation(1000).astype(float), "c": 1})
+    pdf.loc[pdf["g"] == 39, "g"] = None   # a null group is a group
     a = prefix_sums(spark.createDataFrame(pdf), ["g"], "x", ["c"]).toPandas().sort_values(["g", "x"])
-    b = prefix_sums(spark.createDataFrame(pdf), ["g"], "x", ["c"], broadcast_groups=False).toPandas() \
+    b = prefix_sums(spark.createDataFrame(pdf), ["g"], "x", ["c"], rows_per_bucket=10).toPandas() \
         .sort_values(["g", "x"])
-    assert list(a["cum_c"]) == list(b["cum_c"])
+    assert len(a) == 1000 and list(a["cum_c"]) == list(b["cum_c"])
+
+
+def test_no_window_holds_a_share_of_the_rows(spark):
+    """One group of 20,000 rows: the largest (group, range) stays near the bound."""
+    df = spark.range(20000).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("x"))
+    assert place(df, ["g"], "x", rows_per_bucket=500).groupBy("g", "_b").count().agg(F.max("count")).first()[0] < 1500
+
+
+def test_quantiles_with_narrow_ranges(spark):
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"v": rng.lognormal(3, 1, 4000)})
+    got = quantiles(spark.createDataFrame(pdf), "v", PROBS, accuracy=5, rows_per_bucket=20).first()["edges"]
+    assert got == duckdb.sql(f"select quantile_cont(v, {PROBS}) from pdf").fetchall()[0][0]
