@@ -28,11 +28,11 @@ ROWS_PER_BUCKET = 100_000
 
 
 def place(df: DataFrame, by: Sequence[str], order: str, descending: bool = False,
-          rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+          rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None) -> DataFrame:
     """Adds ``_b``: the number of the range a row lies in, rising in ``order``
     inside each group. The ranges are written once, so their numbers hold for
     every later read."""
-    parts = max(1, math.ceil(df.count() / rows_per_bucket))
+    parts = max(1, math.ceil((df.count() if rows is None else rows) / rows_per_bucket))
     if parts == 1:
         return df.withColumn("_b", F.lit(0))
     o = F.col(order).desc() if descending else F.col(order).asc()
@@ -42,15 +42,16 @@ def place(df: DataFrame, by: Sequence[str], order: str, descending: bool = False
 
 def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str],
                 rows_per_bucket: int = ROWS_PER_BUCKET, descending: bool = False,
-                out_prefix: str = "cum_") -> DataFrame:
+                out_prefix: str = "cum_", rows: int | None = None) -> DataFrame:
     """Add inclusive running sums ``cum_<s>`` of ``sums`` in ``order`` per ``by``.
 
     ``order`` must be unique within a group. ``descending`` runs from the
-    largest value down. Groups may be few or many and of any size.
+    largest value down. Groups may be few or many and of any size. ``rows`` is
+    the number of rows, where the caller knows it.
     """
     by = list(by)
     cols = list(df.columns)
-    b = place(df, by, order, descending, rows_per_bucket)
+    b = place(df, by, order, descending, rows_per_bucket, rows)
     o = F.col(order).desc() if descending else F.col(order).asc()
     # a row per group and range it reaches into
     tot = b.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])

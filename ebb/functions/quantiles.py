@@ -79,10 +79,11 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     while True:
         cand = cut_lineage(_candidates(base, keys, probs, slack, accuracy, broadcast_groups or not by),
                            "quantile-candidates")
-        if slack >= 1 or _missed(cand, keys, probs).isEmpty():
+        rows, missed = _check(cand, keys, probs)
+        if slack >= 1 or not missed:
             break
         slack *= 8
-    return _finish(df, _pick(cand, keys, probs, out, rows_per_bucket), by, keys, out)
+    return _finish(df, _pick(cand, keys, probs, out, rows, rows_per_bucket), by, keys, out)
 
 
 def _sketch(base: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int, out: str) -> DataFrame:
@@ -118,18 +119,20 @@ def _rank(probs: list[float]) -> Column:
     return (F.col("n") - 1).cast("double") * F.array(*[F.lit(p) for p in probs])[F.col("i")]
 
 
-def _missed(cand: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Brackets whose rank lies further out than their neighbours."""
+def _check(cand: DataFrame, keys: list[str], probs: list[float]) -> tuple[int, int]:
+    """The number of candidates, and of brackets whose rank lies further out than their neighbours."""
     held = cand.groupBy(*keys, "n", "i").agg(
         F.sum(F.when(F.col("cls") == 0, F.col("c")).otherwise(0)).alias("below"),
-        F.sum("c").alias("known"))
+        F.sum("c").alias("known"), F.count("c").alias("rows"))
     rn = _rank(probs)
-    return held.where((F.floor(rn) < F.col("below") - 1) | (F.ceil(rn) >= F.col("known")))
+    missed = (F.floor(rn) < F.col("below") - 1) | (F.ceil(rn) >= F.col("known"))
+    return tuple(held.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count_if(missed)).first())
 
 
-def _pick(cand: DataFrame, keys: list[str], probs: list[float], out: str, rows_per_bucket: int) -> DataFrame:
+def _pick(cand: DataFrame, keys: list[str], probs: list[float], out: str, rows: int,
+          rows_per_bucket: int) -> DataFrame:
     """The order statistics at the ranks, interpolated."""
-    ranked = (prefix_sums(cand, [*keys, "i"], "x", ["c"], rows_per_bucket)
+    ranked = (prefix_sums(cand, [*keys, "i"], "x", ["c"], rows_per_bucket, rows=rows)
               .withColumnRenamed("cum_c", "cum").withColumn("rn", _rank(probs))
               .withColumn("k", F.floor("rn").cast("long"))
               .withColumn("k1", F.ceil("rn").cast("long")))

@@ -73,11 +73,12 @@ def permutation_contributions(score_fn, X: DataFrame, features: Sequence[str], k
     perms = base_rows.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("p"))
     # Spread the (row, permutation) pairs before they expand F+1-fold and are
     # scored: an explicit partition count (not coalesced by AQE) sized by the
-    # number of model evaluations; the window below reuses this partitioning.
+    # number of model evaluations. By key alone, so that the window per (key, p)
+    # and the mean per (key, ordinal) below both reuse this partitioning.
     rows = X.count()
     work = rows * permutations * (nf + 1)
     parts = max(X.sparkSession.sparkContext.defaultParallelism, math.ceil(work / EVALS_PER_PARTITION))
-    perms = perms.repartition(parts, key, "p")
+    perms = perms.repartition(parts, key)
     # order[j] = feature entering at step j+1; pos[i] = step at which feature i enters
     order = F.transform(F.array_sort(F.transform(
         idx, lambda i: F.struct(F.xxhash64(F.col(key), F.col("p"), i, F.lit(seed)).alias("h"), i.alias("i")))),

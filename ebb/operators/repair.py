@@ -80,7 +80,7 @@ def apply_repair(df: DataFrame, fit: dict) -> DataFrame:
             m = fit["mode"][c]
             if m is None:
                 # no value at all: the fixed UNKNOWN; other types have no such value and stay null
-                col = F.coalesce(col, F.lit(X.FILL_UNKNOWN)) if dt == "string" else col
+                col = F.coalesce(col, F.lit(X.FILL_UNKNOWN)) if dt.simpleString() == "string" else col
             else:
                 col = F.coalesce(col, F.lit(m).cast(dt))
         if c in fit["clip"]:

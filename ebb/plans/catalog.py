@@ -1,7 +1,8 @@
 """Registered queries: name -> (Spark callable, SQL twin or None).
 
-Each callable takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-whole source tables. The SQL twin, when present, is the oracle for the same
+Each callable takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
+source tables; most run jobs while they are built (statistics, written
+tables). The SQL twin, when present, is the oracle for the same
 result on the same tables.
 """
 
@@ -34,8 +35,15 @@ def register(name: str, sql: str | None = None):
 _MARTS: dict = {}
 
 
-def _app(spark) -> str:
-    return spark.sparkContext.applicationId
+def _state(spark, sf_dir) -> tuple:
+    """The application, the folder and the sizes and times of its files: a
+    result kept under it is not used for tables that have changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return spark.sparkContext.applicationId, sf_dir, tuple(sorted(found))
 
 
 def _mart(spark, sf_dir, which):
@@ -47,7 +55,7 @@ def _mart(spark, sf_dir, which):
     recomputing the source joins, and a lost executor re-reads files rather
     than re-running the scans.
     """
-    k = (_app(spark), sf_dir, which)
+    k = (*_state(spark, sf_dir), which)
     if k not in _MARTS:
         m = client_mart(spark, sf_dir) if which == "client" else events_mart(spark, sf_dir)
         _MARTS[k] = cut_lineage(m, f"{which}-mart")
@@ -139,6 +147,28 @@ def q_repair_mart(spark, sf_dir):
     return repair.auto_fix_dataframe(_mart(spark, sf_dir, "client"))
 
 
+@register("profile_dirty_columns", S.profile_columns_sql(S.DIRTY_SQL, S.DIRTY_SCHEMA))
+def q_profile_dirty(spark, sf_dir):
+    return _profile_view(profile.profile_dataframe(_dirty(spark, sf_dir)))
+
+
+@register("profile_dirty_table", S.profile_table_sql(S.DIRTY_SQL, S.DIRTY_SCHEMA))
+def q_profile_dirty_table(spark, sf_dir):
+    return _table_view(profile.profile_dataframe(_dirty(spark, sf_dir)))
+
+
+@register("repair_dirty", S.repair_sql(S.DIRTY_SQL, S.DIRTY_SCHEMA))
+def q_repair_dirty(spark, sf_dir):
+    return repair.auto_fix_dataframe(_dirty(spark, sf_dir))
+
+
+def _dirty(spark, sf_dir):
+    """The mart with damage by the key: nulls, outliers, a constant, an empty
+    column, and a fifth of the rows twice (P4, P5, P7, F1, F3)."""
+    d = _mart(spark, sf_dir, "client").selectExpr(*[f"{e} AS {c}" for c, e in S.DIRTY_COLUMNS.items()])
+    return d.unionByName(d.where("client_id % 5 = 0"))
+
+
 # --- features ------------------------------------------------------------------
 
 @register("features_matrix", S.features_sql())
@@ -173,6 +203,20 @@ register("drift_alerts_events", S.drift_alerts_sql("events"))(
     lambda spark, sf_dir: drift.drift_alerts(_events_drift(spark, sf_dir)))
 
 
+def _shifted_drift(spark, sf_dir):
+    """Columns of the mart whose second half is changed by rules of different strength."""
+    ids = _mart(spark, sf_dir, "client").select("client_id")
+    ref, cur = drift.split_halves(ids, "client_id")
+    cols = list(S.DRIFT_SHIFTED)
+    return drift.detect_drift(ref.selectExpr(*[f"{a} AS {c}" for c, (a, _) in S.DRIFT_SHIFTED.items()]),
+                              cur.selectExpr(*[f"{b} AS {c}" for c, (_, b) in S.DRIFT_SHIFTED.items()]), cols)
+
+
+register("drift_shifted", S.drift_sql("shifted"))(_shifted_drift)
+register("drift_alerts_shifted", S.drift_alerts_sql("shifted"))(
+    lambda spark, sf_dir: drift.drift_alerts(_shifted_drift(spark, sf_dir)))
+
+
 # --- recommendations and dashboard on the fixed scorer ----------------------------
 
 def _recs(spark, sf_dir, sort=True):
@@ -209,6 +253,28 @@ register("optimal_threshold_rule", S.optimal_threshold_sql())(
     lambda spark, sf_dir: metrics.optimal_threshold(_scored_labels(spark, sf_dir)))
 
 
+@register("class_weights", S.class_weights_sql())
+def q_class_weights(spark, sf_dir):
+    labels = _mart(spark, sf_dir, "client").select(F.col("churned").cast("double").alias("label"))
+    w = models.with_weights(labels)
+    return w.groupBy("label").agg(F.max("w_bal").alias("w_bal"), F.max("w_pos").alias("w_pos"))
+
+
+@register("fold_assignment", S.folds_sql(5, models.SEED))
+def q_folds(spark, sf_dir):
+    m = _mart(spark, sf_dir, "client").select("client_id", "churned")
+    return models.with_folds(m, "client_id", "churned", 5)
+
+
+def _fold_scores(spark, sf_dir):
+    m = models.with_folds(_mart(spark, sf_dir, "client"), "client_id", "churned", 5)
+    return m.select("fold", F.col("churned").alias("label"), RULE_SCORER.probability().alias("score"))
+
+
+register("fold_auc_rule", S.fold_auc_sql(5, models.SEED))(
+    lambda spark, sf_dir: metrics.auc(_fold_scores(spark, sf_dir), by=["fold"]))
+
+
 # --- explanations of the fixed linear scorer ------------------------------------
 
 def _rule_contribs(spark, sf_dir):
@@ -291,6 +357,19 @@ def _csv_roundtrip(spark, sf_dir):
 register("csv_roundtrip_mart", CLIENT_MART_SQL)(_csv_roundtrip)
 
 
+def _csv_mixed(spark, sf_dir):
+    """Two files of different delimiters, with dates that are none."""
+    mart = _mart(spark, sf_dir, "client").withColumn("activity_date", F.expr(
+        "CASE WHEN client_id % 10 = 0 THEN 'none' ELSE CAST(activity_date AS STRING) END"))
+    path = _scratch(spark, "csv-mixed")
+    for name, sep, rest in (("a", ",", 0), ("b", ";", 1)):
+        mart.where(F.col("client_id") % 2 == rest).write.option("header", True).option("sep", sep).csv(f"{path}/{name}")
+    return csv_io.load_csv(spark, f"{path}/*", schema=mart.schema)
+
+
+register("csv_mixed_delimiters", S.csv_mixed_sql())(_csv_mixed)
+
+
 def _export_roundtrip(spark, sf_dir):
     scored = RULE_SCORER.transform(rfm.compute_rfm(_mart(spark, sf_dir, "client")))
     recs = actions.generate_recommendations(scored)
@@ -310,8 +389,8 @@ TRAIN_CV_FOLDS, CALIBRATION_FOLDS = 5, 3
 
 
 def training(spark, sf_dir):
-    """Fit features and the three calibrated models once per session and folder."""
-    k = (_app(spark), sf_dir)
+    """Fit features and the three calibrated models once per session and state of the folder."""
+    k = _state(spark, sf_dir)
     if k not in _TRAINED:
         mart = _mart(spark, sf_dir, "client")
         fe = features.FeatureEngineer().fit(mart)
@@ -332,7 +411,7 @@ _CONTRIBS: dict = {}
 
 def _model_contribs(spark, sf_dir):
     """Permutation attributions of the best model, written once per session."""
-    k = (_app(spark), sf_dir)
+    k = _state(spark, sf_dir)
     if k not in _CONTRIBS:
         mart, fe, X, rep = training(spark, sf_dir)
         name = rep.best_model_name

@@ -123,6 +123,25 @@ LINEITEM_SCHEMA = [("l_orderkey", "bigint", True), ("l_partkey", "bigint", True)
                    ("l_shipdate", "timestamp_ntz", False)]
 
 
+#: The mart with damage by the key; the same expressions hold in both engines.
+DIRTY_COLUMNS = {
+    "client_id": "client_id",
+    "balance": "CASE WHEN client_id % 3 = 0 THEN NULL ELSE account_balance END",
+    "order_value": "CASE WHEN client_id % 10 = 0 THEN NULL ELSE avg_order_value END",
+    "spikes": "CASE WHEN client_id % 8 = 0 THEN CAST(1000 + client_id AS DOUBLE) ELSE CAST(client_id % 7 AS DOUBLE) END",
+    "bumps": "CASE WHEN client_id % 16 = 0 THEN CAST(500 + client_id AS DOUBLE) ELSE CAST(client_id % 7 AS DOUBLE) END",
+    "one_value": "CAST('same' AS STRING)",
+    "empty": "CAST(NULL AS STRING)",
+    "segment": "CASE WHEN client_id % 4 = 0 THEN NULL ELSE mktsegment END",
+    "day": "CASE WHEN client_id % 6 = 0 THEN NULL ELSE activity_date END",
+}
+DIRTY_SCHEMA = [("client_id", "bigint", True), ("balance", "double", True), ("order_value", "double", True),
+                ("spikes", "double", True), ("bumps", "double", True), ("one_value", "string", False),
+                ("empty", "string", False), ("segment", "string", False), ("day", "date", False)]
+_DIRTY = f"SELECT {', '.join(f'{e} AS {c}' for c, e in DIRTY_COLUMNS.items())} FROM ({CLIENT_MART_SQL})"
+DIRTY_SQL = f"SELECT * FROM ({_DIRTY}) UNION ALL SELECT * FROM ({_DIRTY}) WHERE client_id % 5 = 0"
+
+
 def _msg(template: str, **parts: str) -> str:
     out, rest = [], template
     while "{" in rest:
@@ -213,13 +232,13 @@ FROM t"""
 
 
 def repair_sql(src: str, schema) -> str:
-    """Repaired rows (no duplicates in the sources used, so no dedupe step)."""
+    """Repaired rows: statistics and output over the distinct rows."""
     from ..functions import fixed as X
     num = [c for c, _, isnum in schema if isnum]
     qs = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), [{X.WINSOR_LOW}, 0.5, {X.WINSOR_HIGH}]) AS w_{c}"
                    for c in num)
     modes = ", ".join(
-        f"(SELECT CAST({c} AS VARCHAR) FROM src WHERE {c} IS NOT NULL GROUP BY {c} "
+        f"(SELECT CAST({c} AS VARCHAR) FROM base WHERE {c} IS NOT NULL GROUP BY {c} "
         f"ORDER BY count(*) DESC, {c} ASC LIMIT 1) AS mode_{c}"
         for c, _, isnum in schema if not isnum)
     sel = []
@@ -236,9 +255,10 @@ def repair_sql(src: str, schema) -> str:
             sel.append(f"CASE WHEN {miss} > 0 THEN coalesce({c}, CAST(coalesce(mode_{c}, '{X.FILL_UNKNOWN}') AS {sqlt})) "
                        f"ELSE {c} END AS {c}")
     return profile_ctes(src, schema) + f""",
-w AS (SELECT {qs} FROM src),
+base AS (SELECT DISTINCT * FROM src),
+w AS (SELECT {qs} FROM base),
 md AS (SELECT {modes})
-SELECT {', '.join(sel)} FROM src, w, md"""
+SELECT {', '.join(sel)} FROM base, w, md"""
 
 
 # --- features ------------------------------------------------------------------
@@ -316,6 +336,27 @@ long0 AS ({' UNION ALL '.join(parts)}),
 long AS (SELECT * FROM long0 WHERE value IS NOT NULL AND NOT isnan(value))"""
 
 
+#: Per feature: the value in the first half of the client ids and in the second.
+DRIFT_SHIFTED = {
+    "moved": ("client_id % 100", "client_id % 100 + 60"),
+    "leaning": ("client_id % 100", "CASE WHEN client_id % 100 < 50 AND client_id % 10 IN (1, 4, 7) "
+                                   "THEN client_id % 100 + 50 ELSE client_id % 100 END"),
+    "nudged": ("client_id % 100", "CASE WHEN client_id % 100 < 50 AND client_id % 5 = 0 "
+                                  "THEN client_id % 100 + 50 ELSE client_id % 100 END"),
+    "steady": ("client_id % 100", "client_id % 100"),
+}
+
+
+def drift_long_shifted() -> str:
+    """CTE ``long`` of the changed columns, split at the median client id."""
+    parts = [f"SELECT '{c}' AS feature, CASE WHEN client_id <= med THEN 0 ELSE 1 END AS side, "
+             f"CAST(CASE WHEN client_id <= med THEN {a} ELSE {b} END AS DOUBLE) AS value FROM mart, m"
+             for c, (a, b) in DRIFT_SHIFTED.items()]
+    return with_mart("client", f"""
+m AS (SELECT quantile_cont(client_id, 0.5) AS med FROM mart),
+long AS ({' UNION ALL '.join(parts)})""")
+
+
 def drift_body(names: list[str]) -> str:
     from ..functions import fixed as X
     probs = "[" + ", ".join(str(i / X.PSI_BINS) for i in range(X.PSI_BINS + 1)) + "]"
@@ -366,18 +407,22 @@ result AS (
   FROM drift)"""
 
 
-def drift_sql(which: str) -> str:
+def drift_head(which: str) -> str:
     if which == "client":
-        return drift_long_client() + drift_body(DRIFT_CLIENT_COLS) + """
-SELECT feature, psi, ks_statistic, ks_p_value, drift_detected, severity FROM result"""
-    return drift_long_events() + drift_body(list(DRIFT_EVENT_COLS)) + """
+        return drift_long_client() + drift_body(DRIFT_CLIENT_COLS)
+    if which == "shifted":
+        return drift_long_shifted() + drift_body(list(DRIFT_SHIFTED))
+    return drift_long_events() + drift_body(list(DRIFT_EVENT_COLS))
+
+
+def drift_sql(which: str) -> str:
+    return drift_head(which) + """
 SELECT feature, psi, ks_statistic, ks_p_value, drift_detected, severity FROM result"""
 
 
 def drift_alerts_sql(which: str) -> str:
     from ..functions import fixed as X
-    head = (drift_long_client() + drift_body(DRIFT_CLIENT_COLS) if which == "client"
-            else drift_long_events() + drift_body(list(DRIFT_EVENT_COLS)))
+    head = drift_head(which)
 
     def names(cond):
         return (f"coalesce(string_agg(feature, ', ' ORDER BY psi DESC, feature) "
@@ -507,6 +552,40 @@ SELECT (CAST(sum(CAST(pos AS HUGEINT) * (2 * below + pos + neg + 1)) AS DOUBLE)
 FROM r, tot"""
 
 
+def class_weights_sql() -> str:
+    return with_mart("client", """
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE churned = 1) AS pos, count(*) FILTER (WHERE churned = 0) AS neg FROM mart)
+SELECT DISTINCT CAST(churned AS DOUBLE) AS label, CASE WHEN churned = 1 THEN n / (2.0 * pos) ELSE n / (2.0 * neg) END AS w_bal,
+       CASE WHEN churned = 1 THEN neg / pos ELSE 1.0 END AS w_pos FROM mart, c""")
+
+
+def _folds_cte(k: int, seed: int) -> str:
+    return f"""
+folds AS (SELECT mart.*, CAST((row_number() OVER (PARTITION BY churned
+          ORDER BY md5(CAST(client_id AS VARCHAR) || '|{seed}'), client_id) - 1) % {k} AS INTEGER) AS fold FROM mart)"""
+
+
+def folds_sql(k: int, seed: int) -> str:
+    return with_mart("client", _folds_cte(k, seed) + "\nSELECT client_id, churned, fold FROM folds")
+
+
+def fold_auc_sql(k: int, seed: int) -> str:
+    from ..operators.scoring import rule_score_sql
+    return with_mart("client", _folds_cte(k, seed) + f""",
+c AS (SELECT fold, {rule_score_sql()} AS score, count(*) FILTER (WHERE churned = 1) AS pos,
+             count(*) FILTER (WHERE churned <> 1) AS neg FROM folds GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(pos + neg) OVER (PARTITION BY fold ORDER BY score
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+SELECT fold, (CAST(sum(CAST(pos AS HUGEINT) * (2 * below + pos + neg + 1)) AS DOUBLE) / 2.0
+        - CAST(sum(pos) AS DOUBLE) * (sum(pos) + 1) / 2.0) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS auc
+FROM r GROUP BY fold""")
+
+
+def csv_mixed_sql() -> str:
+    return (f"SELECT * REPLACE (CASE WHEN client_id % 10 = 0 THEN NULL ELSE CAST(activity_date AS TIMESTAMP) END "
+            f"AS activity_date) FROM ({CLIENT_MART_SQL})")
+
+
 def class_metrics_sql() -> str:
     from ..operators.scoring import rule_score_sql
     return with_mart("client", f"""

@@ -15,7 +15,7 @@ def test_profile_dataframe(sample_df):
 
 
 def test_auto_fix_fills_injected_null(sample_df):
-    dirty = sample_df.withColumn("total_revenue", F.when(F.col("client_id") == "C0000", None)
+    dirty = sample_df.withColumn("total_revenue", F.when(F.col("support_tickets") == 0, None)
                                  .otherwise(F.col("total_revenue")))
     fixed = auto_fix_dataframe(dirty)
     assert fixed.where(F.col("total_revenue").isNull()).count() == 0

@@ -19,6 +19,11 @@ def test_all_null_date_stays_null(spark):
     assert auto_fix_dataframe(df).where("day is null").count() == 6
 
 
+def test_all_null_string_is_filled(spark):
+    df = spark.range(6).select("id", F.lit(None).cast("string").alias("note"))
+    assert {r["note"] for r in auto_fix_dataframe(df).collect()} == {"UNKNOWN"}
+
+
 def test_score_space():
     assert [explain.score_space(k) for k in ("lr", "rf", "gbt")] == ["margin", "probability", "probability"]
 
