@@ -120,7 +120,8 @@ def test_url_rules_and_graph(spark):
     links = {"a.org": ["b.net"], "b.net": ["c.net"], "spam.net": ["www.example.org"], "c.net": []}
     pages = [(i, f"http://{h}/p", "".join(f'<a href="https://{t}/x">' for t in to), "clash") for i, (h, to) in enumerate(links.items())]
     pages += [(10, "http://WWW.example.org/es/1?x", None, "c"), (11, None, "", "c"), (12, "no scheme", "<a href='/r'>", "c"),
-              (13, "https://x.com/fr/9#t", None, "c"), (14, "https://example.org/en/12", None, "c"), (14, "https://org", "", "c")]
+              (13, "https://x.com/fr/9#t", None, "c"), (14, "https://example.org/en/12", None, "c"), (14, "https://org", "", "c"),
+              (15, "http://a.com?to=http://b.com/fr/1", None, "c"), (16, "http://A.com#x://y/z", None, "c")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
     got = {(r["page_id"], r["host"]): (r["path"], r["rule"], r["verdict"]) for r in url_filter.url_filter(df).collect()}
     assert got[10, "www.example.org"] == ("/es/1", "example.org/es/", "block")
@@ -128,6 +129,7 @@ def test_url_rules_and_graph(spark):
     assert got[13, "x.com"] == ("/fr/9", "com/fr/", "allow")
     assert got[14, "example.org"] == ("/en/12", "example.org/en/1", "block")
     assert got[14, "org"] == ("", None, "allow")
+    assert got[15, "a.com"] == got[16, "a.com"] == ("", None, "allow")  # a second :// is no host
     assert got[1, "b.net"][2] == got[3, "c.net"][2] == "allow" and got[2, "spam.net"][2] == "block"
     assert url_filter.url_filter(df.limit(0)).count() == 0
     # the flows against a plain power iteration
