@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def col(name: str) -> Column:
+    """A column by its literal name (dots, spaces and quotes allowed)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def norm_name(name: str) -> str:
     """Column-name normal form: lower case, trimmed, spaces to underscores."""
     return name.lower().strip().replace(" ", "_")

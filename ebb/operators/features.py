@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from ..functions import fixed as X
-from ..functions.exprs import is_numeric_type, norm_name
+from ..functions.exprs import col, is_numeric_type, norm_name
 from ..functions.quantiles import DEFAULT_ACCURACY, quantiles
 
 MISSING = "MISSING"
@@ -89,21 +89,21 @@ class FeatureModel:
     def _raw(self) -> dict[str, Column]:
         out: dict[str, Column] = {}
         for c in self.numeric:
-            out[c] = F.col(c).cast("double")
+            out[c] = col(c).cast("double")
         for c, cats in self.binary.items():
-            v = _as_category(F.col(c))
+            v = _as_category(col(c))
             code = F.lit(-1.0)
             for i, cat in reversed(list(enumerate(cats))):
                 code = F.when(v == cat, F.lit(float(i))).otherwise(code)
             out[c] = code
         for num, den, name, q99 in self.ratios:
-            r = F.try_divide(F.col(num).cast("double"),
-                             F.when(F.col(den) != 0, F.col(den).cast("double")))
+            r = F.try_divide(col(num).cast("double"),
+                             F.when(col(den) != 0, col(den).cast("double")))
             r = F.coalesce(r, F.lit(0.0))
             out[name] = F.when(r < 0, F.lit(0.0)).when(r > F.lit(q99), F.lit(q99)).otherwise(r) \
                 if q99 is not None else F.when(r < 0, F.lit(0.0)).otherwise(r)
         for c, cats in self.onehot.items():
-            v = _as_category(F.col(c))
+            v = _as_category(col(c))
             for cat in cats[1:]:
                 out[f"{c}_{cat}"] = F.when(v == cat, F.lit(1.0)).otherwise(F.lit(0.0))
         return out
@@ -115,7 +115,7 @@ class FeatureModel:
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Keys, features (standardised when fitted so) and the target if present."""
         exprs = self.filled_exprs()
-        cols = [F.col(k) for k in self.keys if k in df.columns]
+        cols = [col(k) for k in self.keys if k in df.columns]
         for f in self.features:
             e = exprs[f]
             if self.scaled and f in self.scale:
@@ -123,9 +123,9 @@ class FeatureModel:
                 e = (e - F.lit(mean)) / F.lit(std if std != 0 else 1.0)
             cols.append(e.alias(f))
         if self.target in df.columns:
-            cols.append(F.col(self.target))
+            cols.append(col(self.target))
         for k in keep or []:
-            cols.append(F.col(k))
+            cols.append(col(k))
         return df.select(*cols)
 
     def to_json(self) -> str:
@@ -158,12 +158,12 @@ class FeatureEngineer:
         # 1-2: cardinality by sketch, exact categories only for small columns
         binary, onehot, dropped = {}, {}, []
         if cats:
-            approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
+            approx = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in cats]).first()
             small = [c for c in cats if approx[c] <= 2 * self.max_categories]
             values: dict[str, list] = {c: [] for c in small}
             if small:
                 long = df.select(F.explode(F.array(*[
-                    F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                    F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
                     for c in small])).alias("kv")).select("kv.column", "kv.value")
                 for r in long.groupBy("column", "value").count().collect():
                     values[r["column"]].append(r["value"])
@@ -185,8 +185,8 @@ class FeatureEngineer:
         if pairs:
             long = df.select(F.explode(F.array(*[
                 F.struct(F.lit(name).alias("column"),
-                         F.try_divide(F.col(num).cast("double"),
-                                      F.when(F.col(den) != 0, F.col(den).cast("double"))).alias("v"))
+                         F.try_divide(col(num).cast("double"),
+                                      F.when(col(den) != 0, col(den).cast("double"))).alias("v"))
                 for num, den, name in pairs])).alias("kv")).select("kv.column", "kv.v")
             for r in quantiles(long, "v", [X.RATIO_CLIP_Q], by=["column"],
                                accuracy=self.accuracy, broadcast_groups=True).collect():

@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as FX
 from ..functions.cumulative import prefix_sums
+from ..functions.exprs import col, sigmoid
 from ..session import cut_lineage
 from . import metrics as M
 
@@ -93,6 +94,13 @@ def default_specs(overrides: dict | None = None) -> list[ModelSpec]:
     return [ModelSpec(n, kinds[n], overrides.get(n, {})) for n in FX.MODEL_NAMES]
 
 
+def with_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Adds the vector ``features``. It is assembled from columns of safe names:
+    a feature may be named after a category that holds a dot."""
+    safe = {f"__f{i}": col(n).cast("double") for i, n in enumerate(names)}
+    return VectorAssembler(inputCols=list(safe), outputCol="features").transform(df.withColumns(safe)).drop(*safe)
+
+
 def with_weights(df: DataFrame, label: str = "label", counts: dict | None = None) -> DataFrame:
     """T4: balanced weights ``n / (2 n_class)`` and ``neg/pos`` on positives;
     ``counts`` holds the rows per class where they are known."""
@@ -135,6 +143,16 @@ def platt(scores: DataFrame, score: str = "s", label: str = "label") -> tuple[fl
     return float(m.coefficients[0]), float(m.intercept)
 
 
+def held_out_probability(coefs: Sequence[tuple[float, float]]) -> Column:
+    """Mean over the sigmoids of all folds but the row's own, of the score of
+    the model that was fitted without the row's fold."""
+    out = F.lit(None).cast("double")
+    for i in range(len(coefs)):
+        others = [sigmoid(F.lit(a) * F.col("score") + F.lit(b)) for j, (a, b) in enumerate(coefs) if j != i]
+        out = F.when(F.col("fold") == i, sum(others[1:], others[0]) / len(others)).otherwise(out)
+    return out
+
+
 @dataclass
 class CalibratedModel:
     spec: ModelSpec
@@ -144,8 +162,7 @@ class CalibratedModel:
 
     def transform(self, df: DataFrame, out: str = "churn_prob", keep: Sequence[str] = ()) -> DataFrame:
         """Mean of the calibrated fold models' probabilities (one plan, no join)."""
-        cur = df if "features" in df.columns else VectorAssembler(
-            inputCols=self.feature_names, outputCol="features").transform(df)
+        cur = df if "features" in df.columns else with_features(df, self.feature_names)
         probs = []
         for i, (m, (a, b)) in enumerate(zip(self.members, self.platt)):
             sfx = f"_c{i}"
@@ -213,14 +230,21 @@ def importances(spec: ModelSpec, model, names: list[str], top: int = 15) -> list
 def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "churned",
                       key: str = "client_id", cv_folds: int = 5, calibration_folds: int = 3,
                       specs: list[ModelSpec] | None = None, parallelism: int = 16,
-                      fit_partitions: int = FIT_PARTITIONS) -> TrainingReport:
-    """CV AUC, full fit, calibrated in-sample metrics, ROC, importances.
-    The result depends on ``fit_partitions`` but not on the cluster."""
+                      fit_partitions: int = FIT_PARTITIONS, evaluate: str = "hold_out") -> TrainingReport:
+    """CV AUC, full fit, metrics of the calibrated models, ROC, importances.
+
+    ``evaluate="hold_out"`` scores each row by the calibration fold's model that
+    has not seen it, through the sigmoids of the other folds, which have not
+    seen it either. ``"in_sample"`` scores the fitting rows by the calibrated
+    ensemble. The result depends on ``fit_partitions`` but not on the cluster."""
+    if evaluate not in ("hold_out", "in_sample"):
+        raise ValueError("evaluate is hold_out or in_sample")
+    if calibration_folds < 2:
+        raise ValueError("calibration needs two folds at least")
     t_start = time.time()
     spark = X.sparkSession
     specs = specs or default_specs()
-    va = VectorAssembler(inputCols=feature_names, outputCol="features")
-    data = va.transform(X).select(key, "features", F.col(label).cast("double").alias("label"))
+    data = with_features(X, feature_names).select(key, "features", F.col(label).cast("double").alias("label"))
     data = with_folds(cut_lineage(data, "training"), key, "label", cv_folds, SEED, "cv_fold")
     data = with_folds(data, key, "label", calibration_folds, SEED + 1, "cal_fold")
     data = cut_lineage(data, "training")
@@ -286,10 +310,15 @@ def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "chur
         models[spec.name] = CalibratedModel(spec, members, [coefs[spec.name, i] for i in range(calibration_folds)],
                                             feature_names)
         base[spec.name] = fitted[(spec.name, "full")]
-        own = models[spec.name].transform(data, out="score", keep=["label"]).withColumn("model", F.lit(spec.name))
+        if evaluate == "in_sample":
+            own = models[spec.name].transform(data, out="score", keep=["label"])
+        else:
+            own = cal_scores.where(F.col("model") == spec.name).select(
+                "label", held_out_probability([coefs[spec.name, i] for i in range(calibration_folds)]).alias("score"))
+        own = own.withColumn("model", F.lit(spec.name))
         scored = own if scored is None else scored.unionByName(own)
-    # In-sample calibrated probabilities (as the reference reports)
-    scored = cut_lineage(scored, "in-sample-scores")
+    # T8-T11 on calibrated probabilities
+    scored = cut_lineage(scored, f"{evaluate}-scores")
     auc = {r["model"]: r["auc"] for r in M.auc(scored).collect()}
     classes = {r["model"]: r for r in M.classification_metrics(
         scored.withColumn("prediction", (F.col("score") > 0.5).cast("int"))).collect()}
@@ -305,16 +334,16 @@ def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "chur
         cm = classes[spec.name]
         for r, (f, v) in enumerate(importances(spec, base[spec.name], feature_names)):
             imps.append((spec.name, r + 1, f, v))
-        rows.append((spec.name, round(auc[spec.name], 4), cm["precision"], cm["recall"], cm["f1"], cm["accuracy"],
+        rows.append((spec.name, type(base[spec.name]).__name__, round(auc[spec.name], 4), cm["precision"], cm["recall"], cm["f1"], cm["accuracy"],
                      round(cv_mean, 4), round(cv_std, 4), round(took[spec.name], 2)))
 
-    metrics_df = spark.createDataFrame(rows, "model string, auc_roc double, precision double, recall double, "
+    metrics_df = spark.createDataFrame(rows, "model string, fitted string, auc_roc double, precision double, recall double, "
                                              "f1 double, accuracy double, cv_auc_mean double, cv_auc_std double, "
                                              "train_time_sec double")
     imp_df = spark.createDataFrame(imps, "model string, rank int, feature string, importance double")
-    best = max(rows, key=lambda r: (r[1], -FX.MODEL_NAMES.index(r[0]) if r[0] in FX.MODEL_NAMES else 0))
+    best = max(rows, key=lambda r: (r[2], -FX.MODEL_NAMES.index(r[0]) if r[0] in FX.MODEL_NAMES else 0))
     data.unpersist()
-    return TrainingReport(metrics_df, roc, imp_df, best[0], best[1], models, base, feature_names,
+    return TrainingReport(metrics_df, roc, imp_df, best[0], best[2], models, base, feature_names,
                           n, churn_rate, round(time.time() - t_start, 2))
 
 

@@ -17,7 +17,7 @@ from ..operators import actions, drift, explain, features, metrics, models, prof
 from ..operators.scoring import RULE_SCORER
 from ..session import cut_lineage
 from ..sources import csv_io, sinks
-from ..sources.tables import read_table
+from ..sources.tables import TABLES, read_table
 from ..sources.marts import CLIENT_MART_SQL, EVENTS_MART_SQL, client_mart, events_mart
 from . import sqltext as S
 
@@ -74,6 +74,23 @@ def q_events_mart(spark, sf_dir):
     return events_mart(spark, sf_dir)
 
 
+DATASETS = ["client_mart", "events_mart", *TABLES]
+
+
+@register("dataset_checks", S.dataset_checks_sql(DATASETS))
+def q_dataset_checks(spark, sf_dir):
+    """Rows of every named dataset, and the columns it lacks for the analysis."""
+    out = None
+    for name in DATASETS:
+        d = csv_io.load_dataset(spark, name, sf_dir)
+        _, required, recommended = csv_io.validate_columns(d.columns)
+        row = d.agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("dataset"), "n_rows", F.lit(",".join(required)).alias("missing_required"),
+            F.lit(",".join(recommended)).alias("missing_recommended"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- RFM ---------------------------------------------------------------------
 
 for _which in ("client", "events"):
@@ -177,6 +194,15 @@ def q_features(spark, sf_dir):
     return X.select("client_id", "churned", *[F.round(F.col(f"`{n}`"), 9).alias(n) for n in names])
 
 
+@register("binary_features", S.binary_features_sql())
+def q_binary_features(spark, sf_dir):
+    """E5: two-valued columns as ordinal codes, standardised."""
+    m = _mart(spark, sf_dir, "client")
+    X, names, _ = features.engineer_features(m.select(
+        "client_id", "churned", *[F.expr(e).alias(c) for c, e in S.BINARY_COLUMNS.items()]))
+    return X.select("client_id", "churned", *[F.round(F.col(n), 9).alias(n) for n in names])
+
+
 # --- drift -----------------------------------------------------------------------
 
 def _client_drift(spark, sf_dir):
@@ -275,6 +301,18 @@ register("fold_auc_rule", S.fold_auc_sql(5, models.SEED))(
     lambda spark, sf_dir: metrics.auc(_fold_scores(spark, sf_dir), by=["fold"]))
 
 
+def _best_rule_model(spark, sf_dir):
+    """T13 over three fixed margins, so that the choice has a SQL twin."""
+    m = _mart(spark, sf_dir, "client")
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.expr(S.rule_model_score(w)).alias("score"))
+                               for n, w in S.RULE_MODELS.items()]))
+    scored = m.select(F.col("churned").alias("label"), rows.alias("s")).select("label", "s.model", "s.score")
+    return metrics.best_model(metrics.auc(scored), list(S.RULE_MODELS), "auc")
+
+
+register("best_rule_model", S.best_rule_model_sql())(_best_rule_model)
+
+
 # --- explanations of the fixed linear scorer ------------------------------------
 
 def _rule_contribs(spark, sf_dir):
@@ -293,6 +331,25 @@ register("client_factors_rule", S.client_factors_sql())(
     lambda spark, sf_dir: explain.client_factors(_rule_contribs(spark, sf_dir)[0]))
 
 
+def _rule_margin(df):
+    """The fixed scorer as a ``score_fn`` over the vector of its features."""
+    from pyspark.ml.functions import vector_to_array
+    x, out = vector_to_array("features"), F.lit(RULE_SCORER.intercept)
+    for i, w in enumerate(RULE_SCORER.coefficients.values()):
+        out = out + F.lit(w) * x[i]
+    return df.withColumn("score", out)
+
+
+def _explain_permutation_rule(spark, sf_dir):
+    """Of a linear margin, sampled attributions equal the exact ones."""
+    contrib, _ = explain.permutation_contributions(_rule_margin, _mart(spark, sf_dir, "client"),
+                                                   list(RULE_SCORER.coefficients))
+    return contrib.withColumn("contribution", F.round("contribution", 6))
+
+
+register("explain_permutation_rule", S.explain_permutation_sql())(_explain_permutation_rule)
+
+
 def _explained(spark, sf_dir):
     c, base = _rule_contribs(spark, sf_dir)
     e = explain.explain_clients(c, base)
@@ -308,6 +365,14 @@ register("factor_advice_rule", S.factor_advice_sql())(lambda spark, sf_dir: acti
     "client_id", F.array_join("advice", " | ").alias("advice")))
 
 
+@register("recommendations_advice_rule", S.recommendations_advice_sql())
+def q_recommendations_advice(spark, sf_dir):
+    """A7 with the advice of A8 for the client's own risk factors."""
+    advice = actions.factor_advice(explain.top_risk_factor_names(_rule_contribs(spark, sf_dir)[0]))
+    advice = advice.select("client_id", F.array_join("advice", " | ").alias("advice"))
+    return _recs(spark, sf_dir, sort=False).join(advice, "client_id", "left")
+
+
 # --- executive summary and report on the fixed scorer -----------------------------
 
 def _summary_rule(spark, sf_dir):
@@ -434,6 +499,31 @@ register("recommendations_model")(lambda spark, sf_dir: actions.generate_recomme
     rfm.compute_rfm(training(spark, sf_dir)[0]), _predictions(spark, sf_dir).drop("churned")))
 
 
+@register("model_checks", S.model_checks_sql(models.FX.MODEL_NAMES))
+def q_model_checks(spark, sf_dir):
+    """Every model saved, loaded and applied to all
+    clients; what holds for each of them has a SQL twin."""
+    mart, fe, X, rep = training(spark, sf_dir)
+    auc = {r["model"]: r["auc_roc"] for r in rep.metrics.collect()}
+    ranks = {r["model"]: (r["n"], r["top"]) for r in rep.importances.groupBy("model").agg(
+        F.count("*").alias("n"), F.max("rank").alias("top")).collect()}
+    out = None
+    for name, model in rep.models.items():
+        back = models.CalibratedModel.load(sinks.save_model(model, _scratch(spark, "model")))
+        both = back.transform(model.transform(X.select("client_id", *[F.col(f"`{f}`") for f in fe.features]),
+                                              out="before", keep=["client_id", *[f"`{f}`" for f in fe.features]]),
+                              out="after", keep=["client_id", "before"])
+        n, top = ranks[name]
+        row = both.agg(F.count("*").alias("n_clients"),
+                       F.count_if(~F.coalesce(F.col("after").between(0, 1), F.lit(False))).alias("n_outside"),
+                       F.count_if(~F.col("after").eqNullSafe(F.col("before"))).alias("n_changed")).select(
+            F.lit(name).alias("model"), "n_clients", "n_outside", "n_changed",
+            F.lit(n == top == min(15, len(fe.features))).alias("ranks_ok"),
+            F.lit(auc[name] <= rep.best_auc and 0.5 < auc[name] <= 1).alias("auc_ok"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _lr_contribs(spark, sf_dir):
     mart, fe, X, rep = training(spark, sf_dir)
     lr = rep.base_models["Logistic Regression"]

@@ -581,6 +581,88 @@ SELECT fold, (CAST(sum(CAST(pos AS HUGEINT) * (2 * below + pos + neg + 1)) AS DO
 FROM r GROUP BY fold""")
 
 
+#: Fixed margins of three models, for the choice of the best one.
+RULE_MODELS = {"Logistic Regression": {"days_since_last_order": 0.01, "total_orders": -0.05, "return_rate": 2.0},
+               "Random Forest": {"total_orders": -0.05}, "XGBoost": {"days_since_last_order": 0.01}}
+
+
+def rule_model_score(weights: dict[str, float]) -> str:
+    """The margin, in whole thousandths, as SQL of both engines."""
+    terms = " + ".join(f"{_dbl(w)} * coalesce(CAST({f} AS DOUBLE), 0.0)" for f, w in weights.items())
+    return f"CAST(round(({terms}) * 1000.0) AS BIGINT)"
+
+
+def best_rule_model_sql() -> str:
+    scored = " UNION ALL ".join(
+        f"SELECT '{m}' AS model, {i} AS pos_in_list, CAST(churned AS INTEGER) AS label, {rule_model_score(w)} AS score FROM mart"
+        for i, (m, w) in enumerate(RULE_MODELS.items()))
+    return with_mart("client", f"""
+s AS ({scored}),
+r AS (SELECT model, pos_in_list, label, rank() OVER (PARTITION BY model ORDER BY score)
+             + (count(*) OVER (PARTITION BY model, score) - 1) / 2.0 AS avg_rank FROM s),
+a AS (SELECT model, pos_in_list, (sum(avg_rank) FILTER (WHERE label = 1)
+             - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0)
+             / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label <> 1)) AS auc FROM r GROUP BY ALL)
+SELECT model, round_even(auc, 4) AS best_auc FROM a ORDER BY round_even(auc, 4) DESC, pos_in_list LIMIT 1""")
+
+
+def explain_permutation_sql() -> str:
+    return linear_contrib_ctes() + "\nSELECT client_id, ordinal, feature, round(contribution, 6) AS contribution FROM contrib"
+
+
+def recommendations_advice_sql() -> str:
+    return f"""SELECT r.*, a.advice FROM ({recommendations_sql()}) r
+LEFT JOIN ({factor_advice_sql()}) a USING (client_id)"""
+
+
+#: Two-valued columns of the mart (E5): texts with a dot, one with nulls, and a flag.
+BINARY_COLUMNS = {"tier": "CASE WHEN client_id % 3 = 0 THEN 'v2.0' ELSE 'v1.5' END",
+                  "channel": "CASE WHEN client_id % 4 = 1 THEN 'web' WHEN client_id % 4 = 2 THEN 'app' END",
+                  "many_orders": "total_orders > 5"}
+
+
+def binary_features_sql() -> str:
+    codes = {"tier": "CASE WHEN client_id % 3 = 0 THEN 1.0 ELSE 0.0 END",
+             # nulls are the category MISSING, which sorts first
+             "channel": "CASE WHEN client_id % 4 = 1 THEN 2.0 WHEN client_id % 4 = 2 THEN 1.0 ELSE 0.0 END"}
+    flag = "CASE WHEN total_orders > 5 THEN 'true' WHEN total_orders <= 5 THEN 'false' ELSE 'MISSING' END"
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in BINARY_COLUMNS)
+    out = ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END, 9) AS {c}" for c in BINARY_COLUMNS)
+    return with_mart("client", f"""
+f AS (SELECT client_id, churned, {flag} AS flag FROM mart),
+lv AS (SELECT flag, CAST(row_number() OVER (ORDER BY flag) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT flag FROM f)),
+e AS (SELECT client_id, churned, {', '.join(f'CAST({x} AS DOUBLE) AS {c}' for c, x in codes.items())},
+             lv.code AS many_orders FROM f JOIN lv USING (flag)),
+st AS (SELECT {stats} FROM e)
+SELECT client_id, churned, {out} FROM e, st""")
+
+
+def dataset_checks_sql(names: list[str]) -> str:
+    from ..functions import fixed as X
+    text = {"client_mart": f"({CLIENT_MART_SQL})", "events_mart": f"({EVENTS_MART_SQL})"}
+    parts = " UNION ALL ".join(f"SELECT '{n}' AS dataset, (SELECT count(*) FROM {text.get(n, n)}) AS n_rows, "
+                               f"(SELECT list(lower(column_name)) FROM (DESCRIBE SELECT * FROM {text.get(n, n)})) AS cols"
+                               for n in names)
+
+    def missing(columns, groups):
+        tests = [f"CASE WHEN NOT list_has_any(cols, [{', '.join(map(_sqlstr, groups.get(c, [c])))}]) THEN {_sqlstr(c)} END"
+                 for c in sorted(columns)]
+        return f"concat_ws(',', {', '.join(tests)})"
+
+    stand_ins = {"total_revenue": X.VALUE_COLUMNS, "transaction_count": X.FREQUENCY_HINT_COLUMNS}
+    return f"""WITH d AS ({parts})
+SELECT dataset, n_rows, {missing(X.REQUIRED_COLUMNS, {})} AS missing_required,
+       {missing(X.RFM_RECOMMENDED, stand_ins)} AS missing_recommended FROM d"""
+
+
+def model_checks_sql(names: list[str]) -> str:
+    models = ", ".join(f"({_sqlstr(n)})" for n in names)
+    return with_mart("client", f"""
+m AS (SELECT * FROM (VALUES {models}) AS t(model))
+SELECT model, (SELECT count(*) FROM mart) AS n_clients, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_changed,
+       TRUE AS ranks_ok, TRUE AS auc_ok FROM m""")
+
+
 def csv_mixed_sql() -> str:
     return (f"SELECT * REPLACE (CASE WHEN client_id % 10 = 0 THEN NULL ELSE CAST(activity_date AS TIMESTAMP) END "
             f"AS activity_date) FROM ({CLIENT_MART_SQL})")

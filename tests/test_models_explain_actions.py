@@ -30,6 +30,17 @@ def test_train_and_compare(trained):
     assert rep.importances.where("rank <= 15").count() == rep.importances.count()
 
 
+def test_hold_out_and_in_sample_metrics(trained):
+    X, names, rep = trained
+    forest = models.default_specs({"Random Forest": {"numTrees": 30}})[1:2]
+    auc = {e: models.train_and_compare(X, names, cv_folds=2, calibration_folds=2, specs=forest, evaluate=e).best_auc
+           for e in ("hold_out", "in_sample")}
+    assert auc["hold_out"] == {r["model"]: r["auc_roc"] for r in rep.metrics.collect()}["Random Forest"]
+    assert auc["in_sample"] > auc["hold_out"]
+    with pytest.raises(ValueError):
+        models.train_and_compare(X, names, evaluate="all")
+
+
 def test_model_persistence(trained, tmp_path):
     X, names, rep = trained
     m = rep.models[rep.best_model_name]
