@@ -10,16 +10,18 @@ the short context, and the prediction of a bit runs from the deepest known
 context up. Scores are log10 probabilities of texts; ``bits_per_byte`` gives the
 code length per byte.
 
-Corpus work. (1) Every task counts the (depth + 1)-grams of its training texts;
-Spark sums them. All shorter contexts are sums of these. Per depth, the nodes
-that coded at least 1 / MODEL of all bytes come to the driver, so their number
-is bounded whatever the corpus (each of a byte's eight decisions has at most
-MODEL of them); rarer contexts are predicted by the shorter ones that hold
-them. (2) The second scan scores all texts with the broadcast model and
-writes the words as numbers of a dictionary per block of texts. (3) Exact
-corpus counts of the words: dictionary rows (a word once per block) meet by
-word, then return to their block, where the base is summed from the
-numbers. Texts are never shuffled and no word list is broadcast.
+Corpus work. (1) One scan deals the texts into blocks and writes each block's
+texts, words and (depth + 1)-grams, a gram once per block with its count in the
+block's training texts. (2) Spark sums the grams; they go to tasks by the last
+TOP bytes of their context, so that a task holds whole subtrees of the context
+tree. It learns every node below TOP context bytes, writes what those depths
+say about each distinct gram's eight bits, and sums its subtrees' weights for
+the shorter contexts. No node is left out at any depth. (3) The nodes of
+contexts shorter than TOP bytes, a number that the alphabet bounds whatever the
+corpus, finish each distinct gram's score. (4) Scores return to the blocks
+by gram, exact corpus counts by word, and meet the block's texts, where both
+are summed per text. Each text is shuffled once, to its block; neither the
+whole tree nor a list of words or grams is broadcast.
 
 Edge cases: a null or empty text is its end alone; a null id belongs to the
 training part; rows that repeat an id are scored and counted each; without
@@ -37,10 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import col, crc32_mod, cut_lineage, num_partitions, text_of, words_of
 
-#: Nodes of the model for each depth and decision, at most.
-MODEL = 1 << 18
-#: Bytes that a task looks at together; words of a block's dictionary.
-TOGETHER, DICTIONARY = 2 << 20, 400_000
+#: Context bytes from which on the tree is learnt in subtrees.
+TOP = 3
+#: Bytes that a task looks at together; words and grams of a block's dictionaries.
+TOGETHER, DICTIONARY, GRAMS = 2 << 20, 400_000, 2_000_000
+#: Distinct grams of whole subtrees that a task learns together.
+SUBTREES = 100_000
 _SLOTS = 21
 END = b"\n"
 
@@ -93,16 +97,19 @@ def node_counts(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 class ContextTree:
     """Per depth: sorted node keys (context, node of the byte's bit tree), the
-    estimate of a one and the share of the node's own estimate."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``counts[d]``: sorted keys of the nodes with d context bytes, and how
-        many zeros and ones were coded there."""
-        self.depth = len(counts) - 1
+    estimate of a one and the share of the node's own estimate. A part of a tree
+    holds the depths from ``first`` on; ``below`` then has the nodes under its
+    last depth."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], first: int = 0, below=None):
+        """``counts[i]``: sorted keys of the nodes with ``first + i`` context bytes,
+        and how many zeros and ones were coded there. ``below``: keys, zeros,
+        ones and log weighted probabilities of the children of the last depth."""
+        self.depth = first + len(counts) - 1
+        self.first = first
         self.nodes = [None] * len(counts)
-        below = None
-        for d in range(self.depth, -1, -1):
-            keys, a, b = counts[d]
+        for d in range(self.depth, first - 1, -1):
+            keys, a, b = counts[d - first]
             own = log_kt(a, b)
             if below is None:
                 share, weighted = np.ones(len(keys)), own
@@ -118,19 +125,22 @@ class ContextTree:
                 children = sums[2] + rest
                 share = 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
                 weighted = np.logaddexp(own, children) - math.log(2)
-            self.nodes[d] = (keys, ((b + 0.5) / (a + b + 1.0)).astype(np.float32), share.astype(np.float32))
+            self.nodes[d - first] = (keys, (b + 0.5) / (a + b + 1.0), share)
             below = (keys, a, b, weighted)
+        self.below = below
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each key in its context."""
+    def bits(self, keys: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
+        """Probability of each of the eight bits of each key's last byte in its
+        context, NaN where no depth knows the node; ``below`` has the same from
+        the depths under this part."""
         byte = keys & np.uint64(255)
-        out = np.zeros(len(keys))
+        out = np.full((len(keys), 8), np.nan)
         for k in range(8):
             node = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
             one = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
             path = []
             known = np.ones(len(keys), dtype=bool)
-            for d, (node_keys, p, share) in enumerate(self.nodes):
+            for d, (node_keys, p, share) in enumerate(self.nodes, self.first):
                 if not len(node_keys):
                     break
                 want = (((keys >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | node
@@ -138,20 +148,23 @@ class ContextTree:
                 known = known & (node_keys[at] == want)
                 if not known.any():
                     break
-                path.append((known, p[at], share[at]))
-            prob = np.full(len(keys), 0.5)
-            deeper = np.zeros(len(keys), dtype=bool)
+                path.append((known, np.where(one, p[at], 1 - p[at]), share[at]))
+            prob = np.full(len(keys), np.nan) if below is None else below[:, k]
             for known, p, share in reversed(path):
-                mixed = np.where(deeper, share * p + (1 - share) * prob, p)
+                mixed = np.where(np.isnan(prob), p, share * p + (1 - share) * prob)
                 prob = np.where(known, mixed, prob)
-                deeper = known
-            out += np.log10(np.where(one, prob, 1 - prob))
+            out[:, k] = prob
         return out
 
+    def log10(self, keys: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of the last byte of each key in its context."""
+        prob = self.bits(keys, below)
+        return np.log10(np.where(np.isnan(prob), 0.5, prob)).sum(axis=1)
+
 
 class Scorer:
-    """log10 probabilities of texts; a direct-mapped cache of a fixed number of
-    grams per worker spares the tree for frequent ones."""
+    """log10 probabilities of texts from a whole tree in memory (small corpora); a
+    direct-mapped cache of a fixed number of grams spares the tree for frequent ones."""
 
     def __init__(self, tree: ContextTree):
         self.tree = tree
@@ -181,9 +194,6 @@ def bits_per_byte(log10_score: float, n_bytes: int) -> float:
     return -log10_score / math.log10(2) / max(n_bytes, 1)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def together(sized, most: int):
     """Lists of items whose sizes reach ``most``."""
     held, size = [], 0
@@ -197,42 +207,115 @@ def together(sized, most: int):
         yield held
 
 
-def fit_tree(texts: DataFrame, depth: int) -> ContextTree:
-    """Learns from all rows of ``texts`` (column text)."""
-    def count(batches):
-        rows = (normal(words_of(t, lower=True)) for pdf in batches for t in pdf["text"])
-        keys, n = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        for group in together(((t, len(t)) for t in rows), TOGETHER):
-            more, m = np.unique(gram_keys(group, depth)[0], return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([n, m]), minlength=len(keys)).astype(np.int64)
-        for i in range(0, len(keys), 1 << 18):
-            yield pd.DataFrame({"key": keys[i:i + (1 << 18)].view(np.int64), "n": n[i:i + (1 << 18)]})
-
-    grams = cut_lineage(texts.select("text").mapInPandas(count, "key long, n long")
-                        .groupBy("key").agg(F.sum("n").alias("n")), "op7-grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    counts = []
-    for d in range(depth, -1, -1):
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their numbers."""
+    keys = np.concatenate([k for k, _ in parts])
+    n = np.concatenate([v for _, v in parts])
+    by = np.argsort(keys, kind="stable")  # sorted runs
+    keys, n = keys[by], n[by]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[new], np.add.reduceat(n, new) if len(new) else n
+
+
+class BlockGrams:
+    """Distinct grams of a block's texts with their counts in its training texts."""
+
+    def __init__(self, depth: int):
+        self.depth, self.known, self.new, self.fresh = depth, (np.empty(0, np.uint64), np.empty(0, np.int64)), [], 0
+
+    def add(self, texts: list[bytes], train: bool) -> None:
+        if texts:
+            keys, n = np.unique(gram_keys(texts, self.depth)[0], return_counts=True)
+            self.new.append((keys, n if train else np.zeros(len(keys), dtype=np.int64)))
+            self.fresh += len(keys)
+            if self.fresh > max(len(self.known[0]), 500_000):
+                self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        self.known, self.new, self.fresh = merged([self.known, *self.new]), [], 0
+        return self.known
+
+
+def learn(keys: np.ndarray, n: np.ndarray, first: int, depth: int) -> ContextTree:
+    """The tree's part from ``first`` context bytes on, from distinct grams of
+    whole subtrees with their counts."""
+    counts, known = [], n > 0
+    keys, n = keys[known], n[known]
+    for d in range(depth, first - 1, -1):
         if d < depth:  # shorter contexts are sums of longer ones
-            grams = cut_lineage(grams.select(F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("key"), "n")
-                                .groupBy("key").agg(F.sum("n").alias("n")), "op7-grams")
-
-        def nodes(batches):
-            own = [pdf for pdf in batches if len(pdf)]  # a partition of the distinct grams
-            if own:
-                own = pd.concat(own)
-                keys, a, b = node_counts(own["key"].to_numpy(), own["n"].to_numpy())
-                keep = (a + b) * MODEL >= total
-                yield pd.DataFrame({"key": keys[keep].view(np.int64), "a": a[keep], "b": b[keep]})
-
-        # all grams of a context in one partition: at most 256 rows each
-        held = (grams.repartition(num_partitions(texts), F.shiftright("key", 8))
-                .mapInPandas(nodes, "key long, a long, b long").toArrow())
-        key = held["key"].to_numpy().view(np.uint64)
-        by = np.argsort(key)
-        counts.append((key[by], held["a"].to_numpy()[by], held["b"].to_numpy()[by]))
-    return ContextTree(counts[::-1])
+            keys, n = merged([(keys & np.uint64((1 << (8 * (d + 1))) - 1), n)])
+        counts.append(node_counts(keys, n))
+    return ContextTree(counts[::-1], first)
+
+
+def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
+    """(key, score): log10 probability of each distinct gram's last byte; ``grams``
+    has key and n, its count in the training texts, in any number of rows."""
+    import pyarrow as pa
+
+    spark = grams.sparkSession
+    first = min(TOP, depth)
+    subtree = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * first)) - 1))
+    fields = pa.schema([("key", pa.int64()), ("bits", pa.binary()), ("node", pa.int64()), ("a", pa.int64()),
+                        ("b", pa.int64()), ("weighted", pa.float64())])
+
+    def part(keys, n):
+        tree = learn(keys, n, first, depth)
+        bits = tree.bits(keys).astype("<f4")
+        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(bits.tobytes())])
+        none = [pa.nulls(len(keys), fields.field(c).type) for c in ("node", "a", "b", "weighted")]
+        yield pa.record_batch([pa.array(keys.view(np.int64)), flat.cast(pa.binary()), *none], schema=fields)
+        if first:
+            below, a, b, weighted = tree.below
+            node, at = np.unique(below & np.uint64((1 << (8 * first)) - 1), return_inverse=True)
+            sums = [np.bincount(at, v, minlength=len(node)) for v in (a, b, weighted)]
+            yield pa.record_batch([pa.nulls(len(node), pa.int64()), pa.nulls(len(node), pa.binary()),
+                                   pa.array(node.view(np.int64)), pa.array(sums[0].astype(np.int64)),
+                                   pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], schema=fields)
+
+    def subtrees(batches):
+        """Whole subtrees, about SUBTREES grams at a time."""
+        held, size, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, n, sub = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "n", "sub"))
+            keys, begin = keys.view(np.uint64), 0
+            while size + len(keys) - begin >= SUBTREES:
+                # the first subtree that begins at or after the bound
+                new = np.flatnonzero(np.concatenate([[last is not None and sub[0] != last], sub[1:] != sub[:-1]]))
+                new = new[new >= max(begin, SUBTREES - size)]
+                if not len(new) or new[0] + size - begin == 0:
+                    break
+                held.append((keys[begin:new[0]], n[begin:new[0]]))
+                yield from part(*merged(held))
+                held, size, begin = [], 0, int(new[0])
+            held.append((keys[begin:], n[begin:]))
+            size, last = size + len(keys) - begin, sub[-1]
+        if size:
+            yield from part(*merged(held))
+
+    sums = grams.groupBy("key").agg(F.sum("n").alias("n")).withColumn("sub", subtree)
+    parts = cut_lineage(sums.repartition(num_partitions(grams), "sub").sortWithinPartitions("sub")
+                        .mapInArrow(subtrees, "key long, bits binary, node long, a long, b long, weighted double"),
+                        "op7-tree")
+    # contexts of fewer than TOP bytes: as many as the alphabet has, at any size
+    held = (parts.where("node is not null").groupBy("node")
+            .agg(*(F.sum(c).alias(c) for c in ("a", "b", "weighted"))).orderBy("node").toArrow())
+    node, a, b, weighted = (held[c].to_numpy() for c in ("node", "a", "b", "weighted"))
+    node, counts = node.view(np.uint64), []
+    for d in range(first):
+        key, at = np.unique(node & np.uint64((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        counts.append((key, *(np.bincount(at, v, minlength=len(key)).astype(np.int64) for v in (a, b))))
+    top = spark.sparkContext.broadcast(ContextTree(counts, 0, (node, a, b, weighted)))
+
+    def finish(batches):
+        for batch in batches:
+            keys = batch["key"].to_numpy(zero_copy_only=False).view(np.uint64)
+            bits = np.frombuffer(b"".join(batch["bits"].to_pylist()), dtype="<f4").reshape(-1, 8).astype(np.float64)
+            yield pa.record_batch({"key": batch["key"], "score": pa.array(top.value.log10(keys, bits))})
+
+    return parts.where("key is not null").select("key", "bits").mapInArrow(finish, "key long, score double")
 
 
 def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
@@ -240,65 +323,65 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if not 0 <= depth <= 6:
         raise ValueError("depth must be 0 to 6: a gram is packed into a long")
-    spark = docs.sparkSession
+    import pyarrow as pa
+
     src = docs.select(col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     src = src.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("null_id"), "text",
                      F.coalesce(crc32_mod(F.col("id"), fold) == held, F.lit(False)).alias("held_out"))
-    tree = fit_tree(src.where("not held_out"), depth)
-    model = spark.sparkContext.broadcast(tree)
-    name = f"{spark.sparkContext.applicationId}-{id(tree)}"
+    schema = ("block long, nth long, id long, null_id boolean, held_out boolean, text binary, word binary, "
+              "number long, c long, key long, n long")
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+
+    def rows_of(size, /, **columns):
+        return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type)
+                                for f in fields], schema=fields)
 
     def index(batches):
-        """A row per text with its score and its words' numbers, and a row per
-        word of the block with its count in the training texts."""
+        """A row per text, a row per word of the block with its count in the
+        training texts, and a row per gram of the block likewise."""
         from pyspark import TaskContext
 
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(model.value)
-        scorer, task, block = _SCORERS[name], TaskContext.get().partitionId(), 0
-        number, train = {END: 0}, [0]
+        task, block = TaskContext.get().partitionId(), 0
+        number, train, grams, nth = {END: 0}, [0], BlockGrams(depth), 0
 
-        def dictionary(block_id):
+        def dictionaries(block_id):
             words = list(number)
             for i in range(0, len(words), 50_000):
                 own = words[i:i + 50_000]
-                yield pd.DataFrame({"block": block_id, "word": own, "number": range(i, i + len(own)),
-                                    "c": train[i:i + len(own)]})
-
-        rows = ((r, len(r[2]) + 100) for pdf in batches
-                for r in zip(pdf["id"], pdf["null_id"], pdf["text"], pdf["held_out"], strict=True))
+                yield rows_of(len(own), block=[block_id] * len(own), word=own, number=range(i, i + len(own)),
+                              c=train[i:i + len(own)])
+            keys, n = grams.all()
+            for i in range(0, len(keys), 1 << 16):
+                own = keys[i:i + (1 << 16)].view(np.int64)
+                yield rows_of(len(own), block=np.full(len(own), block_id), key=own, n=n[i:i + (1 << 16)])
+
+        rows = ((r, len(r[2]) + 100) for batch in batches
+                for r in zip(*(batch[c].to_pylist() for c in ("id", "null_id", "text", "held_out")), strict=True))
         for group in together(rows, TOGETHER // 2):
             block_id = task << 24 | block
-            words = [words_of(r[2], lower=True) for r in group]
-            scores = scorer.texts([normal(w) for w in words])
-            out = []
-            for (doc, null_id, _, held_out), own, score in zip(group, words, scores, strict=True):
+            texts = []
+            for _, _, text, held_out in group:
+                own = words_of(text, lower=True)
+                texts.append(normal(own))
                 own.append(END)
                 ids = [number.setdefault(w, len(number)) for w in own]
-                ids = np.array(ids, dtype="<u4")
                 if len(number) > len(train):
                     train.extend([0] * (len(number) - len(train)))
                 if not held_out:
-                    for i in ids.tolist():
+                    for i in ids:
                         train[i] += 1
-                out.append((block_id, doc, null_id, held_out, score, ids.tobytes()))
-            yield pd.DataFrame(out, columns=["block", "id", "null_id", "held_out", "score", "numbers"])
-            if len(number) > DICTIONARY:
-                yield from dictionary(block_id)
-                number, train, block = {END: 0}, [0], block + 1
-        yield from dictionary(task << 24 | block)
-
-    fields = ["block", "id", "null_id", "held_out", "score", "numbers", "word", "number", "c"]
-
-    def whole(batches):
-        for pdf in index(batches):
-            yield pdf.reindex(columns=fields).astype(
-                {"id": "Int64", "null_id": "boolean", "held_out": "boolean", "number": "Int64", "c": "Int64"})
-
-    found = cut_lineage(src.mapInPandas(
-        whole, "block long, id long, null_id boolean, held_out boolean, score double, numbers binary, "
-               "word binary, number long, c long"), "op7-index")
+            for part in (True, False):
+                grams.add([t for t, r in zip(texts, group, strict=True) if r[3] != part], part)
+            yield rows_of(len(group), block=[block_id] * len(group), nth=range(nth, nth + len(group)),
+                          id=[r[0] for r in group], null_id=[r[1] for r in group], held_out=[r[3] for r in group], text=texts)
+            nth += len(group)
+            if len(number) > DICTIONARY or len(grams.known[0]) > GRAMS:
+                yield from dictionaries(block_id)
+                number, train, grams, nth, block = {END: 0}, [0], BlockGrams(depth), 0, block + 1
+        yield from dictionaries(task << 24 | block)
+
+    found = cut_lineage(src.mapInArrow(index, schema), "op7-index")
     by_word = Window.partitionBy("word")
     words = (found.where("word is not null").select("block", "word", "number", "c")
              .withColumn("total", F.sum("c").over(by_word))
@@ -307,21 +390,42 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
     sums = (words.where("first").agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first())
     n_train, distinct = int(sums[0] or 0), int(sums[1] or 0)
     whole_sum = n_train + distinct + 1
-
-    def base(texts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(int(own["number"].max()) + 1 if len(own) else 1)
-        c[own["number"].to_numpy()] = own["c"].to_numpy()
+    grams = found.where("key is not null").select("block", "key", "n")
+    scores = gram_scores(grams.select("key", "n"), depth)
+    # words have c, grams have score
+    own = (words.select("block", F.col("number").alias("key"), "c", F.lit(None).cast("double").alias("score"))
+           .unionByName(grams.select("block", "key").join(scores.hint("shuffle_hash"), "key")
+                        .select("block", "key", F.lit(None).cast("long").alias("c"), "score")))
+
+    def score(texts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        gram = own["score"].notna().to_numpy()
+        keys, logs10 = own["key"].to_numpy()[gram].view(np.uint64), own["score"].to_numpy()[gram]
+        by = np.argsort(keys)
+        keys, logs10 = keys[by], logs10[by]
+        ids, n = own["key"].to_numpy()[~gram], own["c"].to_numpy()[~gram]
+        c = np.zeros(len(ids))
+        c[ids] = n
+        del own
         logs, known = np.log10((c + 1) / whole_sum), c > 0
-        numbers = [np.frombuffer(b, dtype="<u4") for b in texts["numbers"]]
-        return texts[["id", "null_id", "held_out", "score"]].assign(
-            n_tokens=[len(i) for i in numbers], n_known=[int(known[i].sum()) for i in numbers],
-            base_score=[float(logs[i].sum()) for i in numbers])
-
-    texts = found.where("numbers is not null").select("block", "id", "null_id", "held_out", "score", "numbers")
+        texts = texts.sort_values("nth")  # words get their numbers in this order
+        number, n_tokens, n_known, base, total = {END: 0}, [], [], [], []
+        for group in together(((t, len(t)) for t in texts["text"]), TOGETHER):
+            for t in group:
+                i = [number.setdefault(w, len(number)) for w in t.split()]
+                i.append(0)
+                n_tokens.append(len(i))
+                n_known.append(int(known[i].sum()))
+                base.append(float(logs[i].sum()))
+            found, ends = gram_keys(group, depth)
+            total.append(np.add.reduceat(logs10[np.searchsorted(keys, found)], np.concatenate([[0], ends[:-1]])))
+        return texts[["id", "null_id", "held_out"]].assign(
+            score=np.concatenate(total) if total else [], n_tokens=n_tokens, n_known=n_known, base_score=base)
+
+    texts = found.where("text is not null").select("block", "nth", "id", "null_id", "held_out", "text")
     parts = num_partitions(docs)
     scored = (texts.repartition(parts, "block").groupBy("block")
-              .cogroup(words.select("block", "number", "c").repartition(parts, "block").groupBy("block"))
-              .applyInPandas(base, "id long, null_id boolean, held_out boolean, score double, n_tokens long, "
-                                   "n_known long, base_score double"))
+              .cogroup(own.repartition(parts, "block").groupBy("block"))
+              .applyInPandas(score, "id long, null_id boolean, held_out boolean, score double, n_tokens long, "
+                                    "n_known long, base_score double"))
     return scored.select(F.when(~F.col("null_id"), F.col("id")).alias("doc_id"), "held_out", "n_tokens", "n_known",
                          F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

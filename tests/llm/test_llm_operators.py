@@ -259,6 +259,23 @@ def test_context_tree_against_plain_recursion():
     assert math.isclose(ctw.Scorer(tree).texts([text])[0], want, rel_tol=1e-5)
 
 
+@pytest.mark.parametrize("depth", [0, 2, 5])
+def test_lm_score_keeps_every_context(docs, spark, monkeypatch, depth):
+    rnd = random.Random(3)
+    long = [" ".join("".join(rnd.choice("abcde") for _ in range(4)) for _ in range(9_000)) for _ in range(14)]
+    many = spark.createDataFrame(list(enumerate(long, 100)), "doc_id long, text string")  # most contexts are rare
+    many = many.unionByName(docs.select("doc_id", "text"))
+    rows = [(d, ctw.normal(t.encode().lower().split())) for d, t in rows_of(many)]
+    train = [t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
+    keys, n = np.unique(ctw.gram_keys(train, depth)[0], return_counts=True)
+    scorer = ctw.Scorer(ctw.learn(keys, n, 0, depth))
+    want = sorted((-1 if d is None else d, x) for (d, _), x in zip(rows, scorer.texts([t for _, t in rows]), strict=True))
+    monkeypatch.setattr(ctw, "SUBTREES", 3_000)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in ctw.lm_score(many, depth).collect())
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-6)
+
+
 def test_bpe_round_trip(docs, empty):
     lib = Tokenizer.from_file(queries.WORD_BPE)
     got = {r["doc_id"]: r for r in bpe.round_trip(docs, queries.WORD_BPE).collect()}
