@@ -20,6 +20,14 @@ read repeats as a whole, and a shard with one content needs no automaton. Before
 it has met itself: all their windows start earlier. So of a passage that a
 third of all documents share, a shard gets a few copies per task.
 
+Large shards. At the edges of such a passage the segments hold words of each
+document's own, so there are as many as documents. A shard of more than LARGE
+segments gets no automaton: its segments are cut into their windows, Spark
+finds the first place of each window's content with map-side combine, and the
+later ones go (contents that are very frequent meet their rows by broadcast,
+the others by shuffle). No automaton and no task's list grows beyond LARGE
+segments.
+
 Edge cases: a null text has no words; texts shorter than the window lose
 nothing; a null id counts as the largest; rows that repeat an id with different
 texts are ordered by a hash of the text, and rows that repeat id and text are
@@ -35,13 +43,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut_lineage, gram_hashes, hash_words, num_partitions, text_of, words_of
+from .common import col, cut_lineage, gram_hashes, hash_words, hot_join, num_partitions, text_of, words_of
 
 #: Words of an anchor.
 GRAM = 8
 LAST = (1 << 63) - 1
 #: Anchors that a task looks at together.
 TOGETHER = 1_000_000
+#: Segments of a shard, at most, that one automaton reads.
+LARGE = 2000
 
 def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of the anchors of all windows: the leftmost gram with the
@@ -159,6 +169,34 @@ def shard_spans(segments: list[tuple], window: int):
             yield doc, begin, end
 
 
+def by_size(segments: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The segments of shards of at most LARGE, and those of the others."""
+    large = cut_lineage(segments.groupBy("h").count().where(F.col("count") > LARGE).select("h"), "op10-large")
+    if large.isEmpty():
+        return segments, None
+    return segments.join(large, "h", "left_anti"), segments.join(large, "h", "left_semi")
+
+
+def window_spans(segments: DataFrame, window: int) -> DataFrame:
+    """(oid, alt, begin, stop) of the windows in ``segments`` whose content starts earlier in them."""
+    def cut(batches):
+        for pdf in batches:
+            out = []
+            for oid, alt, begin, segment in zip(*(pdf[c] for c in ("oid", "alt", "begin", "segment")), strict=True):
+                words = segment.split(b" ")
+                for i in range(len(words) - window + 1):
+                    out.append((hashlib.md5(b" ".join(words[i:i + window])).digest(), oid, alt, begin + i))
+            yield pd.DataFrame(out, columns=["content", "oid", "alt", "begin"])
+
+    windows = cut_lineage(segments.select("oid", "alt", "begin", "segment").mapInPandas(
+        cut, "content binary, oid long, alt long, begin long"), "op10-windows")
+    place = F.struct("oid", "alt", "begin")
+    firsts = cut_lineage(windows.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("size"))
+                         .where("size > 1"), "op10-firsts")
+    return (hot_join(windows, firsts, "content", "size", windows.count()).where(place > F.col("first"))
+            .select("oid", "alt", "begin", (F.col("begin") + window).alias("stop")))
+
+
 def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text"):
     """(documents, texts, spans): ``documents`` has oid, alt, null_id, n_words and
     sha of all words for each row; ``spans`` has oid, alt and the list of
@@ -292,9 +330,11 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
                 found += shard_spans([((oid[r], alt[r]), begin[r], segment[r]) for r in range(i, j)], window)
         return pd.DataFrame([(*d, b, e) for d, b, e in found], columns=["oid", "alt", "begin", "stop"])
 
-    searched = (segments.where("segment is not null").select("h", "oid", "alt", "begin", "segment")
-                .repartition(parts, "h").sortWithinPartitions("h", "oid", "alt", "begin")
+    small, large = by_size(segments.where("segment is not null").select("h", "oid", "alt", "begin", "segment"))
+    searched = (small.repartition(parts, "h").sortWithinPartitions("h", "oid", "alt", "begin")
                 .mapInPandas(search, "oid long, alt long, begin long, stop long"))
+    if large is not None:
+        searched = searched.unionByName(window_spans(large, window))
     copies = segments.where("segment is null").select("oid", "alt", "begin", "stop")
     spans = (searched.unionByName(copies).groupBy("oid", "alt")
              .agg(F.collect_set(F.struct("begin", "stop")).alias("spans")))

@@ -339,6 +339,29 @@ def test_substring_dedup(docs, empty, window):
         assert n or texts[d] == dict(texts_or_none(unique))[d]
 
 
+def test_substring_large_shards(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LARGE", 10)
+    made, by_size = [], substring_dedup.by_size
+    monkeypatch.setattr(substring_dedup, "by_size", lambda s: made.append(by_size(s)) or made[0])
+    rnd, window = random.Random(8), 20
+    passage = " ".join(f"p{i}" for i in range(45))
+    rows = [(i, " ".join([*(f"a{rnd.random()}" for _ in range(15)), passage, *(f"b{rnd.random()}" for _ in range(15))]))
+            for i in range(60)]  # the passage's edges differ in every document
+    seen, want = set(), {}
+    for d, t in rows:
+        w = t.split()
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if tuple(w[i:i + window]) in seen:
+                gone[i:i + window] = [True] * window
+            seen.add(tuple(w[i:i + window]))
+        want[d] = sum(gone)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(df, window).collect()} == want
+    small, large = made[0]
+    assert (small.groupBy("h").count().agg(F.max("count")).first()[0] or 0) <= 10 < large.count()
+
+
 def texts_or_none(df):
     return [(r["doc_id"], r["text"]) for r in df.collect()]
 
