@@ -11,13 +11,15 @@ Host and path come from the url's text: host after the first ``://`` up to
 
 Scale. Pages are scanned twice: once for links, which are at once aggregated
 to (host, host) edges with map-side combine, and once for the result. The
-iterations work on host edges only. Rules and scores meet pages through the
+iterations work on host edges only, until no host's score changes; that takes
+at least as many rounds as the longest shortest path from a seed. Rules and scores meet pages through the
 host; the hosts with a large part of all pages (at most 1000 by construction)
 are joined by broadcast, the others by shuffle.
 
 Edge cases: null html has no links; a relative link points to the page's own
 host and, as every link inside a host, moves no score; repeated pages are
-separate rows; a host that no seed reaches scores 0 and is allowed; an empty
+separate rows; a host that no seed reaches over links scores 0 and is allowed
+(its own restart mass, as a seed, does not count); an empty
 table gives no rows. Equal-length rules: block wins.
 """
 
@@ -34,8 +36,10 @@ from .common import col, cut_lineage, hot_join
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Scores below it are rounding.
-TINY = 1e-12
+#: Relative difference of scores that is rounding; flows are iterated until no host changes by a hundredth of it.
+ROUNDING = 1e-9
+#: Below the normal range of doubles relative changes have no meaning.
+LEAST = 1e-300
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,24 +62,33 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, a: str, b: str, rounds: int, damping: float) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, a: str, b: str, rounds: int | None, damping: float) -> DataFrame:
     """Personalised PageRank from ``seeds`` (host, weight) over edges a -> b:
-    (host, score) after a fixed number of rounds. Mass at hosts without links
-    leaves the graph."""
+    (host, score, came) after a fixed number of rounds, or, with None, when no
+    host's score changes any more. ``came`` is the score without the host's own
+    restart mass. Mass at hosts without links leaves the graph."""
     out = edges.groupBy(F.col(a).alias("host")).agg(F.sum("n").alias("all_n"))
     share = cut_lineage(edges.join(out, edges[a] == out["host"])
                         .select(F.col(a).alias("a"), F.col(b).alias("b"),
                                 (F.col("n") / F.col("all_n")).alias("share")), "op3-share")
     base = cut_lineage(seeds, "op3-seeds")
-    now = base.withColumnRenamed("weight", "score")
-    for _ in range(rounds):
+    now = base.select("host", F.col("weight").alias("score"), F.lit(0.0).alias("came"))
+    done = 0
+    while rounds is None or done < rounds:
+        none = F.lit(0.0)
         moved = (share.join(now, share["a"] == now["host"])
-                 .groupBy("b").agg((F.sum(F.col("share") * F.col("score")) * damping).alias("score"))
-                 .withColumnRenamed("b", "host"))
-        now = (base.select("host", (F.col("weight") * (1 - damping)).alias("score"))
-               .unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")))
-        now = cut_lineage(now, "op3-score")
-    return now
+                 .groupBy("b").agg((F.sum(F.col("share") * F.col("score")) * damping).alias("came"))
+                 .select(F.col("b").alias("host"), none.alias("own"), "came", none.alias("old")))
+        now = (base.select("host", (F.col("weight") * (1 - damping)).alias("own"), none.alias("came"), none.alias("old"))
+               .unionByName(moved)
+               .unionByName(now.select("host", none.alias("own"), none.alias("came"), F.col("score").alias("old")))
+               .groupBy("host").agg(*(F.sum(c).alias(c) for c in ("own", "came", "old"))))
+        now = cut_lineage(now.select("host", (F.col("own") + F.col("came")).alias("score"), "came", "old"), "op3-score")
+        done += 1
+        change = F.abs(F.col("score") - F.col("old"))
+        if rounds is None and now.where((change > F.col("score") * (ROUNDING / 100)) & (change > LEAST)).isEmpty():
+            break
+    return now.select("host", "score", "came")
 
 
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -93,7 +106,7 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES,
                id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               rounds: int = 10, damping: float = 0.85, threshold: float = 1.0) -> DataFrame:
+               rounds: int | None = None, damping: float = 0.85, threshold: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
@@ -116,13 +129,11 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFra
     for verdict, a, b, name in (("allow", "src", "dst", "trust"), ("block", "dst", "src", "distrust")):
         seeds = share.where(F.col(verdict) > 0).select("host", F.col(verdict).alias("weight"))
         # a seed's own restart mass repeats its rules: only mass that came over links judges other pages
-        own = (1 - damping) * F.coalesce("weight", F.lit(0.0))
-        flows.append(spread(edges, seeds, a, b, rounds, damping).join(seeds, "host", "left")
-                     .select("host", (F.col("score") - own).alias(name)))
+        flows.append(spread(edges, seeds, a, b, rounds, damping).select("host", F.col("came").alias(name)))
     judged = fits.select("host", "size").join(flows[0], "host", "left").join(flows[1], "host", "left")
     judged = cut_lineage(judged.select("host", "size", *(F.coalesce(c, F.lit(0.0)).alias(c)
                                                          for c in ("trust", "distrust"))), "op3-judged")
-    by_graph = F.when(F.col("distrust") > F.lit(threshold) * F.col("trust") + TINY, "block").otherwise("allow")
+    by_graph = F.when(F.col("distrust") > F.lit(threshold * (1 + ROUNDING)) * F.col("trust"), "block").otherwise("allow")
     return (hot_join(ruled, judged, "host", "size", total)
             .select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_graph).alias("verdict"),
                     "trust", "distrust"))

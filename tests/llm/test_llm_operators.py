@@ -146,6 +146,20 @@ def test_url_rules_and_graph(spark):
     assert got.keys() == now.keys() and all(math.isclose(got[h], now[h]) for h in now)
 
 
+def test_url_graph_far_and_faint(spark):
+    chain = [f"h{i}.net" for i in range(14)] + ["www.example.org"]  # links of a long chain
+    faint = ["a.net", "b.net", "c.net", "www.example.org"]          # small shares of links that come from elsewhere
+    links = [(x, [y]) for way in (chain, faint) for x, y in zip(way, way[1:], strict=False)]
+    links.append(("filler.net", [y for y in faint[1:] for _ in range(20_000)]))
+    pages = [(i, f"http://{x}/p", "".join(f'<a href="//{y}/">' for y in to)) for i, (x, to) in enumerate(links)]
+    pages += [(99, "http://www.example.org/es/1", None), (98, "http://lone.net/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["host"]: (r["verdict"], r["distrust"]) for r in url_filter.url_filter(df).collect()}
+    assert got.pop("lone.net")[0] == "allow" and got.pop("www.example.org")[0] == "block"
+    assert all(verdict == "block" and distrust > 0 for verdict, distrust in got.values()), got
+    assert got["a.net"][1] < 1e-12
+
+
 def test_toxicity(spark, docs, empty):
     g = toxicity.Grammar({"idiot": 4.0}, {"lowe": 3.0}, (-3.0, 1.0, 1.0))
     one = lambda t: sum(g.clauses(t))
