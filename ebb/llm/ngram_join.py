@@ -112,8 +112,8 @@ def forest_of_list(nodes: np.ndarray, n: np.ndarray, sketches: list[np.ndarray],
     return out
 
 
-def forest_of_short_list(nodes: list, n: list, sketches: list[bytes], num: int, den: int, seen: set):
-    """The same for a few documents, pair by pair; ``seen`` holds pairs that
+def forest_of_short_list(nodes: list, n: list, sketches: list[bytes], num: int, den: int, pairs: set):
+    """The same for a few documents, pair by pair; ``pairs`` holds those that
     another list has decided."""
     out, root = [], list(range(len(nodes)))
     bits = [(len(b) * 8, int.from_bytes(b, "little")) for b in sketches]
@@ -122,10 +122,10 @@ def forest_of_short_list(nodes: list, n: list, sketches: list[bytes], num: int,
         for i in range(j - 1, -1, -1):
             if n[i] < low:
                 break
-            pair = (nodes[i], nodes[j], 0)
-            if root[i] == root[j] or pair in seen:
+            pair = (nodes[i], nodes[j])
+            if root[i] == root[j] or pair in pairs:
                 continue
-            seen.add(pair)
+            pairs.add(pair)
             (small, x), (large, y) = bits[i], bits[j]
             while large > small:
                 large //= 2
@@ -137,6 +137,30 @@ def forest_of_short_list(nodes: list, n: list, sketches: list[bytes], num: int,
     return out
 
 
+def linked_lists(pdf: pd.DataFrame, lists: set, pairs: set, num: int, den: int):
+    """Links of the inverted lists in ``pdf`` (sorted by s, n, node), without the
+    lists and pairs that were met before."""
+    if len(pdf):
+        s, node, n, sketch = pdf["s"].to_numpy(), pdf["node"].tolist(), pdf["n"].tolist(), pdf["sketch"].tolist()
+        cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+        edges = []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j - i > 1:
+                if len(lists) + len(pairs) > 1_000_000:
+                    lists.clear()
+                    pairs.clear()
+                key = tuple(node[i:j])
+                if key not in lists:
+                    lists.add(key)
+                    if j - i <= 32:
+                        edges += forest_of_short_list(node[i:j], n[i:j], sketch[i:j], num, den, pairs)
+                    else:
+                        edges += forest_of_list(np.array(node[i:j]), np.array(n[i:j]),
+                                                [np.frombuffer(b, dtype="<u8") for b in sketch[i:j]], num, den)
+        if edges:
+            yield pd.DataFrame(edges, columns=["a", "b"])
+
+
 def divide_skip(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int):
     """Spanning forest of the exact links among the sets of a block."""
     order = np.argsort([len(s) for s in sets], kind="stable")
@@ -280,7 +304,7 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     postings = cut_lineage(postings.select("s", "node"), "op6-postings")
 
     def forests(batches):
-        seen: set = set()  # lists and pairs that were met before: near copies share many lists
+        lists, pairs = set(), set()  # met before: near copies share many lists
         tail = None
         for pdf in batches:
             pdf = pdf if tail is None else pd.concat([tail, pdf])
@@ -289,29 +313,9 @@ def ngram_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
             s = pdf["s"].to_numpy()
             end = int(np.searchsorted(s, s[-1]))  # the last list may go on in the next batch
             tail = pdf.iloc[end:]
-            yield from linked(pdf.iloc[:end], seen)
+            yield from linked_lists(pdf.iloc[:end], lists, pairs, num, den)
         if tail is not None:
-            yield from linked(tail, seen)
-
-    def linked(pdf, seen):
-        if len(pdf):
-            s, node, n, sketch = pdf["s"].to_numpy(), pdf["node"].tolist(), pdf["n"].tolist(), pdf["sketch"].tolist()
-            cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
-            edges = []
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if j - i > 1:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    key = tuple(node[i:j])
-                    if key not in seen:
-                        seen.add(key)
-                        if j - i <= 32:
-                            edges += forest_of_short_list(node[i:j], n[i:j], sketch[i:j], num, den, seen)
-                        else:
-                            edges += forest_of_list(np.array(node[i:j]), np.array(n[i:j]),
-                                                    [np.frombuffer(b, dtype="<u8") for b in sketch[i:j]], num, den)
-            if edges:
-                yield pd.DataFrame(edges, columns=["a", "b"])
+            yield from linked_lists(tail, lists, pairs, num, den)
 
     maybe = (postings.join(heads.select("node", "n", "sketch"), "node").repartition(parts, "s")
              .sortWithinPartitions("s", "n", "node").mapInPandas(forests, "a long, b long"))

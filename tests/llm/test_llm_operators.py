@@ -205,6 +205,16 @@ def test_ngram_join(docs, empty, k, num):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_list_of_three_with_node_0():
+    s = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 >> 8)
+    sets = {5: s[:36], 7: s[1:38], 0: s[:40]}  # node 0 has the largest set
+    lists = [(1, 5), (1, 7), (2, 5), (2, 7), (2, 0)]
+    pdf = pd.DataFrame([(x, d, len(sets[d]), ngram_join.parity_sketch(sets[d]).tobytes()) for x, d in lists],
+                       columns=["s", "node", "n", "sketch"])
+    got = pd.concat(ngram_join.linked_lists(pdf, set(), set(), 80, 100))
+    assert 0 in set(got["a"]) | set(got["b"])
+
+
 def test_ngram_blocks_split(spark, monkeypatch):
     rnd = random.Random(1)
     base = [f"a{i}" for i in range(200)]
