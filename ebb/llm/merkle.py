@@ -192,9 +192,9 @@ def merkle_manifest(leaves: DataFrame) -> DataFrame:
                                    (F.col("cum___one") - 1).alias("pos")), "op12-tops")
     top_paths, root = grow(tops.select(F.lit("").alias("g"), "pos", F.col("pos").alias("tag"),
                                        F.col("sub").alias("digest")), "op12-top")
-    tops = (tops.join(top_paths.select("pos", F.col("witness").alias("above")), "pos")
-            .join(F.broadcast(root.select(F.col("digest").alias("top"))))     # one row
-            .select("g", F.lower(F.hex("sub")).alias("subroot"), F.lower(F.hex("top")).alias("root"), "above"))
+    top = root.first()                            # one digest, none for an empty table
+    tops = tops.join(top_paths.select("pos", F.col("witness").alias("above")), "pos").select(
+        "g", F.lower(F.hex("sub")).alias("subroot"), F.lit(bytes(top["digest"]).hex() if top else None).alias("root"), "above")
     tops = cut_lineage(tops, "op12-groups")
     # a group may hold any share of the rows: AQE broadcasts the few rows of `tops` or splits its hot keys
     whole = paths.join(tops, "g").select(F.col("tag").alias("__uid"), "subroot", "root",
