@@ -4,6 +4,7 @@ Attributions are a long DataFrame ``(key, feature, contribution)``.
 
 * Linear models (X1, exact): ``w_f * (x_f - mean_f)`` in the margin space;
   the base value is the margin at the feature means.
+* Tree ensembles (X1, exact): :mod:`.tree_explain`.
 * Any model (X1, sampled): permutation Shapley values against one reference
   point (the feature means). For each row and seeded permutation, the F+1
   coalition vectors between the reference and the row are exploded, scored by
@@ -20,8 +21,10 @@ draw; here every row is explained, deterministically (see README).
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as FX
 from ..functions.exprs import fixed_decimals, sigmoid
+from ..session import cut_lineage
 
+log = logging.getLogger(__name__)
 
 EVALS_PER_PARTITION = 2_000_000
 
@@ -141,6 +146,37 @@ def fallback_importance(importances: list[tuple[str, float]], top: int = 15) ->
     return ranked[:top], FX.FALLBACK_BASE_VALUE
 
 
+@dataclass
+class Explanation:
+    method: str                 # "linear", "tree" or "importances"
+    contributions: DataFrame
+    base_value: float
+    space: str                  # "margin" or "probability", for explain_clients
+    importance: DataFrame       # (feature, importance), at most 15 rows
+
+
+def explain_model(model, kind: str, X: DataFrame, features: Sequence[str],
+                  importances: list[tuple[str, float]], key: str = "client_id") -> Explanation:
+    """Exact attributions of a fitted model, or, when it has none, the
+    model's own importances with contributions of 0 and the fixed base value."""
+    from .tree_explain import tree_contributions
+    try:
+        if kind == "lr":
+            coefficients = {f: float(w) for f, w in zip(features, model.coefficients, strict=True)}
+            contribs, base = linear_contributions(X, coefficients, float(model.intercept), key)
+        else:
+            contribs, base = tree_contributions(model, X, features, key)
+        method, space = ("linear", "margin") if kind == "lr" else ("tree", "margin" if kind == "gbt" else "probability")
+    except (TypeError, ValueError, AttributeError) as e:
+        log.warning("no attribution for %s, using its importances: %s", type(model).__name__, e)
+        ranked, base = fallback_importance(importances)
+        contribs = _long(X, key, features, lambda f, i: F.lit(0.0))
+        frame = X.sparkSession.createDataFrame(ranked, "feature string, importance double")
+        return Explanation("importances", contribs, base, "probability", frame)
+    contribs = cut_lineage(contribs, "attributions")
+    return Explanation(method, contribs, base, space, global_importance(contribs))
+
+
 def client_factors(contribs: DataFrame, key: str = "client_id", top: int = 5) -> DataFrame:
     """X4, long form: the ``top`` factors per client by absolute contribution
     (ties in feature order), with direction and |contribution| (4 decimals)."""

@@ -25,8 +25,9 @@ calibrated ensemble. When CV and calibration use the same number of folds, the
 fold models serve both. The training frame is checkpointed to the shared
 checkpoint folder, so a lost executor does not recompute the feature job.
 
-Not built: SMOTE. Exact minority k-nearest neighbours need every minority pair;
-class weights do the rebalancing instead (see README).
+With ``use_smote=True`` each fit is preceded by SMOTE (T5, :mod:`.smote`) on its own
+rows: the new rows of a fold come from the rows it is fitted on, never from
+held-out ones. Calibration and metrics use the given rows only.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +51,12 @@ from ..functions.cumulative import prefix_sums
 from ..functions.exprs import col, sigmoid
 from ..session import cut_lineage
 from . import metrics as M
+from .smote import oversample
 
 SEED = 42
-#: Partitions of the training frame: a parameter of the model, to be raised with
-#: the number of clients, never derived from rows or cores.
-FIT_PARTITIONS = 4
+#: Partitions of the training frame at least, and rows per partition beyond that: they
+#: follow the number of clients alone, so the same clients give the same model on any cluster.
+FIT_PARTITIONS, FIT_ROWS = 4, 50_000
 
 
 @dataclass
@@ -230,13 +232,16 @@ def importances(spec: ModelSpec, model, names: list[str], top: int = 15) -> list
 def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "churned",
                       key: str = "client_id", cv_folds: int = 5, calibration_folds: int = 3,
                       specs: list[ModelSpec] | None = None, parallelism: int = 16,
-                      fit_partitions: int = FIT_PARTITIONS, evaluate: str = "hold_out") -> TrainingReport:
+                      fit_partitions: int | None = None, evaluate: str = "hold_out",
+                      use_smote: bool = False) -> TrainingReport:
     """CV AUC, full fit, metrics of the calibrated models, ROC, importances.
 
     ``evaluate="hold_out"`` scores each row by the calibration fold's model that
     has not seen it, through the sigmoids of the other folds, which have not
     seen it either. ``"in_sample"`` scores the fitting rows by the calibrated
-    ensemble. The result depends on ``fit_partitions`` but not on the cluster."""
+    ensemble. ``use_smote`` oversamples the rows of each fit. The result depends on
+    ``fit_partitions`` (by default one per FIT_ROWS rows, FIT_PARTITIONS at least)
+    but not on the cluster."""
     if evaluate not in ("hold_out", "in_sample"):
         raise ValueError("evaluate is hold_out or in_sample")
     if calibration_folds < 2:
@@ -254,6 +259,7 @@ def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "chur
     n = sum(sizes["cv_fold"].values())
     # bagging and row sampling are seeded per partition: the same rows in the
     # same order in the same partitions give the same model on any cluster
+    fit_partitions = fit_partitions or max(FIT_PARTITIONS, -(-n // FIT_ROWS))
     data = data.repartition(fit_partitions, key).sortWithinPartitions(key)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     data.count()
@@ -261,16 +267,32 @@ def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "chur
 
     took = {s.name: 0.0 for s in specs}   # seconds of a model's fits
 
+    resampled = {}
+
+    def resample(column="cv_fold", held=None):
+        """T5 on the rows of one fit, shared by the models."""
+        frame = data if held is None else data.where(F.col(column) != held)
+        rows = oversample(frame.select(key, "label", vector_to_array("features").alias("x")), "label", key)
+        rows = cut_lineage(rows, "smote").repartition(fit_partitions, "x").sortWithinPartitions("x", "label")
+        rows = rows.select("label", array_to_vector("x").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+        resampled[column, held] = rows, {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+
     def fit(spec, tag, column="cv_fold", held=None):
         began, counts = time.time(), {}
         for (f, y), c in sizes[column].items():
             if f != held:
                 counts[y] = counts.get(y, 0) + c
         frame = data if held is None else data.where(F.col(column) != held)
+        if use_smote:
+            frame, counts = resampled[column, held]
         model = spec.estimator(sum(counts.values()), tag).fit(with_weights(frame, counts=counts))
         took[spec.name] += time.time() - began
         return model
 
+    if use_smote:
+        for column, held in [("cv_fold", None), *[("cv_fold", i) for i in range(cv_folds)],
+                             *[("cal_fold", i) for i in range(calibration_folds) if calibration_folds != cv_folds]]:
+            resample(column, held)
     jobs = {}
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         for spec in specs:
@@ -343,6 +365,8 @@ def train_and_compare(X: DataFrame, feature_names: list[str], label: str = "chur
     imp_df = spark.createDataFrame(imps, "model string, rank int, feature string, importance double")
     best = max(rows, key=lambda r: (r[2], -FX.MODEL_NAMES.index(r[0]) if r[0] in FX.MODEL_NAMES else 0))
     data.unpersist()
+    for frame, _ in resampled.values():
+        frame.unpersist()
     return TrainingReport(metrics_df, roc, imp_df, best[0], best[2], models, base, feature_names,
                           n, churn_rate, round(time.time() - t_start, 2))
 

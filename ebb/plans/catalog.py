@@ -19,6 +19,7 @@ from ..session import cut_lineage
 from ..sources import csv_io, sinks
 from ..sources.tables import TABLES, read_table
 from ..sources.marts import CLIENT_MART_SQL, EVENTS_MART_SQL, client_mart, events_mart
+from . import lifecycle
 from . import sqltext as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -557,6 +558,9 @@ register("stream_drift_events", S.stream_drift_sql())(lambda spark, sf_dir: stre
 ).drop("batch_id"))
 
 
+lifecycle.add(register, _mart, training)
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
