@@ -48,13 +48,15 @@ _G = "__grp"
 def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
               by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
               method: str = "exact", out: str = "edges",
-              broadcast_groups: bool = False,
+              broadcast_groups: bool = False, empty_groups: bool = True,
               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Linear quantiles of ``value`` (nulls ignored) per group.
 
     Returns one row per group: the ``by`` columns, ``n`` (non-null count) and
     ``out`` = ``array<double>`` with one entry per probability, in the order of
-    ``probs``. Groups with no non-null value get ``n = 0`` and a null array.
+    ``probs``. Groups with no non-null value get ``n = 0`` and a null array;
+    ``empty_groups=False`` leaves them out and saves the pass that finds them. A
+    null is a group like any other.
 
     ``broadcast_groups=True`` broadcasts the bracket row of each group: for a
     bounded number of groups (features, metrics, columns), whose rows then
@@ -69,9 +71,10 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     if not by:
         base = base.withColumn(_G, F.lit(0))
     keys = by or [_G]
+    groups = base.select(*keys).distinct() if by and empty_groups else None
     base = base.where(F.col("v").isNotNull() & ~F.isnan("v"))
     if method == "approx":
-        return _finish(df, _sketch(base, keys, probs, accuracy, out), by, keys, out)
+        return _finish(df, _sketch(base, keys, probs, accuracy, out), groups if by else (), keys, out)
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
 
@@ -83,7 +86,7 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         if slack >= 1 or not missed:
             break
         slack *= 8
-    return _finish(df, _pick(cand, keys, probs, out, rows, rows_per_bucket), by, keys, out)
+    return _finish(df, _pick(cand, keys, probs, out, rows, rows_per_bucket), groups if by else (), keys, out)
 
 
 def _sketch(base: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int, out: str) -> DataFrame:
@@ -104,7 +107,7 @@ def _candidates(base: DataFrame, keys: list[str], probs: list[float], slack: flo
         brackets = F.broadcast(brackets)
     v, e = F.col("v"), F.col("ends")
     side = F.array(*[F.when(v < e[i], 0).when(v > e[m + i], 2).otherwise(1) for i in range(m)])
-    tagged = base.join(brackets, keys).select(*keys, "n", "v", side.alias("side"))
+    tagged = _null_safe(base, brackets, keys).select(*keys, "n", "v", side.alias("side"))
     counted = (tagged.groupBy(*keys, "n", "side", F.when(F.array_contains("side", 1), v).alias("at"))
                .agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("vmax"), F.min("v").alias("vmin")))
     each = counted.select(*keys, "n", "at", "c", "vmax", "vmin", F.posexplode("side").alias("i", "cls"))
@@ -115,6 +118,15 @@ def _candidates(base: DataFrame, keys: list[str], probs: list[float], slack: flo
                          F.when(F.col("cls") == 2, F.lit(1)).otherwise(F.col("c")).alias("c"))
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys meet; the left side's keys stay."""
+    right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__right_{k}"))
+    return left.join(right, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def _rank(probs: list[float]) -> Column:
     return (F.col("n") - 1).cast("double") * F.array(*[F.lit(p) for p in probs])[F.col("i")]
 
@@ -152,6 +164,30 @@ def _pick(cand: DataFrame, keys: list[str], probs: list[float], out: str, rows:
                     lambda s: s["e"]).alias(out))
 
 
+def weighted_quantiles(counts: DataFrame, value: str, weight: str, probs: Sequence[float], by: Sequence[str],
+                       out: str = "edges", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """:func:`quantiles` of values that are already counted: one row per group
+    and value, repeated ``weight`` times. One pass of running totals, no sketch.
+    For a bounded number of groups, whose totals are broadcast; groups without values are left out."""
+    by = list(by)
+    base = counts.select(*by, F.col(value).cast("double").alias("x"), F.col(weight).cast("long").alias("c"))
+    base = base.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.col("c") > 0))
+    totals = base.groupBy(*by).agg(F.sum("c").alias("n"))
+    ranked = _null_safe(prefix_sums(base, by, "x", ["c"], rows_per_bucket), F.broadcast(totals), by)
+    rank = lambda i: (F.col("n") - 1).cast("double") * F.lit(float(probs[i]))
+    here = lambda r: (F.col("cum_c") - F.col("c") <= r) & (r < F.col("cum_c"))
+    found = F.array_compact(F.array(*[
+        F.when(here(F.floor(rank(i))) | here(F.ceil(rank(i))), F.struct(
+            F.lit(i).alias("i"), F.when(here(F.floor(rank(i))), F.col("x")).alias("lo"),
+            F.when(here(F.ceil(rank(i))), F.col("x")).alias("hi"), (rank(i) - F.floor(rank(i))).alias("frac")))
+        for i in range(len(probs))]))
+    hits = ranked.select(*by, "n", F.explode(found).alias("s")).groupBy(*by, "n", "s.i").agg(
+        F.max("s.lo").alias("lo"), F.max("s.hi").alias("hi"), F.first("s.frac").alias("frac"))
+    edge = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(lerp(F.col("lo"), F.col("hi"), F.col("frac")))
+    return hits.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", edge.alias("e")))),
+                                                  lambda s: s["e"]).alias(out))
+
+
 def _two_prod(a: Column, b: Column) -> tuple[Column, Column]:
     """``a*b = p + e`` exactly (Veltkamp split, Dekker product)."""
     split = F.lit(134217729.0)  # 2**27 + 1
@@ -179,8 +215,11 @@ def lerp(lo: Column, hi: Column, frac: Column) -> Column:
     return fma(lo, F.lit(1.0) - frac, hi * frac)
 
 
-def _finish(df: DataFrame, res: DataFrame, by: list[str], keys: list[str], out: str) -> DataFrame:
-    if not by:
+def _finish(df: DataFrame, res: DataFrame, groups: DataFrame | None | tuple, keys: list[str], out: str) -> DataFrame:
+    """``groups``: those to be in the result, None for the ones with values, () for one group of all rows."""
+    if isinstance(groups, DataFrame):
+        return _null_safe(groups, res, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), out)
+    if groups == ():
         # a global quantile always yields exactly one row, even on empty input
         one = df.sparkSession.range(1).select(F.lit(0).alias(_G))
         res = one.join(res, _G, "left").select(

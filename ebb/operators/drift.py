@@ -27,7 +27,7 @@ from pyspark.sql.types import (BooleanType, DoubleType, StringType, StructField,
 from ..functions import fixed as X
 from ..functions.cumulative import prefix_sums
 from ..functions.exprs import numeric_columns
-from ..functions.quantiles import DEFAULT_ACCURACY, quantiles
+from ..functions.quantiles import DEFAULT_ACCURACY, quantiles, weighted_quantiles
 from ..session import cut_lineage
 
 DRIFT_SCHEMA = StructType([
@@ -72,12 +72,13 @@ def psi_by_feature(long: DataFrame, bins: int = X.PSI_BINS, eps: float = X.PSI_E
                    accuracy: int = DEFAULT_ACCURACY, vc: DataFrame | None = None) -> DataFrame:
     """D1 per feature: ``(feature, psi)``; 0 for <2 distinct edges or an empty side."""
     probs = [i / bins for i in range(bins + 1)]
-    edges = quantiles(long, "value", probs, by=["feature"], accuracy=accuracy, broadcast_groups=True).collect()
+    vc = vc if vc is not None else cut_lineage(value_counts(long), "value-counts")
+    both = vc.withColumn("c", F.col("c0") + F.col("c1"))
+    edges = weighted_quantiles(both, "value", "c", probs, ["feature"]).collect()
     spark = long.sparkSession
     e_df = spark.createDataFrame(
         [(r["feature"], sorted(set(r["edges"]))) for r in edges if r["edges"]],
         "feature string, edges array<double>")
-    vc = vc if vc is not None else value_counts(long)
     sizes = side_sizes(vc)
     nb = F.size("edges") - 1
     binned = (vc.join(F.broadcast(e_df), "feature")

@@ -68,6 +68,20 @@ def ratio_pairs(columns: list[str], numeric: list[str]) -> list[tuple[str, str,
             if not (unless_there and f"{top}_{infix}_{bottom}" in taken)]
 
 
+def one_hot_names(onehot: dict[str, list[str]], taken: list[str]) -> dict[tuple[str, str], str]:
+    """(column, category) -> ``column_category``, with underscores at the end
+    where another column or feature has that name (names differ by more than case)."""
+    used, out = {t.lower() for t in taken}, {}
+    for c, levels in onehot.items():
+        for level in levels[1:]:
+            name = f"{c}_{level}"
+            while name.lower() in used:
+                name += "_"
+            used.add(name.lower())
+            out[c, level] = name
+    return out
+
+
 def _as_category(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(MISSING))
 
@@ -102,10 +116,11 @@ class FeatureModel:
             r = F.coalesce(r, F.lit(0.0))
             out[name] = F.when(r < 0, F.lit(0.0)).when(r > F.lit(q99), F.lit(q99)).otherwise(r) \
                 if q99 is not None else F.when(r < 0, F.lit(0.0)).otherwise(r)
+        names = one_hot_names(self.onehot, [*self.keys, self.target, *out])
         for c, cats in self.onehot.items():
             v = _as_category(col(c))
             for cat in cats[1:]:
-                out[f"{c}_{cat}"] = F.when(v == cat, F.lit(1.0)).otherwise(F.lit(0.0))
+                out[names[c, cat]] = F.when(v == cat, F.lit(1.0)).otherwise(F.lit(0.0))
         return out
 
     def filled_exprs(self) -> dict[str, Column]:
@@ -189,14 +204,15 @@ class FeatureEngineer:
                                       F.when(col(den) != 0, col(den).cast("double"))).alias("v"))
                 for num, den, name in pairs])).alias("kv")).select("kv.column", "kv.v")
             for r in quantiles(long, "v", [X.RATIO_CLIP_Q], by=["column"],
-                               accuracy=self.accuracy, broadcast_groups=True).collect():
+                               accuracy=self.accuracy, broadcast_groups=True, empty_groups=False).collect():
                 q99[r["column"]] = r["edges"][0] if r["edges"] else None
-        ratios = [(n, d, name, q99.get(name)) for n, d, name in pairs]
+        ratios = [(n, d, name, q99.get(name)) for n, d, name in pairs
+                  if name.lower() not in {c.lower() for c in cols}]     # a column of that name is the feature
 
         # output order: numeric and binary columns in table order, ratios, one-hot
         ordered = [c for c in cols if c in numeric or c in binary]
-        features = ordered + [name for _, _, name, _ in ratios] + [
-            f"{c}_{cat}" for c, levels in onehot.items() for cat in levels[1:]]
+        features = ordered + [name for _, _, name, _ in ratios]
+        features += one_hot_names(onehot, [*ids, self.target, *features]).values()
         model = FeatureModel(self.target, ids, ratios, binary, onehot, numeric, features,
                              dropped=dropped, scaled=self.scale_numeric)
         if self.scale_numeric and features:

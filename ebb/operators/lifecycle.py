@@ -140,7 +140,8 @@ def monthly_segments(orders: DataFrame, key: str = "o_custkey", ts: str = "o_ord
     state = cut_lineage(state.select(key, "month", F.col("r").cast("double").alias("r"), F.col("f").cast("double").alias("f"),
                                      F.col("m").cast("double").alias("m")), "monthly-rfm")
     long = state.select("month", F.expr("stack(3, 'r', r, 'f', f, 'm', m) AS (metric, v)"))
-    edges = quantiles(long, "v", QUARTILE_PROBS, by=["month", "metric"], accuracy=accuracy, broadcast_groups=True)
+    edges = quantiles(long, "v", QUARTILE_PROBS, by=["month", "metric"], accuracy=accuracy, broadcast_groups=True,
+                      empty_groups=False)
     # a row per month of the calendar
     edges = edges.groupBy("month").agg(*[F.max(F.when(F.col("metric") == c, F.col("edges"))).alias(f"e_{c}") for c in "rfm"])
     scored = state.join(F.broadcast(edges), "month")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions import fixed as X
-from ..functions.exprs import fixed_decimals, is_numeric_type
+from ..functions.exprs import col, fixed_decimals, is_numeric_type
 from ..functions.quantiles import DEFAULT_ACCURACY, quantiles
 
 
@@ -76,7 +76,7 @@ def iqr_quartiles(df: DataFrame, cols: list[str], probs=(0.25, 0.75),
         F.struct(F.lit(c).alias("column"), _clean(df, c).cast("double").alias("v"))
         for c in cols])).alias("kv")).select("kv.column", "kv.v")
     rows = quantiles(long, "v", list(probs), by=["column"], accuracy=accuracy,
-                     broadcast_groups=True).collect()
+                     broadcast_groups=True, empty_groups=False).collect()
     got = {r["column"]: r["edges"] for r in rows}
     return {c: got.get(c) for c in cols}
 
@@ -162,10 +162,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Grouping by all columns combines copies map-side, so a row repeated a
     billion times is one partial-aggregate entry per partition.
     """
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("c"))
-    return g.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-                 F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicate_rows"))
+    # under internal names, so that the frame's columns may have any
+    own = df.select(*[col(c).alias(f"__v{i}") for i, c in enumerate(df.columns)])
+    g = own.groupBy(*own.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    return g.agg(F.coalesce(F.sum("__copies"), F.lit(0)).alias("n"),
+                 F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def table_summary(df: DataFrame, report: DataFrame) -> DataFrame:

@@ -89,7 +89,8 @@ def rfm_edges(df: DataFrame, r_col: str, f_col: str, m_col: str,
         F.coalesce(F.col(f_col).cast("double"), F.lit(0.0)).alias("f"),
         F.coalesce(F.col(m_col).cast("double"), F.lit(0.0)).alias("m"))
     long = filled.select(F.expr("stack(3, 'r', r, 'f', f, 'm', m) AS (metric, v)"))
-    rows = quantiles(long, "v", QUARTILE_PROBS, by=["metric"], accuracy=accuracy, broadcast_groups=True).collect()
+    rows = quantiles(long, "v", QUARTILE_PROBS, by=["metric"], accuracy=accuracy, broadcast_groups=True,
+                     empty_groups=False).collect()
     out = {r["metric"]: r["edges"] for r in rows}
     out["median_r"] = median_r
     return out

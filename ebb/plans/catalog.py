@@ -63,6 +63,19 @@ def _mart(spark, sf_dir, which):
     return _MARTS[k]
 
 
+_EDGES: dict = {}
+
+
+def _rfm(spark, sf_dir, which):
+    """Scores and segments of the mart, by edges that are fitted once per application and folder."""
+    m = _mart(spark, sf_dir, which)
+    k = (*_state(spark, sf_dir), which)
+    names = rfm.detect_rfm_columns(m.columns)
+    if k not in _EDGES:
+        _EDGES[k] = rfm.rfm_edges(m, *names)
+    return rfm.apply_rfm(m, *names, _EDGES[k])
+
+
 # --- sources -----------------------------------------------------------------
 
 @register("client_mart", CLIENT_MART_SQL)
@@ -102,13 +115,13 @@ for _which in ("client", "events"):
             "client_id", "r_score", "f_score", "m_score", "rfm_score", "rfm_segment")
 
     def _stats(spark, sf_dir, which=_which):
-        return rfm.segment_stats(rfm.compute_rfm(_mart(spark, sf_dir, which)))
+        return rfm.segment_stats(_rfm(spark, sf_dir, which))
 
     def _pivot(spark, sf_dir, which=_which):
-        return rfm.rfm_pivot(rfm.compute_rfm(_mart(spark, sf_dir, which)))
+        return rfm.rfm_pivot(_rfm(spark, sf_dir, which))
 
     def _headline(spark, sf_dir, which=_which):
-        return rfm.rfm_headline(rfm.compute_rfm(_mart(spark, sf_dir, which)))
+        return rfm.rfm_headline(_rfm(spark, sf_dir, which))
 
     register(f"{_p}rfm_scores", S.rfm_scores_sql(_which))(_scores)
     register(f"{_p}rfm_segment_stats", S.segment_stats_sql(_which))(_stats)
@@ -247,7 +260,7 @@ register("drift_alerts_shifted", S.drift_alerts_sql("shifted"))(
 # --- recommendations and dashboard on the fixed scorer ----------------------------
 
 def _recs(spark, sf_dir, sort=True):
-    scored = RULE_SCORER.transform(rfm.compute_rfm(_mart(spark, sf_dir, "client")))
+    scored = RULE_SCORER.transform(_rfm(spark, sf_dir, "client"))
     return actions.generate_recommendations(scored, sort=sort)
 
 
@@ -378,7 +391,7 @@ def q_recommendations_advice(spark, sf_dir):
 
 def _summary_rule(spark, sf_dir):
     mart = _mart(spark, sf_dir, "client")
-    scored = RULE_SCORER.transform(rfm.compute_rfm(mart))
+    scored = RULE_SCORER.transform(_rfm(spark, sf_dir, "client"))
     recs = actions.generate_recommendations(scored, sort=False)
     stats = rfm.segment_stats(scored)
     auc = metrics.auc(mart.select(F.col("churned").alias("label"), RULE_SCORER.probability().alias("score")))
@@ -390,7 +403,7 @@ register("executive_summary_rule", S.executive_summary_sql())(_summary_rule)
 
 
 def _report_rule(spark, sf_dir):
-    scored = RULE_SCORER.transform(rfm.compute_rfm(_mart(spark, sf_dir, "client")))
+    scored = RULE_SCORER.transform(_rfm(spark, sf_dir, "client"))
     recs = actions.generate_recommendations(scored, sort=False)
     return sinks.report_lines(actions.kpi_row(recs), rfm.segment_stats(scored), recs)
 
@@ -437,7 +450,7 @@ register("csv_mixed_delimiters", S.csv_mixed_sql())(_csv_mixed)
 
 
 def _export_roundtrip(spark, sf_dir):
-    scored = RULE_SCORER.transform(rfm.compute_rfm(_mart(spark, sf_dir, "client")))
+    scored = RULE_SCORER.transform(_rfm(spark, sf_dir, "client"))
     recs = actions.generate_recommendations(scored)
     path = sinks.export_predictions(recs, _scratch(spark, "export"))
     back = spark.read.option("header", True).csv(path)
@@ -497,7 +510,7 @@ register("churn_predictions")(lambda spark, sf_dir: _predictions(spark, sf_dir).
 register("optimal_threshold_model")(lambda spark, sf_dir: metrics.optimal_threshold(
     _predictions(spark, sf_dir).select(F.col("churned").alias("label"), F.col("churn_prob").alias("score"))))
 register("recommendations_model")(lambda spark, sf_dir: actions.generate_recommendations(
-    rfm.compute_rfm(training(spark, sf_dir)[0]), _predictions(spark, sf_dir).drop("churned")))
+    _rfm(spark, sf_dir, "client"), _predictions(spark, sf_dir).drop("churned")))
 
 
 @register("model_checks", S.model_checks_sql(models.FX.MODEL_NAMES))
@@ -558,7 +571,7 @@ register("stream_drift_events", S.stream_drift_sql())(lambda spark, sf_dir: stre
 ).drop("batch_id"))
 
 
-lifecycle.add(register, _mart, training)
+lifecycle.add(register, _mart, training, _recs, _scored_labels, _scratch)
 
 
 def queries() -> dict[str, Query]:

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import explain, lifecycle, neighbours, smote, tree_explain
+from ..operators import campaign, dictionary, explain, kmeans, lifecycle, neighbours, smote, tree_explain
 from ..operators.scoring import RULE_SCORER
 from ..operators.models import with_features
+from ..sources import csv_io
 from ..sources.tables import read_table
 from . import lifecycle_sql as S
 
@@ -21,8 +22,9 @@ def _orders(spark, sf_dir):
     return read_table(spark, sf_dir, "orders", "o_custkey", "o_orderdate", "o_totalprice")
 
 
-def add(register, mart, training) -> None:
-    """``register``, ``mart(spark, sf_dir, which)`` and ``training(spark, sf_dir)`` of the catalog."""
+def add(register, mart, training, recs, scored_labels, scratch) -> None:
+    """``register``, ``mart(spark, sf_dir, which)`` and ``training``, ``recs`` and
+    ``scored_labels`` (spark, sf_dir) and ``scratch(spark, name)`` of the catalog."""
 
     register("horizon_labels", S.horizon_labels_sql())(
         lambda spark, sf_dir: lifecycle.horizon_labels(_events(spark, sf_dir)))
@@ -107,3 +109,77 @@ def add(register, mart, training) -> None:
                 F.lit(name).alias("model"), "n_clients", "n_off", F.lit(e.method).alias("method"))
             out = row if out is None else out.unionByName(row)
         return out
+
+    # --- campaigns, clusters, dictionaries -----------------------------------------
+
+    register("lift_top_decile", S.lift_top_decile_sql())(
+        lambda spark, sf_dir: campaign.lift_top_share(scored_labels(spark, sf_dir)))
+
+    @register("money_saved", S.money_saved_sql())
+    def q_money_saved(spark, sf_dir):
+        labels = mart(spark, sf_dir, "client").select("client_id", F.col("churned").alias("label"))
+        rows = recs(spark, sf_dir, False).select("client_id", F.col("churn_prob").alias("score"), "ltv")
+        return campaign.money_saved(rows.join(labels, "client_id"))
+
+    register("retention_roi", S.retention_roi_sql())(
+        lambda spark, sf_dir: campaign.retention_roi(recs(spark, sf_dir, False)))
+    register("budget_plan", S.budget_plan_sql())(lambda spark, sf_dir: campaign.budget_plan(
+        recs(spark, sf_dir, False).selectExpr("client_id", f"{S.OFFER_COST} AS cost", f"{S.OFFER_VALUE} AS value"), S.BUDGET))
+
+    def vectors(spark, sf_dir):
+        names = [f"f{i}" for i in range(len(S.SMOTE_VECTOR))]
+        exprs = [f"{e} AS {n}" for e, n in zip(S.SMOTE_VECTOR, names, strict=True)]
+        return mart(spark, sf_dir, "client").selectExpr("client_id", *exprs), names
+
+    @register("kmeans_segments", S.kmeans_sql())
+    def q_kmeans(spark, sf_dir):
+        """Fixed starting centres and rounds, so that SQL can follow."""
+        x, names = vectors(spark, sf_dir)
+        centres, _ = kmeans.kmeans_fit(x, names, S.KMEANS_START, S.KMEANS_ROUNDS, tolerance=-1.0)
+        return kmeans.kmeans_segments(x, names, centres)
+
+    @register("kmeans_seeded")
+    def q_kmeans_seeded(spark, sf_dir):
+        """Clusters from k-means‖ centres, run until inertia no longer falls."""
+        x, names = vectors(spark, sf_dir)
+        centres, _ = kmeans.kmeans_fit(x, names, kmeans.seed_centres(x, names, 5), 50)
+        return kmeans.kmeans_segments(x, names, centres)
+
+    @register("category_dictionary_check", S.dictionary_sql())
+    def q_dictionary(spark, sf_dir):
+        df = read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").selectExpr(f"{S.DAMAGED_SEGMENT} AS value")
+        return dictionary.dictionary_check(df, "value", spark.createDataFrame([(s,) for s in S.SEGMENT_NAMES], "entry string"))
+
+    # --- CSV files of several shapes (S1, S2) ------------------------------------------
+
+    def notes(spark, sf_dir, column):
+        return mart(spark, sf_dir, "client").selectExpr("client_id", f"{column} AS note", "churned")
+
+    def written(df, path, encoding="UTF-8", sep=","):
+        df.write.option("header", True).option("sep", sep).option("escape", '"').option("encoding", encoding).csv(path)
+
+    @register("csv_reordered", S.csv_text_sql("mktsegment"))
+    def q_csv_reordered(spark, sf_dir):
+        """Files whose columns come in three orders, under other names too."""
+        df, path = notes(spark, sf_dir, "mktsegment"), scratch(spark, "csv-reordered")
+        written(df.where("client_id % 3 = 0"), f"{path}/a")
+        written(df.where("client_id % 3 = 1").select("churned", "client_id", "note"), f"{path}/b", sep=";")
+        written(df.where("client_id % 3 = 2").select("note", F.col("churned").alias("Churn"), F.col("client_id").alias("Customer ID")),
+                f"{path}/c")
+        return csv_io.load_csv(spark, f"{path}/*", schema=df.schema)
+
+    @register("csv_quoted", S.csv_text_sql(S.NOTE))
+    def q_csv_quoted(spark, sf_dir):
+        """Values with line breaks, quotes and delimiters."""
+        df, path = notes(spark, sf_dir, S.NOTE), scratch(spark, "csv-quoted")
+        written(df, path)
+        return csv_io.load_csv(spark, path, schema=df.schema, multiline=True)
+
+    @register("csv_encodings", S.csv_text_sql(S.ACCENTED))
+    def q_csv_encodings(spark, sf_dir):
+        """UTF-8 with and without a byte order mark, and Latin-1, in a folder whose name holds a space."""
+        df, path = notes(spark, sf_dir, S.ACCENTED), scratch(spark, "csv encodings")
+        written(df.where("client_id % 3 = 0"), f"{path}/a")
+        written(df.where("client_id % 3 = 1").withColumnRenamed("client_id", "\ufeffclient_id"), f"{path}/b")
+        written(df.where("client_id % 3 = 2"), f"{path}/c", encoding="ISO-8859-1", sep="|")
+        return csv_io.load_csv(spark, f"{path}/*", schema=df.schema)

@@ -171,3 +171,101 @@ def explain_tree_checks_sql(models: list[str]) -> str:
     rows = ", ".join(f"('{m}')" for m in models)
     return f"""SELECT model, (SELECT count(*) FROM customer) AS n_clients, 0 AS n_off, 'tree' AS method
 FROM (VALUES {rows}) t(model)"""
+
+
+# --- campaigns, clusters, dictionaries, CSV files ------------------------------------
+
+BUDGET = 500_000          # cents
+#: Cost in cents and value in cents of an offer, in both engines' SQL.
+OFFER_COST = "CAST(floor(ltv) AS BIGINT) % 2000 + 500"
+OFFER_VALUE = "CAST(round(CAST(roi_estimate AS DECIMAL(28,6)) * 100) AS BIGINT)"
+
+
+def lift_top_decile_sql() -> str:
+    from .sqltext import scored_mart_cte
+    return scored_mart_cte() + """,
+g AS (SELECT score, count(*) AS cnt, count(*) FILTER (WHERE label = 1) AS pos FROM s GROUP BY score),
+r AS (SELECT *, sum(cnt) OVER (ORDER BY score DESC) - cnt AS before, sum(cnt) OVER () AS n, sum(pos) OVER () AS p FROM g),
+i AS (SELECT *, least(greatest(0.1::DOUBLE * n - before, 0.0), CAST(cnt AS DOUBLE)) AS inside FROM r),
+t AS (SELECT CAST(any_value(n) AS BIGINT) AS n_rows, CAST(any_value(p) AS BIGINT) AS n_positive,
+  coalesce(sum(pos) FILTER (inside = cnt), 0) + coalesce(max(pos * inside / cnt) FILTER (inside > 0 AND inside < cnt), 0.0) AS top_positive FROM i)
+SELECT *, (top_positive / (0.1::DOUBLE * n_rows)) / (CAST(n_positive AS DOUBLE) / n_rows) AS lift FROM t"""
+
+
+def money_saved_sql() -> str:
+    from .sqltext import recs_ctes
+    return recs_ctes() + """,
+c AS (SELECT mart.churned = 1 AS y, churn_prob AS s, CAST(round(CAST(ltv AS DECIMAL(28,6)) * 100) AS BIGINT) AS c,
+             unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS threshold FROM recs JOIN mart USING (client_id))
+SELECT threshold, count(*) FILTER (s >= threshold) AS n_flagged, count(*) FILTER (s >= threshold AND y) AS n_caught,
+  CAST(coalesce(sum(c) FILTER (s >= threshold AND y), 0) AS DOUBLE) / 100 AS money_saved,
+  CAST(coalesce(sum(c) FILTER (s < threshold AND y), 0) AS DOUBLE) / 100 AS money_lost FROM c GROUP BY threshold"""
+
+
+def retention_roi_sql() -> str:
+    from .sqltext import recs_ctes
+    return recs_ctes() + f""",
+o AS (SELECT {OFFER_VALUE} AS c, row_number() OVER (ORDER BY {OFFER_VALUE} DESC, client_id) AS pos FROM recs)
+SELECT top_n, CAST(count(*) AS INTEGER) AS n_clients, CAST(sum(c) AS DOUBLE) / 100 AS roi
+FROM (SELECT unnest([10, 50, 100, 500]) AS top_n) JOIN o ON pos <= top_n GROUP BY top_n"""
+
+
+def budget_plan_sql() -> str:
+    from .sqltext import recs_ctes
+    return recs_ctes() + f""",
+offers AS (SELECT client_id, {OFFER_COST} AS cost, {OFFER_VALUE} AS value FROM recs),
+ranked AS (SELECT *, sum(cost) OVER (ORDER BY value / cost DESC, client_id) AS cum FROM offers WHERE cost > 0 AND value > 0),
+spent AS (SELECT {BUDGET} - coalesce(max(cum) FILTER (cum <= {BUDGET}), 0) AS rest FROM ranked),
+later AS (SELECT ranked.*, rest, sum(cost) OVER (ORDER BY value / cost DESC, client_id) AS cum2 FROM ranked, spent
+          WHERE cum > {BUDGET} AND cost <= rest)
+SELECT client_id, cost, value, 1 AS pass FROM ranked WHERE cum <= {BUDGET}
+UNION ALL SELECT client_id, cost, value, 2 FROM later WHERE cum2 <= rest"""
+
+
+KMEANS_START = [[0.0, 100.0, 100.0, 100.0], [100.0, 500.0, 300.0, 300.0], [300.0, 800.0, 500.0, 500.0], [800.0, 50.0, 20.0, 200.0]]
+KMEANS_ROUNDS = 5
+
+
+def kmeans_sql() -> str:
+    m, k = len(SMOTE_VECTOR), len(KMEANS_START)
+    cols = ", ".join(f"{e} AS f{i}" for i, e in enumerate(SMOTE_VECTOR))
+    d2 = " + ".join(f"(f{i} - c{i}) * (f{i} - c{i})" for i in range(m))
+    start = ", ".join("(" + ", ".join([str(j), *map(repr, c)]) + ")" for j, c in enumerate(KMEANS_START))
+    names = ", ".join(f"c{i}" for i in range(m))
+    out = [f"x AS (SELECT client_id, {cols} FROM mart)", f"k0 AS (SELECT * FROM (VALUES {start}) t(cluster, {names}))"]
+    for r in range(KMEANS_ROUNDS + 1):
+        out.append(f"""a{r} AS (SELECT client_id, {', '.join(f'f{i}' for i in range(m))}, cluster, {d2} AS d2 FROM x, k{r}
+  QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY {d2}, cluster) = 1)""")
+        if r < KMEANS_ROUNDS:
+            means = ", ".join(f"coalesce(s.c{i}, k{r}.c{i}) AS c{i}" for i in range(m))
+            sums = ", ".join(f"sum(f{i}) / count(*) AS c{i}" for i in range(m))
+            out.append(f"k{r + 1} AS (SELECT cluster, {means} FROM k{r} LEFT JOIN "
+                       f"(SELECT cluster, {sums} FROM a{r} GROUP BY cluster) s USING (cluster))")
+    assert k
+    return with_mart("client", ",\n".join(out) + f"\nSELECT client_id, cluster, sqrt(d2) AS distance FROM a{KMEANS_ROUNDS}")
+
+
+SEGMENT_NAMES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+#: Damaged segment names, by the key.
+DAMAGED_SEGMENT = ("CASE WHEN c_custkey % 13 = 0 THEN substr(c_mktsegment, 2) WHEN c_custkey % 13 = 1 THEN c_mktsegment || 'XX' "
+                   "WHEN c_custkey % 13 = 2 THEN lower(c_mktsegment) WHEN c_custkey % 13 = 3 THEN 'x' || substr(c_mktsegment, 2) "
+                   "WHEN c_custkey % 13 = 4 THEN NULL WHEN c_custkey % 13 = 5 THEN '' ELSE c_mktsegment END")
+
+
+def dictionary_sql() -> str:
+    entries = ", ".join(f"('{s}')" for s in SEGMENT_NAMES)
+    return f"""WITH v AS (SELECT {DAMAGED_SEGMENT} AS value FROM customer),
+e AS (SELECT * FROM (VALUES {entries}) t(entry)),
+odd AS (SELECT value, count(*) AS n_rows FROM v WHERE value IS NOT NULL AND value NOT IN (SELECT entry FROM e) GROUP BY value),
+near AS (SELECT value, entry, CAST(levenshtein(value, entry) AS INTEGER) AS edits FROM odd, e
+  WHERE levenshtein(value, entry) <= 2 QUALIFY row_number() OVER (PARTITION BY value ORDER BY levenshtein(value, entry), entry) = 1)
+SELECT value, n_rows, entry AS nearest, edits FROM odd LEFT JOIN near USING (value)"""
+
+
+#: A text column whose values hold line breaks, quotes and delimiters.
+NOTE = "CASE WHEN client_id % 7 = 0 THEN concat('two', chr(10), 'lines; \"quoted\", ', mktsegment) WHEN client_id % 7 = 1 THEN 'a;b,c' ELSE mktsegment END"
+ACCENTED = "concat(mktsegment, chr(228), chr(233), chr(223))"
+
+
+def csv_text_sql(column: str) -> str:
+    return with_mart("client", f"dummy AS (SELECT 1)\nSELECT client_id, {column} AS note, churned FROM mart")

@@ -1,14 +1,15 @@
 """CSV sources and column-name work.
 
-* S2 (re-aimed): a dialect table for a directory of CSV files. The first three
-  lines of each file are taken with ``row_number() <= 3`` per file, which Spark
-  plans as a per-partition group limit before the shuffle, so the job stays
-  small whatever the file sizes. Each candidate delimiter is scored by the
-  field counts of those lines: consistent counts win, the most fields first,
-  ties to the earlier candidate; ``,`` when none is consistent. (The
-  reference first tries Python's ``csv.Sniffer`` heuristic; only its fallback
-  rule is kept.) Encoding is a read option, not guessed from bytes.
-* S1: ``spark.read.csv`` with the detected separator, then S5 and S4.
+* S2: a dialect table for a folder of CSV files. The files are listed by Spark
+  (the content column is not read), dealt out over tasks, and each task reads
+  the first ``head_bytes`` of its files, so the bytes read per file are bounded.
+  Encoding: UTF-8 with or without a byte order mark if the head decodes
+  strictly, else Latin-1, in which every byte is a letter. Delimiter: the standard sniffer over
+  the known delimiters, else the one that cuts the first three records into the same number of
+  fields (most fields first, ties to the earlier one), else ``,``. Records are
+  split with regard to quotes, and a line break inside quotes is noted.
+* S1: one read per dialect and header (files whose columns come in another order
+  are another header), united by column name; then S5 and S4.
 * S5: names lower-cased, trimmed, spaces to underscores, a leading BOM dropped,
   synonyms mapped; two columns mapping to one name raise.
 * S6: required / recommended columns, as lists and as a small report frame.
@@ -16,42 +17,115 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
+import io
 import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fixed as FX
 from ..functions.exprs import norm_name
 
+HEAD_BYTES, SNIFF_CHARS = 1 << 16, 4096
+UTF8, UTF8_BOM, SINGLE_BYTE = FX.CSV_ENCODINGS[:3]
+#: What Spark's reader calls these encodings.
+SPARK_NAMES = {UTF8_BOM: UTF8, SINGLE_BYTE: "ISO-8859-1"}
+_DIALECT = "file string, delimiter string, n_fields int, encoding string, multiline boolean, header array<string>"
 
-def csv_dialects(spark: SparkSession, path: str, delimiters=FX.CSV_DELIMITERS,
-                 encoding: str = "utf-8") -> DataFrame:
-    """``(file, delimiter, n_fields)`` per CSV file under ``path``."""
-    lines = (spark.read.option("encoding", encoding).text(path)
-             .select(F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
-             .where(F.col("block") == 0))
-    w = Window.partitionBy("file").orderBy("pos")
-    # the reference strips the text, keeps its first 3 lines, then drops blank ones
-    first = (lines.withColumn("ln", F.row_number().over(w))
-             .where((F.col("ln") <= 3)))
-    first = first.withColumn("line", F.when(F.col("ln") == 1, F.ltrim("line")).otherwise(F.col("line")))
-    first = first.where(F.trim("line") != "")
-    cands = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(d).alias("delim"),
-                               F.lit(re.escape(d)).alias("rx")) for i, d in enumerate(delimiters)])
-    per = (first.select("file", "line", F.explode(cands).alias("c"))
-           .select("file", "c.ord", "c.delim", F.size(F.split("line", F.col("c.rx"))).alias("n")))
-    scored = per.groupBy("file", "ord", "delim").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    ok = scored.where(F.col("lo") == F.col("hi"))
-    best = ok.groupBy("file").agg(F.max_by(F.struct("delim", F.col("hi").alias("n_fields")),
-                                           F.struct(F.col("hi"), -F.col("ord"))).alias("b"))
-    files = lines.select("file").distinct()
-    return files.join(best, "file", "left").select(
-        "file", F.coalesce(F.col("b.delim"), F.lit(",")).alias("delimiter"),
-        F.col("b.n_fields").alias("n_fields"))
+
+def decode_head(head: bytes, whole: bool) -> tuple[str, str]:
+    """(text, encoding) of a file's first bytes; ``whole`` if there are no more.
+    A character cut off at the end of the head is no fault."""
+    if head.startswith(codecs.BOM_UTF8):
+        head, name = head[len(codecs.BOM_UTF8):], UTF8_BOM
+    else:
+        name = UTF8
+    try:
+        return codecs.getincrementaldecoder("utf-8")("strict").decode(head, final=whole), name
+    except UnicodeDecodeError:
+        return head.decode(SINGLE_BYTE), SINGLE_BYTE
+
+
+def _records(text: str, delimiter: str, whole: bool, most: int = 3) -> list[list[str]]:
+    """The first records that are not blank; one that the head cuts off is left out."""
+    out: list[list[str]] = []
+    lines = io.StringIO(text, newline="")
+    try:
+        for record in csv.reader(lines, delimiter=delimiter):
+            cut = not whole and lines.tell() >= len(text)
+            if record and not (cut and out):
+                out.append(record)
+            if len(out) == most:
+                break
+    except csv.Error:
+        pass
+    return out
+
+
+def find_dialect(text: str, whole: bool, delimiters=FX.CSV_DELIMITERS) -> tuple[str, int | None, bool, list[str]]:
+    """(delimiter, fields, a quoted line break occurs, header) of a file's head."""
+    text = text.lstrip()
+    counts = {}
+    for d in delimiters:
+        n = {len(r) for r in _records(text, d, whole)}
+        counts[d] = n.pop() if len(n) == 1 else None
+    try:
+        best = csv.Sniffer().sniff(text[:SNIFF_CHARS], "".join(delimiters)).delimiter
+    except csv.Error:
+        best = None
+    if best not in counts:
+        best = max(delimiters, key=lambda d: counts[d] or 0) if any(counts.values()) else ","
+    first = _records(text, best, whole, most=1)
+    rows = csv.reader(io.StringIO(text, newline=""), delimiter=best)
+    broken = False
+    try:
+        broken = any("\n" in v or "\r" in v for r in rows for v in r)
+    except csv.Error:
+        pass
+    return best, counts.get(best), broken, [h.lstrip("\ufeff") for h in first[0]] if first else []
+
+
+def read_head(path: str, n: int) -> bytes:
+    """The first ``n`` bytes of a (possibly compressed) file and one more, if there is one."""
+    from pyarrow import fs as pafs
+
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
+    if scheme is None or scheme.group(1) == "file":
+        store, at = pafs.LocalFileSystem(), re.sub(r"^file:(//)?(?=/)", "", path)
+    else:
+        store, at = pafs.FileSystem.from_uri(quote(path, safe="/:@"))
+    with store.open_input_stream(at, compression="detect") as f:
+        return f.read(n + 1)
+
+
+def csv_dialects(spark: SparkSession, path: str, delimiters=FX.CSV_DELIMITERS, encoding: str | None = None,
+                 head_bytes: int = HEAD_BYTES) -> DataFrame:
+    """``(file, delimiter, n_fields, encoding, multiline, header)`` per file
+    under ``path``. ``encoding`` fixes it for all of them; ``n_fields`` is null
+    where the records differ."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    delimiters = list(delimiters)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file in pdf["path"]:
+                head = read_head(file, head_bytes)
+                whole = len(head) <= head_bytes
+                head = head[:head_bytes]
+                text, name = decode_head(head, whole) if encoding is None else (head.decode(encoding, "replace"), encoding)
+                rows.append((file, *find_dialect(text, whole, delimiters)[:2], name, *find_dialect(text, whole, delimiters)[2:]))
+            yield pd.DataFrame(rows, columns=["file", "delimiter", "n_fields", "encoding", "multiline", "header"]).astype(
+                {"n_fields": "Int32"})
+
+    parts = spark.sparkContext.defaultParallelism
+    return files.repartition(parts, "path").mapInPandas(look, _DIALECT)
 
 
 def normalize_columns(df: DataFrame, synonyms: dict[str, str] = FX.COLUMN_SYNONYMS) -> DataFrame:
@@ -73,30 +147,60 @@ def coerce_dates(df: DataFrame, cols=("activity_date",)) -> DataFrame:
     return out
 
 
+def _literal(path: str) -> str:
+    """A path whose characters are not read as a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def load_csv(spark: SparkSession, path: str, sep: str | None = None, schema: StructType | None = None,
-             encoding: str = "utf-8", normalize: bool = True) -> DataFrame | None:
+             encoding: str | None = None, normalize: bool = True, multiline: bool | None = None) -> DataFrame | None:
     """Header CSV -> normalised frame, or ``None`` when it has no rows.
 
-    Without ``sep`` each file is read with its own delimiter from
-    :func:`csv_dialects`: one read per delimiter, united by column name
-    (columns that only some files have are null elsewhere). Pass ``schema`` at
-    scale: inference costs a pass over the data.
-    """
-    if sep is None:
-        found = csv_dialects(spark, path, encoding=encoding).groupBy("delimiter") \
-            .agg(F.collect_list("file").alias("files")).orderBy("delimiter").collect()
-        groups = [(r["delimiter"], r["files"]) for r in found] if len(found) > 1 else \
-            [(found[0]["delimiter"] if found else ",", path)]
-    else:
-        groups = [(sep, path)]
+    Every file is read with its own dialect: one read per (delimiter, encoding,
+    quoted line breaks, header), united by column name, so the order of columns
+    may differ between files; columns that only some files have are null
+    elsewhere. ``sep``, ``encoding`` and ``multiline`` overrule what the heads show:
+    a quoted line break that first occurs behind the head needs ``multiline=True``.
+
+    ``schema`` gives names and types: a file's columns are matched to it by name (in
+    normal form, with synonyms), others are left out. Pass it at scale: inference costs a pass over the data."""
+    found = csv_dialects(spark, path, [sep] if sep else FX.CSV_DELIMITERS, encoding).where("size(header) > 0")
+    # a row per file: the listing that the reads below are given anyway
+    groups: dict[tuple, list[str]] = {}
+    for r in found.orderBy("file").toLocalIterator():
+        many = r["multiline"] if multiline is None else multiline
+        groups.setdefault((sep or r["delimiter"], r["encoding"], many, tuple(r["header"])), []).append(r["file"])
     df = None
-    for delimiter, files in groups:
-        r = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        own = r.csv(files)
+    for (delimiter, name, many, header), files in groups.items():
+        r = (spark.read.option("header", True).option("sep", delimiter).option("multiLine", many).option("escape", '"')
+             .option("encoding", SPARK_NAMES.get(name, name)))
+        if schema is None:
+            own = r.option("inferSchema", True).csv([_literal(f) for f in files])
+        else:
+            own = _by_name(r, [_literal(f) for f in files], header, schema)
         own = normalize_columns(own) if normalize else own
         df = own if df is None else df.unionByName(own, allowMissingColumns=True)
-    return None if df.isEmpty() else coerce_dates(df)
+    return None if df is None or df.isEmpty() else coerce_dates(df)
+
+
+def _by_name(reader, files: list[str], header: tuple[str, ...], schema: StructType) -> DataFrame:
+    """A read in which each column of the file takes the schema's type for its name."""
+    def known(name):
+        name = norm_name(name)
+        return FX.COLUMN_SYNONYMS.get(name, name)
+
+    wanted = {known(f.name): f for f in schema.fields}
+    at = [wanted.get(known(h)) for h in header]
+    if not any(at):
+        raise ValueError(f"none of the columns {list(header)} is in the schema {schema.names}")
+    here = [f.name for f in at if f is not None]
+    if len(here) != len(set(here)):
+        raise ValueError(f"columns collide after normalising names: {list(header)}")
+    own = StructType([StructField(f.name if f else f"__other{i}", f.dataType if f else StringType())
+                      for i, f in enumerate(at)])
+    df = reader.schema(own).option("enforceSchema", True).csv(files)
+    return df.select(*[F.col(f"`{f.name}`") if f.name in here else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
 
 
 def load_dataset(spark: SparkSession, name: str, sf_dir: str) -> DataFrame | None:
