@@ -21,12 +21,14 @@ it has met itself: all their windows start earlier. So of a passage that a
 third of all documents share, a shard gets a few copies per task.
 
 Large shards. At the edges of such a passage the segments hold words of each
-document's own, so there are as many as documents. A shard of more than LARGE
-segments gets no automaton: its segments are cut into their windows, Spark
-finds the first place of each window's content with map-side combine, and the
-later ones go (contents that are very frequent meet their rows by broadcast,
-the others by shuffle). No automaton and no task's list grows beyond LARGE
-segments.
+document's own, so there are as many as documents. The windows of a shard of
+more than SHARD segments are dealt out again by a finer key: they are grouped
+by the distance of the anchor from their start, and the key is the text that
+all windows of such a group share. Equal windows have equal keys, so they still
+meet in one automaton. Windows that hold a document's own words there get keys
+that occur once, those inside the passage become equal segments, of which each
+task sends the first. Groups shrink until one holds a single distance and the
+key is the whole window, so every automaton reads SHARD segments at most.
 
 Edge cases: a null text has no words; texts shorter than the window lose
 nothing; a null id counts as the largest; rows that repeat an id with different
@@ -43,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut_lineage, gram_hashes, hash_words, hot_join, num_partitions, text_of, words_of
+from .common import col, cut_lineage, gram_hashes, hash_words, num_partitions, text_of, words_of
 
 #: Words of an anchor.
 GRAM = 8
@@ -51,7 +53,10 @@ LAST = (1 << 63) - 1
 #: Anchors that a task looks at together.
 TOGETHER = 1_000_000
 #: Segments of a shard, at most, that one automaton reads.
-LARGE = 2000
+SHARD = 2000
+#: Segments that a task remembers to resolve copies of them at once.
+MET = 500_000
+
 
 def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of the anchors of all windows: the leftmost gram with the
@@ -170,31 +175,74 @@ def shard_spans(segments: list[tuple], window: int):
 
 
 def by_size(segments: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The segments of shards of at most LARGE, and those of the others."""
-    large = cut_lineage(segments.groupBy("h").count().where(F.col("count") > LARGE).select("h"), "op10-large")
+    """The segments of shards of at most SHARD, and those of the others."""
+    large = cut_lineage(segments.groupBy("h").count().where(F.col("count") > SHARD).select("h"), "op10-large")
     if large.isEmpty():
         return segments, None
     return segments.join(large, "h", "left_anti"), segments.join(large, "h", "left_semi")
 
 
-def window_spans(segments: DataFrame, window: int) -> DataFrame:
-    """(oid, alt, begin, stop) of the windows in ``segments`` whose content starts earlier in them."""
-    def cut(batches):
+def group_sizes(window: int) -> list[int]:
+    """Distances of the anchor that a finer key holds together, down to one."""
+    out, n = [], window - min(GRAM, window) + 1
+    while n > 1:
+        n = -(-n // (6 if not out else 4))
+        out.append(n)
+    return out or [1]
+
+
+def finer(words: list[bytes], begin: int, at: int, h: int, window: int, step: int):
+    """(key, first word, end) of the windows of a segment that starts at word
+    ``begin``, grouped by the distance of the anchor (word ``at``) in steps."""
+    from xxhash import xxh64_intdigest
+
+    last = begin + len(words) - window
+    for g in range((at - last) // step, (at - begin) // step + 1):
+        final = at - g * step                     # the latest start of such a window
+        first = final - step + 1
+        core = b" ".join(words[final - begin:first + window - begin])
+        key = xxh64_intdigest(b"%d %d %d " % (h, g, step) + core)
+        yield key - (1 << 64) if key >> 63 else key, max(first, begin), min(final, last) + window
+
+
+_SEGMENT = "h long, oid long, alt long, begin long, at long, segment binary, stop long"
+_COLUMNS = ["h", "oid", "alt", "begin", "at", "segment", "stop"]
+
+
+class Met:
+    """The first place of each segment a task has met; forgets when it holds too many."""
+
+    def __init__(self):
+        self.places: dict = {}
+
+    def before(self, h: int, segment: bytes, place: tuple) -> bool:
+        """Whether the same segment was met at an earlier place."""
+        if len(self.places) > MET:
+            self.places.clear()
+        key = (h, hashlib.md5(segment).digest())
+        known = self.places.get(key)
+        if known is not None and known < place:
+            return True
+        self.places[key] = place
+        return False
+
+
+def deal_again(segments: DataFrame, window: int, step: int) -> DataFrame:
+    """The segments of large shards under finer keys; a row without a segment is
+    one whose windows all start earlier."""
+    def deal(batches):
+        met = Met()
         for pdf in batches:
             out = []
-            for oid, alt, begin, segment in zip(*(pdf[c] for c in ("oid", "alt", "begin", "segment")), strict=True):
+            for h, oid, alt, begin, at, segment in zip(*(pdf[c] for c in _COLUMNS[:-1]), strict=True):
                 words = segment.split(b" ")
-                for i in range(len(words) - window + 1):
-                    out.append((hashlib.md5(b" ".join(words[i:i + window])).digest(), oid, alt, begin + i))
-            yield pd.DataFrame(out, columns=["content", "oid", "alt", "begin"])
+                for key, lo, hi in finer(words, begin, at, h, window, step):
+                    part = b" ".join(words[lo - begin:hi - begin])
+                    copy = met.before(key, part, (oid, alt, lo))
+                    out.append((0 if copy else key, oid, alt, lo, at, None if copy else part, hi))
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
-    windows = cut_lineage(segments.select("oid", "alt", "begin", "segment").mapInPandas(
-        cut, "content binary, oid long, alt long, begin long"), "op10-windows")
-    place = F.struct("oid", "alt", "begin")
-    firsts = cut_lineage(windows.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("size"))
-                         .where("size > 1"), "op10-firsts")
-    return (hot_join(windows, firsts, "content", "size", windows.count()).where(place > F.col("first"))
-            .select("oid", "alt", "begin", (F.col("begin") + window).alias("stop")))
+    return segments.select(_COLUMNS).mapInPandas(deal, _SEGMENT)
 
 
 def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text"):
@@ -208,6 +256,8 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
     src = docs.select(col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     src = src.select(F.coalesce("id", F.lit(LAST)).alias("oid"), F.col("id").isNull().alias("null_id"),
                      F.xxhash64("text").alias("alt"), "text")
+    # names a document in the lists of anchors: a collision only adds candidates
+    src = src.withColumn("uid", F.xxhash64("oid", "null_id", "alt"))
 
     def scan(batches):
         """A row per document. Anchors whose hash recurs in the task itself are
@@ -215,10 +265,10 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
         with one row without a document for each sure hash."""
         held, size = [], 0
         for pdf in batches:
-            for oid, alt, null_id, text in zip(pdf["oid"], pdf["alt"], pdf["null_id"], pdf["text"], strict=True):
+            for uid, oid, alt, null_id, text in zip(*(pdf[c] for c in ("uid", "oid", "alt", "null_id", "text")), strict=True):
                 words = words_of(text)
                 at, h = anchors(words, window)
-                held.append((oid, alt, null_id, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), at, h))
+                held.append((uid, oid, alt, null_id, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), at, h))
                 size += len(at)
             if size > TOGETHER:
                 yield from split(held)
@@ -228,7 +278,7 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
     def split(held):
         if not held:
             return
-        every, n = np.unique(np.concatenate([r[6] for r in held]), return_counts=True)
+        every, n = np.unique(np.concatenate([r[7] for r in held]), return_counts=True)
         twice = every[n > 1]
         for i in range(0, len(held), 1000):
             rows = []
@@ -241,11 +291,11 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
         for i in range(0, len(twice), 10_000):
             own = twice[i:i + 10_000]
             none = np.empty(0, dtype=np.int64)
-            yield pd.DataFrame([(-1, 0, False, -1, "", none, none, np.full(len(own), -1), own)], columns=columns)
+            yield pd.DataFrame([(-1, -1, 0, False, -1, "", none, none, np.full(len(own), -1), own)], columns=columns)
 
-    columns = ["oid", "alt", "null_id", "n_words", "sha", "sure_at", "sure_h", "at", "h"]
+    columns = ["uid", "oid", "alt", "null_id", "n_words", "sha", "sure_at", "sure_h", "at", "h"]
     scanned = cut_lineage(src.mapInPandas(
-        scan, "oid long, alt long, null_id boolean, n_words long, sha string, "
+        scan, "uid long, oid long, alt long, null_id boolean, n_words long, sha string, "
               "sure_at array<long>, sure_h array<long>, at array<long>, h array<long>"), "op10-scan")
 
     def repeated(batches):
@@ -262,20 +312,19 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
             yield pdf[many]
             last, held = h[-1], None if many[-1] else pdf.iloc[-1:]
 
-    lone = scanned.select("oid", F.explode(F.arrays_zip("at", "h")).alias("z")).select("oid", "z.at", "z.h")
+    lone = scanned.select("uid", F.explode(F.arrays_zip("at", "h")).alias("z")).select("uid", "z.at", "z.h")
     lone = (lone.repartition(parts, "h").sortWithinPartitions("h")
-            .mapInPandas(repeated, "oid long, at long, h long").where("at >= 0")
-            .groupBy("oid").agg(F.collect_list(F.struct("at", "h")).alias("spots")))
-    sure = scanned.where("size(sure_h) > 0").select("oid", F.transform(
+            .mapInPandas(repeated, "uid long, at long, h long").where("at >= 0")
+            .groupBy("uid").agg(F.collect_list(F.struct("at", "h")).alias("spots")))
+    sure = scanned.where("size(sure_h) > 0").select("uid", F.transform(
         F.arrays_zip("sure_at", "sure_h"), lambda z: F.struct(z["sure_at"].alias("at"), z["sure_h"].alias("h"))).alias("spots"))
-    spots = lone.unionByName(sure).groupBy("oid").agg(F.flatten(F.collect_list("spots")).alias("spots"))
+    spots = lone.unionByName(sure).groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots"))
     # a shuffle at every size: the documents with repeated anchors grow with the data
-    texts = cut_lineage(src.select("oid", "alt", "text").join(spots.hint("merge"), "oid"), "op10-texts")
+    texts = cut_lineage(src.select("uid", "oid", "alt", "text").join(spots.hint("merge"), "uid"), "op10-texts")
 
     def cut(batches):
         """Segments around repeated anchors; copies of one met in this task are resolved at once."""
-        met: set = set()
-        doc = None
+        met, doc = Met(), None
         for pdf in batches:
             out = []
             for oid, alt, text, spots in zip(pdf["oid"], pdf["alt"], pdf["text"], pdf["spots"], strict=True):
@@ -287,25 +336,23 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
                 lo = hi = -1  # words that copies remove, as one span as long as they touch
                 for at, h in sorted({(s["at"], s["h"]) for s in spots}):
                     if own.get(at) != h:
-                        continue  # an anchor of another row with this id
+                        continue  # an anchor of another document with this uid
                     begin, stop = max(0, at - (window - gram)), min(len(words), at + window)
                     segment = b" ".join(words[begin:stop])
-                    key = (h, hashlib.md5(segment).digest())
-                    if key not in met:
-                        met.add(key)
-                        out.append((h, oid, alt, begin, segment, stop))
+                    if not met.before(h, segment, (oid, alt, begin)):
+                        out.append((h, oid, alt, begin, at, segment, stop))
                         continue
                     if begin > hi:
                         if hi > lo:
-                            out.append((0, oid, alt, lo, None, hi))
+                            out.append((0, oid, alt, lo, 0, None, hi))
                         lo = begin
                     hi = stop
                 if hi > lo:
-                    out.append((0, oid, alt, lo, None, hi))
-            yield pd.DataFrame(out, columns=["h", "oid", "alt", "begin", "segment", "stop"])
+                    out.append((0, oid, alt, lo, 0, None, hi))
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
-    segments = cut_lineage(texts.repartition(parts, "oid").sortWithinPartitions("oid", "alt").mapInPandas(
-        cut, "h long, oid long, alt long, begin long, segment binary, stop long"), "op10-segments")
+    segments = cut_lineage(texts.repartition(parts, "uid").sortWithinPartitions("oid", "alt").mapInPandas(
+        cut, _SEGMENT), "op10-segments")
 
     def search(batches):
         tail = None
@@ -330,13 +377,20 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
                 found += shard_spans([((oid[r], alt[r]), begin[r], segment[r]) for r in range(i, j)], window)
         return pd.DataFrame([(*d, b, e) for d, b, e in found], columns=["oid", "alt", "begin", "stop"])
 
-    small, large = by_size(segments.where("segment is not null").select("h", "oid", "alt", "begin", "segment"))
-    searched = (small.repartition(parts, "h").sortWithinPartitions("h", "oid", "alt", "begin")
-                .mapInPandas(search, "oid long, alt long, begin long, stop long"))
-    if large is not None:
-        searched = searched.unionByName(window_spans(large, window))
-    copies = segments.where("segment is null").select("oid", "alt", "begin", "stop")
-    spans = (searched.unionByName(copies).groupBy("oid", "alt")
+    found, fields = None, ["oid", "alt", "begin", "stop"]
+    for step in [*group_sizes(window), None]:
+        copies = segments.where("segment is null").select(fields)
+        whole = segments.where("segment is not null")
+        small, large = by_size(whole) if step else (whole, None)
+        searched = (small.select("h", "oid", "alt", "begin", "segment").repartition(parts, "h")
+                    .sortWithinPartitions("h", "oid", "alt", "begin")
+                    .mapInPandas(search, "oid long, alt long, begin long, stop long"))
+        level = copies.unionByName(searched)
+        found = level if found is None else found.unionByName(level)
+        if large is None:
+            break
+        segments = cut_lineage(deal_again(large, window, step), f"op10-step{step}")
+    spans = (found.groupBy("oid", "alt")
              .agg(F.collect_set(F.struct("begin", "stop")).alias("spans")))
     documents = scanned.where("n_words >= 0").select("oid", "alt", "null_id", "n_words", "sha")
     return documents, texts, cut_lineage(spans, "op10-spans")

@@ -363,27 +363,37 @@ def test_substring_dedup(docs, empty, window):
         assert n or texts[d] == dict(texts_or_none(unique))[d]
 
 
-def test_substring_large_shards(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "LARGE", 10)
-    made, by_size = [], substring_dedup.by_size
-    monkeypatch.setattr(substring_dedup, "by_size", lambda s: made.append(by_size(s)) or made[0])
-    rnd, window = random.Random(8), 20
-    passage = " ".join(f"p{i}" for i in range(45))
-    rows = [(i, " ".join([*(f"a{rnd.random()}" for _ in range(15)), passage, *(f"b{rnd.random()}" for _ in range(15))]))
-            for i in range(60)]  # the passage's edges differ in every document
-    seen, want = set(), {}
-    for d, t in rows:
-        w = t.split()
+@pytest.mark.parametrize("window,shard", [(20, 10), (50, 4), (9, 1), (8, 1), (5, 1)])
+def test_substring_large_shards(spark, monkeypatch, window, shard):
+    """A passage in most documents with other words at its edges, near copies, repeated and null ids."""
+    monkeypatch.setattr(substring_dedup, "SHARD", shard)
+    rounds, deal = [], substring_dedup.deal_again
+    monkeypatch.setattr(substring_dedup, "deal_again", lambda *a: rounds.append(a[2]) or deal(*a))
+    rnd = random.Random(window)
+    say = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    passage, other = say(70), say(90)
+    rows = [(i, " ".join(say(rnd.randrange(12)) + passage[:rnd.randrange(55, 71)] + say(rnd.randrange(12)))) for i in range(60)]
+    for i in range(25):                       # near copies: one word differs
+        near = list(other)
+        near[rnd.randrange(90)] = f"x{i}"
+        rows.append((100 + i % 20, " ".join(near)))
+    rows += [(None, " ".join(passage)), (None, " ".join(passage)), (None, " ".join(say(30) + other)), (7, rows[7][1]), (200, "a b " * 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ranked = df.select("doc_id", "text", F.xxhash64("text").alias("alt")).collect()
+    ranked.sort(key=lambda r: ((1 << 63) - 1 if r["doc_id"] is None else r["doc_id"], r["alt"]))
+    seen, want = {}, []
+    for r in ranked:
+        w, place = r["text"].split(), (r["doc_id"], r["alt"])
         gone = [False] * len(w)
         for i in range(len(w) - window + 1):
-            if tuple(w[i:i + window]) in seen:
+            first = seen.setdefault(tuple(w[i:i + window]), (place, i))
+            if first != (place, i):
                 gone[i:i + window] = [True] * window
-            seen.add(tuple(w[i:i + window]))
-        want[d] = sum(gone)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(df, window).collect()} == want
-    small, large = made[0]
-    assert (small.groupBy("h").count().agg(F.max("count")).first()[0] or 0) <= 10 < large.count()
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        want.append((r["doc_id"], len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = [tuple(r) for r in substring_dedup.substring_dedup(df, window).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert rounds == substring_dedup.group_sizes(window)[:len(rounds)] and rounds
 
 
 def texts_or_none(df):
