@@ -59,6 +59,15 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (b.lower() if lower else b).split()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that are no longer held; it
+    does so when the driver's JVM collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def num_partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session: the caller sizes them to the cluster."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut_lineage, gram_hashes, hash_words, num_partitions, text_of, words_of
+from .common import col, cut_lineage, gram_hashes, hash_words, num_partitions, release, text_of, words_of
 
 #: Words of an anchor.
 GRAM = 8
@@ -315,12 +315,16 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
     lone = scanned.select("uid", F.explode(F.arrays_zip("at", "h")).alias("z")).select("uid", "z.at", "z.h")
     lone = (lone.repartition(parts, "h").sortWithinPartitions("h")
             .mapInPandas(repeated, "uid long, at long, h long").where("at >= 0")
-            .groupBy("uid").agg(F.collect_list(F.struct("at", "h")).alias("spots")))
+            .groupBy("uid").agg(F.collect_set(F.struct("at", "h")).alias("spots")))
     sure = scanned.where("size(sure_h) > 0").select("uid", F.transform(
         F.arrays_zip("sure_at", "sure_h"), lambda z: F.struct(z["sure_at"].alias("at"), z["sure_h"].alias("h"))).alias("spots"))
-    spots = lone.unionByName(sure).groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots"))
+    # of equal rows one list will do: what is not sure in it is left to the shuffle, and recurs in the others
+    sure = sure.groupBy("uid").agg(F.first("spots").alias("spots"))
+    spots = lone.unionByName(sure).groupBy("uid").agg(F.flatten(F.collect_list("spots")).alias("spots"))
     # a shuffle at every size: the documents with repeated anchors grow with the data
     texts = cut_lineage(src.select("uid", "oid", "alt", "text").join(spots.hint("merge"), "uid"), "op10-texts")
+    del lone, sure, spots
+    release(docs.sparkSession)
 
     def cut(batches):
         """Segments around repeated anchors; copies of one met in this task are resolved at once."""
@@ -353,6 +357,7 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
 
     segments = cut_lineage(texts.repartition(parts, "uid").sortWithinPartitions("oid", "alt").mapInPandas(
         cut, _SEGMENT), "op10-segments")
+    release(docs.sparkSession)
 
     def search(batches):
         tail = None

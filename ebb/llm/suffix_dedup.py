@@ -46,11 +46,11 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import col, cut_lineage, gram_hashes, hot_join, mix, num_partitions, text_of
+from .common import col, cut_lineage, gram_hashes, hot_join, mix, num_partitions, release, text_of
 
 GRAM = 32                 # bytes of a gram (at most half of the depth)
 CHUNK = 1 << 20           # bytes of text hashed at once
@@ -272,14 +272,6 @@ def refine(body: bytes, start: int, n: int, anchor: int, depth: int, step: int):
 _SEGMENT = "uid long, start int, n int, anchors int, anchor long, key long, hash long, copies long"
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that are no longer held."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _store(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(uid, doc_id, body) bucketed by uid: later joins by row move no text."""
     spark, n, name = docs.sparkSession, num_partitions(docs), f"ebb_op11_{uuid.uuid4().hex}"
@@ -398,7 +390,7 @@ def repeated_ranges(texts: DataFrame, depth: int, shard: int) -> DataFrame:
         fields = ["uid", "start", "n", "anchor", "key", "copies"]
         small = mixed.where("not large").select(fields) if step else mixed.select(fields)
         marks.append(cut_lineage(_sort_shards(texts, small, depth, parts), f"{name}-sorted"))
-        _release(spark)
+        release(spark)
         large = mixed.where("large").select(fields)
         if step is None or large.isEmpty():
             break
@@ -430,7 +422,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 400, id_col: str = "doc_id", text
     if depth < 2 * GRAM:
         raise ValueError(f"depth is at least {2 * GRAM}")
     texts = _store(docs, id_col, text_col)
-    _release(docs.sparkSession)
+    release(docs.sparkSession)
     ranges = repeated_ranges(texts, depth, shard)
     ranges = ranges.groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("items"))
     rows = texts.join(ranges.hint("shuffle_hash"), "uid", "left")
