@@ -71,7 +71,7 @@ def budget_plan(offers: DataFrame, budget: int, key: str = "client_id", cost: st
     while their running cost is within the budget; pass 2 spends what is left
     in the same way on later clients who cost no more than that."""
     rows = offers.select(F.col(key).alias("k"), F.col(cost).cast("long").alias("cost"), F.col(value).cast("long").alias("value"))
-    rows = cut_lineage(rows.where("cost > 0 AND value > 0"), "offers")
+    rows = cut_lineage(rows, "offers").where("cost > 0 AND value > 0")
     order = F.struct((-(F.col("value") / F.col("cost"))).alias("r"), F.col("k"))
     ranked = cut_lineage(prefix_sums(rows.withColumn("__order", order), [], "__order", ["cost"]), "ranked-offers")
     first = ranked.where(F.col("cum_cost") <= budget)
