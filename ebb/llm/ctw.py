@@ -12,16 +12,20 @@ code length per byte.
 
 Corpus work. (1) One scan deals the texts into blocks and writes each block's
 texts, words and (depth + 1)-grams, a gram once per block with its count in the
-block's training texts. (2) Spark sums the grams; they go to tasks by the last
-TOP bytes of their context, so that a task holds whole subtrees of the context
-tree. It learns every node below TOP context bytes, writes what those depths
-say about each distinct gram's eight bits, and sums its subtrees' weights for
-the shorter contexts. No node is left out at any depth. (3) The nodes of
-contexts shorter than TOP bytes, a number that the alphabet bounds whatever the
-corpus, finish each distinct gram's score. (4) Scores return to the blocks
-by gram, exact corpus counts by word, and meet the block's texts, where both
-are summed per text. Each text is shuffled once, to its block; neither the
-whole tree nor a list of words or grams is broadcast.
+block's training texts. Grams are dealt into PARTS by the last TOP bytes of
+their context, so that a part holds whole subtrees of the context tree; a block
+writes one packed row per part. (2) The rows are shuffled by unit (some parts
+on end), summed, and each unit's subtrees are learnt; a task writes the unit's
+distinct grams, packed, and the sums of its subtrees' weights for the shorter
+contexts. No node is left out at any depth. (3) The nodes of contexts shorter
+than TOP bytes finish the tree. Their number is bounded by the alphabet: at most
+2^16 contexts of 255 nodes, and in UTF-8 text far fewer. (4) A unit's distinct
+grams and the blocks' rows of it meet again, the unit is learnt once more, now
+with the shorter contexts, and each row returns to its block with four bytes per
+gram. Exact corpus counts return by word, and both are summed per text. Units
+with the rows of many blocks are split by block, for sums as for scores. Each
+text is shuffled once, to its block; neither the whole tree nor a list of words
+or grams is broadcast.
 
 Edge cases: a null or empty text is its end alone; a null id belongs to the
 training part; rows that repeat an id are scored and counted each; without
@@ -37,14 +41,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, crc32_mod, cut_lineage, num_partitions, text_of, words_of
+from .common import col, crc32_mod, cut_lineage, mix, num_partitions, release, text_of, words_of
 
 #: Context bytes from which on the tree is learnt in subtrees.
 TOP = 3
 #: Bytes that a task looks at together; words and grams of a block's dictionaries.
 TOGETHER, DICTIONARY, GRAMS = 2 << 20, 400_000, 2_000_000
-#: Distinct grams of whole subtrees that a task learns together.
+#: Parts into which each block deals its grams by subtree.
+PARTS = 1024
+#: Grams, counted once per block, from which on parts are units of their own.
 SUBTREES = 100_000
+#: Blocks whose rows of one unit a task reads.
+FAN = 4096
 _SLOTS = 21
 END = b"\n"
 
@@ -70,6 +78,44 @@ def gram_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], ends
 
 
+def by_subtree(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Gram keys with the last TOP context bytes in front: those of a subtree are neighbours in order."""
+    first = min(TOP, depth)
+    sub = (keys >> np.uint64(8)) & np.uint64((1 << (8 * first)) - 1)
+    high = keys >> np.uint64(8 * (first + 1))
+    return (sub << np.uint64(8 * (depth - first + 1))) | (high << np.uint64(8)) | (keys & np.uint64(255))
+
+
+def from_subtree(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The inverse of ``by_subtree``."""
+    first = min(TOP, depth)
+    sub = keys >> np.uint64(8 * (depth - first + 1))
+    high = (keys >> np.uint64(8)) & np.uint64((1 << (8 * (depth - first))) - 1)
+    return (high << np.uint64(8 * (first + 1))) | (sub << np.uint64(8)) | (keys & np.uint64(255))
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes, as many as the largest needs: the upper ones compress well."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def pack_keys(ordered: np.ndarray) -> bytes:
+    """Ascending keys as differences."""
+    return pack(np.diff(ordered, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov block probability."""
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - math.log(math.pi)
@@ -217,19 +263,23 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[new], np.add.reduceat(n, new) if len(new) else n
 
 
-class BlockGrams:
-    """Distinct grams of a block's texts with their counts in its training texts."""
+class GramSums:
+    """Sorted distinct grams with the sums of their counts, added in any number of lists."""
+
+    def __init__(self):
+        self.known, self.new, self.fresh = (np.empty(0, np.uint64), np.empty(0, np.int64)), [], 0
 
-    def __init__(self, depth: int):
-        self.depth, self.known, self.new, self.fresh = depth, (np.empty(0, np.uint64), np.empty(0, np.int64)), [], 0
+    def put(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.new.append((keys, n))
+        self.fresh += len(keys)
+        if self.fresh > max(len(self.known[0]), 500_000):
+            self.all()
 
-    def add(self, texts: list[bytes], train: bool) -> None:
+    def add(self, texts: list[bytes], train: bool, depth: int) -> None:
+        """The grams of texts; those of held-out texts count zero."""
         if texts:
-            keys, n = np.unique(gram_keys(texts, self.depth)[0], return_counts=True)
-            self.new.append((keys, n if train else np.zeros(len(keys), dtype=np.int64)))
-            self.fresh += len(keys)
-            if self.fresh > max(len(self.known[0]), 500_000):
-                self.all()
+            keys, n = np.unique(gram_keys(texts, depth)[0], return_counts=True)
+            self.put(keys, n if train else np.zeros(len(keys), dtype=np.int64))
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         self.known, self.new, self.fresh = merged([self.known, *self.new]), [], 0
@@ -248,59 +298,71 @@ def learn(keys: np.ndarray, n: np.ndarray, first: int, depth: int) -> ContextTre
     return ContextTree(counts[::-1], first)
 
 
-def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
-    """(key, score): log10 probability of each distinct gram's last byte; ``grams``
-    has key and n, its count in the training texts, in any number of rows."""
+def gram_scores(grams: DataFrame, depth: int, partitions: int) -> DataFrame:
+    """(block, keys, scores): the log10 probability of the last byte of each
+    gram, packed like ``grams``, which has block, part, keys (packed in the
+    order of ``by_subtree``), counts (packed, in the training texts) and size."""
     import pyarrow as pa
 
     spark = grams.sparkSession
     first = min(TOP, depth)
-    subtree = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * first)) - 1))
-    fields = pa.schema([("key", pa.int64()), ("bits", pa.binary()), ("node", pa.int64()), ("a", pa.int64()),
-                        ("b", pa.int64()), ("weighted", pa.float64())])
-
-    def part(keys, n):
-        tree = learn(keys, n, first, depth)
-        bits = tree.bits(keys).astype("<f4")
-        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(bits.tobytes())])
-        none = [pa.nulls(len(keys), fields.field(c).type) for c in ("node", "a", "b", "weighted")]
-        yield pa.record_batch([pa.array(keys.view(np.int64)), flat.cast(pa.binary()), *none], schema=fields)
-        if first:
-            below, a, b, weighted = tree.below
-            node, at = np.unique(below & np.uint64((1 << (8 * first)) - 1), return_inverse=True)
-            sums = [np.bincount(at, v, minlength=len(node)) for v in (a, b, weighted)]
-            yield pa.record_batch([pa.nulls(len(node), pa.int64()), pa.nulls(len(node), pa.binary()),
-                                   pa.array(node.view(np.int64)), pa.array(sums[0].astype(np.int64)),
-                                   pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], schema=fields)
+    found = grams.groupBy("block").agg(F.sum("size").alias("size")).agg(F.count("*"), F.sum("size")).first()
+    salts, units = -(-found[0] // FAN) or 1, min(PARTS, -(-(found[1] or 0) // SUBTREES) or 1)
+    # neighbouring parts make a unit
+    rows = (grams.withColumn("unit", F.expr(f"part * {units} div {PARTS}"))
+            .withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))))
+    fields = pa.schema([("unit", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("node", pa.int64()),
+                        ("a", pa.int64()), ("b", pa.int64()), ("weighted", pa.float64())])
+    kinds = "unit long, keys binary, counts binary, node long, a long, b long, weighted double"
+
+    def units_of(batches):
+        """(unit, its sums) from rows sorted by unit."""
+        unit, sums = None, None
+        for batch in batches:
+            for own, keys, n in zip(*(batch[c].to_pylist() for c in ("unit", "keys", "counts")), strict=True):
+                if own != unit:
+                    if sums is not None:
+                        yield unit, sums
+                    unit, sums = own, GramSums()
+                sums.put(unpack_keys(keys), unpack(n).astype(np.int64))
+        if sums is not None:
+            yield unit, sums
+
+    def packed(unit, sums, **nodes):
+        size = len(nodes["node"]) if nodes else 0
+        keys, n = sums.all()
+        own = {"unit": unit, "keys": pack_keys(keys), "counts": pack(n)}
+        return pa.record_batch([pa.array([own.get(f.name)] + [None] * size, f.type) if f.name not in nodes else
+                                pa.concat_arrays([pa.nulls(1, f.type), pa.array(nodes[f.name], f.type)])
+                                for f in fields], schema=fields)
+
+    def add(batches):
+        for unit, sums in units_of(batches):
+            yield packed(unit, sums)
 
     def subtrees(batches):
-        """Whole subtrees, about SUBTREES grams at a time."""
-        held, size, last = [], 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, n, sub = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "n", "sub"))
-            keys, begin = keys.view(np.uint64), 0
-            while size + len(keys) - begin >= SUBTREES:
-                # the first subtree that begins at or after the bound
-                new = np.flatnonzero(np.concatenate([[last is not None and sub[0] != last], sub[1:] != sub[:-1]]))
-                new = new[new >= max(begin, SUBTREES - size)]
-                if not len(new) or new[0] + size - begin == 0:
-                    break
-                held.append((keys[begin:new[0]], n[begin:new[0]]))
-                yield from part(*merged(held))
-                held, size, begin = [], 0, int(new[0])
-            held.append((keys[begin:], n[begin:]))
-            size, last = size + len(keys) - begin, sub[-1]
-        if size:
-            yield from part(*merged(held))
-
-    sums = grams.groupBy("key").agg(F.sum("n").alias("n")).withColumn("sub", subtree)
-    parts = cut_lineage(sums.repartition(num_partitions(grams), "sub").sortWithinPartitions("sub")
-                        .mapInArrow(subtrees, "key long, bits binary, node long, a long, b long, weighted double"),
-                        "op7-tree")
+        """A row per unit with its distinct grams, and a row per node at which its subtrees hang."""
+        for unit, sums in units_of(batches):
+            keys, n = sums.all()
+            nodes = {}
+            if first:
+                below, a, b, weighted = learn(from_subtree(keys, depth), n, first, depth).below
+                node, at = np.unique(below & np.uint64((1 << (8 * first)) - 1), return_inverse=True)
+                a, b, weighted = (np.bincount(at, v, minlength=len(node)) for v in (a, b, weighted))
+                nodes = {"node": node.view(np.int64), "a": a.astype(np.int64), "b": b.astype(np.int64),
+                         "weighted": weighted}
+            yield packed(unit, sums, **nodes)
+
+    sums = rows.select("unit", "salt", "keys", "counts")
+    if salts > 1:  # rows of many blocks are summed by salt first
+        sums = (sums.repartition(partitions, "unit", "salt").sortWithinPartitions("unit")
+                .mapInArrow(add, kinds).select("unit", "keys", "counts"))
+    learnt = cut_lineage(sums.select("unit", "keys", "counts").repartition(partitions, "unit")
+                         .sortWithinPartitions("unit").mapInArrow(subtrees, kinds), "op7-tree")
+    del sums
+    release(spark)
     # contexts of fewer than TOP bytes: as many as the alphabet has, at any size
-    held = (parts.where("node is not null").groupBy("node")
+    held = (learnt.where("node is not null").groupBy("node")
             .agg(*(F.sum(c).alias(c) for c in ("a", "b", "weighted"))).orderBy("node").toArrow())
     node, a, b, weighted = (held[c].to_numpy() for c in ("node", "a", "b", "weighted"))
     node, counts = node.view(np.uint64), []
@@ -310,12 +372,30 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
     top = spark.sparkContext.broadcast(ContextTree(counts, 0, (node, a, b, weighted)))
 
     def finish(batches):
+        """A unit's distinct grams come first and are scored; the blocks' rows look theirs up."""
+        known, scores = None, None
         for batch in batches:
-            keys = batch["key"].to_numpy(zero_copy_only=False).view(np.uint64)
-            bits = np.frombuffer(b"".join(batch["bits"].to_pylist()), dtype="<f4").reshape(-1, 8).astype(np.float64)
-            yield pa.record_batch({"key": batch["key"], "score": pa.array(top.value.log10(keys, bits))})
-
-    return parts.where("key is not null").select("key", "bits").mapInArrow(finish, "key long, score double")
+            blocks, packs, found = [], [], []
+            for block, keys, n in zip(*(batch[c].to_pylist() for c in ("block", "keys", "counts")), strict=True):
+                own = unpack_keys(keys)
+                if block < 0:
+                    whole = from_subtree(own, depth)
+                    tree = learn(whole, unpack(n).astype(np.int64), first, depth)
+                    known, scores = own, top.value.log10(whole, tree.bits(whole)).astype("<f4")
+                    continue
+                blocks.append(block)
+                packs.append(keys)
+                found.append(scores[np.searchsorted(known, own)].tobytes())
+            yield pa.record_batch({"block": pa.array(blocks, pa.int64()), "keys": pa.array(packs, pa.binary()),
+                                   "scores": pa.array(found, pa.binary())})
+
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    distinct = learnt.where("keys is not null").select("unit", every.alias("salt"), F.lit(-1).cast("long").alias("block"),
+                                                       "keys", "counts")
+    own = rows.select("unit", "salt", "block", "keys", F.lit(None).cast("binary").alias("counts"))
+    return (distinct.unionByName(own).repartition(partitions, "unit", "salt")
+            .sortWithinPartitions("unit", "salt", "block")
+            .mapInArrow(finish, "block long, keys binary, scores binary"))
 
 
 def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
@@ -329,7 +409,7 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
     src = src.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("null_id"), "text",
                      F.coalesce(crc32_mod(F.col("id"), fold) == held, F.lit(False)).alias("held_out"))
     schema = ("block long, nth long, id long, null_id boolean, held_out boolean, text binary, word binary, "
-              "number long, c long, key long, n long")
+              "number long, c long, part long, keys binary, counts binary, size long")
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     fields = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
@@ -339,22 +419,31 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
 
     def index(batches):
         """A row per text, a row per word of the block with its count in the
-        training texts, and a row per gram of the block likewise."""
+        training texts, and a row per part with its grams likewise."""
         from pyspark import TaskContext
 
         task, block = TaskContext.get().partitionId(), 0
-        number, train, grams, nth = {END: 0}, [0], BlockGrams(depth), 0
+        number, train, grams, nth = {END: 0}, [0], GramSums(), 0
 
         def dictionaries(block_id):
+            keys, n = grams.all()
+            if not len(keys):
+                return  # no text: each has at least its end
             words = list(number)
             for i in range(0, len(words), 50_000):
                 own = words[i:i + 50_000]
                 yield rows_of(len(own), block=[block_id] * len(own), word=own, number=range(i, i + len(own)),
                               c=train[i:i + len(own)])
-            keys, n = grams.all()
-            for i in range(0, len(keys), 1 << 16):
-                own = keys[i:i + (1 << 16)].view(np.int64)
-                yield rows_of(len(own), block=np.full(len(own), block_id), key=own, n=n[i:i + (1 << 16)])
+            first = min(TOP, depth)
+            part = mix((keys >> np.uint64(8)) & np.uint64((1 << (8 * first)) - 1)) % np.uint64(PARTS)
+            keys = by_subtree(keys, depth)
+            order = np.lexsort((keys, part))
+            keys, n, part = keys[order], n[order], part[order].astype(np.int64)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = [*cuts[1:].tolist(), len(part)]
+            bounds = list(zip(cuts.tolist(), ends, strict=True))
+            yield rows_of(len(cuts), block=[block_id] * len(cuts), part=part[cuts], size=np.array(ends) - cuts,
+                          keys=[pack_keys(keys[i:j]) for i, j in bounds], counts=[pack(n[i:j]) for i, j in bounds])
 
         rows = ((r, len(r[2]) + 100) for batch in batches
                 for r in zip(*(batch[c].to_pylist() for c in ("id", "null_id", "text", "held_out")), strict=True))
@@ -372,13 +461,13 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
                     for i in ids:
                         train[i] += 1
             for part in (True, False):
-                grams.add([t for t, r in zip(texts, group, strict=True) if r[3] != part], part)
+                grams.add([t for t, r in zip(texts, group, strict=True) if r[3] != part], part, depth)
             yield rows_of(len(group), block=[block_id] * len(group), nth=range(nth, nth + len(group)),
                           id=[r[0] for r in group], null_id=[r[1] for r in group], held_out=[r[3] for r in group], text=texts)
             nth += len(group)
             if len(number) > DICTIONARY or len(grams.known[0]) > GRAMS:
                 yield from dictionaries(block_id)
-                number, train, grams, nth, block = {END: 0}, [0], BlockGrams(depth), 0, block + 1
+                number, train, grams, nth, block = {END: 0}, [0], GramSums(), 0, block + 1
         yield from dictionaries(task << 24 | block)
 
     found = cut_lineage(src.mapInArrow(index, schema), "op7-index")
@@ -387,22 +476,25 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
              .withColumn("total", F.sum("c").over(by_word))
              .withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1))
     words = cut_lineage(words.select("block", "number", F.col("total").alias("c"), "first"), "op7-words")
+    release(docs.sparkSession)
     sums = (words.where("first").agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first())
     n_train, distinct = int(sums[0] or 0), int(sums[1] or 0)
     whole_sum = n_train + distinct + 1
-    grams = found.where("key is not null").select("block", "key", "n")
-    scores = gram_scores(grams.select("key", "n"), depth)
-    # words have c, grams have score
-    own = (words.select("block", F.col("number").alias("key"), "c", F.lit(None).cast("double").alias("score"))
-           .unionByName(grams.select("block", "key").join(scores.hint("shuffle_hash"), "key")
-                        .select("block", "key", F.lit(None).cast("long").alias("c"), "score")))
+    parts = num_partitions(docs)
+    scores = gram_scores(found.where("keys is not null").select("block", "part", "keys", "counts", "size"), depth, parts)
+    none = F.lit(None)
+    # a row per word has number and c, a row per part has keys and scores
+    own = (words.select("block", "number", "c", none.cast("binary").alias("keys"), none.cast("binary").alias("scores"))
+           .unionByName(scores.select("block", none.cast("long").alias("number"), none.cast("long").alias("c"),
+                                      "keys", "scores")))
 
     def score(texts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        gram = own["score"].notna().to_numpy()
-        keys, logs10 = own["key"].to_numpy()[gram].view(np.uint64), own["score"].to_numpy()[gram]
+        gram = own["keys"].notna().to_numpy()
+        keys = from_subtree(np.concatenate([unpack_keys(k) for k in own["keys"][gram]]), depth)
+        logs10 = np.frombuffer(b"".join(own["scores"][gram]), dtype="<f4")
         by = np.argsort(keys)
-        keys, logs10 = keys[by], logs10[by]
-        ids, n = own["key"].to_numpy()[~gram], own["c"].to_numpy()[~gram]
+        keys, logs10 = keys[by], logs10[by].astype(np.float64)
+        ids, n = own["number"].to_numpy()[~gram].astype(np.int64), own["c"].to_numpy()[~gram]
         c = np.zeros(len(ids))
         c[ids] = n
         del own
@@ -422,7 +514,6 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
             score=np.concatenate(total) if total else [], n_tokens=n_tokens, n_known=n_known, base_score=base)
 
     texts = found.where("text is not null").select("block", "nth", "id", "null_id", "held_out", "text")
-    parts = num_partitions(docs)
     scored = (texts.repartition(parts, "block").groupBy("block")
               .cogroup(own.repartition(parts, "block").groupBy("block"))
               .applyInPandas(score, "id long, null_id boolean, held_out boolean, score double, n_tokens long, "

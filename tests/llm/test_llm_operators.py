@@ -295,11 +295,24 @@ def test_lm_score_keeps_every_context(docs, spark, monkeypatch, depth):
     scorer = ctw.Scorer(ctw.learn(keys, n, 0, depth))
     want = sorted((-1 if d is None else d, x) for (d, _), x in zip(rows, scorer.texts([t for _, t in rows]), strict=True))
     monkeypatch.setattr(ctw, "SUBTREES", 3_000)
+    monkeypatch.setattr(ctw, "FAN", 2)  # units are split by block
+    monkeypatch.setattr(ctw, "GRAMS", 20_000)
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in ctw.lm_score(many, depth).collect())
     assert [d for d, _ in got] == [d for d, _ in want]
     assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-6)
 
 
+@pytest.mark.parametrize("depth", [0, 2, 3, 6])
+def test_gram_packing(depth):
+    rnd = np.random.default_rng(4)
+    keys = np.unique(rnd.integers(0, 1 << (8 * (depth + 1)), 500, dtype=np.uint64))
+    turned = ctw.by_subtree(keys, depth)
+    assert (ctw.from_subtree(turned, depth) == keys).all()
+    assert (ctw.unpack_keys(ctw.pack_keys(np.sort(turned))) == np.sort(turned)).all()
+    n = rnd.integers(0, 1 << 40, 9)
+    assert (ctw.unpack(ctw.pack(n)) == n).all() and ctw.unpack(ctw.pack(np.zeros(3, np.int64))).tolist() == [0, 0, 0]
+
+
 def test_bpe_round_trip(docs, empty):
     lib = Tokenizer.from_file(queries.WORD_BPE)
     got = {r["doc_id"]: r for r in bpe.round_trip(docs, queries.WORD_BPE).collect()}
