@@ -17,13 +17,18 @@ the task. A task sends counts per class and a spanning forest of its links.
 Cells with many vectors are dealt out in blocks of residents and visitors, and
 every block of a cell meets every other.
 
-Bounds: the sample has at most ``sample`` vectors, a codebook at most
-``max_codes`` codes, so the grid at most max_codes^2 cells (the table that is
+Vectors of several lengths. The length is part of the cell, so only vectors of
+one length meet. The most frequent lengths, up to LENGTHS of them, share the
+sample and have codebooks and a calibration each; all vectors of any other
+length are in one cell and are compared in full, in blocks.
+
+Bounds: the samples have at most ``sample`` vectors together, a codebook at most
+``max_codes`` codes, so a grid at most max_codes^2 cells (the table that is
 broadcast); the codes follow the number of vectors below that.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
-components, and those of another length than the most frequent one, link with
-nothing; a null id likewise (component null, kept). Rows that repeat an id are
+components link with nothing, and vectors of different lengths not with each
+other; a null id likewise (component null, kept). Rows that repeat an id are
 separate rows. An empty table gives no rows.
 """
 
@@ -40,6 +45,8 @@ from .common import col, cut_lineage, hot_join, num_partitions, sorted_groups
 from .components import connected_components
 
 RESIDENTS, VISITORS = 2048, 8192
+#: Lengths with codebooks of their own, and the bits of a cell's number beside the length.
+LENGTHS, CELL_BITS = 8, 32
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -136,9 +143,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """vec_id, n_links, component_id, kept: one row per input row."""
     spark = vectors.sparkSession
     src = vectors.select(col(id_col).cast("long").alias("vec_id"), col(vec_col).cast("array<double>").alias("v"))
-    lengths = src.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = lengths["d"] if lengths else 0
-    ok = (F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") == dim)
+    ok = (F.col("vec_id").isNotNull() & F.col("v").isNotNull()
           & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
           & F.exists("v", lambda x: x != 0))
     src = src.withColumn("ok", F.coalesce(ok, F.lit(False)))
@@ -151,19 +156,27 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                                         F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not rows[1]:
         return lonely
-    picked = classes.orderBy(F.xxhash64("v"), "node").limit(sample).select("v").toPandas()["v"]
-    x = unit(np.stack(picked.to_list()))
-    codes = int(min(max_codes, max(2, math.isqrt(rows[1] // 16)), len(x)))
-    half = dim // 2
-    books = (k_means(x[:, :half], codes), k_means(x[:, half:], codes))
-    cells = calibrate(x, books, threshold, recall)
+    lengths = (classes.where("size(v) > 1").groupBy(F.size("v").alias("d")).count()
+               .orderBy(F.desc("count"), "d").limit(LENGTHS).collect())
+    plans = {}
+    for d, n in lengths:
+        picked = (classes.where(F.size("v") == d).orderBy(F.xxhash64("v"), "node").limit(max(sample // len(lengths), 2))
+                  .select("v").toPandas()["v"])
+        x = unit(np.stack(picked.to_list()))
+        codes = int(min(max_codes, max(2, math.isqrt(n // 16)), len(x)))
+        books = (k_means(x[:, :d // 2], codes), k_means(x[:, d // 2:], codes))
+        plans[d] = (books, calibrate(x, books, threshold, recall))
 
     def place(batches):
         for pdf in batches:
-            if len(pdf):
-                u = unit(np.stack(pdf["v"].to_list()))
-                visits = np.concatenate([visit_order(u[i:i + 1024], books, cells) for i in range(0, len(u), 1024)])
-                yield pd.DataFrame({"node": pdf["node"], "size": pdf["size"], "own": visits[:, 0],
+            for d, own in pdf.groupby(pdf["v"].map(len)):
+                u = unit(np.stack(own["v"].to_list()))
+                if d in plans:
+                    visits = np.concatenate([visit_order(u[i:i + 1024], *plans[d]) for i in range(0, len(u), 1024)])
+                else:
+                    visits = np.zeros((len(u), 1), dtype=np.int64)
+                visits = visits + (d << CELL_BITS)
+                yield pd.DataFrame({"node": own["node"].to_numpy(), "size": own["size"].to_numpy(), "own": visits[:, 0],
                                     "vec": [r.tobytes() for r in u],
                                     "visits": [r.astype("<i8").tobytes() for r in visits],
                                     "cells": list(visits)})

@@ -352,6 +352,26 @@ def test_embedding_dedup(spark):
     assert embed_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_several_lengths(spark, monkeypatch):
+    """Vectors link within every length, whether it has codebooks of its own or not."""
+    monkeypatch.setattr(embed_dedup, "LENGTHS", 2)
+    rnd, rows = np.random.default_rng(5), []
+    for d, n in ((16, 200), (12, 160), (3, 20), (1, 6)):  # two lengths with codebooks, two without
+        x = rnd.standard_normal((n, d))
+        x[n // 2:] = x[:n - n // 2] + 0.05 * rnd.standard_normal((n - n // 2, d))
+        x[1] = x[0]
+        rows += [v.tolist() for v in x]
+    rnd.shuffle(rows)
+    units = [np.array(v) / np.linalg.norm(v) for v in rows]
+    same = lambda i, j: i != j and len(rows[i]) == len(rows[j]) and units[i] @ units[j] >= 0.95
+    links = [sum(same(i, j) for j in range(len(rows))) for i in range(len(rows))]
+    root = components(len(rows), same)
+    least = {r: root.index(r) for r in set(root)}
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.embedding_dedup(df).collect()}
+    assert got == {i: (links[i], least[root[i]], least[root[i]] == i) for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("window", [20, 50, 4])
 def test_substring_dedup(docs, empty, window):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
