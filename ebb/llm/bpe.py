@@ -10,11 +10,12 @@ where the merge list's sufficient lookahead is the length of its longest token.
 A token is emitted once it lies on the paths of all these states, for then no
 later symbol can change it; memory stays constant however long the word is.
 
-Decoder: a state machine that takes ids one by one. ``decode_library`` gives
-the library's form for files without a decoder (tokens joined by one space);
-``TextDecoder`` gives text: bytes pass an incremental UTF-8 decoder, so that a
-character cut between tokens comes out when its last byte arrives, and the
-end-of-word suffix becomes a space.
+Decoder: ``TextDecoder``, a state machine that takes ids one by one or in lists
+and keeps constant memory. It gives text: bytes pass an incremental UTF-8
+decoder, so that a character cut between tokens comes out when its last byte
+arrives, and the end-of-word suffix becomes a space. With ``spelled`` it gives
+the library's form for files without a decoder, the tokens as the vocabulary
+spells them, with a space between any two; its state is whether one came before.
 
 Words recur, so each Python worker remembers the ids of short words it met; the
 memory is emptied when it holds too many.
@@ -31,7 +32,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import pandas as pd
@@ -222,20 +223,21 @@ class WordBpe:
         """The ids of a text, as a stream."""
         return chain.from_iterable(self.chunks(text))
 
-    def decode_library(self, ids: Iterable[int]) -> str:
-        return " ".join(map(self.token.__getitem__, ids))
-
 
 class TextDecoder:
-    """ids -> text, one id at a time; ``feed`` returns what is certain so far."""
+    """ids -> text; ``feed`` returns what is certain after an id, ``feed_all`` after a list of ids."""
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
-        self.back = {c: bytes([b]) for b, c in bpe.alphabet.items()}
+    def __init__(self, bpe: WordBpe, spelled: bool = False):
+        self.bpe, self.spelled, self.begun = bpe, spelled, False
+        self.back = {} if spelled else {c: bytes([b]) for b, c in bpe.alphabet.items()}
         self.utf8 = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
     def feed(self, token_id: int) -> str:
         token = self.bpe.token[token_id]
+        if self.spelled:
+            out = " " + token if self.begun else token
+            self.begun = True
+            return out
         if token in self.bpe.added:
             return self.utf8.decode(b"", True) + token
         ends = bool(self.bpe.suffix) and token.endswith(self.bpe.suffix)
@@ -243,6 +245,12 @@ class TextDecoder:
         out = self.utf8.decode(b"".join(self.back[ord(c)] for c in body), ends)
         return out + " " if ends else out
 
+    def feed_all(self, ids: list[int]) -> str:
+        if not self.spelled or not ids:
+            return "".join(map(self.feed, ids))
+        # one state change for the list: what follows its first id is the same from any state
+        return self.feed(ids[0]) + "".join([" " + self.bpe.token[i] for i in ids[1:]])
+
     def close(self) -> str:
         return self.utf8.decode(b"", True)
 
@@ -278,14 +286,14 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
+                ids_sha, text_sha, n, decoder = hashlib.sha256(), hashlib.sha256(), 0, TextDecoder(bpe, spelled=True)
                 for chunk in filter(None, bpe.chunks(text)):
                     if n:
                         ids_sha.update(b" ")
-                        text_sha.update(b" ")
                     ids_sha.update(" ".join(map(number, chunk)).encode())
-                    text_sha.update(bpe.decode_library(chunk).encode())
+                    text_sha.update(decoder.feed_all(chunk).encode())
                     n += len(chunk)
+                text_sha.update(decoder.close().encode())
                 rows.append((doc, n, ids_sha.hexdigest(), text_sha.hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

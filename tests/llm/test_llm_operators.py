@@ -327,6 +327,11 @@ def test_bpe_round_trip(docs, empty):
         assert list(one.encode(word)) == lib.encode(word, add_special_tokens=False).ids
     text = bpe.TextDecoder(one)
     assert "".join(map(text.feed, one.encode("Grüße 日本"))) + text.close() == "grüße 日本 "
+    ids = list(one.encode("Grüße 日本, it's 12 o'clock <|endoftext|> naïve"))
+    for cut in (0, 1, 3, len(ids)):  # however the ids are cut
+        spelled = bpe.TextDecoder(one, spelled=True)
+        got = spelled.feed_all(ids[:cut]) + "".join(map(spelled.feed, ids[cut:cut + 1])) + spelled.feed_all(ids[cut + 1:])
+        assert got + spelled.close() == lib.decode(ids, skip_special_tokens=False)
 
 
 def test_embedding_dedup(spark):
