@@ -58,13 +58,18 @@ SHARD = 2000
 MET = 500_000
 
 
-def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the anchors of all windows: the leftmost gram with the
-    least hash in each."""
+def anchors(texts: list[list[bytes]], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(position, hash) of the anchors of all windows of each text: the leftmost
+    gram with the least hash in each. The texts are hashed as one run of words;
+    windows that cross from one text to the next are left out."""
     gram = min(GRAM, window)
-    if len(words) < window:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    g = gram_hashes(hash_words(words), gram)
+    sizes = np.array([len(words) for words in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    run = [w for words in texts for w in words]
+    if len(run) < window:
+        return [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))] * len(texts)
+    g = gram_hashes(hash_words(run), gram)
     span = window - gram + 1
     at, value, reach = np.arange(len(g)), g, 1
     while reach < span:
@@ -73,8 +78,25 @@ def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.where(right, at[step:], at[:-step])
         value = np.where(right, value[step:], value[:-step])
         reach += step
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return at, g[at].view(np.int64)
+    at = at[np.arange(len(at)) + window <= np.repeat(ends, sizes)[:len(at)]]
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+    h = g[at].view(np.int64)
+    return [(at[i:j] - start, h[i:j]) for i, j, start in
+            zip(np.searchsorted(at, starts).tolist(), np.searchsorted(at, ends).tolist(), starts.tolist(), strict=True)]
+
+
+def together(rows, words: int = 100_000):
+    """Lists of (row, words of its last field) of about ``words`` words."""
+    held, size = [], 0
+    for row in rows:
+        own = words_of(row[-1])
+        held.append((row[:-1], own))
+        size += len(own)
+        if size > words:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 class SuffixAutomaton:
@@ -265,11 +287,11 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
         with one row without a document for each sure hash."""
         held, size = [], 0
         for pdf in batches:
-            for uid, oid, alt, null_id, text in zip(*(pdf[c] for c in ("uid", "oid", "alt", "null_id", "text")), strict=True):
-                words = words_of(text)
-                at, h = anchors(words, window)
-                held.append((uid, oid, alt, null_id, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), at, h))
-                size += len(at)
+            rows = zip(*(pdf[c] for c in ("uid", "oid", "alt", "null_id", "text")), strict=True)
+            for some in together(rows):
+                for (doc, words), (at, h) in zip(some, anchors([w for _, w in some], window), strict=True):
+                    held.append((*doc, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), at, h))
+                    size += len(at)
             if size > TOGETHER:
                 yield from split(held)
                 held, size = [], 0
@@ -278,14 +300,14 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
     def split(held):
         if not held:
             return
-        every, n = np.unique(np.concatenate([r[7] for r in held]), return_counts=True)
-        twice = every[n > 1]
+        every, place, n = np.unique(np.concatenate([r[-1] for r in held]), return_inverse=True, return_counts=True)
+        twice, many = every[n > 1], n[place] > 1
+        upto = 0
         for i in range(0, len(held), 1000):
             rows = []
             for *doc, at, h in held[i:i + 1000]:
-                sure = np.zeros(len(h), dtype=bool)
-                if len(twice) and len(h):
-                    sure = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+                sure = many[upto:upto + len(h)]
+                upto += len(h)
                 rows.append((*doc, at[sure], h[sure], at[~sure], h[~sure]))
             yield pd.DataFrame(rows, columns=columns)
         for i in range(0, len(twice), 10_000):
@@ -336,11 +358,10 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
                     continue
                 doc = (oid, alt)
                 words = words_of(text)
-                own = dict(zip(*(v.tolist() for v in anchors(words, window)), strict=True))
                 lo = hi = -1  # words that copies remove, as one span as long as they touch
                 for at, h in sorted({(s["at"], s["h"]) for s in spots}):
-                    if own.get(at) != h:
-                        continue  # an anchor of another document with this uid
+                    if at + gram > len(words):
+                        continue  # an anchor of another document with this uid; elsewhere it only adds a segment
                     begin, stop = max(0, at - (window - gram)), min(len(words), at + window)
                     segment = b" ".join(words[begin:stop])
                     if not met.before(h, segment, (oid, alt, begin)):
