@@ -8,8 +8,9 @@ and the part's length (int64), ``NAME.doc`` the document ids (int64) and a
 byte each for null ids in ``NAME.nul``. ``manifest.json`` lists the parts in
 order with their bases: the prefix sums of the parts' lengths.
 
-Documents are range-partitioned and sorted by id, so the parts in order hold
-all ids in ascending order of documents. Each task streams its texts to files
+Documents are range-partitioned and sorted by id and a hash of the text, so the
+parts in order hold all ids in ascending order of documents, and texts that share
+an id (or have none) are dealt over parts. Each task streams its texts to files
 of a name of its own and returns that name; only names of tasks that succeeded
 come into the manifest, so a lost executor's half-written files are never read.
 The driver sees one row per part. Files are written through pyarrow's file
@@ -17,7 +18,7 @@ systems into the shared folder; local and mounted paths are memory-mapped, other
 stores are read part by part.
 
 Edge cases: a null or empty text is its end id only; null ids sort first;
-rows that repeat an id are separate documents; an empty table gives an empty
+rows that repeat an id are separate documents, ordered by a hash of the text; an empty table gives an empty
 manifest.
 """
 
@@ -87,7 +88,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
 
     # long ids pass pandas as Int64-safe objects only when nulls occur, so they travel with a flag
     src = (docs.select(col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-           .repartitionByRange(num_partitions(docs), "id").sortWithinPartitions("id"))
+           .withColumn("hash", F.xxhash64("text"))
+           .repartitionByRange(num_partitions(docs), "id", "hash").sortWithinPartitions("id", "hash"))
     src = src.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("null_id"), "text")
 
     def flagged(batches):

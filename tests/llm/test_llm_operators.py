@@ -84,6 +84,19 @@ def test_token_files_and_packing(docs, empty):
             want = np.array([*ids[d], 0], dtype="<u4")
             assert (r.n_tokens, r.ids_crc32) == (len(want), zlib.crc32(want.tobytes()))
     assert token_files.read_tokens(docs.sparkSession, token_files.write_tokens(empty, queries.BYTE_BPE, 0)).count() == 0
+
+
+def test_token_files_of_shared_ids(spark):
+    """Texts without an id, or of one id, are dealt over parts; both widths hold the same ids."""
+    rows = [(None if i % 2 else 7, f"text number {i}", "a", "b", "c", "d") for i in range(400)]
+    many = spark.createDataFrame(rows, DOCS)
+    narrow, wide = (token_files.write_tokens(many, queries.BYTE_BPE, 0, wide=w) for w in (None, True))
+    assert (narrow["dtype"], wide["dtype"]) == ("<u2", "<u4")
+    assert max(p["docs"] for p in narrow["parts"]) < 200
+    a, b = (token_files.read_tokens(spark, m).toPandas().sort_values("start") for m in (narrow, wide))
+    assert a["doc_id"].isna().tolist() == [True] * 200 + [False] * 200
+    assert a["ids_crc32"].tolist() == b["ids_crc32"].tolist() and a["start"].tolist() == b["start"].tolist()
+    assert a["ids_crc32"].nunique() == 400
     p = packing.pack(docs, queries.BYTE_BPE).toPandas()
     for _, g in p.sort_values("offset").groupby("sequence_id"):
         assert (g["length"].cumsum() - g["length"]).tolist() == g["offset"].tolist() and g["length"].sum() <= 1024
