@@ -39,6 +39,21 @@ def bin_by_edges(v: Column, edges: Column) -> Column:
                                    F.lit(3) * step + mn)))
 
 
+def bin_cuts(edges: Column) -> list[Column]:
+    """Three cuts per edge array with ``bin_by_cuts(v, cuts) = bin_by_edges(v, edges)``
+    for every finite ``v``: many rows of one group need not derive them again."""
+    mn, mx = edges[0], edges[4]
+    step = (mx - mn) / 4.0
+    quartiles, constant = F.size(F.array_distinct(edges)) == 5, mn == mx
+    whole = [F.lit(float("-inf")), F.lit(float("inf")), F.lit(float("inf"))]
+    return [F.when(quartiles, edges[k]).when(constant, whole[k - 1]).otherwise(mn + k * step) for k in (1, 2, 3)]
+
+
+def bin_by_cuts(v: Column, cuts: Sequence[Column]) -> Column:
+    """1 and one more for every cut that ``v`` exceeds."""
+    return F.lit(1) + sum((v > c).cast("int") for c in cuts)
+
+
 def segment_rule(r: Column, f: Column, m: Column) -> Column:
     """RFM segment, first matching rule wins."""
     return (F.when((r == 4) & (f == 4) & (m >= 3), "Champions")

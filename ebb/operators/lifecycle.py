@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bin_by_edges, segment_rule
+from ..functions.exprs import bin_by_cuts, bin_cuts, segment_rule
 from ..functions.quantiles import DEFAULT_ACCURACY, quantiles
 from ..session import cut_lineage
 from .rfm import QUARTILE_PROBS
@@ -142,10 +142,13 @@ def monthly_segments(orders: DataFrame, key: str = "o_custkey", ts: str = "o_ord
     long = state.select("month", F.expr("stack(3, 'r', r, 'f', f, 'm', m) AS (metric, v)"))
     edges = quantiles(long, "v", QUARTILE_PROBS, by=["month", "metric"], accuracy=accuracy, broadcast_groups=True,
                       empty_groups=False)
-    # a row per month of the calendar
+    # a row per month of the calendar, with cuts that are found once per month and not per client
     edges = edges.groupBy("month").agg(*[F.max(F.when(F.col("metric") == c, F.col("edges"))).alias(f"e_{c}") for c in "rfm"])
-    scored = state.join(F.broadcast(edges), "month")
-    r, f, m = (bin_by_edges(F.col(c), F.col(f"e_{c}")) for c in "rfm")
+    cuts = edges.select("month", *[cut.alias(f"{c}_{i}") for c in "rfm" for i, cut in enumerate(bin_cuts(F.col(f"e_{c}")))])
+    scored = state.join(F.broadcast(cuts), "month")
+    scored = scored.select(key, "month", *[
+        bin_by_cuts(F.col(c), [F.col(f"{c}_{i}") for i in range(3)]).alias(f"b_{c}") for c in "rfm"])
+    r, f, m = (F.col(f"b_{c}") for c in "rfm")
     month = F.make_date(F.floor(F.col("month") / 12).cast("int"), (F.col("month") % 12 + 1).cast("int"), F.lit(1))
     return scored.select(key, month.alias("month"), segment_rule(F.lit(5) - r, f, m).alias("segment"))
 

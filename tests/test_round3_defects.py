@@ -2,7 +2,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ebb.operators import models
+from ebb.functions.exprs import bin_by_cuts, bin_by_edges, bin_cuts
+from ebb.operators import lifecycle, models
 
 
 @pytest.fixture
@@ -45,3 +46,22 @@ def test_training_needs_both_classes_in_every_fold(spark):
         models.train_and_compare(X, ["a"], cv_folds=2, calibration_folds=2)
     with pytest.raises(ValueError, match="both classes"):
         models.train_and_compare(X.withColumn("churned", F.lit(0)), ["a"], cv_folds=2, calibration_folds=2)
+
+
+def test_bins_by_cuts_are_those_by_edges(spark):
+    edges = [[0.0, 1.0, 2.0, 3.0, 4.0], [1.0, 1.0, 1.0, 2.0, 9.0], [5.0] * 5, [-3.0, 0.1, 0.2, 0.2, 0.7]]
+    values = [-4.0, -3.0, -0.5, 0.0, 0.1, 0.2, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 7.0, 9.0, 10.0]
+    df = spark.createDataFrame([(v, e) for e in edges for v in values], "v double, e array<double>")
+    cuts = df.withColumns({f"c{i}": c for i, c in enumerate(bin_cuts(F.col("e")))})
+    both = cuts.select(bin_by_edges(F.col("v"), F.col("e")).alias("a"),
+                       bin_by_cuts(F.col("v"), [F.col(f"c{i}") for i in range(3)]).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both) and {r["a"] for r in both} == {1, 2, 3, 4}
+
+
+def test_monthly_segments_finds_cuts_once_per_month(spark):
+    orders = spark.range(400).selectExpr(
+        "id % 40 AS o_custkey", "timestamp_seconds(1.5e9 + id * 2e5) AS o_orderdate", "id * 7 % 31 + 0.5D AS o_totalprice")
+    out = lifecycle.monthly_segments(orders)
+    per_client, per_month = out._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert "array_distinct" not in per_client and "array_distinct" in per_month
+    assert out.select("segment").distinct().count() > 2
