@@ -251,17 +251,25 @@ class Met:
 
 def deal_again(segments: DataFrame, window: int, step: int) -> DataFrame:
     """The segments of large shards under finer keys; a row without a segment is
-    one whose windows all start earlier."""
+    a run of words whose windows all start earlier."""
     def deal(batches):
         met = Met()
         for pdf in batches:
             out = []
             for h, oid, alt, begin, at, segment in zip(*(pdf[c] for c in _COLUMNS[:-1]), strict=True):
-                words = segment.split(b" ")
-                for key, lo, hi in finer(words, begin, at, h, window, step):
-                    part = b" ".join(words[lo - begin:hi - begin])
-                    copy = met.before(key, part, (oid, alt, lo))
-                    out.append((0 if copy else key, oid, alt, lo, at, None if copy else part, hi))
+                words, lo, hi = segment.split(b" "), -1, -1  # words that copies remove, as one span as long as they touch
+                for key, first, stop in finer(words, begin, at, h, window, step):
+                    part = b" ".join(words[first - begin:stop - begin])
+                    if not met.before(key, part, (oid, alt, first)):
+                        out.append((key, oid, alt, first, at, part, stop))
+                        continue
+                    if stop < lo or hi < 0:
+                        if hi > lo:
+                            out.append((0, oid, alt, lo, at, None, hi))
+                        hi = stop
+                    lo = first  # the groups come from the last window to the first
+                if hi > lo:
+                    out.append((0, oid, alt, lo, at, None, hi))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     return segments.select(_COLUMNS).mapInPandas(deal, _SEGMENT)

@@ -468,3 +468,18 @@ def test_registered_queries_and_pipeline(spark):
             assert ids <= before and len(ids) > 0.8 * len(before)
         docs = out
     assert docs.count() >= len(ids)
+
+
+def test_deal_again_makes_one_row_per_run_of_copies(spark):
+    """A copy of a segment is one row, and no segment makes more rows than it has groups, whatever the shard's size."""
+    words = [f"w{i}" for i in range(32)]
+    same = [(5, d, 1, 40, 52, " ".join(words).encode(), 72) for d in range(30)]
+    own = [(5, 100 + d, 1, 40, 52, " ".join([f"x{d}", *words[1:]]).encode(), 72) for d in range(30)]
+    segments = spark.createDataFrame(same + own, substring_dedup._SEGMENT).coalesce(1)
+    rows = substring_dedup.deal_again(segments, 20, 3).collect()
+    copies = {(r["oid"], r["begin"], r["stop"]) for r in rows if r["segment"] is None}
+    assert {c for c in copies if c[0] < 100} == {(d, 40, 72) for d in range(1, 30)}
+    assert sum(r["oid"] < 100 for r in rows) == 5 + 29
+    assert {c for c in copies if c[0] >= 100} == {(100 + d, 41, 72) for d in range(30)}
+    assert all(r["segment"].count(b" ") + 1 == r["stop"] - r["begin"] for r in rows if r["segment"] is not None)
+    assert sum(r["oid"] >= 100 for r in rows) == 2 * 30
