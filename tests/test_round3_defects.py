@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ebb.functions.exprs import bin_by_cuts, bin_by_edges, bin_cuts
 from ebb.operators import lifecycle, models
+from ebb.plans import catalog
 
 
 @pytest.fixture
@@ -65,3 +66,16 @@ def test_monthly_segments_finds_cuts_once_per_month(spark):
     per_client, per_month = out._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
     assert "array_distinct" not in per_client and "array_distinct" in per_month
     assert out.select("segment").distinct().count() > 2
+
+
+def test_platt_takes_known_counts(spark):
+    rows = [(i / 40.0, float(i % 5 > 1 or i > 25)) for i in range(40)]
+    scores = spark.createDataFrame(rows, "s double, label double").repartition(8)
+    counts = {y: sum(1 for _, own in rows if own == y) for y in (0.0, 1.0)}
+    assert models.platt(scores, counts=counts) == pytest.approx(models.platt(scores), rel=1e-6)
+
+
+def test_training_features_are_dealt_out(spark):
+    X = catalog.training(spark, "/root/testdata/sf0.001")[2]
+    assert len(X.inputFiles()) >= min(4, spark.sparkContext.defaultParallelism)
+    assert X.count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
