@@ -21,14 +21,18 @@ it has met itself: all their windows start earlier. So of a passage that a
 third of all documents share, a shard gets a few copies per task.
 
 Large shards. At the edges of such a passage the segments hold words of each
-document's own, so there are as many as documents. The windows of a shard of
-more than SHARD segments are dealt out again by a finer key: they are grouped
-by the distance of the anchor from their start, and the key is the text that
-all windows of such a group share. Equal windows have equal keys, so they still
-meet in one automaton. Windows that hold a document's own words there get keys
-that occur once, those inside the passage become equal segments, of which each
-task sends the first. Groups shrink until one holds a single distance and the
-key is the whole window, so every automaton reads SHARD segments at most.
+document's own, so there are as many as documents. The segments of a shard of
+more than SHARD are sorted by the words before the anchor, read backwards, and
+then by those from the anchor on: what a segment shares with any other on that
+side it shares with a neighbour. The words beyond are in no window that repeats
+and are cut off, one row per segment at most. What is left of such a passage are
+equal segments, of which each task sends the first.
+
+Shards that are still larger are dealt out by a finer key: their windows are
+grouped by the distance of the anchor from their start, and the key is the text
+that all windows of such a group share. Equal windows have equal keys, so they
+still meet in one automaton. Groups shrink until one holds a single distance and
+the key is the whole window, so every automaton reads SHARD segments at most.
 
 Edge cases: a null text has no words; texts shorter than the window lose
 nothing; a null id counts as the largest; rows that repeat an id with different
@@ -173,14 +177,16 @@ class SuffixAutomaton:
 def shard_spans(segments: list[tuple], window: int):
     """(document, begin, end) of the words that windows of one shard remove;
     ``segments`` are (document key, first word's position, segment) in order.
-    A segment that was read before repeats as a whole."""
-    sam, known = SuffixAutomaton(), set()
+    A segment that was read before repeats as a whole, unless it is the same
+    place, which two anchors of a document may have left."""
+    sam, known = SuffixAutomaton(), {}
     distinct = len({s for _, _, s in segments})
     for doc, start, segment in segments:
         if segment in known:
-            yield doc, start, start + segment.count(b" ") + 1
+            if known[segment] != (doc, start):
+                yield doc, start, start + segment.count(b" ") + 1
             continue
-        known.add(segment)
+        known[segment] = doc, start
         if distinct == 1:
             continue  # nothing else to compare it with
         begin, end = -1, -1
@@ -275,6 +281,89 @@ def deal_again(segments: DataFrame, window: int, step: int) -> DataFrame:
     return segments.select(_COLUMNS).mapInPandas(deal, _SEGMENT)
 
 
+def common_words(x: str, y: str) -> int:
+    """Words at the begin that two runs share; each word is closed by a space."""
+    if x == y:
+        return x.count(" ")
+    n = 0
+    for a, b in zip(x.split(" "), y.split(" "), strict=False):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
+def shared_words(batches, columns: list[str]):
+    """(row, words) of rows sorted by their first field and by their last, a run
+    of words: how many at its begin any other run with the same first field
+    shares. That is a neighbour in this order; at the ends of a task, whose
+    neighbours are in others, all words count as shared."""
+    last = before = None
+    for pdf in batches:
+        for row in zip(*(pdf[c] for c in columns), strict=True):
+            if last is None:
+                before = row[-1].count(" ")
+            else:
+                n = common_words(last[-1], row[-1]) if last[0] == row[0] else 0
+                yield last, max(before, n)
+                before = n
+            last = row
+    if last is not None:
+        yield last, last[-1].count(" ")
+
+
+def first_words(run: str, n: int) -> str:
+    return "".join(w + " " for w in run.split(" ")[:n])
+
+
+def trim(segments: DataFrame, window: int) -> DataFrame:
+    """The segments of large shards without the words that no other segment of
+    the shard shares on that side of the anchor; a row without a segment is a
+    copy of an earlier one. Segments without a window are left out."""
+    parts = num_partitions(segments)
+    text = F.decode("segment", "ISO-8859-1")  # a character per byte, so that bytes can be cut and reversed
+    before = F.call_function("substring_index", text, F.lit(" "), (F.col("at") - F.col("begin")).cast("int"))
+    after = F.call_function("substring_index", text, F.lit(" "), (F.col("at") - F.col("stop")).cast("int"))
+    sides = segments.select("h", "oid", "alt", "at", F.concat(after, F.lit(" ")).alias("right"), F.when(
+        F.col("at") > F.col("begin"), F.concat(F.reverse(before), F.lit(" "))).otherwise("").alias("left"))
+    of_left, of_right = ["h", "oid", "alt", "at", "right", "left"], ["h", "oid", "alt", "at", "left", "right"]
+
+    def frames(rows, columns):
+        held = []
+        for row in rows:
+            held.append(row)
+            if len(held) >= 1000:
+                yield pd.DataFrame(held, columns=columns)
+                held = []
+        yield pd.DataFrame(held, columns=columns)
+
+    def cut_left(batches):
+        yield from frames(((h, oid, alt, at, right, first_words(left, n))
+                           for (h, oid, alt, at, right, left), n in shared_words(batches, of_left)
+                           if n + right.count(" ") >= window), of_left)
+
+    def cut_right(batches):
+        met = Met()
+
+        def rows():
+            for (h, oid, alt, at, left, right), n in shared_words(batches, of_right):
+                size = left.count(" ")
+                if size + n < window:
+                    continue
+                segment = (left[::-1] + " " + first_words(right, n)).strip(" ").encode("latin-1")
+                copy = met.before(h, segment, (oid, alt, at - size))
+                yield 0 if copy else h, oid, alt, at - size, at, None if copy else segment, at + n
+        yield from frames(rows(), _COLUMNS)
+
+    kinds = {"h": "long", "oid": "long", "alt": "long", "at": "long", "left": "string", "right": "string"}
+    # equal runs may be in several tasks, in order of place
+    place = ["oid", "alt", "at"]
+    half = cut_lineage(sides.repartitionByRange(parts, "h", "left", *place).sortWithinPartitions("h", "left", *place)
+                       .mapInPandas(cut_left, ", ".join(f"{c} {kinds[c]}" for c in of_left)), "op10-left")
+    return (half.repartitionByRange(parts, "h", "right", *place).sortWithinPartitions("h", "right", *place)
+            .mapInPandas(cut_right, _SEGMENT))
+
+
 def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text"):
     """(documents, texts, spans): ``documents`` has oid, alt, null_id, n_words and
     sha of all words for each row; ``spans`` has oid, alt and the list of
@@ -412,10 +501,10 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
         return pd.DataFrame([(*d, b, e) for d, b, e in found], columns=["oid", "alt", "begin", "stop"])
 
     found, fields = None, ["oid", "alt", "begin", "stop"]
-    for step in [*group_sizes(window), None]:
+    for step in [0, *group_sizes(window), None]:
         copies = segments.where("segment is null").select(fields)
         whole = segments.where("segment is not null")
-        small, large = by_size(whole) if step else (whole, None)
+        small, large = by_size(whole) if step is not None else (whole, None)
         searched = (small.select("h", "oid", "alt", "begin", "segment").repartition(parts, "h")
                     .sortWithinPartitions("h", "oid", "alt", "begin")
                     .mapInPandas(search, "oid long, alt long, begin long, stop long"))
@@ -423,7 +512,7 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_co
         found = level if found is None else found.unionByName(level)
         if large is None:
             break
-        segments = cut_lineage(deal_again(large, window, step), f"op10-step{step}")
+        segments = cut_lineage(deal_again(large, window, step) if step else trim(large, window), f"op10-step{step}")
     spans = (found.groupBy("oid", "alt")
              .agg(F.collect_set(F.struct("begin", "stop")).alias("spans")))
     documents = scanned.where("n_words >= 0").select("oid", "alt", "null_id", "n_words", "sha")

@@ -483,3 +483,37 @@ def test_deal_again_makes_one_row_per_run_of_copies(spark):
     assert {c for c in copies if c[0] >= 100} == {(100 + d, 41, 72) for d in range(30)}
     assert all(r["segment"].count(b" ") + 1 == r["stop"] - r["begin"] for r in rows if r["segment"] is not None)
     assert sum(r["oid"] >= 100 for r in rows) == 2 * 30
+
+
+def test_edges_of_a_passage_are_not_dealt(spark, monkeypatch):
+    """Words of a document's own around a passage are cut off; what is left are copies, so no shard stays large."""
+    monkeypatch.setattr(substring_dedup, "SHARD", 100)
+    dealt, deal = [], substring_dedup.deal_again
+    monkeypatch.setattr(substring_dedup, "deal_again", lambda *a: dealt.append(a[2]) or deal(*a))
+    own = lambda i, c: [f"é{c}{i}x{j}" for j in range(30)]
+    passage = [f"ß{j}" for j in range(60)]
+    rows = [(i, " ".join([*own(i, "a"), *passage, *own(i, "b")])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(df, 20).collect()}
+    kept = lambda i, t: hashlib.sha256((t if i == 0 else " ".join(own(i, "a") + own(i, "b"))).encode()).hexdigest()
+    assert got == {i: (60 if i else 0, kept(i, t)) for i, t in rows}
+    assert not dealt
+
+
+def test_shared_words_of_a_shard():
+    """Against all pairs, with words that sort before a space, over several batches."""
+    rnd = random.Random(3)
+    runs = sorted((rnd.randrange(3), "".join(w + " " for w in rnd.choices(["a", "a\x01", "b", "\x01", "aé"], k=rnd.randrange(5))))
+                  for _ in range(60))
+    pdf = pd.DataFrame([(h, i, run) for i, (h, run) in enumerate(runs)], columns=["h", "i", "run"])
+    got = [(h, i, n) for (h, i, _), n in substring_dedup.shared_words([pdf[:7], pdf[7:7], pdf[7:]], list(pdf))]
+    first = lambda x, y: next((i for i, (a, b) in enumerate(zip(x.split(" "), y.split(" "))) if a != b), x.count(" "))  # noqa: E731, B905
+    want = [(h, i, max([first(run, r) for j, (g, r) in enumerate(runs) if g == h and j != i], default=0)) for i, (h, run) in enumerate(runs)]
+    assert got[1:-1] == want[1:-1]
+    assert [got[0][2], got[-1][2]] == [runs[0][1].count(" "), runs[-1][1].count(" ")]
+    assert substring_dedup.first_words("a b c ", 2) == "a b " and substring_dedup.first_words("", 0) == ""
+
+
+def test_a_segment_at_the_same_place_is_no_copy():
+    segments = [((1, 1), 0, b"a b c d"), ((1, 1), 0, b"a b c d"), ((2, 2), 5, b"a b c d")]
+    assert list(substring_dedup.shard_spans(segments, 3)) == [((2, 2), 5, 9)]
