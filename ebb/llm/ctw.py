@@ -57,6 +57,29 @@ _SLOTS = 21
 END = b"\n"
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for; the end is 0."""
+
+    def __init__(self):
+        super().__init__({END: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of keys that are all among the ascending ``keys``. Searched in
+    ascending order, neighbours take the same way through the keys."""
+    by = np.argsort(wanted)
+    out = np.empty(len(wanted), dtype=values.dtype)
+    out[by] = values[np.searchsorted(keys, wanted[by])]
+    return out
+
+
 def normal(words: list[bytes]) -> bytes:
     return b" ".join(words) + END
 
@@ -423,7 +446,7 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
         from pyspark import TaskContext
 
         task, block = TaskContext.get().partitionId(), 0
-        number, train, grams, nth = {END: 0}, [0], GramSums(), 0
+        number, train, grams, nth = Numbers(), np.zeros(1, dtype=np.int64), GramSums(), 0
 
         def dictionaries(block_id):
             keys, n = grams.all()
@@ -449,17 +472,17 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
                 for r in zip(*(batch[c].to_pylist() for c in ("id", "null_id", "text", "held_out")), strict=True))
         for group in together(rows, TOGETHER // 2):
             block_id = task << 24 | block
-            texts = []
+            texts, counted = [], [np.empty(0, dtype=np.int64)]
             for _, _, text, held_out in group:
                 own = words_of(text, lower=True)
                 texts.append(normal(own))
                 own.append(END)
-                ids = [number.setdefault(w, len(number)) for w in own]
-                if len(number) > len(train):
-                    train.extend([0] * (len(number) - len(train)))
+                ids = number.of(own)
                 if not held_out:
-                    for i in ids:
-                        train[i] += 1
+                    counted.append(ids)
+            more = np.bincount(np.concatenate(counted), minlength=len(number))
+            more[:len(train)] += train
+            train = more
             for part in (True, False):
                 grams.add([t for t, r in zip(texts, group, strict=True) if r[3] != part], part, depth)
             yield rows_of(len(group), block=[block_id] * len(group), nth=range(nth, nth + len(group)),
@@ -467,7 +490,7 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
             nth += len(group)
             if len(number) > DICTIONARY or len(grams.known[0]) > GRAMS:
                 yield from dictionaries(block_id)
-                number, train, grams, nth, block = {END: 0}, [0], GramSums(), 0, block + 1
+                number, train, grams, nth, block = Numbers(), np.zeros(1, dtype=np.int64), GramSums(), 0, block + 1
         yield from dictionaries(task << 24 | block)
 
     found = cut_lineage(src.mapInArrow(index, schema), "op7-index")
@@ -500,16 +523,17 @@ def lm_score(docs: DataFrame, depth: int = 5, fold: int = 7, held: int = 2,
         del own
         logs, known = np.log10((c + 1) / whole_sum), c > 0
         texts = texts.sort_values("nth")  # words get their numbers in this order
-        number, n_tokens, n_known, base, total = {END: 0}, [], [], [], []
-        for group in together(((t, len(t)) for t in texts["text"]), TOGETHER):
+        number, n_tokens, n_known, base, total = Numbers(), [], [], [], []
+        for group in together(((t, len(t)) for t in texts["text"]), TOGETHER // 2):
             for t in group:
-                i = [number.setdefault(w, len(number)) for w in t.split()]
-                i.append(0)
+                own = t.split()
+                own.append(END)
+                i = number.of(own)
                 n_tokens.append(len(i))
                 n_known.append(int(known[i].sum()))
                 base.append(float(logs[i].sum()))
             found, ends = gram_keys(group, depth)
-            total.append(np.add.reduceat(logs10[np.searchsorted(keys, found)], np.concatenate([[0], ends[:-1]])))
+            total.append(np.add.reduceat(look_up(keys, logs10, found), np.concatenate([[0], ends[:-1]])))
         return texts[["id", "null_id", "held_out"]].assign(
             score=np.concatenate(total) if total else [], n_tokens=n_tokens, n_known=n_known, base_score=base)
 

@@ -517,3 +517,13 @@ def test_shared_words_of_a_shard():
 def test_a_segment_at_the_same_place_is_no_copy():
     segments = [((1, 1), 0, b"a b c d"), ((1, 1), 0, b"a b c d"), ((2, 2), 5, b"a b c d")]
     assert list(substring_dedup.shard_spans(segments, 3)) == [((2, 2), 5, 9)]
+
+
+def test_lm_look_ups():
+    """Values come back in the order asked for; words are numbered as they come."""
+    keys = np.array([3, 5, 9, 1 << 63], dtype=np.uint64)
+    wanted = keys[[3, 0, 2, 2, 0, 1]]
+    assert ctw.look_up(keys, np.array([.1, .2, .3, .4]), wanted).tolist() == [.4, .1, .3, .3, .1, .2]
+    assert len(ctw.look_up(keys, np.zeros(4), wanted[:0])) == 0
+    number = ctw.Numbers()
+    assert number.of([b"x", b"y", b"\n"]).tolist() == [1, 2, 0] and number.of([b"y", b"z", b"x"]).tolist() == [2, 3, 1]
