@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import actions, drift, explain, features, metrics, models, profile, repair, rfm
 from ..operators.scoring import RULE_SCORER
-from ..session import cut_lineage
+from ..session import cut_lineage, sized_shuffles
 from ..sources import csv_io, sinks
 from ..sources.tables import TABLES, read_table
 from ..sources.marts import CLIENT_MART_SQL, EVENTS_MART_SQL, client_mart, events_mart
@@ -54,12 +54,14 @@ def _mart(spark, sf_dir, which):
     Operators run small statistics jobs before their lazy projection; reading
     the written table keeps those jobs (and every later query of the run) from
     recomputing the source joins, and a lost executor re-reads files rather
-    than re-running the scans.
+    than re-running the scans. Its shuffles have as many partitions as the
+    largest source needs.
     """
     k = (*_state(spark, sf_dir), which)
     if k not in _MARTS:
         m = client_mart(spark, sf_dir) if which == "client" else events_mart(spark, sf_dir)
-        _MARTS[k] = cut_lineage(m, f"{which}-mart")
+        with sized_shuffles(spark, read_table(spark, sf_dir, "lineitem" if which == "client" else "events").count()):
+            _MARTS[k] = cut_lineage(m, f"{which}-mart")
     return _MARTS[k]
 
 
