@@ -157,18 +157,19 @@ class Explanation:
 
 def explain_model(model, kind: str, X: DataFrame, features: Sequence[str],
                   importances: list[tuple[str, float]], key: str = "client_id") -> Explanation:
-    """Exact attributions of a fitted model, or, when it has none, the
-    model's own importances with contributions of 0 and the fixed base value."""
-    from .tree_explain import tree_contributions
-    try:
-        if kind == "lr":
-            coefficients = {f: float(w) for f, w in zip(features, model.coefficients, strict=True)}
-            contribs, base = linear_contributions(X, coefficients, float(model.intercept), key)
-        else:
-            contribs, base = tree_contributions(model, X, features, key)
-        method, space = ("linear", "margin") if kind == "lr" else ("tree", "margin" if kind == "gbt" else "probability")
-    except (TypeError, ValueError, AttributeError) as e:
-        log.warning("no attribution for %s, using its importances: %s", type(model).__name__, e)
+    """Exact attributions of a fitted model, or, for a model that is neither
+    linear nor a tree ensemble, its own importances with contributions of 0 and the
+    fixed base value. An attribution that fails raises."""
+    from .tree_explain import is_ensemble, tree_contributions
+    if kind == "lr" and hasattr(model, "coefficients"):
+        coefficients = {f: float(w) for f, w in zip(features, model.coefficients, strict=True)}
+        contribs, base = linear_contributions(X, coefficients, float(model.intercept), key)
+        method, space = "linear", "margin"
+    elif is_ensemble(model):
+        contribs, base = tree_contributions(model, X, features, key)
+        method, space = "tree", "margin" if kind == "gbt" else "probability"
+    else:
+        log.warning("no attribution for %s, using its importances", type(model).__name__)
         ranked, base = fallback_importance(importances)
         contribs = _long(X, key, features, lambda f, i: F.lit(0.0))
         frame = X.sparkSession.createDataFrame(ranked, "feature string, importance double")

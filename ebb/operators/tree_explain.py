@@ -12,9 +12,9 @@ depth, hence Gauss-Legendre nodes integrate it without error: one product per
 node, no enumeration of subsets. The products are extended edge by edge on the way
 down and summed over leaves on the way up, so the work is nodes x rows x depth / 2.
 
-The forest is flattened into arrays of nodes, whose number is checked before
-they are broadcast; rows stream through in Arrow batches and are multiplied by
-nothing. Contributions add up to ``f(x) - base`` where the base is the cover-weighted mean.
+The forest is flattened into arrays of nodes, which are broadcast, as Spark does with
+the model itself to score rows (the model's nodes take more memory than the arrays). Rows
+stream through in Arrow batches and are multiplied by nothing. Contributions add up to ``f(x) - base`` where the base is the cover-weighted mean.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from ..functions.exprs import col
 from ..session import ensure_checkpoint_dir
 
-MAX_NODES = 4_000_000      # some 200 MB of arrays
 BATCH = 2048
 
 
@@ -60,17 +59,24 @@ class Tree:
         return self.share(a, i) * self.mean(a) + self.share(b, i) * self.mean(b)
 
 
-def forest_of(model, max_nodes: int = MAX_NODES) -> list[Tree]:
+def is_ensemble(model) -> bool:
+    """Whether :func:`forest_of` knows models of this type."""
+    from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
+    return isinstance(model, (GBTClassificationModel, RandomForestClassificationModel))
+
+
+def forest_of(model, max_nodes: int | None = None) -> list[Tree]:
     """The trees of a fitted Spark ML forest or boosted classifier, read from its
     saved node table. Leaf values are weighted so that their sum is the
-    probability of class 1 (forest) or its log-odds (boosting)."""
-    from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
+    probability of class 1 (forest) or its log-odds (boosting). More than
+    ``max_nodes`` nodes, where given, are an error."""
+    from pyspark.ml.classification import GBTClassificationModel
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    if not isinstance(model, (GBTClassificationModel, RandomForestClassificationModel)):
+    if not is_ensemble(model):
         raise TypeError(f"no tree ensemble: {type(model).__name__}")
-    if model.totalNumNodes > max_nodes:
+    if max_nodes is not None and model.totalNumNodes > max_nodes:
         raise ValueError(f"{model.totalNumNodes} nodes are more than {max_nodes}")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ebb-tables/forest-{uuid.uuid4().hex}"
     model.write().save(path)
@@ -83,7 +89,7 @@ def forest_of(model, max_nodes: int = MAX_NODES) -> list[Tree]:
         "treeID", F.col("n.id").alias("id"), F.col("n.split.featureIndex").alias("feature"),
         F.get("n.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), F.col("n.split.numCategories").alias("levels"),
         F.col("n.leftChild").alias("left"), F.col("n.rightChild").alias("right"), cover.alias("cover"), value.alias("value"))
-    table = nodes.toPandas().sort_values(["treeID", "id"])     # at most max_nodes rows
+    table = nodes.toPandas().sort_values(["treeID", "id"])     # the model's nodes, which the driver holds anyway
     if (table["levels"] >= 0).any():
         raise ValueError("categorical splits are not explained")
     weights = np.asarray(model.treeWeights, dtype=float)
@@ -133,7 +139,7 @@ def contributions_of(trees: Sequence[Tree], X: DataFrame, features: Sequence[str
     """``(key, ordinal, feature, contribution)`` for every row and feature, and
     the base value. Null features count as 0, as elsewhere in this package."""
     features = list(features)
-    shared = X.sparkSession.sparkContext.broadcast(list(trees))     # bounded by forest_of's check
+    shared = X.sparkSession.sparkContext.broadcast(list(trees))     # smaller than the model
     rows = X.select(key, F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in features]).alias("x"))
 
     def run(batches):
@@ -161,7 +167,7 @@ def contributions_of(trees: Sequence[Tree], X: DataFrame, features: Sequence[str
 
 
 def tree_contributions(model, X: DataFrame, features: Sequence[str], key: str = "client_id",
-                       max_nodes: int = MAX_NODES) -> tuple[DataFrame, float]:
+                       max_nodes: int | None = None) -> tuple[DataFrame, float]:
     """:func:`contributions_of` a fitted Spark ML tree ensemble."""
     return contributions_of(forest_of(model, max_nodes), X, features, key)
 
